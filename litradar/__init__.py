@@ -1,3 +1,10 @@
 """Literature recommendation analytics as PySpark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in tasks travel with them, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,8 +14,15 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def escape_xml(text: Column) -> Column:
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def score_text(score: Column) -> Column:
-    return F.format_string("%.3f", score)
+    """Three decimals, ties to even."""
+    return F.format_string("%.3f", F.bround(score, 3))
 
 
 def description(abstract: Column, published: Column, venue: Column, score: Column, label: Column) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .text import collapse_spaces, empty_to_null, strip, strip_tags
 
@@ -151,7 +152,7 @@ def meta_content(page: Column, attribute: str, value: str) -> Column:
     return strip(found)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _unescape_all(values: pd.Series) -> pd.Series:
     return values.map(lambda items: [html.unescape(x) for x in items], na_action="ignore")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def token_set(title: Column) -> Column:
@@ -58,7 +59,7 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) / 100.0 for x, y in zip(a, b, strict=True)])
 

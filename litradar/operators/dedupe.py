@@ -181,10 +181,11 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
     earlier kept row, and keeps it when no earlier row is left in any of them.
     """
     rows = candidates.select(
-        "profile_id", "ordinal",
+        F.col("profile_id").cast("long").alias("profile_id"), F.col("ordinal").cast("long").alias("ordinal"),
         normalize_identifier(F.col("identifier")).alias("_id"), normalize_doi(F.col("doi")).alias("_doi"),
         token_key(normalize_title(F.col("title"))).alias("_tkey"),
     )
+    rows = cut_lineage(rows)
     own = F.array_distinct(F.array_compact(F.array(
         F.concat(F.lit("k:"), F.col("_id")), F.concat(F.lit("k:"), F.col("_doi")),
         F.when(F.col("_tkey") != "", F.concat(F.lit("t:"), F.col("_tkey"))),
@@ -197,43 +198,34 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
             members.join(links.select(F.concat(F.lit("t:"), F.col("a")).alias("grp"), F.concat(F.lit("t:"), F.col("b")).alias("near")), "grp")
             .select("profile_id", "ordinal", F.col("near").alias("grp"))
         ))
-    # decided rows: kept true or false; the others are open
-    decided = None
     kept_low = None
-    open_rows = members.select("profile_id", "ordinal").distinct()
-    kept_parts: list[DataFrame] = []
+    kept = None
+    waiting = rows.select("profile_id", "ordinal")
     for _ in range(max_rounds):
-        active = members if decided is None else members.join(open_rows, ["profile_id", "ordinal"], "left_semi")
+        active = members if kept is None else members.join(waiting, ["profile_id", "ordinal"], "left_semi")
+        watching = watch if kept is None else watch.join(waiting, ["profile_id", "ordinal"], "left_semi")
         low_open = active.groupBy("profile_id", "grp").agg(F.min("ordinal").alias("low_open"))
-        watching = watch if decided is None else watch.join(open_rows, ["profile_id", "ordinal"], "left_semi")
         seen = watching.join(low_open, ["profile_id", "grp"], "left")
-        if kept_low is not None:
-            seen = seen.join(kept_low, ["profile_id", "grp"], "left")
-        else:
+        if kept_low is None:
             seen = seen.withColumn("low_kept", F.lit(None).cast("long"))
-        verdict = seen.groupBy("profile_id", "ordinal").agg(F.min("low_open").alias("lo"), F.min("low_kept").alias("lk")).select(
+        else:
+            seen = seen.join(kept_low, ["profile_id", "grp"], "left")
+        verdict = cut_lineage(seen.groupBy("profile_id", "ordinal").agg(F.min("low_open").alias("lo"), F.min("low_kept").alias("lk")).select(
             "profile_id", "ordinal",
-            F.when(F.col("lk") < F.col("ordinal"), F.lit("drop")).when(F.col("lo") == F.col("ordinal"), F.lit("keep")).otherwise(F.lit("open")).alias("verdict"),
-        )
-        verdict = cut_lineage(verdict)
+            F.when(F.col("lk") < F.col("ordinal"), "drop").when(F.col("lo") == F.col("ordinal"), "keep").otherwise("open").alias("verdict"),
+        ))
         newly = verdict.where("verdict = 'keep'").select("profile_id", "ordinal")
-        kept_parts.append(newly)
+        waiting = verdict.where("verdict = 'open'").select("profile_id", "ordinal")
+        kept = newly if kept is None else kept.union(newly)
+        if waiting.isEmpty():
+            return candidates.join(kept, ["profile_id", "ordinal"], "left_semi")
         new_low = members.join(newly, ["profile_id", "ordinal"], "left_semi").groupBy("profile_id", "grp").agg(F.min("ordinal").alias("low_kept"))
-        merged = new_low if kept_low is None else kept_low.unionByName(new_low)
-        kept_low = cut_lineage(merged.groupBy("profile_id", "grp").agg(F.min("low_kept").alias("low_kept")))
-        decided = True
-        open_rows = verdict.where("verdict = 'open'").select("profile_id", "ordinal")
-        if open_rows.isEmpty():
-            break
-    else:
-        raise RuntimeError("the batch dedupe did not settle")
-    kept = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept = kept.union(part)
-    return candidates.join(kept, ["profile_id", "ordinal"], "left_semi")
+        both = new_low if kept_low is None else kept_low.unionByName(new_low)
+        kept_low = cut_lineage(both.groupBy("profile_id", "grp").agg(F.min("low_kept").alias("low_kept")))
+    raise RuntimeError("the batch dedupe did not settle")
 
 
 def dedupe(candidates: DataFrame, library: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """All four steps."""
-    fresh = without_known_urls(without_known_dois(candidates, library), library)
-    return first_of_batch(without_known_titles(fresh, library, threshold), threshold)
+    """All four steps. The survivors of each costly step are materialised once."""
+    fresh = cut_lineage(without_known_urls(without_known_dois(candidates, library), library))
+    return first_of_batch(cut_lineage(without_known_titles(fresh, library, threshold)), threshold)

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import in_zone
-from ..functions.feed import content, description, publication_date, score_text
-
-FEED_COLUMNS = ("profile_id", "rank", "title", "link", "guid", "pubDate", "creators", "type", "publicationName", "doi", "description", "content")
-
+from ..functions.clock import in_zone, moment, rfc822
+from ..functions.feed import content, description, escape_xml, publication_date, score_text
 
 def feed_items(works: DataFrame, as_of) -> DataFrame:
     """One row per feed item."""
@@ -24,26 +21,47 @@ def feed_items(works: DataFrame, as_of) -> DataFrame:
     )
 
 
+# Element names of a feed item, in order.
+FEED_ELEMENTS = (
+    ("title", "title"), ("link", "link"), ("guid", "guid"), ("pubDate", "pubDate"), ("dc:creator", "creators"), ("dc:type", "type"),
+    ("prism:publicationName", "publicationName"), ("prism:doi", "doi"), ("description", "description"), ("content:encoded", "content"),
+)
+FEED_NAMESPACES = (
+    'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:prism="http://prismstandard.org/namespaces/basic/2.0/" '
+    'xmlns:content="http://purl.org/rss/1.0/modules/content/"'
+)
+
+
+def _element(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), escape_xml(value), F.lit(f"</{name}>"))
+
+
 def feed_xml(items: DataFrame) -> DataFrame:
-    """The XML text of each item."""
-    item = F.struct(
-        "title", "link", "guid", "pubDate", F.col("creators").alias("dc:creator"), F.col("type").alias("dc:type"),
-        F.col("publicationName").alias("prism:publicationName"), F.col("doi").alias("prism:doi"), "description",
-        F.col("content").alias("content:encoded"),
+    """The XML text of each item; absent parts are left out, each author has an element."""
+    parts = [
+        F.array_join(F.transform(column, lambda a, n=name: _element(n, a)), "") if column == "creators" else _element(name, F.col(column))
+        for name, column in FEED_ELEMENTS
+    ]
+    return items.select("profile_id", "rank", F.concat(F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>")).alias("item_xml"))
+
+
+def feed_documents(works: DataFrame, as_of, title: str = "Literature feed", link: str = "https://example.com",
+                   about: str = "Recommended papers") -> DataFrame:
+    """One feed document per profile. The works are cut to top_k first, so a document is bounded."""
+    head = F.concat(
+        F.lit(f'<?xml version="1.0" encoding="utf-8"?><rss version="2.0" {FEED_NAMESPACES}><channel>'),
+        _element("title", F.lit(title)), _element("link", F.lit(link)), _element("description", F.lit(about)),
+        _element("lastBuildDate", rfc822(moment(as_of))),
+    )
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_xml"))), lambda x: x["item_xml"]), "")
+    return feed_xml(feed_items(works, as_of)).groupBy("profile_id").agg(listed.alias("items")).select(
+        "profile_id", F.concat(head, F.col("items"), F.lit("</channel></rss>")).alias("value")
     )
-    return items.select("profile_id", "rank", F.to_xml(item, {"rowTag": "item"}).alias("item_xml"))
 
 
-def write_feeds(works: DataFrame, path: str, as_of) -> None:
-    """XML files, one folder per profile; the works are at most top_k per profile."""
-    renamed = feed_items(works, as_of).withColumnsRenamed(
-        {"creators": "dc:creator", "type": "dc:type", "publicationName": "prism:publicationName", "doi": "prism:doi", "content": "content:encoded"}
-    )
-    renamed.repartition("profile_id").sortWithinPartitions("profile_id", "rank").drop("rank").write.mode("overwrite").partitionBy(
-        "profile_id"
-    ).format("xml").option("rootTag", 'rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" '
-                           'xmlns:prism="http://prismstandard.org/namespaces/basic/2.0/" '
-                           'xmlns:content="http://purl.org/rss/1.0/modules/content/"').option("rowTag", "item").save(path)
+def write_feeds(works: DataFrame, path: str, as_of, **channel: str) -> None:
+    """One folder with an XML file per profile."""
+    feed_documents(works, as_of, **channel).write.mode("overwrite").partitionBy("profile_id").text(path)
 
 
 def note_payload(works: DataFrame, collection: str, tag: str = "recommendation", note: Column | None = None) -> DataFrame:
