@@ -1,6 +1,6 @@
 """Queries over the given tables, with their DuckDB forms."""
 
 from .base import ORACLE, QUERIES, ROWS
-from . import rows, scalars  # noqa: F401
+from . import rows, scalars, scores  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "ROWS"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 20_000
 _SCORE_ROWS = 1024  # candidate rows per matrix product inside a block
+_DIGITS = 9  # equal up to here is a tie: the last bits depend on how rows fall into blocks
 
 
 def _matrix(column: pa.ChunkedArray, eps: float) -> np.ndarray:
@@ -59,9 +60,9 @@ def _block_top_k(k: int, eps: float):
             left = _matrix(candidates["embedding"], eps)
             ordinals = candidates["ordinal"].to_numpy()
             for at in range(0, len(left), _SCORE_ROWS):
-                sims = np.round(left[at : at + _SCORE_ROWS] @ right, 9)
+                sims = left[at : at + _SCORE_ROWS] @ right
                 for lo, hi in _segments(owner):
-                    best = _top(sims[:, lo:hi], min(k, hi - lo)) + lo
+                    best = _top(np.round(sims[:, lo:hi], _DIGITS), min(k, hi - lo)) + lo
                     rows, width = best.shape
                     flat = best.ravel()
                     out["profile_id"].append(np.full(rows * width, owner[lo]))
@@ -127,7 +128,7 @@ def knn_join(candidates: DataFrame, library: DataFrame, k: int = 5, eps: float =
     found = left.groupBy("lb_c", "rb_c").cogroup(right.groupBy("lb", "rb")).applyInArrow(
         _block_top_k(k, eps), "profile_id long, ordinal long, key string, weight double, sim double"
     )
-    ranked = Window.partitionBy("profile_id", "ordinal").orderBy(F.desc("sim"), "key")
+    ranked = Window.partitionBy("profile_id", "ordinal").orderBy(F.desc(F.round("sim", _DIGITS)), "key")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
@@ -157,12 +158,12 @@ def _block_clusters(keep: int, eps: float):
             left = _matrix(candidates["embedding"], eps)
             ordinals = candidates["ordinal"].to_numpy()
             for at in range(0, len(left), _SCORE_ROWS):
-                sims = np.round(left[at : at + _SCORE_ROWS] @ right, 9)
+                sims = left[at : at + _SCORE_ROWS] @ right
                 for lo, hi in _segments(owner):
                     part = sims[:, lo:hi]
                     raw = part * logs[lo:hi]
-                    winner = np.argmax(np.round(raw, 9), axis=1)
-                    order = np.argsort(-part, axis=1, kind="stable")[:, :keep]
+                    winner = np.argmax(np.round(raw, _DIGITS), axis=1)
+                    order = np.argsort(-np.round(part, _DIGITS), axis=1, kind="stable")[:, :keep]
                     rows, width = order.shape
                     # the winner may lie outside the closest few: one extra row, rank 0
                     picked = np.concatenate([winner[:, None], order], axis=1)
