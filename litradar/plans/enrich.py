@@ -20,6 +20,8 @@ def extract_with_fallback(pages: DataFrame, completer: Completer | None = None)
     extracted = extract_abstracts(pages)
     if completer is None:
         return extracted
+    # materialised: it feeds both the requests and the result
+    extracted = cut_lineage(extracted)
     asked = model_requests(extracted)
     lead = F.when(F.col("title") != "", F.concat(F.lit("Paper title: "), "title", F.lit("\n\n"))).otherwise("")
     requests = asked.select("doi", F.concat(lead, prompts.render(prompts.PAGE_ABSTRACT, html=F.col("content"))).alias("prompt"))

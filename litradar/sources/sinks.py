@@ -38,10 +38,12 @@ def _element(name: str, value: Column) -> Column:
 
 def feed_xml(items: DataFrame) -> DataFrame:
     """The XML text of each item; absent parts are left out, each author has an element."""
-    parts = [
-        F.array_join(F.transform(column, lambda a, n=name: _element(n, a)), "") if column == "creators" else _element(name, F.col(column))
-        for name, column in FEED_ELEMENTS
-    ]
+    def part(name: str, column: str) -> Column:
+        if column == "creators":
+            return F.array_join(F.transform(column, lambda author: _element(name, author)), "")
+        return _element(name, F.col(column))
+
+    parts = [part(name, column) for name, column in FEED_ELEMENTS]
     return items.select("profile_id", "rank", F.concat(F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>")).alias("item_xml"))
 
 
