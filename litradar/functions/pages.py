@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .text import collapse_spaces, empty_to_null, strip, strip_tags
+from .text import bind, collapse_spaces, empty_to_null, one_space, strip, strip_tags
 
 MIN_ABSTRACT = 100
 
@@ -148,8 +148,7 @@ def meta_content(page: Column, attribute: str, value: str) -> Column:
     """Content of a meta tag, whichever attribute comes first; null if there is none."""
     after = rf'(?i)<meta[^>]*content=["\']([^"\']+)["\'][^>]*{attribute}=["\']?{value}["\']?[^>]*>'
     before = rf'(?i)<meta[^>]*{attribute}=["\']?{value}["\']?[^>]*content=["\']([^"\']+)["\'][^>]*>'
-    found = F.coalesce(empty_to_null(F.regexp_extract(page, after, 1)), empty_to_null(F.regexp_extract(page, before, 1)))
-    return strip(found)
+    return strip(F.coalesce(*[bind(F.regexp_extract(page, p, 1), empty_to_null) for p in (after, before)]))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -169,11 +168,16 @@ def _tidy(text: Column) -> Column:
     return collapse_spaces(F.regexp_replace(strip_tags(text), r"(?i)^\s*Abstract\s*:?\s*", ""))
 
 
+def decode_texts(texts: Column) -> Column:
+    """Entities of an array of texts; only arrays with an ampersand go to Python."""
+    coded = F.exists(texts, lambda t: t.contains("&"))
+    return F.coalesce(_unescape_all(F.when(coded, texts)), texts)
+
+
 def clean_texts(texts: Column) -> Column:
     """Clean an array of extracted texts: JSON escapes, entities, tags, heading, white space."""
-    plain = F.transform(F.transform(texts, lambda t: F.coalesce(t, F.lit(""))), _undo_json_escapes)
-    decoded = F.when(F.exists(plain, lambda t: t.contains("&")), _unescape_all(F.when(F.exists(plain, lambda t: t.contains("&")), plain))).otherwise(plain)
-    return F.transform(decoded, _tidy)
+    plain = F.transform(texts, lambda t: bind(F.coalesce(t, F.lit("")), lambda x: F.when(x.contains("\\"), _undo_json_escapes(x)).otherwise(x)))
+    return F.transform(decode_texts(plain), _tidy)
 
 
 def is_highlights(text: Column) -> Column:
@@ -183,23 +187,49 @@ def is_highlights(text: Column) -> Column:
     return (text == "") | F.lower(text).startswith("highlights") | ((bullets > 2) & (bullets >= ends))
 
 
-def _found(page: Column, rules: Rules) -> Column:
-    """Raw finds in trial order as (is_meta, raw); nulls where a rule finds nothing."""
-    meta = [F.struct(F.lit(True).alias("is_meta"), meta_content(page, a, v).alias("raw")) for a, v in rules.meta]
-    selected = [
-        F.struct(F.lit(False).alias("is_meta"), empty_to_null(F.regexp_extract(page, "(?is)" + s, 1)).alias("raw")) for s in rules.selectors
-    ]
-    return F.array(*(selected + meta if rules.selectors_first else meta + selected))
+def _long_meta(page: Column, rules: Rules) -> Column:
+    """First meta tag that is long enough as it is; later ones are not searched."""
+    tries = [bind(meta_content(page, a, v), lambda m: F.when(F.length(m) >= MIN_ABSTRACT, m)) for a, v in rules.meta]
+    return F.coalesce(*tries)
+
+
+def own_meta(page: Column, publisher: Column) -> Column:
+    result = F.lit(None).cast("string")
+    for name, rules in PUBLISHERS.items():
+        result = F.when(publisher == name, _long_meta(page, rules)).otherwise(result)
+    return result
 
 
-def rule_finds(page: Column, publisher: Column) -> Column:
-    """Finds of the publisher's rules followed by the generic ones, short ones dropped."""
-    none = F.array().cast("array<struct<is_meta:boolean,raw:string>>")
-    own = none
+def generic_meta(page: Column) -> Column:
+    return _long_meta(page, GENERIC)
+
+
+def _selected(page: Column, rules: Rules) -> Column:
+    return F.array(*[F.regexp_extract(page, "(?is)" + s, 1) for s in rules.selectors])
+
+
+def rule_finds(page: Column, publisher: Column, own: Column, meta: Column) -> Column:
+    """Raw finds in trial order as (is_meta, raw).
+
+    A meta tag (``own`` publisher's, or the generic ones in ``meta`` after it) ends the trial, so the
+    patterns that come after it are not run; a selector find is judged after cleaning.
+    """
+    none = F.array().cast("array<string>")
+    selected, meta_first = none, F.lit(False)
     for name, rules in PUBLISHERS.items():
-        own = F.when(publisher == name, _found(page, rules)).otherwise(own)
-    # a meta tag must be long enough as it is; a selector find is checked after cleaning
-    return F.filter(F.concat(own, _found(page, GENERIC)), lambda f: F.length(f["raw"]) >= MIN_ABSTRACT)
+        selected = F.when(publisher == name, _selected(page, rules)).otherwise(selected)
+        meta_first = meta_first | F.lit(not rules.selectors_first) & (publisher == name)
+    last = F.when(page.rlike("(?i)abstract"), _selected(page, GENERIC)).otherwise(none)
+
+    def tagged(finds: Column, is_meta: bool) -> Column:
+        return F.transform(finds, lambda raw: F.struct(F.lit(is_meta).alias("is_meta"), raw.alias("raw")))
+
+    found = tagged(F.array(meta), True)
+    ends_first = meta_first & own.isNotNull()
+    trial = F.when(ends_first, found).when(meta.isNotNull(), F.concat(tagged(selected, False), found)).otherwise(
+        F.concat(tagged(selected, False), tagged(last, False))
+    )
+    return F.filter(trial, lambda f: F.length(f["raw"]) >= MIN_ABSTRACT)
 
 
 def state_paragraphs(page: Column) -> Column:
@@ -265,7 +295,7 @@ def stripped_page(page: Column, max_chars: int = 15_000) -> Column:
     """Page without scripts, styles, comments and navigation, cut to the model's input size."""
     for pattern in PAGE_NOISE:
         page = F.regexp_replace(page, pattern, "")
-    return F.left(F.regexp_replace(page, r"(?U)\s+", " "), F.lit(max_chars))
+    return F.left(one_space(page), F.lit(max_chars))
 
 
 def shrink_page(page: Column, max_chars: int = 15_000) -> Column:

@@ -26,18 +26,20 @@ def weighted_items(library: DataFrame, as_of, decay: Decay = Decay()) -> DataFra
 
 def centroids(items: DataFrame) -> DataFrame:
     """Plain and weighted unit centroid per cluster; the plain one stands in when all weights are zero."""
-    v = array_to_vector(F.col("embedding"))
-    means = items.groupBy(*GROUP).agg(
-        Summarizer.metrics("mean").summary(v).alias("plain"),
-        Summarizer.metrics("mean").summary(v, F.col("weight")).alias("weighted"),
+    v = F.col("embedding")
+    # the weighted sum, not a weighted mean: it is defined when all weights are zero, too
+    scaled = F.transform(v, lambda x: x * F.col("weight"))
+    sums = items.groupBy(*GROUP).agg(
+        Summarizer.metrics("mean").summary(array_to_vector(v)).alias("plain"),
+        Summarizer.metrics("sum").summary(array_to_vector(scaled)).alias("weighted"),
         F.sum("weight").alias("effective_size"),
         F.count("*").alias("member_count"),
     )
     plain = l2_normalize(vector_to_array(F.col("plain.mean")), 1e-8)
-    weighted = l2_normalize(vector_to_array(F.col("weighted.mean")), 1e-8)
-    return means.select(
+    mean = F.transform(vector_to_array(F.col("weighted.sum")), lambda x: x / F.col("effective_size"))
+    return sums.select(
         *GROUP, "member_count", "effective_size", plain.alias("centroid"),
-        F.when(F.col("effective_size") > 0, weighted).otherwise(plain).alias("weighted_centroid"),
+        F.when(F.col("effective_size") > 0, l2_normalize(mean, 1e-8)).otherwise(plain).alias("weighted_centroid"),
     )
 
 

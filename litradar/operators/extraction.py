@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pages import (
-    MIN_ABSTRACT, clean_texts, detect_publisher, is_highlights, joined_paragraphs, rule_finds, shrink_page, state_paragraphs,
+    MIN_ABSTRACT, clean_texts, detect_publisher, generic_meta, is_highlights, joined_paragraphs, own_meta, rule_finds, shrink_page, state_paragraphs,
 )
 from ..functions.text import strip
 from ..functions.clock import moment
@@ -15,7 +15,9 @@ from ..functions.clock import moment
 def extract_abstracts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Add ``publisher`` and ``abstract`` (null when no rule finds one)."""
     found = pages.withColumn("publisher", detect_publisher(F.col(url)))
-    found = found.withColumn("_finds", rule_finds(F.col(page), F.col("publisher")))
+    found = found.withColumn("_own", own_meta(F.col(page), F.col("publisher")))
+    found = found.withColumn("_meta", F.coalesce(F.col("_own"), generic_meta(F.col(page))))
+    found = found.withColumn("_finds", rule_finds(F.col(page), F.col("publisher"), F.col("_own"), F.col("_meta"))).drop("_own", "_meta")
     found = found.withColumn("_paragraphs", F.when(F.col("publisher") == "elsevier", state_paragraphs(F.col(page))).otherwise(F.array().cast("array<string>")))
     found = found.withColumn("_texts", clean_texts(F.transform("_finds", lambda f: f["raw"]))).withColumn("_state", clean_texts(F.col("_paragraphs")))
     tried = F.arrays_zip(F.transform("_finds", lambda f: f["is_meta"]).alias("is_meta"), F.col("_texts").alias("text"))
