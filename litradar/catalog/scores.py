@@ -69,7 +69,7 @@ def _weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    return nb.knn_join(view(spark, sf, "candidate"), _weighted(spark, sf), 5)
+    return nb.knn_join(view(spark, sf, "candidate"), cl.with_weight(view(spark, sf, "library"), AS_OF), 5)
 
 
 @entry("nearest_neighbors", "J8", oracle("library candidate", _KNN + """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,17 +16,28 @@ from .ranking import top_counts
 GROUP = ["profile_id", "cluster_id"]
 
 
+def with_weight(library: DataFrame, as_of, decay: Decay = Decay()) -> DataFrame:
+    return library.withColumn("weight", temporal_weight(F.col("date_added"), as_of, decay))
+
+
+def unit_embeddings(items: DataFrame) -> DataFrame:
+    """Unit vectors by the JVM normaliser; element-wise lambdas are slow on long vectors."""
+    vectors = items.withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>")))
+    unit = Normalizer(inputCol="_v", outputCol="_u").transform(vectors)
+    return unit.withColumn("embedding", vector_to_array("_u")).drop("_v", "_u")
+
+
 def weighted_items(library: DataFrame, as_of, decay: Decay = Decay()) -> DataFrame:
     """Library items with unit vectors, weight and age."""
-    return library.select(
-        "*",
-        temporal_weight(F.col("date_added"), as_of, decay).alias("weight"),
-        age_days(F.col("date_added"), as_of).alias("age_days"),
-    ).withColumn("embedding", l2_normalize(F.col("embedding")))
+    return unit_embeddings(with_weight(library, as_of, decay).withColumn("age_days", age_days(F.col("date_added"), as_of)))
 
 
 def centroids(items: DataFrame) -> DataFrame:
-    """Plain and weighted unit centroid per cluster; the plain one stands in when all weights are zero."""
+    """Plain and weighted unit centroid per cluster; the plain one stands in when all weights are zero.
+
+    The mean similarity of the members to the centroid is that of their mean, so the coherence
+    comes out of the same aggregate.
+    """
     v = F.col("embedding")
     # the weighted sum, not a weighted mean: it is defined when all weights are zero, too
     scaled = F.transform(v, lambda x: x * F.col("weight"))
@@ -38,9 +50,9 @@ def centroids(items: DataFrame) -> DataFrame:
     plain = l2_normalize(vector_to_array(F.col("plain.mean")), 1e-8)
     mean = F.transform(vector_to_array(F.col("weighted.sum")), lambda x: x / F.col("effective_size"))
     return sums.select(
-        *GROUP, "member_count", "effective_size", plain.alias("centroid"),
+        *GROUP, "member_count", "effective_size", plain.alias("centroid"), vector_to_array(F.col("plain.mean")).alias("_mean"),
         F.when(F.col("effective_size") > 0, l2_normalize(mean, 1e-8)).otherwise(plain).alias("weighted_centroid"),
-    )
+    ).withColumn("coherence", dot(F.col("_mean"), F.col("centroid"))).drop("_mean")
 
 
 def with_centroid_similarity(items: DataFrame, cluster_centroids: DataFrame) -> DataFrame:
@@ -52,15 +64,14 @@ def with_centroid_similarity(items: DataFrame, cluster_centroids: DataFrame) ->
 
 def cluster_stats(items: DataFrame, cluster_centroids: DataFrame, p: Clustering = Clustering()) -> DataFrame:
     """One row per cluster: sizes, coherence and age figures."""
-    scored = with_centroid_similarity(items, cluster_centroids)
-    return scored.groupBy(*GROUP).agg(
+    ages = items.groupBy(*GROUP).agg(
         F.count("*").alias("member_count"),
         F.sum("weight").alias("effective_size"),
-        F.avg("centroid_similarity").alias("coherence"),
         F.avg("age_days").alias("mean_item_age_days"),
         F.floor(F.max("age_days") - F.min("age_days")).cast("long").alias("temporal_span_days"),
         (F.count_if(F.col("age_days") <= p.recent_age_days) / F.count("*")).alias("recent_ratio"),
     )
+    return ages.join(cluster_centroids.select(*GROUP, "coherence"), GROUP)
 
 
 def representative_items(items: DataFrame, cluster_centroids: DataFrame, n: int = 5) -> DataFrame:
@@ -142,7 +153,7 @@ def silhouettes(assigned: DataFrame) -> DataFrame:
     The mean cosine distance of a unit vector x to a cluster is 1 - x.S/n, so one
     aggregate of cluster sums replaces all pairs. ``assigned(profile_id, key, cluster_id, embedding)``.
     """
-    unit = assigned.select("profile_id", "key", "cluster_id", l2_normalize(F.col("embedding"), 0.0).alias("x"))
+    unit = unit_embeddings(assigned.select("profile_id", "key", "cluster_id", "embedding")).withColumnRenamed("embedding", "x")
     sums = unit.groupBy(*GROUP).agg(
         Summarizer.metrics("mean").summary(array_to_vector(F.col("x"))).alias("s"), F.count("*").alias("n")
     ).select("profile_id", F.col("cluster_id").alias("other_id"), vector_to_array(F.col("s.mean")).alias("mean"), "n")

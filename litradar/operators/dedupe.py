@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_doi, normalize_identifier, normalize_title
 from ..functions.titles import overlap_ratio, token_key, token_set_ratio
 from ..session import cut_lineage
+from .skew import HOT_ROWS, never_null, skew_join
 
 TITLE_BLOCK = 4096
 
@@ -19,7 +20,8 @@ TITLE_BLOCK = 4096
 def without_known_dois(candidates: DataFrame, library: DataFrame) -> DataFrame:
     """Drop candidates whose DOI is in the profile's library (lower case, stripped)."""
     known = library.select("profile_id", normalize_doi(F.col("doi")).alias("_doi")).where("_doi IS NOT NULL").distinct()
-    return candidates.withColumn("_doi", normalize_doi(F.col("doi"))).join(known, ["profile_id", "_doi"], "left_anti").drop("_doi")
+    keyed = candidates.withColumn("_doi", never_null(normalize_doi(F.col("doi")), "profile_id", "ordinal"))
+    return keyed.join(known, ["profile_id", "_doi"], "left_anti").drop("_doi")
 
 
 def without_known_urls(candidates: DataFrame, library: DataFrame) -> DataFrame:
@@ -33,21 +35,18 @@ def title_keys(titles: DataFrame, column: str = "title") -> DataFrame:
     return titles.select(token_key(normalize_title(F.col(column))).alias("tkey")).where("tkey <> ''").distinct()
 
 
-def _rare_prefix(keys: DataFrame, frequency: DataFrame, allowed: float) -> DataFrame:
-    """The rarest tokens of each key whose length is more than may be missing from a match."""
-    tokens = keys.select("tkey", F.explode(F.split("tkey", " ")).alias("token"))
-    # the frequency table has one row per token, so a hot token is only split, not multiplied
-    ranked = tokens.join(frequency, "token").groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+def _rare_prefix(tokens: DataFrame, allowed: float) -> DataFrame:
+    """The rarest tokens ``(tkey, df, token)`` of each key whose length is more than may be missing from a match."""
+    ranked = tokens.groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     bound = F.length("tkey") * F.lit(allowed) + F.lit(1e-9)
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
         longer = acc["used"] + F.length(x["token"]) + 1
-        kept = F.when(acc["used"] <= bound, F.array_append(acc["kept"], x["token"])).otherwise(acc["kept"])
-        return F.struct(longer.alias("used"), kept.alias("kept"))
+        return F.struct(longer.alias("used"), (acc["taken"] + (acc["used"] <= bound).cast("int")).alias("taken"))
 
-    prefix = F.aggregate("by_df", start, step, lambda acc: acc["kept"])
-    return ranked.select("tkey", F.explode(prefix).alias("token"))
+    taken = F.aggregate("by_df", start, step, lambda acc: acc["taken"])
+    return ranked.select("tkey", F.explode(F.slice("by_df", F.lit(1), taken)).alias("x")).select("tkey", "x.token", "x.df")
 
 
 def overlapping_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -59,15 +58,26 @@ def overlapping_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9
     """
     r = 1.0 - threshold
     allowed = 2 * r / (1 + r)
-    both = left.unionByName(right).distinct()
-    frequency = both.select(F.explode(F.split("tkey", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    def tokens(keys: DataFrame) -> DataFrame:
+        return keys.select("tkey", F.explode(F.split("tkey", " ")).alias("token"))
 
-    def probe(small: DataFrame, big: DataFrame, a: str, b: str) -> DataFrame:
-        prefix = _rare_prefix(small, frequency, allowed).select("token", F.col("tkey").alias(a))
-        index = big.select(F.explode(F.split("tkey", " ")).alias("token"), F.col("tkey").alias(b))
-        return prefix.join(index, "token").select("left_key", "right_key")
+    frequency = tokens(left.unionByName(right).distinct()).groupBy("token").agg(F.count("*").alias("df"))
+
+    def counted(keys: DataFrame) -> DataFrame:
+        return skew_join(tokens(keys), frequency, ["token"], "inner", ["tkey"])
 
-    pairs = probe(left, right, "left_key", "right_key").union(probe(right, left, "right_key", "left_key")).distinct()
+    # a token of many titles is cut into parts: its index rows are spread, its few probes are copied
+    parts = F.ceil(F.col("df") / HOT_ROWS).cast("long")
+
+    def probe(small: DataFrame, big: DataFrame, a: str, b: str) -> DataFrame:
+        prefix = _rare_prefix(small, allowed).select(
+            "token", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("tkey").alias(a)
+        )
+        index = big.select("token", F.pmod(F.xxhash64("tkey"), parts).alias("part"), F.col("tkey").alias(b))
+        return prefix.join(index, ["token", "part"]).select("left_key", "right_key")
+
+    l, r_ = counted(left), counted(right)
+    pairs = probe(l, r_, "left_key", "right_key").union(probe(r_, l, "right_key", "left_key")).distinct()
     return pairs.where(overlap_ratio(F.split("left_key", " "), F.split("right_key", " ")) >= threshold)
 
 
@@ -151,6 +161,8 @@ def near_equal_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9,
 
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9) -> DataFrame:
     """All pairs of token keys whose token-set ratio reaches the threshold."""
+    # each side is read many times below
+    left, right = cut_lineage(left), cut_lineage(right)
     return overlapping_titles(left, right, threshold).union(near_equal_titles(left, right, threshold)).distinct()
 
 
@@ -166,6 +178,7 @@ def without_known_titles(candidates: DataFrame, library: DataFrame, threshold: f
 
 def _title_links(keys: DataFrame, threshold: float) -> DataFrame:
     """Links between distinct title keys, both directions."""
+    keys = cut_lineage(keys)
     overlap = overlapping_titles(keys, keys, threshold).where("left_key <> right_key")
     close = near_equal_titles(keys, keys, threshold, self_join=True)
     once = overlap.select(F.least("left_key", "right_key").alias("a"), F.greatest("left_key", "right_key").alias("b")).union(close).distinct()
@@ -198,30 +211,36 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
             members.join(links.select(F.concat(F.lit("t:"), F.col("a")).alias("grp"), F.concat(F.lit("t:"), F.col("b")).alias("near")), "grp")
             .select("profile_id", "ordinal", F.col("near").alias("grp"))
         ))
+    # a group that only one row watches decides nothing; most rows have no other and stay at once
+    row, group = ["profile_id", "ordinal"], ["profile_id", "grp"]
+    shared = cut_lineage(watch.groupBy(*group).agg(F.count("*").alias("watchers")).where("watchers > 1").select(*group))
+    watch = cut_lineage(skew_join(watch, shared, group, "inner", ["ordinal"]))
+    members = cut_lineage(skew_join(members, shared, group, "inner", ["ordinal"]))
+    waiting = watch.select(*row).distinct()
+    kept = rows.select(*row).join(waiting, row, "left_anti")
     kept_low = None
-    kept = None
-    waiting = rows.select("profile_id", "ordinal")
     for _ in range(max_rounds):
-        active = members if kept is None else members.join(waiting, ["profile_id", "ordinal"], "left_semi")
-        watching = watch if kept is None else watch.join(waiting, ["profile_id", "ordinal"], "left_semi")
-        low_open = active.groupBy("profile_id", "grp").agg(F.min("ordinal").alias("low_open"))
-        seen = watching.join(low_open, ["profile_id", "grp"], "left")
-        if kept_low is None:
-            seen = seen.withColumn("low_kept", F.lit(None).cast("long"))
+        first = kept_low is None
+        active = members if first else members.join(waiting, row, "left_semi")
+        watching = watch if first else watch.join(waiting, row, "left_semi")
+        lows = active.groupBy(*group).agg(F.min("ordinal").alias("low_open"))
+        if first:
+            lows = lows.withColumn("low_kept", F.lit(None).cast("long"))
         else:
-            seen = seen.join(kept_low, ["profile_id", "grp"], "left")
+            lows = lows.join(kept_low, group, "full")
+        seen = skew_join(watching, lows, group, "left", ["ordinal"])
         verdict = cut_lineage(seen.groupBy("profile_id", "ordinal").agg(F.min("low_open").alias("lo"), F.min("low_kept").alias("lk")).select(
             "profile_id", "ordinal",
             F.when(F.col("lk") < F.col("ordinal"), "drop").when(F.col("lo") == F.col("ordinal"), "keep").otherwise("open").alias("verdict"),
         ))
-        newly = verdict.where("verdict = 'keep'").select("profile_id", "ordinal")
-        waiting = verdict.where("verdict = 'open'").select("profile_id", "ordinal")
-        kept = newly if kept is None else kept.union(newly)
+        newly = verdict.where("verdict = 'keep'").select(*row)
+        waiting = verdict.where("verdict = 'open'").select(*row)
+        kept = kept.union(newly)
         if waiting.isEmpty():
-            return candidates.join(kept, ["profile_id", "ordinal"], "left_semi")
-        new_low = members.join(newly, ["profile_id", "ordinal"], "left_semi").groupBy("profile_id", "grp").agg(F.min("ordinal").alias("low_kept"))
+            return candidates.join(kept, row, "left_semi")
+        new_low = members.join(newly, row, "left_semi").groupBy(*group).agg(F.min("ordinal").alias("low_kept"))
         both = new_low if kept_low is None else kept_low.unionByName(new_low)
-        kept_low = cut_lineage(both.groupBy("profile_id", "grp").agg(F.min("low_kept").alias("low_kept")))
+        kept_low = cut_lineage(both.groupBy(*group).agg(F.min("low_kept").alias("low_kept")))
     raise RuntimeError("the batch dedupe did not settle")
 
 

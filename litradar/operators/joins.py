@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import journal_score
 from ..params import JournalScores
 from .filters import abstract_route, unexpired
+from .skew import never_null, skew_join
 
 
 def journal_scores(works: DataFrame, issns: DataFrame, journals: DataFrame, p: JournalScores = JournalScores()) -> DataFrame:
@@ -30,7 +31,9 @@ def journal_scores(works: DataFrame, issns: DataFrame, journals: DataFrame, p: J
 def embedding_hits(texts: DataFrame, store: DataFrame, model: str, as_of) -> DataFrame:
     """Attach stored vectors by content hash; ``is_hit`` tells where there is one."""
     live = store.where((F.col("model") == model) & unexpired(as_of)).select("content_hash", "embedding", F.lit(True).alias("_hit"))
-    return texts.join(live, "content_hash", "left").withColumn("is_hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    # copies of one text share a hash
+    rows = [c for c, t in texts.dtypes if not t.startswith("map")]
+    return skew_join(texts, live, ["content_hash"], "left", rows).withColumn("is_hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def embedding_misses(texts: DataFrame, store: DataFrame, model: str, as_of) -> DataFrame:
@@ -46,7 +49,9 @@ def fill_abstracts(works: DataFrame, cached: DataFrame, fresh: DataFrame) -> Dat
     """
     c = cached.select(F.lower("doi").alias("_doi"), F.col("abstract").alias("_cached")).where("_cached <> ''")
     f = fresh.select(F.lower("doi").alias("_doi"), F.col("abstract").alias("_fresh")).where("_fresh <> ''")
-    routed = works.withColumn("route", abstract_route()).withColumn("_doi", F.when(F.col("route") == "needs_abstract", F.lower("doi")))
+    rows = [name for name, t in works.dtypes if not t.startswith("map")]
+    wanted = F.when(F.col("route") == "needs_abstract", F.lower("doi"))
+    routed = works.withColumn("route", abstract_route()).withColumn("_doi", never_null(wanted, *rows))
     joined = routed.join(c, "_doi", "left").join(f, "_doi", "left")
     own = F.col("route") == "has_abstract"
     return joined.withColumn(

@@ -1,9 +1,9 @@
 """Spherical k-means for many profiles at once, and the search for k.
 
-The final fit runs over all rows: items sit in (profile, slice) groups of bounded
-size, each round sends only the centroids, and the groups return partial sums.
-The k search works, like the reference behaviour, on at most ``subsample`` items per
-profile, so there a (profile, k) pair is a bounded group.
+The final fit runs over all rows. Items of a large profile sit in (profile, slice)
+groups of bounded size, each round sends only the centroids, and the groups return
+partial sums. The k search is defined on at most ``subsample`` items per profile, so
+there a (profile, k) pair is a bounded group.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import l2_normalize
+from ..functions.scoring import dot, l2_normalize
 from ..params import Clustering
 from ..session import cut_lineage
 from .clusters import choose_k, cluster_bounds
 from .neighbors import BLOCK_ROWS, _matrix
+from .skew import hot_keys, with_slices
 
 
 def _seeded_order(seed: int):
@@ -54,24 +55,61 @@ def _assignments(items: pa.Table, centroids: pa.Table) -> pa.Table:
                      "cluster_id": pa.array(owner, pa.int64())})
 
 
+def _lloyd(rows: np.ndarray, k: int, iterations: int) -> np.ndarray:
+    """Owner of each row; the first k rows are the start, and a cluster that loses all members stays where it is."""
+    centroids = rows[:k].copy()
+    for _ in range(iterations):
+        owner = np.argmax(np.round(rows @ centroids.T, 9), axis=1)
+        moved = centroids.copy()
+        for c in np.unique(owner):
+            total = rows[owner == c].sum(axis=0)
+            norm = np.linalg.norm(total)
+            if norm > 0:
+                moved[c] = total / norm
+        settled = np.abs(moved - centroids).max() < 1e-13
+        centroids = moved
+        if settled:
+            break
+    return np.argmax(np.round(rows @ centroids.T, 9), axis=1)
+
+
+def _fit_small(iterations: int):
+    def fn(items: pa.Table) -> pa.Table:
+        items = items.sort_by([("place", "ascending"), ("key", "ascending")])
+        owner = _lloyd(_matrix(items["embedding"], 1e-12), items["k"][0].as_py(), iterations)
+        return pa.table({"profile_id": items["profile_id"], "key": items["key"], "cluster_id": pa.array(owner, pa.int64())})
+
+    return fn
+
+
 def fit_assign(library: DataFrame, ks: DataFrame, p: Clustering = Clustering(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Cluster every profile with its own k: ``(profile_id, key, cluster_id)``.
 
-    ``library(profile_id, key, embedding)``, ``ks(profile_id, k)``. Start centroids are k items
-    in seeded hash order; a cluster that loses all members keeps its centroid.
+    ``library(profile_id, key, embedding)``, ``ks(profile_id, k)``. Start centroids are k items in
+    seeded hash order. A profile of at most ``block_rows`` items is fitted in one task; larger ones
+    take one job per round, with their items in slices of that size.
     """
-    sizes = library.groupBy("profile_id").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("slices"))
-    items = library.join(sizes, "profile_id").select(
-        F.col("profile_id").cast("long").alias("profile_id"),
-        F.pmod(F.xxhash64("key"), F.col("slices")).cast("long").alias("slice"), "key", "embedding",
-    ).repartition("profile_id", "slice").persist()
-    slices = cut_lineage(sizes.select(F.col("profile_id").cast("long").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s")))
-
-    start = items.join(ks.select("profile_id", F.col("k").alias("wanted")), "profile_id").withColumn(
-        "n", F.row_number().over(Window.partitionBy("profile_id").orderBy(*_seeded_order(p.seed)))
-    ).where((F.col("n") <= p.max_clusters) & (F.col("n") <= F.col("wanted")))
+    narrow = library.select(F.col("profile_id").cast("long").alias("profile_id"), "key", "embedding")
+    wanted = ks.select("profile_id", F.col("k").cast("long").alias("k"))
+    large = cut_lineage(hot_keys(narrow.select("profile_id"), ["profile_id"], block_rows))
+    small = narrow.join(F.broadcast(large), "profile_id", "left_anti").join(wanted, "profile_id").withColumn("place", F.xxhash64(F.lit(p.seed), F.col("key")))
+    fitted = cut_lineage(small.groupBy("profile_id").applyInArrow(_fit_small(p.iterations), "profile_id long, key string, cluster_id long"))
+    if large.isEmpty():
+        return fitted
+    return fitted.unionByName(_fit_large(narrow.join(F.broadcast(large), "profile_id", "left_semi"), wanted, p, block_rows))
+
+
+def _fit_large(library: DataFrame, wanted: DataFrame, p: Clustering, block_rows: int) -> DataFrame:
+    items = with_slices(library, ["profile_id"], "key", block_rows).repartition("profile_id", "slice").persist()
+    slices = cut_lineage(items.select(F.col("profile_id").alias("p"), F.col("slice").alias("s")).distinct())
+    # the limit prunes before the shuffle; the join then sees a few dozen rows per profile
+    first = items.withColumn("n", F.row_number().over(Window.partitionBy("profile_id").orderBy(*_seeded_order(p.seed)))).where(
+        F.col("n") <= p.max_clusters
+    )
+    start = first.join(wanted, "profile_id").where("n <= k")
     centroids = cut_lineage(
-        start.select("profile_id", (F.col("n") - 1).cast("long").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("centroid"))
+        start.select("profile_id", (F.col("n") - 1).cast("long").alias("cluster_id"),
+                     l2_normalize(F.col("embedding")).alias("centroid"), F.lit(True).alias("moving"))
     )
 
     def spread(c: DataFrame) -> DataFrame:
@@ -84,11 +122,14 @@ def fit_assign(library: DataFrame, ks: DataFrame, p: Clustering = Clustering(),
         moved = sums.groupBy("profile_id", "cluster_id").agg(
             Summarizer.metrics("sum").summary(array_to_vector("total")).alias("t")
         ).select("profile_id", "cluster_id", l2_normalize(vector_to_array(F.col("t.sum"))).alias("moved"))
+        shift = F.lit(1.0) - dot(F.col("moved"), F.col("centroid"))
         centroids = cut_lineage(
             centroids.join(moved, ["profile_id", "cluster_id"], "left").select(
-                "profile_id", "cluster_id", F.coalesce("moved", "centroid").alias("centroid")
+                "profile_id", "cluster_id", F.coalesce("moved", "centroid").alias("centroid"), F.coalesce(shift > 1e-13, F.lit(False)).alias("moving")
             )
         )
+        if centroids.where("moving").isEmpty():
+            break
     assigned = cut_lineage(
         items.groupBy("profile_id", "slice").cogroup(spread(centroids).groupBy("p", "s")).applyInArrow(
             _assignments, "profile_id long, key string, cluster_id long"
@@ -122,16 +163,7 @@ def _try_k(iterations: int):
         table = table.sort_by("n")
         k = table["k"][0].as_py()
         rows = _matrix(table["embedding"], 1e-12)
-        centroids = rows[:k].copy()
-        owner = np.zeros(len(rows), dtype=np.int64)
-        for _ in range(iterations):
-            owner = np.argmax(np.round(rows @ centroids.T, 9), axis=1)
-            for c in range(k):
-                mean = rows[owner == c].sum(axis=0)
-                norm = np.linalg.norm(mean)
-                if norm > 0:
-                    centroids[c] = mean / norm
-        owner = np.argmax(np.round(rows @ centroids.T, 9), axis=1)
+        owner = _lloyd(rows, k, iterations)
         score = _silhouette(rows, owner)
         return pa.table({"profile_id": pa.array([table["profile_id"][0].as_py()], pa.int64()),
                          "k": pa.array([k], pa.int64()), "silhouette": pa.array([score], pa.float64())})
@@ -144,6 +176,7 @@ def search_k(library: DataFrame, p: Clustering = Clustering()) -> DataFrame:
     sizes = library.groupBy("profile_id").agg(F.count("*").alias("n_items"))
     low, high = cluster_bounds(F.col("n_items"), p)
     bounds = sizes.select("profile_id", low.alias("min_k"), high.alias("max_k")).where("max_k > 1")
+    # the limit prunes before the shuffle, and bounds each (profile, k) group
     sampled = library.select("profile_id", "key", "embedding").withColumn(
         "n", F.row_number().over(Window.partitionBy("profile_id").orderBy(*_seeded_order(p.seed)))
     ).where(F.col("n") <= p.subsample)

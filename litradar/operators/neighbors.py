@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import with_slices
+
 BLOCK_ROWS = 20_000
 _SCORE_ROWS = 1024  # candidate rows per matrix product inside a block
 _DIGITS = 9  # equal up to here is a tie: the last bits depend on how rows fall into blocks
@@ -97,23 +99,15 @@ def knn_join(candidates: DataFrame, library: DataFrame, k: int = 5, eps: float =
     """
     spark = candidates.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    per_profile = library.groupBy("profile_id").agg(F.count("*").alias("n"))
-    sized = per_profile.withColumn("slices", F.ceil(F.col("n") / block_rows).cast("int"))
-    # three numbers come to the driver
-    total, widest = sized.agg(F.sum("n"), F.max("slices")).first()
-    n_candidates = candidates.count()
+    # two numbers come to the driver
+    total, n_candidates = library.count(), candidates.count()
     if not total or not n_candidates:
         return spark.createDataFrame([], "profile_id long, ordinal long, key string, weight double, sim double, rank int")
     n_left = _blocks(n_candidates, block_rows, cores)
     n_right = max(1, math.ceil(total / block_rows))
 
     right = library.select("profile_id", "key", F.col("weight").cast("double").alias("weight"), "embedding")
-    if widest > 1:
-        right = right.join(sized.select("profile_id", "slices"), "profile_id").withColumn(
-            "slice", F.pmod(F.xxhash64("key"), F.col("slices"))
-        )
-    else:
-        right = right.withColumn("slice", F.lit(0).cast("long"))
+    right = with_slices(right, ["profile_id"], "key", block_rows) if n_right > 1 else right.withColumn("slice", F.lit(0).cast("long"))
     right = right.select(
         F.pmod(F.xxhash64("profile_id", "slice"), F.lit(n_right)).alias("rb"),
         _each(n_left).alias("lb"),
@@ -128,6 +122,7 @@ def knn_join(candidates: DataFrame, library: DataFrame, k: int = 5, eps: float =
     found = left.groupBy("lb_c", "rb_c").cogroup(right.groupBy("lb", "rb")).applyInArrow(
         _block_top_k(k, eps), "profile_id long, ordinal long, key string, weight double, sim double"
     )
+    # slices of one profile bring k rows each; the limit on the rank prunes them before the shuffle
     ranked = Window.partitionBy("profile_id", "ordinal").orderBy(F.desc(F.round("sim", _DIGITS)), "key")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 

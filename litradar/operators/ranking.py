@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import label
 from ..params import Thresholds
-from .scan import chunked, row_numbers, running
+from .scan import chunked, per_chunk, row_numbers, running
 
 # Sources whose works count as preprints (compared in lower case).
 PREPRINT_SOURCES = ("arxiv", "biorxiv", "medrxiv")
@@ -50,7 +50,7 @@ def percentile_thresholds(ordered: DataFrame, p: Thresholds = Thresholds(), scor
     sizes = ordered.groupBy("profile_id").agg(F.count("*").alias("n"))
     if p.mode == "fixed":
         return sizes.select("profile_id", F.lit(p.must_read).alias("must_read"), F.lit(p.consider).alias("consider"), F.lit("fixed").alias("mode"))
-    ranked = full_rank(ordered, score, "_pos").join(sizes, "profile_id")
+    ranked = per_chunk(full_rank(ordered, score, "_pos"), sizes, ["profile_id"])
     pos = F.col("n") - F.col("_pos")  # 0 = lowest score
     spots = {"m": p.must_read_percentile, "c": p.consider_percentile}
     aggregates = []
@@ -84,8 +84,8 @@ def percentile_thresholds(ordered: DataFrame, p: Thresholds = Thresholds(), scor
     )
 
 
-def with_labels(scored: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
-    return scored.join(thresholds.select("profile_id", "must_read", "consider"), "profile_id").withColumn(
+def with_labels(ordered: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
+    return per_chunk(ordered, thresholds.select("profile_id", "must_read", "consider"), ["profile_id"]).withColumn(
         "label", label(F.col(score), F.col("must_read"), F.col("consider"))
     ).drop("must_read", "consider")
 

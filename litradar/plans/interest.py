@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import dot, l2_normalize
+from ..functions.scoring import dot, l2_norm, l2_normalize
 from ..models.providers import Embedder, Reranker, encode_texts, rerank
 from ..operators.filters import without_excluded
 from ..operators.joins import journal_scores
+from ..operators.skew import skew_join
 from ..params import Interests
 
 
@@ -18,8 +19,9 @@ def recall(works: DataFrame, queries: DataFrame, max_documents: int) -> DataFram
     ``works(profile_id, ordinal, embedding)``, ``queries(profile_id, query_vector)``: one vector per
     profile, so the product is one dot per row and the limit prunes before the shuffle.
     """
-    scored = works.join(queries, "profile_id").withColumn(
-        "similarity", dot(l2_normalize(F.col("embedding")), l2_normalize(F.col("query_vector")))
+    unit = queries.select("profile_id", l2_normalize(F.col("query_vector")).alias("query_vector"))
+    scored = skew_join(works, unit, ["profile_id"], "inner", ["ordinal"]).withColumn(
+        "similarity", dot(F.col("embedding"), F.col("query_vector")) / (l2_norm(F.col("embedding")) + F.lit(1e-12))
     ).drop("query_vector")
     nearest = Window.partitionBy("profile_id").orderBy(F.desc(F.round("similarity", 9)), "ordinal")
     return scored.withColumn("recall_rank", F.row_number().over(nearest).cast("long")).where(F.col("recall_rank") <= max_documents)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import final_score, fused_similarity
-from ..operators.clusters import centroids, weighted_items
+from ..operators.clusters import centroids, weighted_items, with_weight
 from ..operators.joins import journal_scores
 from ..operators.neighbors import cluster_scores, knn_join, macro_scores, micro_scores
 from ..operators.ranking import cold_start, order_by_score, percentile_thresholds, with_labels
@@ -27,7 +27,7 @@ def score_candidates(candidates: DataFrame, library: DataFrame, clusters: DataFr
     clusters the similarity is the plain best one.
     """
     vectors = candidates.where("embedding IS NOT NULL").select("ordinal", "embedding")
-    items = weighted_items(library, as_of, s.decay).select("profile_id", "key", "weight", "embedding")
+    items = with_weight(library.select("profile_id", "key", "date_added", "embedding"), as_of, s.decay)
     micro = micro_scores(knn_join(vectors, items, s.fusion.neighbors))
     if clusters is None:
         joined = micro.withColumn("macro", F.lit(None).cast("double")).withColumn("cluster_id", F.lit(None).cast("long"))
