@@ -13,6 +13,7 @@ from ..operators import extraction, stats
 from ..operators.ranking import first_per_group
 from ..plans import interest as interest_plan
 from ..plans.enrich import enrich
+from ..session import spread_scan
 from ..sources import sinks
 from .base import collapse_sql, entry, rounded, strip_sql, unescape_sql
 
@@ -160,7 +161,7 @@ c AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN CASE WHEN length(quoted) >
 SELECT doc_id, CASE WHEN selected AND lang = 'fr' AND length('Abstract : ' || plain) >= 100 AND length(plain) >= 100 THEN plain
   WHEN selected AND lang = 'fr' THEN NULL WHEN selected AND length(plain) < 100 THEN NULL ELSE plain END AS abstract FROM c"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.extract_abstracts(view(spark, sf, "publisher_page")).select("doc_id", "abstract")
+    return extraction.extract_abstracts(spread_scan(view(spark, sf, "publisher_page"))).select("doc_id", "abstract")
 
 
 @entry("state_abstracts", "X3", """
@@ -178,7 +179,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @entry("page_requests", "X6 X7", """
 SELECT page_id, length(html) > 0 AS asked FROM pages""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    extracted = extraction.extract_abstracts(table(spark, sf, "pages"))
+    extracted = extraction.extract_abstracts(spread_scan(table(spark, sf, "pages")))
     return extraction.model_requests(extracted).select("page_id", (F.length("content") > 0).alias("asked"))
 
 
@@ -197,7 +198,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     doi = F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))
     works = table(spark, sf, "documents").select(F.col("doc_id").alias("ordinal"), doi.alias("doi"), F.when(F.col("source") == "src1", F.col("text")).alias("abstract"))
-    pages = view(spark, sf, "publisher_page").select(doi.alias("doi"), F.lit("").alias("title"), "url", "html")
+    pages = spread_scan(view(spark, sf, "publisher_page")).select(doi.alias("doi"), F.lit("").alias("title"), "url", "html")
     store = works.where("abstract IS NOT NULL").select("doi", "abstract", F.lit(None).cast("timestamp").alias("expires_at"))
     return enrich(works, store, pages, AS_OF, EchoCompleter())["candidates"].select("ordinal", "route", "abstract_from", "abstract")
 

@@ -47,7 +47,7 @@ SELECT ordinal, round(CASE WHEN ns = 0 THEN 0.0 WHEN ns = na OR ns = nb THEN 1.0
        ELSE greatest(1.0 - (la - ls)::DOUBLE / (ls + la), 1.0 - (lb - ls)::DOUBLE / (ls + lb)) END, 6)::DOUBLE AS ratio FROM r"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _title_pairs(spark, sf).select(
-        "ordinal", rounded(titles.overlap_ratio(titles.token_set(F.col("a")), titles.token_set(F.col("b")))).alias("ratio")
+        "ordinal", rounded(titles.overlap_ratio(titles.token_key(F.col("a")), titles.token_key(F.col("b")))).alias("ratio")
     )
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .text import bind
+
 
 def token_set(title: Column) -> Column:
     """Sorted distinct tokens of a normalised title."""
@@ -65,13 +67,13 @@ def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
-    """The part of the ratio that needs no edit distance: containment, and S against each side."""
-    shared = F.array_intersect(a, b)
-    s = F.length(F.array_join(shared, " "))
-    sides = []
-    for side in (a, b):
-        whole = F.length(F.array_join(side, " "))
-        rest = whole - s  # joining blank included
-        sides.append((F.lit(100.0) - F.lit(100.0) * rest / (s + whole)) / F.lit(100.0))
-    contained = (F.size(shared) == F.size(a)) | (F.size(shared) == F.size(b))
-    return F.when(F.size(shared) == 0, F.lit(0.0)).when(contained, F.lit(1.0)).otherwise(F.greatest(*sides))
+    """The part of the ratio of two token keys that needs no edit distance: containment, and S against each side."""
+
+    def ratio(x: Column) -> Column:
+        s, shared = F.length(F.array_join(x["s"], " ")), F.size(x["s"])
+        sides = [(F.lit(100.0) - F.lit(100.0) * (F.length(k) - s) / (s + F.length(k))) / F.lit(100.0) for k in (a, b)]
+        return F.when(shared == 0, F.lit(0.0)).when((shared == x["m"]) | (shared == x["n"]), F.lit(1.0)).otherwise(F.greatest(*sides))
+
+    left, right = F.split(a, " "), F.split(b, " ")
+    both = F.when((a == "") | (b == ""), F.array().cast("array<string>")).otherwise(F.array_intersect(left, right))
+    return bind(F.struct(both.alias("s"), F.size(left).alias("m"), F.size(right).alias("n")), ratio)

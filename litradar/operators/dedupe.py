@@ -49,9 +49,11 @@ def _rare_prefix(tokens: DataFrame, allowed: float) -> DataFrame:
     return ranked.select("tkey", F.explode(F.slice("by_df", F.lit(1), taken)).alias("x")).select("tkey", "x.token", "x.df")
 
 
-def overlapping_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9) -> DataFrame:
+def overlapping_titles(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.9) -> DataFrame:
     """Pairs ``(left_key, right_key)`` where one title (nearly) contains the other.
 
+    Without ``right`` the titles are joined with themselves and a pair may come in one order only.
+
     If the common part alone reaches the threshold against a title, at most 2r/(1+r) of that
     title (r = 1 - threshold) is missing from the other one. So any run of its tokens longer
     than that shares a token with the match; the rarest tokens are taken.
@@ -61,10 +63,12 @@ def overlapping_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9
     def tokens(keys: DataFrame) -> DataFrame:
         return keys.select("tkey", F.explode(F.split("tkey", " ")).alias("token"))
 
-    frequency = tokens(left.unionByName(right).distinct()).groupBy("token").agg(F.count("*").alias("df"))
+    every = left if right is None else left.unionByName(right)
+    frequency = cut_lineage(tokens(every).groupBy("token").agg(F.count("*").alias("df")))
+    hot = frequency.where(F.col("df") > HOT_ROWS).select("token", F.ceil(F.col("df") / HOT_ROWS).cast("long").alias("_parts"))
 
     def counted(keys: DataFrame) -> DataFrame:
-        return skew_join(tokens(keys), frequency, ["token"], "inner", ["tkey"])
+        return cut_lineage(skew_join(tokens(keys), frequency, ["token"], "inner", ["tkey"], hot=hot))
 
     # a token of many titles is cut into parts: its index rows are spread, its few probes are copied
     parts = F.ceil(F.col("df") / HOT_ROWS).cast("long")
@@ -74,11 +78,18 @@ def overlapping_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9
             "token", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("tkey").alias(a)
         )
         index = big.select("token", F.pmod(F.xxhash64("tkey"), parts).alias("part"), F.col("tkey").alias(b))
-        return prefix.join(index, ["token", "part"]).select("left_key", "right_key")
+        # the match holds the rest of the title, so it cannot be much shorter
+        long_enough = F.length(b) + 1 >= F.length(a) * F.lit(1 - allowed - 1e-9)
+        return prefix.join(index, ["token", "part"]).where(long_enough).select("left_key", "right_key")
 
-    l, r_ = counted(left), counted(right)
-    pairs = probe(l, r_, "left_key", "right_key").union(probe(r_, l, "right_key", "left_key")).distinct()
-    return pairs.where(overlap_ratio(F.split("left_key", " "), F.split("right_key", " ")) >= threshold)
+    lefts = counted(left)
+    if right is None:
+        pairs = probe(lefts, lefts, "left_key", "right_key")
+    else:
+        rights = counted(right)
+        pairs = probe(lefts, rights, "left_key", "right_key").union(probe(rights, lefts, "right_key", "left_key"))
+    # few pairs pass, so the copies found through several tokens are dropped after the test
+    return pairs.where(overlap_ratio(F.col("left_key"), F.col("right_key")) >= threshold).distinct()
 
 
 def _letter_counts(titles: list[str], width: int) -> np.ndarray:
@@ -179,7 +190,7 @@ def without_known_titles(candidates: DataFrame, library: DataFrame, threshold: f
 def _title_links(keys: DataFrame, threshold: float) -> DataFrame:
     """Links between distinct title keys, both directions."""
     keys = cut_lineage(keys)
-    overlap = overlapping_titles(keys, keys, threshold).where("left_key <> right_key")
+    overlap = overlapping_titles(keys, threshold=threshold).where("left_key <> right_key")
     close = near_equal_titles(keys, keys, threshold, self_join=True)
     once = overlap.select(F.least("left_key", "right_key").alias("a"), F.greatest("left_key", "right_key").alias("b")).union(close).distinct()
     return once.union(once.select("b", "a"))
@@ -199,48 +210,45 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
         token_key(normalize_title(F.col("title"))).alias("_tkey"),
     )
     rows = cut_lineage(rows)
+    row, group = ["profile_id", "ordinal"], ["profile_id", "grp"]
     own = F.array_distinct(F.array_compact(F.array(
         F.concat(F.lit("k:"), F.col("_id")), F.concat(F.lit("k:"), F.col("_doi")),
         F.when(F.col("_tkey") != "", F.concat(F.lit("t:"), F.col("_tkey"))),
     )))
-    members = cut_lineage(rows.select("profile_id", "ordinal", F.explode(own).alias("grp")))
-    watch = members
+    watch = rows.select(*row, F.explode(own).alias("grp"), F.lit(True).alias("own"))
     if fuzzy_titles:
         links = _title_links(rows.where("_tkey <> ''").select(F.col("_tkey").alias("tkey")).distinct(), threshold)
-        watch = cut_lineage(members.unionByName(
-            members.join(links.select(F.concat(F.lit("t:"), F.col("a")).alias("grp"), F.concat(F.lit("t:"), F.col("b")).alias("near")), "grp")
-            .select("profile_id", "ordinal", F.col("near").alias("grp"))
-        ))
-    # a group that only one row watches decides nothing; most rows have no other and stay at once
-    row, group = ["profile_id", "ordinal"], ["profile_id", "grp"]
-    shared = cut_lineage(watch.groupBy(*group).agg(F.count("*").alias("watchers")).where("watchers > 1").select(*group))
-    watch = cut_lineage(skew_join(watch, shared, group, "inner", ["ordinal"]))
-    members = cut_lineage(skew_join(members, shared, group, "inner", ["ordinal"]))
-    waiting = watch.select(*row).distinct()
-    kept = rows.select(*row).join(waiting, row, "left_anti")
-    kept_low = None
+        near = rows.select(*row, F.col("_tkey").alias("a")).join(links, "a").select(*row, F.concat(F.lit("t:"), F.col("b")).alias("grp"), F.lit(False).alias("own"))
+        watch = watch.unionByName(near)
+    watch = cut_lineage(watch)
+    # a group that only one row watches decides nothing; rows without any other group stay at once
+    sizes = cut_lineage(watch.groupBy(*group).agg(F.count("*").alias("watchers")).where("watchers > 1"))
+    hot = cut_lineage(sizes.where(F.col("watchers") > HOT_ROWS).select(*group, F.ceil(F.col("watchers") / HOT_ROWS).cast("long").alias("_parts")))
+    even = hot.isEmpty()
+
+    def with_group(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, group, how) if even else skew_join(left, right, group, how, ["ordinal"], hot=hot)
+
+    watch = cut_lineage(with_group(watch, sizes.select(*group), "inner"))
+    kept = rows.select(*row).join(watch.select(*row).distinct(), row, "left_anti")
+    settled, waiting = None, None
     for _ in range(max_rounds):
-        first = kept_low is None
-        active = members if first else members.join(waiting, row, "left_semi")
-        watching = watch if first else watch.join(waiting, row, "left_semi")
-        lows = active.groupBy(*group).agg(F.min("ordinal").alias("low_open"))
-        if first:
+        watching = watch if waiting is None else watch.join(waiting, row, "left_semi")
+        lows = watching.where("own").groupBy(*group).agg(F.min("ordinal").alias("low_open"))
+        if settled is None:
             lows = lows.withColumn("low_kept", F.lit(None).cast("long"))
         else:
-            lows = lows.join(kept_low, group, "full")
-        seen = skew_join(watching, lows, group, "left", ["ordinal"])
-        verdict = cut_lineage(seen.groupBy("profile_id", "ordinal").agg(F.min("low_open").alias("lo"), F.min("low_kept").alias("lk")).select(
-            "profile_id", "ordinal",
-            F.when(F.col("lk") < F.col("ordinal"), "drop").when(F.col("lo") == F.col("ordinal"), "keep").otherwise("open").alias("verdict"),
+            low_kept = watch.where("own").join(settled, row, "left_semi").groupBy(*group).agg(F.min("ordinal").alias("low_kept"))
+            lows = lows.join(low_kept, group, "full")
+        seen = with_group(watching, lows, "left")
+        verdict = cut_lineage(seen.groupBy(*row).agg(F.min("low_open").alias("lo"), F.min("low_kept").alias("lk")).select(
+            *row, F.when(F.col("lk") < F.col("ordinal"), "drop").when(F.col("lo") == F.col("ordinal"), "keep").otherwise("open").alias("verdict"),
         ))
         newly = verdict.where("verdict = 'keep'").select(*row)
+        settled = newly if settled is None else settled.union(newly)
         waiting = verdict.where("verdict = 'open'").select(*row)
-        kept = kept.union(newly)
         if waiting.isEmpty():
-            return candidates.join(kept, row, "left_semi")
-        new_low = members.join(newly, row, "left_semi").groupBy(*group).agg(F.min("ordinal").alias("low_kept"))
-        both = new_low if kept_low is None else kept_low.unionByName(new_low)
-        kept_low = cut_lineage(both.groupBy(*group).agg(F.min("low_kept").alias("low_kept")))
+            return candidates.join(kept.union(settled), row, "left_semi")
     raise RuntimeError("the batch dedupe did not settle")
 
 

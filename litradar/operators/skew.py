@@ -20,13 +20,15 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("long").alias("_parts"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, spread_by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, spread_by: Sequence[str], hot_rows: int = HOT_ROWS,
+              hot: DataFrame | None = None) -> DataFrame:
     """Join with few right rows per key; a left key with many rows is cut into parts.
 
     Only the right rows of hot keys are copied, once per part. ``spread_by`` tells the rows of a key apart.
+    ``hot`` is the result of ``hot_keys`` when it is known already.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(left.select(*keys), keys, hot_rows))
+    hot = F.broadcast(hot_keys(left.select(*keys), keys, hot_rows) if hot is None else hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
     cut = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread_by), parts)).drop("_parts")
     copies = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")

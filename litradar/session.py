@@ -45,5 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than there are cores, for work that is heavy per row.
+
+    Large tables have more splits than cores and pass unchanged. Only for plain scans and projections.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -40,6 +40,9 @@ def difference(spark, con, name: str, sf_dir: str) -> str | None:
     """None when equal, else what differs."""
     frame = QUERIES[name](spark, sf_dir)
     got = rows_of(frame.columns, frame.collect())
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+        return "the plan joins all pairs"
     cursor = con.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]
     want = rows_of(columns, cursor.fetchall())
