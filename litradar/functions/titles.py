@@ -16,14 +16,9 @@ from pyspark.sql.types import DoubleType
 from .text import bind
 
 
-def token_set(title: Column) -> Column:
-    """Sorted distinct tokens of a normalised title."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(title, " "), lambda t: t != "")))
-
-
 def token_key(title: Column) -> Column:
-    """Sorted distinct tokens as one string: titles with equal keys are equal for the ratio."""
-    return F.array_join(token_set(title), " ")
+    """Sorted distinct tokens of a normalised title as one string: titles with equal keys are equal for the ratio."""
+    return F.array_join(F.array_sort(F.array_distinct(F.split(title, " "))), " ")
 
 
 def common_length(a: str, b: str) -> int:

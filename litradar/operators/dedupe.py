@@ -179,12 +179,13 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9) ->
 
 def without_known_titles(candidates: DataFrame, library: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Drop candidates whose title matches a title of the profile's library."""
-    owned = library.select("profile_id", token_key(normalize_title(F.col("title"))).alias("right_key")).where("right_key <> ''").distinct()
-    pairs = similar_titles(title_keys(candidates), title_keys(library), threshold)
-    known = pairs.join(owned, "right_key").select("profile_id", F.col("left_key").alias("_tkey")).distinct()
-    return candidates.withColumn("_tkey", token_key(normalize_title(F.col("title")))).join(
-        known, ["profile_id", "_tkey"], "left_anti"
-    ).drop("_tkey")
+    key = token_key(normalize_title(F.col("title")))
+    keyed = cut_lineage(candidates.withColumn("_tkey", key))
+    owned = cut_lineage(library.select("profile_id", key.alias("tkey")).where("tkey <> ''").distinct())
+    offered = keyed.select(F.col("_tkey").alias("tkey")).where("tkey <> ''").distinct()
+    pairs = similar_titles(offered, owned.select("tkey").distinct(), threshold)
+    known = pairs.join(owned.withColumnRenamed("tkey", "right_key"), "right_key").select("profile_id", F.col("left_key").alias("_tkey")).distinct()
+    return keyed.join(known, ["profile_id", "_tkey"], "left_anti").drop("_tkey")
 
 
 def _title_links(keys: DataFrame, threshold: float) -> DataFrame:
@@ -254,5 +255,5 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
 
 def dedupe(candidates: DataFrame, library: DataFrame, threshold: float = 0.9) -> DataFrame:
     """All four steps. The survivors of each costly step are materialised once."""
-    fresh = cut_lineage(without_known_urls(without_known_dois(candidates, library), library))
+    fresh = without_known_urls(without_known_dois(candidates, library), library)
     return first_of_batch(cut_lineage(without_known_titles(fresh, library, threshold)), threshold)
