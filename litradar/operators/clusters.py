@@ -12,6 +12,7 @@ from ..functions.clock import age_days
 from ..functions.scoring import dot, l2_normalize, temporal_weight
 from ..params import Clustering, Decay
 from .ranking import top_counts
+from .skew import skew_join
 
 GROUP = ["profile_id", "cluster_id"]
 
@@ -57,7 +58,7 @@ def centroids(items: DataFrame) -> DataFrame:
 
 def with_centroid_similarity(items: DataFrame, cluster_centroids: DataFrame) -> DataFrame:
     """Attach the similarity of each item to its own centroid."""
-    return items.join(cluster_centroids.select(*GROUP, "centroid"), GROUP).withColumn(
+    return skew_join(items, cluster_centroids.select(*GROUP, "centroid"), GROUP, "inner", ["key"]).withColumn(
         "centroid_similarity", dot(F.col("embedding"), F.col("centroid"))
     ).drop("centroid")
 
@@ -158,7 +159,7 @@ def silhouettes(assigned: DataFrame) -> DataFrame:
         Summarizer.metrics("mean").summary(array_to_vector(F.col("x"))).alias("s"), F.count("*").alias("n")
     ).select("profile_id", F.col("cluster_id").alias("other_id"), vector_to_array(F.col("s.mean")).alias("mean"), "n")
     # rows x clusters of the profile (a few dozen at most)
-    d = unit.join(sums, "profile_id").select(
+    d = skew_join(unit, sums, ["profile_id"], "inner", ["key"]).select(
         "profile_id", "key", (F.col("cluster_id") == F.col("other_id")).alias("own"), "n",
         (F.lit(1.0) - dot(F.col("x"), F.col("mean"))).alias("mean_distance"),
     )

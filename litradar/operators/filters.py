@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import days_before, moment, today_start
 from ..functions.text import is_non_article, strip
+from .skew import skew_join
 
 # Item types that are no bibliographic records.
 NON_BIBLIOGRAPHIC = ("attachment", "annotation", "note")
@@ -81,7 +82,8 @@ def without_excluded(works: DataFrame, interests: DataFrame) -> DataFrame:
     ``works(profile_id, …)``, ``interests(profile_id, exclude_keywords)``: one row per profile.
     """
     text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))))
-    joined = works.join(interests.select("profile_id", "exclude_keywords"), "profile_id", "left").withColumn("_text", text)
+    scalars = [name for name, kind in works.dtypes if not kind.startswith(("map", "array", "struct"))]
+    joined = skew_join(works, interests.select("profile_id", "exclude_keywords"), ["profile_id"], "left", scalars).withColumn("_text", text)
     hit = F.exists(F.coalesce("exclude_keywords", F.array().cast("array<string>")), lambda k: F.col("_text").contains(F.lower(k)))
     return joined.where(~hit).drop("_text", "exclude_keywords")
 

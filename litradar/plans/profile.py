@@ -13,7 +13,7 @@ from ..operators.joins import embedding_hits, embedding_misses
 from ..operators.kmeans import choose_cluster_counts, fit_assign
 from ..params import Clustering, Decay
 from ..session import cut_lineage
-from ..sources.stores import with_expiry
+from ..sources.stores import invalidate, with_expiry
 
 
 def texts_to_encode(items: DataFrame) -> DataFrame:
@@ -55,8 +55,14 @@ def cluster_library(library: DataFrame, p: Clustering = Clustering()) -> DataFra
     return library.join(assigned, ["profile_id", "key"])
 
 
-def build_profile(items: DataFrame, tags: DataFrame, store: DataFrame, embedder: Embedder, as_of, p: Clustering = Clustering(), decay: Decay = Decay()) -> dict[str, DataFrame]:
-    """From library items to described clusters; items without an abstract are left out."""
+def build_profile(items: DataFrame, tags: DataFrame, store: DataFrame, embedder: Embedder, as_of, p: Clustering = Clustering(), decay: Decay = Decay(),
+                  full: bool = False) -> dict[str, DataFrame]:
+    """From library items to described clusters; items without an abstract are left out.
+
+    A full build drops the stored profile vectors first and encodes everything again.
+    """
+    if full:
+        store = invalidate(store, F.col("source_type") == "profile")
     usable = with_library_abstract(items)
     vectors, new_rows = embed_items(usable, store, embedder, as_of, "profile", None)
     library = cut_lineage(cluster_library(cut_lineage(vectors.select("profile_id", "key", "embedding", "date_added")), p))

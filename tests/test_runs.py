@@ -115,6 +115,8 @@ def test_profile_is_built_once_per_text(spark):
     assert out["keywords"].where("rank = 1").count() == out["clusters"].count()
     again = build_profile(items, tags, out["new_embeddings"].withColumn("source_id", F.lit(None).cast("string")), HashingEmbedder(), AS_OF, p)
     assert again["new_embeddings"].count() == 0
+    stored = out["new_embeddings"].withColumn("source_id", F.lit(None).cast("string"))
+    assert build_profile(items, tags, stored, HashingEmbedder(), AS_OF, p, full=True)["new_embeddings"].count() == 72
     assert {tuple(r) for r in again["library"].select("key", "cluster_id").collect()} == {tuple(r) for r in out["library"].select("key", "cluster_id").collect()}
 
 
