@@ -187,7 +187,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @entry("cold_start", "W10 J7", oracle("candidate journal candidate_issn", _JOURNAL.replace(",", ", ", 1) + """
 SELECT p.profile_id, js.ordinal, 0.0::DOUBLE AS score, 'consider' AS label, round(journal_score, 6)::DOUBLE AS journal_score
-FROM js CROSS JOIN (SELECT r_regionkey + 4 AS profile_id FROM region) p"""))
+FROM js CROSS JOIN (SELECT CAST(r_regionkey + 4 AS BIGINT) AS profile_id FROM region) p"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     library, candidates, journals, issns = _inputs(spark, sf)
     profiles = library.select("profile_id").distinct().union(table(spark, sf, "region").select((F.col("r_regionkey") + 4).cast("long")))
