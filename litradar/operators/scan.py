@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
 
 CHUNK = "_chunk"
 
@@ -24,8 +24,9 @@ def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts:
     The frame is written out: range bounds are sampled, so a second evaluation could
     cut elsewhere. ``order`` must be unique within ``keys``.
     """
-    parts = parts or shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    columns = [*[F.col(k) for k in keys], *order]
+    # without a number, small neighbouring ranges are merged at run time
+    ranged = df.repartitionByRange(*columns) if parts is None else df.repartitionByRange(parts, *columns)
     return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
