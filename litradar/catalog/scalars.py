@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures.views import AS_OF, oracle, query, table, view
+from ..fixtures.views import oracle, query, table, view
 from ..functions import answers, clock, feed, prompts, scoring, text, titles
 from ..functions.pages import clean_texts, detect_publisher, is_highlights, meta_content, stripped_page
 from ..operators.stats import venue_type
@@ -24,11 +24,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"))
 
 
-_PAIRS = """
-SELECT w.ordinal, d.key, w.title AS page_title, d.title AS document_title
-FROM page_work w JOIN document_item d ON d.version = w.ordinal"""
-
-
 def _title_pairs(spark: SparkSession, sf: str) -> DataFrame:
     works = view(spark, sf, "page_work").select("ordinal", text.normalize_title(F.col("title")).alias("a"))
     items = view(spark, sf, "document_item").select("version", text.normalize_title(F.col("title")).alias("b"))

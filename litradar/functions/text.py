@@ -12,9 +12,9 @@ from pyspark.sql.types import StringType
 
 # every kind of white space; the wide ones sit in one range, so that most texts pass one cheap test
 _LATIN = r" \t-\r\x1c-\x1f\x85\xa0"
-_WIDE = r"[  -     　]"
-_WIDE_RANGE = r"[ -　]"
-_ALL = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+_WIDE = r"[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WIDE_RANGE = r"[\u1680-\u3000]"
+_ALL = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def strip(c: Column) -> Column:

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from litradar.operators.clusters import centroids, cluster_links, silhouettes
 from litradar.operators.kmeans import choose_cluster_counts, fit_assign
