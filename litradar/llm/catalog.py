@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import decontaminate, licenses, mixing
+from . import decontaminate, language, licenses, mixing, near_dedup, repeats, topk, toxicity
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,37 @@ def lower_sql(text: str) -> str:
     return f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
 
 
+# 1: language identification
+
+
+@query("op1_language_id")
+def language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.train(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, ["doc_id", "held_out"])
+
+
+# 4: near-duplicates
+
+
+@query("op4_near_dedup")
+def near_dedup_groups(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# 5: exact top-k search
+
+
+@query("op5_pivot_topk", """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
+def pivot_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 # 6: mixing
 
 DOMAINS = {"web": tuple(f"src{i}" for i in range(10)), "reference": tuple(f"src{i}" for i in range(10, 15))}
@@ -138,3 +169,23 @@ def _licenses_sql() -> str:
 def license_scan(spark, sf_dir):
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
     return found.withColumn("notices", F.array_join("notices", ","))
+
+
+# 9: repeated strings
+
+
+@query("op9_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# 10: toxicity
+
+TOXICITY = (("low_quality", "1 - quality"), ("toxic", "toxic"))
+
+
+@query("op10_toxicity_chain")
+def toxicity_chain(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    models = toxicity.train(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    return toxicity.score(docs, models, [n for n, _ in TOXICITY])

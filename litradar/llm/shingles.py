@@ -28,14 +28,18 @@ _LOWERED[65:91] += 32
 _BYTE = seeded(11, 256)[_LOWERED]  # upper and lower case have one value
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+# all ASCII characters but letters and digits
+NOT_WORD = np.zeros(256, dtype=bool)
+NOT_WORD[:128] = True
+NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _PLACE = seeded(12, SIZE) | np.uint64(1)
 
 
-def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (run of other than white space, A-Z lower-cased), and the number of words before each text."""
+def word_hashes(texts: Sequence[bytes], separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (run of other than separator bytes, A-Z lower-cased), and the number of words before each text."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
+    space = separators[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
