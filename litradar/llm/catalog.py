@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import pin_utc
-from . import decontaminate, language, licenses, mixing, near_dedup, repeats, topk, toxicity
+from ..session import ensure_checkpoint_dir, pin_utc
+from . import boilerplate, decontaminate, language, licenses, mixing, near_dedup, repeats, token_files, topk, toxicity
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,12 +44,39 @@ def language_id(spark, sf_dir):
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
+# 2: token files
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    """The vocabulary is a public file that is installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+@query("op2_repair_tokens")
+def repair_tokens(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_files.read_tokens(spark, path)
+
+
+# 3: main text of pages
+
+
+@query("op3_main_text")
+def page_text(spark, sf_dir):
+    return boilerplate.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 # 4: near-duplicates
 
 
 @query("op4_near_dedup")
 def near_dedup_groups(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("_h")
 
 
 # 5: exact top-k search

@@ -76,7 +76,7 @@ def rarest_shingles(documents: DataFrame, windows: DataFrame, shingle_words: int
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window_words: int = 10, shingle_words: int = 3) -> DataFrame:
-    """Per document row: ``doc_id, n_words, n_hit, n_items, items`` (sorted as strings), ``contaminated``.
+    """Per document row: ``doc_id, n_words, n_hit, n_items, items`` (sorted as strings), ``contaminated``, and ``_h``, the hash of its text.
 
     A document word inside any occurrence of an item window is hit. Null and empty texts have no words and no hits; an
     item that is null or has no word has no window; items that share windows each count; repeated rows give a row each;
@@ -107,4 +107,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window_words: int
         F.max("n_words").alias("n_words"), F.sum("_rows").alias("_rows"), F.sum(F.when(F.col("_start") >= 0, covered).otherwise(0)).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     one_each = merged.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
-    return one_each.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return one_each.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "_h")

@@ -127,6 +127,8 @@ def identify(documents: DataFrame, model: Model, keep: list[Column | str]) -> Da
     and cut to 0 to 1. Languages with one name are one; repeated rows are scored alike; an empty table gives no rows.
     """
     kept = documents.select(*keep, F.col("text").alias("_text"))
+    if len(set(kept.columns) | {"lang_pred", "score"}) < len(kept.columns) + 2:
+        raise ValueError("kept columns may not be named _text, lang_pred or score")
     names = [c for c in kept.columns if c != "_text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text")
 

@@ -192,7 +192,7 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per document row: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links), ``kept``.
+    """Per document row: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links), ``kept``, and ``_h``, the hash of its text.
 
     Texts with fewer than five words are one shingle; null and empty texts and such without words have none, link with
     nothing and are kept. Repeated rows are linked, so each names the same component and each with its doc_id is kept.
@@ -206,6 +206,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = cut_lineage(named)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = cut_lineage(named.join(smallest, "component").select("cid", "component_id"))
-    out = rows.select("doc_id", "n_shingles", "cid").join(by_class, "cid", "left")
+    out = rows.select("doc_id", "_h", "n_shingles", "cid").join(by_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "_h")
