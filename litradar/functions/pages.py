@@ -272,10 +272,13 @@ SECTIONS = (
     r'data-title=["\']Abstract["\'][^>]*>(.*?)</section',
     r'<section[^>]*aria-labelledby=["\'][^"\']*abstract[^"\']*["\'][^>]*>(.*?)</section',
 )
-SECTION_LIMIT = 5000
 
 
-def abstract_section(page: Column) -> Column:
+def _cut(text: Column, most: int | None) -> Column:
+    return text if most is None else F.left(text, F.lit(most))
+
+
+def abstract_section(page: Column, most: int | None = None) -> Column:
     """The part of a page that looks like an abstract, with a lead-in for the model; null if none."""
     og = strip(F.coalesce(empty_to_null(F.regexp_extract(page, OG_DESCRIPTION, 1)), empty_to_null(F.regexp_extract(page, OG_DESCRIPTION, 2))))
     described = strip(empty_to_null(F.regexp_extract(page, DESCRIPTION, 1)))
@@ -287,16 +290,16 @@ def abstract_section(page: Column) -> Column:
     for pattern in SECTIONS:
         text = collapse_spaces(strip_tags(F.regexp_extract(page, "(?is)" + pattern, 1)))
         usable = (F.length(text) > 100) & ~F.lower(text).contains("show more")
-        tries.append(F.when(usable, F.concat(section_lead, F.left(text, F.lit(SECTION_LIMIT)))))
+        tries.append(F.when(usable, F.concat(section_lead, _cut(text, most))))
     return F.coalesce(*tries)
 
 
-def stripped_page(page: Column, max_chars: int = 15_000) -> Column:
-    """Page without scripts, styles, comments and navigation, cut to the model's input size."""
+def stripped_page(page: Column, most: int | None = None) -> Column:
+    """Page without scripts, styles, comments and navigation, cut to the model's input size if there is one."""
     for pattern in PAGE_NOISE:
         page = F.regexp_replace(page, pattern, "")
-    return F.left(one_space(page), F.lit(max_chars))
+    return _cut(one_space(page), most)
 
 
-def shrink_page(page: Column, max_chars: int = 15_000) -> Column:
-    return F.coalesce(abstract_section(page), stripped_page(page, max_chars))
+def shrink_page(page: Column, most_page: int | None = None, most_section: int | None = None) -> Column:
+    return F.coalesce(abstract_section(page, most_section), stripped_page(page, most_page))

@@ -47,8 +47,8 @@ def normalize_identifier(c: Column) -> Column:
 
 
 def normalize_doi(c: Column) -> Column:
-    """As ``normalize_identifier`` but null for a missing DOI, so that it never matches."""
-    return F.when(c.isNotNull() & (c != ""), normalize_identifier(c))
+    """As ``normalize_identifier`` but null for a missing or blank DOI, so that it never matches."""
+    return empty_to_null(normalize_identifier(c))
 
 
 def normalize_title(c: Column) -> Column:

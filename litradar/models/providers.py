@@ -1,7 +1,7 @@
 """Plug-in points for embedding, rerank and text models, and local stand-ins.
 
-A provider is a small picklable object that is shipped to the tasks. Requests are spread
-over at most ``concurrency`` tasks and go out in batches.
+A provider is a small picklable object that is shipped to the tasks. Requests go out in batches from as
+many tasks as their input has, or from ``concurrency`` tasks where a service allows only so many callers.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ class EchoCompleter:
     def complete(self, prompt: str, max_tokens: int = 1024, temperature: float = 0.3) -> tuple[str, int]:
         keys = re.search(r"Keys?: (.*)", prompt)
         title = re.search(r"Title: (.*)", prompt)
-        seed = (title.group(1) if title else prompt)[:40]
+        seed = title.group(1) if title else prompt
         if "translations (list" in prompt:
             lines = re.findall(r"^(\S+): (.*)$", prompt.split("\n\n", 1)[1].rsplit("\n\nKey", 1)[0], re.M)
             answer = json.dumps({"translations": [{"id": i, "translated": f"译 {t}"} for i, t in lines]}, ensure_ascii=False)
@@ -107,7 +107,11 @@ class EchoCompleter:
         return f"```json\n{answer}\n```" if answer.startswith("{") else answer, len(prompt.split())
 
 
-def encode_texts(texts: DataFrame, embedder: Embedder, input_type: str = "document", batch_rows: int = 128, concurrency: int = 64) -> DataFrame:
+def _spread(rows: DataFrame, concurrency: int | None) -> DataFrame:
+    return rows if concurrency is None else rows.repartition(concurrency)
+
+
+def encode_texts(texts: DataFrame, embedder: Embedder, input_type: str = "document", batch_rows: int = 128, concurrency: int | None = None) -> DataFrame:
     """``(content_hash, text)`` to unit vectors ``(content_hash, embedding)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,12 +122,12 @@ def encode_texts(texts: DataFrame, embedder: Embedder, input_type: str = "docume
                 vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12)
                 yield pd.DataFrame({"content_hash": part["content_hash"].to_numpy(), "embedding": list(vectors.astype(np.float32))})
 
-    ready = texts.select("content_hash", encodable_text(F.col("text")).alias("text")).repartition(concurrency, "content_hash")
-    return ready.mapInPandas(run, "content_hash string, embedding array<float>")
+    ready = texts.select("content_hash", encodable_text(F.col("text")).alias("text"))
+    return _spread(ready, concurrency).mapInPandas(run, "content_hash string, embedding array<float>")
 
 
 def complete_prompts(requests: DataFrame, completer: Completer, keys: Sequence[str], max_tokens: int = 1024, temperature: float = 0.3,
-                     concurrency: int = 64) -> DataFrame:
+                     concurrency: int | None = None) -> DataFrame:
     """``(keys…, prompt)`` to ``(keys…, answer, tokens_used, model_used, error)``.
 
     A failed call gives a null answer and its message; the caller writes the result before using
@@ -148,7 +152,7 @@ def complete_prompts(requests: DataFrame, completer: Completer, keys: Sequence[s
             result["error"] = [o[2] for o in out]
             yield result
 
-    return requests.select(*[f.name for f in fields], "prompt").repartition(concurrency).mapInPandas(run, schema)
+    return _spread(requests.select(*[f.name for f in fields], "prompt"), concurrency).mapInPandas(run, schema)
 
 
 def rerank(documents: DataFrame, reranker: Reranker, top_k: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_doi, normalize_identifier, normalize_title
+from ..functions.text import empty_to_null, normalize_doi, normalize_identifier, normalize_title
 from ..functions.titles import overlap_ratio, token_key, token_set_ratio
 from ..session import cut_lineage
 from .skew import HOT_ROWS, never_null, skew_join
@@ -25,9 +25,10 @@ def without_known_dois(candidates: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def without_known_urls(candidates: DataFrame, library: DataFrame) -> DataFrame:
-    """Drop candidates whose identifier is a library URL."""
-    known = library.where("url IS NOT NULL AND url <> ''").select("profile_id", normalize_identifier(F.col("url")).alias("_id")).distinct()
-    return candidates.withColumn("_id", normalize_identifier(F.col("identifier"))).join(known, ["profile_id", "_id"], "left_anti").drop("_id")
+    """Drop candidates whose identifier is a library URL; blank ones never match."""
+    known = library.select("profile_id", empty_to_null(normalize_identifier(F.col("url"))).alias("_id")).where("_id IS NOT NULL").distinct()
+    own = empty_to_null(normalize_identifier(F.col("identifier")))
+    return candidates.withColumn("_id", never_null(own, "profile_id", "ordinal")).join(known, ["profile_id", "_id"], "left_anti").drop("_id")
 
 
 def title_keys(titles: DataFrame, column: str = "title") -> DataFrame:
@@ -180,11 +181,14 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9) ->
 def without_known_titles(candidates: DataFrame, library: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Drop candidates whose title matches a title of the profile's library."""
     key = token_key(normalize_title(F.col("title")))
-    keyed = cut_lineage(candidates.withColumn("_tkey", key))
+    # untitled candidates get a key of their own each
+    keyed = cut_lineage(candidates.withColumn("_tkey", never_null(empty_to_null(key), "profile_id", "ordinal")))
     owned = cut_lineage(library.select("profile_id", key.alias("tkey")).where("tkey <> ''").distinct())
-    offered = keyed.select(F.col("_tkey").alias("tkey")).where("tkey <> ''").distinct()
+    offered = keyed.select(F.col("_tkey").alias("tkey")).where(~F.col("tkey").startswith("\0")).distinct()
     pairs = similar_titles(offered, owned.select("tkey").distinct(), threshold)
-    known = pairs.join(owned.withColumnRenamed("tkey", "right_key"), "right_key").select("profile_id", F.col("left_key").alias("_tkey")).distinct()
+    # a title that many offered titles contain is cut into parts
+    known = skew_join(pairs, owned.withColumnRenamed("tkey", "right_key"), ["right_key"], "inner", ["left_key"])
+    known = known.select("profile_id", F.col("left_key").alias("_tkey")).distinct()
     return keyed.join(known, ["profile_id", "_tkey"], "left_anti").drop("_tkey")
 
 
@@ -197,7 +201,7 @@ def _title_links(keys: DataFrame, threshold: float) -> DataFrame:
     return once.union(once.select("b", "a"))
 
 
-def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles: bool = True, max_rounds: int = 1000) -> DataFrame:
+def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles: bool = True) -> DataFrame:
     """Keep a row unless an earlier kept row shares its identifier, DOI or (similar) title.
 
     The result equals the loop in ``ordinal`` order. Rows meet in groups (one per identifier
@@ -219,7 +223,8 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
     watch = rows.select(*row, F.explode(own).alias("grp"), F.lit(True).alias("own"))
     if fuzzy_titles:
         links = _title_links(rows.where("_tkey <> ''").select(F.col("_tkey").alias("tkey")).distinct(), threshold)
-        near = rows.select(*row, F.col("_tkey").alias("a")).join(links, "a").select(*row, F.concat(F.lit("t:"), F.col("b")).alias("grp"), F.lit(False).alias("own"))
+        titled = rows.where("_tkey <> ''").select(*row, F.col("_tkey").alias("a"))
+        near = skew_join(titled, links, ["a"], "inner", row).select(*row, F.concat(F.lit("t:"), F.col("b")).alias("grp"), F.lit(False).alias("own"))
         watch = watch.unionByName(near)
     watch = cut_lineage(watch)
     # a group that only one row watches decides nothing; rows without any other group stay at once
@@ -233,7 +238,8 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
     watch = cut_lineage(with_group(watch, sizes.select(*group), "inner"))
     kept = rows.select(*row).join(watch.select(*row).distinct(), row, "left_anti")
     settled, waiting = None, None
-    for _ in range(max_rounds):
+    # every round settles the lowest open row at least
+    while True:
         watching = watch if waiting is None else watch.join(waiting, row, "left_semi")
         lows = watching.where("own").groupBy(*group).agg(F.min("ordinal").alias("low_open"))
         if settled is None:
@@ -250,7 +256,6 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
         waiting = verdict.where("verdict = 'open'").select(*row)
         if waiting.isEmpty():
             return candidates.join(kept.union(settled), row, "left_semi")
-    raise RuntimeError("the batch dedupe did not settle")
 
 
 def dedupe(candidates: DataFrame, library: DataFrame, threshold: float = 0.9) -> DataFrame:

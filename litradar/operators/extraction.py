@@ -15,8 +15,10 @@ from ..functions.clock import moment
 def extract_abstracts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Add ``publisher`` and ``abstract`` (null when no rule finds one)."""
     found = pages.withColumn("publisher", detect_publisher(F.col(url)))
-    found = found.withColumn("_own", own_meta(F.col(page), F.col("publisher")))
-    found = found.withColumn("_meta", F.coalesce(F.col("_own"), generic_meta(F.col(page))))
+    # a tag of which nothing is left after cleaning does not end the search
+    useful = lambda c: F.when(F.get(clean_texts(F.array(c)), F.lit(0)) != "", c)
+    found = found.withColumn("_own", own_meta(F.col(page), F.col("publisher"))).withColumn("_own", useful(F.col("_own")))
+    found = found.withColumn("_meta", F.coalesce(F.col("_own"), useful(generic_meta(F.col(page)))))
     found = found.withColumn("_finds", rule_finds(F.col(page), F.col("publisher"), F.col("_own"), F.col("_meta"))).drop("_own", "_meta")
     found = found.withColumn("_paragraphs", F.when(F.col("publisher") == "elsevier", state_paragraphs(F.col(page))).otherwise(F.array().cast("array<string>")))
     found = found.withColumn("_texts", clean_texts(F.transform("_finds", lambda f: f["raw"]))).withColumn("_state", clean_texts(F.col("_paragraphs")))
@@ -26,9 +28,13 @@ def extract_abstracts(pages: DataFrame, url: str = "url", page: str = "html") ->
     return found.withColumn("abstract", F.coalesce(joined_paragraphs(F.col("_state")), first)).drop("_finds", "_paragraphs", "_texts", "_state")
 
 
-def model_requests(extracted: DataFrame, page: str = "html", max_chars: int = 15_000) -> DataFrame:
-    """Pages the rules missed, shrunk for the text model."""
-    return extracted.where("abstract IS NULL").withColumn("content", shrink_page(F.col(page), max_chars))
+def model_requests(extracted: DataFrame, page: str = "html", most_page: int | None = None, most_section: int | None = None) -> DataFrame:
+    """Pages the rules missed, shrunk for the text model; ``is_cut`` where the model's limits cut something off."""
+    asked = extracted.where("abstract IS NULL").withColumn("content", shrink_page(F.col(page)))
+    if most_page is None and most_section is None:
+        return asked.withColumn("is_cut", F.lit(False))
+    asked = asked.withColumn("_short", shrink_page(F.col(page), most_page, most_section))
+    return asked.withColumn("is_cut", F.col("_short") != F.col("content")).withColumn("content", F.col("_short")).drop("_short")
 
 
 def accepted_answer(answer: str = "answer"):

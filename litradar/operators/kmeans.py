@@ -1,196 +1,221 @@
 """Spherical k-means for many profiles at once, and the search for k.
 
-The final fit runs over all rows. Items of a large profile sit in (profile, slice)
-groups of bounded size, each round sends only the centroids, and the groups return
-partial sums. The k search is defined on at most ``subsample`` items per profile, so
-there a (profile, k) pair is a bounded group.
+A fit is made for (profile, k) pairs and runs over all items. Every round assigns each item to its nearest centroid
+and moves each centroid to the mean direction of its members, until no coordinate moves by more than 1e-13. A profile
+that fits in one group makes its rounds there; the items of a larger one sit in (profile, slice) groups of bounded size,
+each round sends only the centroids, and the groups return partial sums. Start, update and stop are the same. All k of a
+profile are tried on the one copy of its vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import dot, l2_normalize
+from ..functions.scoring import l2_normalize
 from ..params import Clustering
 from ..session import cut_lineage
 from .clusters import choose_k, cluster_bounds
 from .neighbors import BLOCK_ROWS, _matrix
 from .skew import hot_keys, with_slices
 
+SETTLED = 1e-13
 
-def _seeded_order(seed: int):
-    return [F.xxhash64(F.lit(seed), F.col("key")), F.col("key")]
-
-
-def _nearest(items: pa.Table, centroids: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    centroids = centroids.sort_by("cluster_id")
-    rows = _matrix(items["embedding"], 1e-12)
-    sims = np.round(rows @ _matrix(centroids["centroid"], 1e-12).T, 9)
-    return rows, centroids["cluster_id"].to_numpy()[np.argmax(sims, axis=1)]
 
-
-def _partial_sums(items: pa.Table, centroids: pa.Table) -> pa.Table:
-    if not items.num_rows or not centroids.num_rows:
-        return pa.table({"profile_id": pa.array([], pa.int64()), "cluster_id": pa.array([], pa.int64()),
-                         "total": pa.array([], pa.list_(pa.float64()))})
-    rows, owner = _nearest(items, centroids)
-    ids = np.unique(owner)
-    totals = [rows[owner == i].sum(axis=0) for i in ids]
-    profile = items["profile_id"][0].as_py()
-    return pa.table({"profile_id": pa.array([profile] * len(ids), pa.int64()), "cluster_id": pa.array(ids, pa.int64()),
-                     "total": pa.array(totals, pa.list_(pa.float64()))})
+def _owners(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.argmax(np.round(rows @ centroids.T, 9), axis=1)
 
 
-def _assignments(items: pa.Table, centroids: pa.Table) -> pa.Table:
-    if not items.num_rows or not centroids.num_rows:
-        return pa.table({"profile_id": pa.array([], pa.int64()), "key": pa.array([], pa.string()),
-                         "cluster_id": pa.array([], pa.int64())})
-    _, owner = _nearest(items, centroids)
-    return pa.table({"profile_id": items["profile_id"].cast(pa.int64()), "key": items["key"].cast(pa.string()),
-                     "cluster_id": pa.array(owner, pa.int64())})
+def _sums(rows: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((k, rows.shape[1]))
+    for c in np.unique(owner):
+        out[c] = rows[owner == c].sum(axis=0)
+    return out
 
 
 def _lloyd(rows: np.ndarray, k: int, iterations: int) -> np.ndarray:
     """Owner of each row; the first k rows are the start, and a cluster that loses all members stays where it is."""
     centroids = rows[:k].copy()
     for _ in range(iterations):
-        owner = np.argmax(np.round(rows @ centroids.T, 9), axis=1)
-        moved = centroids.copy()
-        for c in np.unique(owner):
-            total = rows[owner == c].sum(axis=0)
-            norm = np.linalg.norm(total)
-            if norm > 0:
-                moved[c] = total / norm
-        settled = np.abs(moved - centroids).max() < 1e-13
+        totals = _sums(rows, _owners(rows, centroids), k)
+        norm = np.linalg.norm(totals, axis=1, keepdims=True)
+        moved = np.where(norm > 0, totals / np.where(norm > 0, norm, 1.0), centroids)
+        settled = np.abs(moved - centroids).max() <= SETTLED
         centroids = moved
         if settled:
             break
-    return np.argmax(np.round(rows @ centroids.T, 9), axis=1)
+    return _owners(rows, centroids)
 
 
-def _fit_small(iterations: int):
+def _silhouettes(rows: np.ndarray, owner: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Cosine silhouette of each row from the sums and sizes of all clusters; 0 for the only member of one."""
+    distance = counts[None, :] - rows @ sums.T
+    at = np.arange(len(rows))
+    own = distance[at, owner] / np.maximum(counts[owner] - 1, 1)
+    others = np.where(counts[None, :] > 0, distance / np.maximum(counts, 1)[None, :], np.inf)
+    others[at, owner] = np.inf
+    nearest = others.min(axis=1)
+    top = np.maximum(own, nearest)
+    return np.where((counts[owner] > 1) & (top > 0), (nearest - own) / np.where(top > 0, top, 1.0), 0.0)
+
+
+def _table(profile: int, columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
+    n = len(next(iter(columns.values()))[0])
+    return pa.table({"profile_id": pa.array([profile] * n, pa.int64()), **{name: pa.array(v, t) for name, (v, t) in columns.items()}})
+
+
+def _whole(iterations: int, scores: bool) -> Callable[[pa.Table], pa.Table]:
+    """All rounds of a profile in its one group: assignments, or the silhouette of each k."""
+
     def fn(items: pa.Table) -> pa.Table:
         items = items.sort_by([("place", "ascending"), ("key", "ascending")])
-        owner = _lloyd(_matrix(items["embedding"], 1e-12), items["k"][0].as_py(), iterations)
-        return pa.table({"profile_id": items["profile_id"], "key": items["key"], "cluster_id": pa.array(owner, pa.int64())})
+        rows, profile = _matrix(items["embedding"], 1e-12), items["profile_id"][0].as_py()
+        ks, keys, owners, values = [], [], [], []
+        for k in sorted(items["ks"][0].as_py()):
+            owner = _lloyd(rows, min(k, len(rows)), iterations)
+            if scores:
+                counts = np.bincount(owner)
+                if 2 <= (counts > 0).sum() < len(rows):
+                    ks.append(k)
+                    values.append(float(_silhouettes(rows, owner, _sums(rows, owner, len(counts)), counts).mean()))
+            else:
+                ks += [k] * len(rows)
+                keys += items["key"].to_pylist()
+                owners += owner.tolist()
+        if scores:
+            return _table(profile, {"k": (ks, pa.int64()), "silhouette": (values, pa.float64())})
+        return _table(profile, {"k": (ks, pa.int64()), "key": (keys, pa.string()), "cluster_id": (owners, pa.int64())})
 
     return fn
 
 
-def fit_assign(library: DataFrame, ks: DataFrame, p: Clustering = Clustering(), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Cluster every profile with its own k: ``(profile_id, key, cluster_id)``.
-
-    ``library(profile_id, key, embedding)``, ``ks(profile_id, k)``. Start centroids are k items in
-    seeded hash order. A profile of at most ``block_rows`` items is fitted in one task; larger ones
-    take one job per round, with their items in slices of that size.
-    """
-    narrow = library.select(F.col("profile_id").cast("long").alias("profile_id"), "key", "embedding")
-    wanted = ks.select("profile_id", F.col("k").cast("long").alias("k"))
-    large = cut_lineage(hot_keys(narrow.select("profile_id"), ["profile_id"], block_rows))
-    small = narrow.join(F.broadcast(large), "profile_id", "left_anti").join(wanted, "profile_id").withColumn("place", F.xxhash64(F.lit(p.seed), F.col("key")))
-    fitted = cut_lineage(small.groupBy("profile_id").applyInArrow(_fit_small(p.iterations), "profile_id long, key string, cluster_id long"))
-    if large.isEmpty():
-        return fitted
-    return fitted.unionByName(_fit_large(narrow.join(F.broadcast(large), "profile_id", "left_semi"), wanted, p, block_rows))
+def _part(result: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What one slice contributes: partial sums, assignments, or the sum of its silhouettes."""
+
+    def fn(items: pa.Table, centroids: pa.Table) -> pa.Table:
+        ks, ids, totals, counts, keys, values = [], [], [], [], [], []
+        profile = items["profile_id"][0].as_py() if items.num_rows else 0
+        rows = _matrix(items["embedding"], 1e-12) if items.num_rows and centroids.num_rows else None
+        for k in sorted(set(centroids["k"].to_pylist())) if rows is not None else ():
+            own = centroids.filter(pa.compute.equal(centroids["k"], k)).sort_by("cluster_id")
+            owner = _owners(rows, _matrix(own["centroid"], 1e-12))
+            if result == "sums":
+                sums, size = _sums(rows, owner, own.num_rows), np.bincount(owner, minlength=own.num_rows)
+                for c in np.flatnonzero(size).tolist():
+                    ks.append(k)
+                    ids.append(c)
+                    totals.append(sums[c].tolist())
+                    counts.append(int(size[c]))
+            elif result == "owners":
+                ks += [k] * len(rows)
+                keys += items["key"].to_pylist()
+                ids += owner.tolist()
+            else:
+                sums = np.array(own["total"].to_pylist(), dtype=np.float64)
+                value = _silhouettes(rows, owner, sums, own["n"].to_numpy())
+                ks.append(k)
+                values.append(float(value.sum()))
+                counts.append(len(rows))
+        if result == "sums":
+            return _table(profile, {"k": (ks, pa.int64()), "cluster_id": (ids, pa.int64()), "total": (totals, pa.list_(pa.float64())), "n": (counts, pa.int64())})
+        if result == "owners":
+            return _table(profile, {"k": (ks, pa.int64()), "key": (keys, pa.string()), "cluster_id": (ids, pa.int64())})
+        return _table(profile, {"k": (ks, pa.int64()), "value": (values, pa.float64()), "n": (counts, pa.int64())})
 
+    return fn
 
-def _fit_large(library: DataFrame, wanted: DataFrame, p: Clustering, block_rows: int) -> DataFrame:
-    items = with_slices(library, ["profile_id"], "key", block_rows).repartition("profile_id", "slice").persist()
-    slices = cut_lineage(items.select(F.col("profile_id").alias("p"), F.col("slice").alias("s")).distinct())
-    # the limit prunes before the shuffle; the join then sees a few dozen rows per profile
-    first = items.withColumn("n", F.row_number().over(Window.partitionBy("profile_id").orderBy(*_seeded_order(p.seed)))).where(
-        F.col("n") <= p.max_clusters
-    )
-    start = first.join(wanted, "profile_id").where("n <= k")
-    centroids = cut_lineage(
-        start.select("profile_id", (F.col("n") - 1).cast("long").alias("cluster_id"),
-                     l2_normalize(F.col("embedding")).alias("centroid"), F.lit(True).alias("moving"))
-    )
 
-    def spread(c: DataFrame) -> DataFrame:
-        return c.join(slices, c.profile_id == slices.p).select(F.col("p"), F.col("s"), "cluster_id", "centroid")
-
-    for _ in range(p.iterations):
-        sums = items.groupBy("profile_id", "slice").cogroup(spread(centroids).groupBy("p", "s")).applyInArrow(
-            _partial_sums, "profile_id long, cluster_id long, total array<double>"
-        )
-        moved = sums.groupBy("profile_id", "cluster_id").agg(
-            Summarizer.metrics("sum").summary(array_to_vector("total")).alias("t")
-        ).select("profile_id", "cluster_id", l2_normalize(vector_to_array(F.col("t.sum"))).alias("moved"))
-        shift = F.lit(1.0) - dot(F.col("moved"), F.col("centroid"))
-        centroids = cut_lineage(
-            centroids.join(moved, ["profile_id", "cluster_id"], "left").select(
-                "profile_id", "cluster_id", F.coalesce("moved", "centroid").alias("centroid"), F.coalesce(shift > 1e-13, F.lit(False)).alias("moving")
-            )
-        )
-        if centroids.where("moving").isEmpty():
-            break
-    assigned = cut_lineage(
-        items.groupBy("profile_id", "slice").cogroup(spread(centroids).groupBy("p", "s")).applyInArrow(
-            _assignments, "profile_id long, key string, cluster_id long"
-        )
-    )
-    items.unpersist()
-    return assigned
-
-
-def _silhouette(rows: np.ndarray, owner: np.ndarray) -> float | None:
-    """Mean cosine silhouette from cluster sums."""
-    ids, owner = np.unique(owner, return_inverse=True)
-    if len(ids) < 2 or len(ids) >= len(rows):
-        return None
-    counts = np.bincount(owner)
-    sums = np.zeros((len(ids), rows.shape[1]))
-    np.add.at(sums, owner, rows)
-    distance = counts[None, :] - rows @ sums.T
-    at = np.arange(len(rows))
-    own = distance[at, owner] / np.maximum(counts[owner] - 1, 1)
-    others = distance / counts[None, :]
-    others[at, owner] = np.inf
-    nearest = others.min(axis=1)
-    top = np.maximum(own, nearest)
-    value = np.where((counts[owner] > 1) & (top > 0), (nearest - own) / np.where(top > 0, top, 1.0), 0.0)
-    return float(value.mean())
+class _Sliced:
+    """The rounds of profiles whose items are cut into slices."""
+
+    def __init__(self, library: DataFrame, tries: DataFrame, seed: int, block_rows: int):
+        rows = with_slices(library, ["profile_id"], "key", block_rows).withColumn("place", F.xxhash64(F.lit(seed), F.col("key")))
+        self.items = cut_lineage(rows.repartition("profile_id", "slice"))
+        self.slices = cut_lineage(self.items.select(F.col("profile_id").alias("p"), F.col("slice").alias("s")).distinct())
+        # the limit prunes before the shuffle
+        most = tries.agg(F.max("k")).first()[0] or 0
+        order = Window.partitionBy("profile_id").orderBy("place", "key")
+        first = self.items.withColumn("no", F.row_number().over(order)).where(F.col("no") <= most)
+        self.centroids = cut_lineage(first.join(tries, "profile_id").where("no <= k").select(
+            "profile_id", "k", (F.col("no") - 1).cast("long").alias("cluster_id"), l2_normalize(F.col("embedding").cast("array<double>")).alias("centroid")))
+
+    def _parts(self, state: DataFrame, result: str, schema: str) -> DataFrame:
+        spread = state.join(self.slices, state.profile_id == self.slices.p).drop("profile_id")
+        return self.items.groupBy("profile_id", "slice").cogroup(spread.groupBy("p", "s")).applyInArrow(_part(result), schema)
+
+    def _totals(self) -> DataFrame:
+        sums = self._parts(self.centroids, "sums", "profile_id long, k long, cluster_id long, total array<double>, n long")
+        added = sums.groupBy("profile_id", "k", "cluster_id").agg(Summarizer.metrics("sum").summary(array_to_vector("total")).alias("t"), F.sum("n").alias("n"))
+        return added.select("profile_id", "k", "cluster_id", vector_to_array("t.sum").alias("total"), "n")
+
+    def run(self, iterations: int) -> None:
+        path = ["profile_id", "k", "cluster_id"]
+        for _ in range(iterations):
+            moved = self._totals().select(*path, l2_normalize(F.col("total"), 0.0).alias("moved"))
+            step = F.array_max(F.zip_with("moved", "centroid", lambda a, b: F.abs(a - b)))
+            both = self.centroids.join(moved, path, "left")
+            after = cut_lineage(both.select(*path, F.coalesce("moved", "centroid").alias("centroid"), F.coalesce(step > SETTLED, F.lit(False)).alias("moving")))
+            self.centroids = after.drop("moving")
+            if after.where("moving").isEmpty():
+                return
+
+    def owners(self) -> DataFrame:
+        return cut_lineage(self._parts(self.centroids, "owners", "profile_id long, k long, key string, cluster_id long"))
+
+    def silhouettes(self) -> DataFrame:
+        path = ["profile_id", "k", "cluster_id"]
+        zero = F.transform("centroid", lambda x: x * 0.0)
+        totals = cut_lineage(self._totals())
+        state = self.centroids.join(totals, path, "left").select(*path, "centroid", F.coalesce("total", zero).alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        values = self._parts(state, "silhouettes", "profile_id long, k long, value double, n long")
+        found = totals.groupBy("profile_id", "k").agg(F.count("*").alias("clusters"))
+        mean = values.groupBy("profile_id", "k").agg((F.sum("value") / F.sum("n")).alias("silhouette"), F.sum("n").alias("rows"))
+        return mean.join(found, ["profile_id", "k"]).where((F.col("clusters") >= 2) & (F.col("clusters") < F.col("rows"))).select("profile_id", "k", "silhouette")
+
+
+def _fit(library: DataFrame, tries: DataFrame, iterations: int, seed: int, block_rows: int, scores: bool) -> DataFrame:
+    narrow = library.select(F.col("profile_id").cast("long").alias("profile_id"), "key", "embedding")
+    wanted = cut_lineage(tries.select(F.col("profile_id").cast("long").alias("profile_id"), F.col("k").cast("long").alias("k")).distinct())
+    large = cut_lineage(hot_keys(narrow.select("profile_id"), ["profile_id"], block_rows).select("profile_id"))
+    ks = wanted.groupBy("profile_id").agg(F.collect_set("k").alias("ks"))  # a few dozen at most
+    small = narrow.join(large, "profile_id", "left_anti").join(ks, "profile_id").withColumn("place", F.xxhash64(F.lit(seed), F.col("key")))
+    schema = "profile_id long, k long, silhouette double" if scores else "profile_id long, k long, key string, cluster_id long"
+    out = cut_lineage(small.groupBy("profile_id").applyInArrow(_whole(iterations, scores), schema))
+    if large.isEmpty():
+        return out
+    sliced = _Sliced(narrow.join(large, "profile_id", "left_semi"), wanted.join(large, "profile_id", "left_semi"), seed, block_rows)
+    sliced.run(iterations)
+    return out.unionByName(sliced.silhouettes() if scores else sliced.owners())
 
 
-def _try_k(iterations: int):
-    def fn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("n")
-        k = table["k"][0].as_py()
-        rows = _matrix(table["embedding"], 1e-12)
-        owner = _lloyd(rows, k, iterations)
-        score = _silhouette(rows, owner)
-        return pa.table({"profile_id": pa.array([table["profile_id"][0].as_py()], pa.int64()),
-                         "k": pa.array([k], pa.int64()), "silhouette": pa.array([score], pa.float64())})
+def fit_assign(library: DataFrame, ks: DataFrame, p: Clustering = Clustering(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Cluster every profile with its own k: ``(profile_id, key, cluster_id)``.
 
-    return fn
+    ``library(profile_id, key, embedding)``, ``ks(profile_id, k)``. Start centroids are the first k items in seeded hash
+    order; ``block_rows`` is the size of a group.
+    """
+    return _fit(library, ks, p.iterations, p.seed, block_rows, False).drop("k")
 
 
-def search_k(library: DataFrame, p: Clustering = Clustering()) -> DataFrame:
-    """Silhouette of each k between the bounds, on at most ``subsample`` items per profile."""
+def search_k(library: DataFrame, p: Clustering = Clustering(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean silhouette over all items of each k between the bounds, where at least two clusters came out."""
     sizes = library.groupBy("profile_id").agg(F.count("*").alias("n_items"))
     low, high = cluster_bounds(F.col("n_items"), p)
     bounds = sizes.select("profile_id", low.alias("min_k"), high.alias("max_k")).where("max_k > 1")
-    # the limit prunes before the shuffle, and bounds each (profile, k) group
-    sampled = library.select("profile_id", "key", "embedding").withColumn(
-        "n", F.row_number().over(Window.partitionBy("profile_id").orderBy(*_seeded_order(p.seed)))
-    ).where(F.col("n") <= p.subsample)
-    tries = sampled.join(bounds, "profile_id").select(
-        F.col("profile_id").cast("long").alias("profile_id"), "n", "embedding",
-        F.explode(F.sequence("min_k", "max_k")).alias("k"),
-    )
-    scored = tries.groupBy("profile_id", "k").applyInArrow(_try_k(p.search_iterations), "profile_id long, k long, silhouette double")
-    return scored.where("silhouette IS NOT NULL")
+    tries = bounds.select("profile_id", F.explode(F.sequence("min_k", "max_k")).alias("k"))
+    return _fit(library, tries, p.search_iterations, p.seed, block_rows, True)
 
 
-def choose_cluster_counts(library: DataFrame, p: Clustering = Clustering()) -> DataFrame:
+def choose_cluster_counts(library: DataFrame, p: Clustering = Clustering(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(profile_id, k)``; 1 where the profile is tiny or no k gave two clusters."""
-    chosen = choose_k(search_k(library, p), p.tolerance).select("profile_id", "k")
+    chosen = choose_k(search_k(library, p, block_rows), p.tolerance).select("profile_id", "k")
     return library.select("profile_id").distinct().join(chosen, "profile_id", "left").select(
         F.col("profile_id").cast("long").alias("profile_id"), F.coalesce("k", F.lit(1)).cast("long").alias("k")
     )

@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 100_000
+# only the hottest keys are split, so that their list may always be broadcast
+MOST_HOT_KEYS = 100_000
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and into how many parts to cut them.
-
-    There are at most rows / hot_rows such keys, so the result may be broadcast: a hundred
-    billion rows give a million keys at most. Counts are combined before the shuffle.
-    """
+    """Keys with more than ``hot_rows`` rows and into how many parts to cut them. Counts are combined before the shuffle."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     return counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("long").alias("_parts"))
 
@@ -28,7 +26,10 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
     ``hot`` is the result of ``hot_keys`` when it is known already.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(left.select(*keys), keys, hot_rows) if hot is None else hot)
+    if hot is None:
+        hot = hot_keys(left.select(*keys), keys, hot_rows)
+    # a key beyond the limit stays whole on both sides
+    hot = F.broadcast(hot.orderBy(F.desc("_parts"), *keys).limit(MOST_HOT_KEYS))
     parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
     cut = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread_by), parts)).drop("_parts")
     copies = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
@@ -45,6 +46,6 @@ def never_null(key: Column, *row: str) -> Column:
 
 def with_slices(rows: DataFrame, keys: Sequence[str], slice_by: str, slice_rows: int) -> DataFrame:
     """Add ``slice``: 0 for small groups; larger ones are cut into slices of about ``slice_rows`` rows."""
-    hot = F.broadcast(hot_keys(rows.select(*keys), keys, slice_rows))
+    hot = hot_keys(rows.select(*keys), keys, slice_rows)
     parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
     return rows.join(hot, list(keys), "left").withColumn("slice", F.pmod(F.xxhash64(slice_by), parts)).drop("_parts")

@@ -78,7 +78,6 @@ class Clustering:
     tolerance: float = 0.20
     iterations: int = 20
     search_iterations: int = 10
-    subsample: int = 5000
     titles_per_cluster: int = 5
     keywords_per_cluster: int = 10
     recent_age_days: float = 90.0

@@ -40,8 +40,10 @@ def select_interest_works(works: DataFrame, interests: DataFrame, embedder: Embe
     ``works(profile_id, ordinal, source, title, abstract, embedding)``,
     ``interests(profile_id, refined_query, exclude_keywords)``.
     """
+    if p.max_documents > reranker.max_documents:
+        raise ValueError(f"the reranker takes {reranker.max_documents} documents, {p.max_documents} are to be recalled")
     allowed = without_excluded(works, interests)
-    recalled = recall(allowed, query_vectors(interests, embedder), min(p.max_documents, reranker.max_documents))
+    recalled = recall(allowed, query_vectors(interests, embedder), p.max_documents)
     documents = recalled.join(interests.select("profile_id", F.col("refined_query").alias("query")), "profile_id").withColumn(
         "document", F.concat("title", F.lit("\n"), F.coalesce("abstract", F.lit("")))
     )

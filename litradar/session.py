@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,8 +19,8 @@ def pin_utc(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; on a cluster a lost
-    executor or driver host would take a machine-local folder with it.
+    Only a local master may fall back to a temporary folder, which goes when the driver ends; on a
+    cluster a lost executor or driver host would take a machine-local folder with it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -29,6 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="litradar-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from litradar.operators.clusters import centroids, cluster_links, silhouettes
-from litradar.operators.kmeans import choose_cluster_counts, fit_assign
+from litradar.operators.kmeans import choose_cluster_counts, fit_assign, search_k
 from litradar.operators.neighbors import cluster_scores, knn_join, macro_scores, micro_scores, similar_clusters
 from litradar.params import Clustering
 
@@ -102,6 +102,9 @@ def test_k_search_prefers_the_largest_good_k(spark):
     items, _ = clustered(spark)
     got = {r.profile_id: r.k for r in choose_cluster_counts(items, Clustering(min_clusters=2)).collect()}
     assert set(got) == {1, 2} and all(2 <= k <= 12 for k in got.values()) and got[1] == got[2]
+    scores = {(r.profile_id, r.k): r.silhouette for r in search_k(items, Clustering(min_clusters=2)).collect()}
+    cut = {(r.profile_id, r.k): r.silhouette for r in search_k(items, Clustering(min_clusters=2), 17).collect()}
+    assert len(scores) >= 10 and scores.keys() == cut.keys() and all(cut[x] == pytest.approx(v, abs=1e-9) for x, v in scores.items())
     tiny = items.where("profile_id = 1 AND key < '0003'")
     assert [r.k for r in choose_cluster_counts(tiny).collect()] == [1]
 
