@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread_scan
-from .common import BROADCAST_ROWS
 from .shingles import mix64, seeded
 
 WIDTH, GRAM = 200, 50
@@ -269,11 +268,9 @@ def _windows(width: int):
 
 
 def _by_text(spans: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per text with the list of its spans; a list is as long as its text allows. Broadcast while there are few."""
-    lists = cut_lineage(spans.groupBy("doc_id", "_h").agg(F.collect_list(F.struct(*columns)).alias("spans")))
-    total = lists.select(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
-    lists = lists.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_x"), "spans")
-    return F.broadcast(lists) if total["rows"] <= BROADCAST_ROWS and total["spans"] <= 5 * BROADCAST_ROWS else lists
+    """One row per text with the list of its spans; a list is as long as its text allows."""
+    lists = spans.groupBy("doc_id", "_h").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+    return lists.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_x"), "spans")
 
 
 def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
