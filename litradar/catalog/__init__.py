@@ -1,6 +1,6 @@
 """Queries over the given tables, with their DuckDB forms."""
 
 from .base import ORACLE, QUERIES, ROWS
-from . import library, rows, scalars, scores  # noqa: F401
+from . import library, rows, scalars, scores, stored  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "ROWS"]

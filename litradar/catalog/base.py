@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pages import PAGE_NOISE
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -45,6 +47,13 @@ def collapse_sql(x: str) -> str:
     return strip_sql(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
 
 
+def stripped_sql(x: str) -> str:
+    """A page without its noise, white space in one."""
+    for pattern in PAGE_NOISE:
+        x = f"regexp_replace({x}, '{pattern}', '', 'g')"
+    return f"regexp_replace({x}, '{WS}+', ' ', 'g')"
+
+
 def unescape_sql(x: str) -> str:
     """The entities of the given tables; the ampersand comes last."""
     for name, code in (("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("nbsp", 160), ("copy", 169), ("middot", 183), ("amp", 38)):

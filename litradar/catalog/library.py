@@ -14,7 +14,7 @@ from ..plans import interest as interest_plan
 from ..plans.enrich import enrich
 from ..session import spread_scan
 from ..sources import sinks
-from .base import collapse_sql, entry, rounded, strip_sql, unescape_sql
+from .base import collapse_sql, entry, rounded, strip_sql, stripped_sql, unescape_sql
 
 _ITEMS = "library_item"
 
@@ -175,11 +175,34 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract_abstracts(pages).select("doc_id", "abstract")
 
 
-@entry("page_requests", "X6 X7", """
-SELECT page_id, length(html) > 0 AS asked FROM pages""")
+@entry("page_requests", "X6 X7", f"SELECT page_id, sha256({stripped_sql('html')}) AS content, FALSE AS is_cut FROM pages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     extracted = extraction.extract_abstracts(spread_scan(table(spark, sf, "pages")))
-    return extraction.model_requests(extracted).select("page_id", (F.length("content") > 0).alias("asked"))
+    return extraction.model_requests(extracted).select("page_id", F.sha2("content", 256).alias("content"), "is_cut")
+
+
+# pages around each document of which a model gets only a part: a description in either order of the attributes, a section, or the page
+_QUOTED = "replace(replace(text, chr(34), ' '), chr(39), ' ')"
+_FLAT = "replace(replace(text, '<', ' '), '>', ' ')"
+
+
+@entry("shrunk_pages", "X6", f"""
+WITH t AS (SELECT doc_id, lang, {strip_sql(_QUOTED)} AS quoted, {collapse_sql(_FLAT)} AS flat, {_FLAT} AS plain, {_QUOTED} AS raw FROM documents),
+c AS (SELECT *, CASE WHEN lang IN ('en', 'fr') AND length(quoted) > 200 AND NOT starts_with(quoted, 'IEEE') THEN 'Abstract from page metadata: ' || quoted
+  WHEN lang = 'de' AND length(flat) > 100 AND NOT contains(lower(flat), 'show more') THEN 'Abstract section from page: ' || flat END AS part,
+  CASE lang WHEN 'en' THEN '<meta property="og:description" content="' || raw || '">' WHEN 'fr' THEN '<meta content="' || raw || '" property="og:description">'
+    WHEN 'de' THEN '<h2>Abstract</h2>' || plain || '</div>' ELSE '<p>' || plain || '</p>' END AS html FROM t)
+SELECT doc_id, left(coalesce(part, {stripped_sql('html')}), 1500) AS content, length(coalesce(part, {stripped_sql('html')})) > 1500 AND lang NOT IN ('en', 'fr') OR
+  lang IN ('en', 'fr') AND part IS NULL AND length({stripped_sql('html')}) > 1500 AS is_cut FROM c""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    quoted, flat = F.translate("text", "\"'", "  "), F.translate("text", "<>", "  ")
+    lang = F.col("lang")
+    html = F.when(lang == "en", F.concat(F.lit('<meta property="og:description" content="'), quoted, F.lit('">'))).when(
+        lang == "fr", F.concat(F.lit('<meta content="'), quoted, F.lit('" property="og:description">'))).when(
+        lang == "de", F.concat(F.lit("<h2>Abstract</h2>"), flat, F.lit("</div>"))).otherwise(F.concat(F.lit("<p>"), flat, F.lit("</p>")))
+    pages = table(spark, sf, "documents").select("doc_id", html.alias("html"), F.lit(None).cast("string").alias("abstract"))
+    asked = extraction.model_requests(pages, most_page=1500, most_section=1500 - 28)
+    return asked.select("doc_id", F.left("content", F.lit(1500)).alias("content"), "is_cut")
 
 
 @entry("stored_extractions", "X8 S9 S10", """
@@ -203,7 +226,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @entry("encoded_texts", "U1 C17")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("content_hash"), "text")
-    vectors = encode_texts(texts, HashingEmbedder(), concurrency=8)
+    vectors = encode_texts(texts, HashingEmbedder())
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return vectors.select("content_hash", F.size("embedding").cast("long").alias("dimensions"), rounded(norm, 4).alias("squared_norm"))
 
@@ -221,7 +244,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @entry("completed_prompts", "U4")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Title: "), F.col("source"), F.lit("\n"), F.col("text")).alias("prompt"))
-    return complete_prompts(asked, EchoCompleter(), ["doc_id"], concurrency=8).select("doc_id", "answer", "tokens_used")
+    return complete_prompts(asked, EchoCompleter(), ["doc_id"]).select("doc_id", "answer", "tokens_used")
 
 
 _WORDS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')), lambda q: q <> '')"
@@ -353,8 +376,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     works = _works(spark, sf)
     texts = works.select(F.col("identifier").alias("content_hash"), F.col("abstract").alias("text"))
-    vectors = encode_texts(texts, HashingEmbedder(), concurrency=8).withColumnRenamed("content_hash", "identifier")
-    described = _interests(spark, sf).where("profile_id < 4")
+    vectors = encode_texts(texts, HashingEmbedder()).withColumnRenamed("content_hash", "identifier")
+    # every benchmark text describes an interest; a profile takes its first
+    described = _interests(spark, sf).groupBy((F.col("profile_id") % 4).alias("profile_id")).agg(F.min_by("description", "profile_id").alias("description"))
     refined = services.refine_interests(described, EchoCompleter())
     chosen = interest_plan.select_interest_works(works.join(vectors, "identifier").drop("score", "label", "rank"), refined, HashingEmbedder(), OverlapReranker(),
                                                  view(spark, sf, "candidate_issn"), view(spark, sf, "journal"))

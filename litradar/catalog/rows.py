@@ -547,7 +547,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("source", "identifier", "title", "label")
 
 
-@entry("registered_sources", "S16")
+@entry("registered_sources", "S16", "SELECT 'pages' AS source, count(*) AS works FROM pages UNION ALL SELECT 'documents', count(*) FROM documents")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     registry = readers.SourceRegistry()
     for name in ("pages", "documents", "embeddings"):

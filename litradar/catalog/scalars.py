@@ -9,7 +9,7 @@ from ..fixtures.views import oracle, query, table, view
 from ..functions import answers, clock, feed, prompts, scoring, text, titles
 from ..functions.pages import clean_texts, detect_publisher, is_highlights, meta_content, stripped_page
 from ..operators.stats import venue_type
-from .base import collapse_sql, entry, rounded, strip_sql, unescape_sql
+from .base import collapse_sql, entry, rounded, strip_sql, stripped_sql, unescape_sql
 
 
 @entry("normalized_identifiers", "C1", f"""
@@ -347,10 +347,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", is_highlights(t).alias("is_highlights"))
 
 
-@entry("stripped_pages", "X6", """
-SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-    '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
-    '(?is)<nav[^>]*>.*?</nav>', '', 'g'), '(?is)<header[^>]*>.*?</header>', '', 'g'), '(?is)<footer[^>]*>.*?</footer>', '', 'g'),
-    '\\s+', ' ', 'g'), 15000) AS content FROM pages""")
+@entry("stripped_pages", "X6", f"SELECT page_id, {stripped_sql('html')} AS content FROM pages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", stripped_page(F.col("html")).alias("content"))

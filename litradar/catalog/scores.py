@@ -120,10 +120,10 @@ _EVENT_SCORES = """
 WITH e AS (SELECT event_id AS ordinal, user_id % 5 AS profile_id, round(value / 100.0, 4) AS score, event_type, ts FROM events)"""
 
 
-def _event_scores(spark: SparkSession, sf: str) -> DataFrame:
+def _event_scores(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     source = F.when(kind == "view", "arXiv").when(kind == "click", "biorxiv").when(kind == "signup", "medRxiv").when(kind == "error", "arxiv").otherwise("crossref")
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("ordinal"), (F.col("user_id") % 5).alias("profile_id"), F.round(F.col("value") / 100, 4).alias("score"),
         source.alias("source"), F.col("event_type"), F.col("ts").cast("timestamp").alias("published"),
     )
@@ -132,14 +132,14 @@ def _event_scores(spark: SparkSession, sf: str) -> DataFrame:
 @entry("percentile_thresholds", "A23", _EVENT_SCORES + _thresholds_sql("e") + """
 SELECT profile_id, round(must_read, 6)::DOUBLE AS must_read, round(consider, 6)::DOUBLE AS consider, 'dynamic' AS mode FROM th""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    th = rk.percentile_thresholds(rk.order_by_score(_event_scores(spark, sf)))
+    th = rk.percentile_thresholds(rk.order_by_score(_event_scores(table(spark, sf, "events"))))
     return th.withColumns({"must_read": rounded("must_read"), "consider": rounded("consider")})
 
 
 @entry("floored_thresholds", "A23", _EVENT_SCORES + _thresholds_sql("e", (0.99, 1.2)) + """
 SELECT profile_id, round(must_read, 6)::DOUBLE AS must_read, round(consider, 6)::DOUBLE AS consider, 'dynamic' AS mode FROM th""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    th = rk.percentile_thresholds(rk.order_by_score(_event_scores(spark, sf)), Thresholds(min_must_read=0.99, min_consider=1.2))
+    th = rk.percentile_thresholds(rk.order_by_score(_event_scores(table(spark, sf, "events"))), Thresholds(min_must_read=0.99, min_consider=1.2))
     return th.withColumns({"must_read": rounded("must_read"), "consider": rounded("consider")})
 
 
@@ -149,19 +149,19 @@ t AS (SELECT profile_id, count(*) AS total FROM b GROUP BY 1), n AS (SELECT unne
 SELECT t.profile_id, total, n.label, count(b.label) AS label_count, round(100.0 * count(b.label) / total, 6)::DOUBLE AS percent
 FROM t CROSS JOIN n LEFT JOIN b ON b.profile_id = t.profile_id AND b.label = n.label GROUP BY t.profile_id, total, n.label""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    labeled, _ = label_and_order(_event_scores(spark, sf))
+    labeled, _ = label_and_order(_event_scores(table(spark, sf, "events")))
     return rk.label_distribution(labeled).withColumn("percent", rounded("percent"))
 
 
 @entry("full_ranks", "W5", _EVENT_SCORES + " SELECT profile_id, ordinal, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, ordinal) AS rank FROM e")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rk.full_rank(rk.order_by_score(_event_scores(spark, sf))).select("profile_id", "ordinal", "rank")
+    return rk.full_rank(rk.order_by_score(_event_scores(table(spark, sf, "events")))).select("profile_id", "ordinal", "rank")
 
 
 @entry("top_ranked", "W5", _EVENT_SCORES + """
 , r AS (SELECT profile_id, ordinal, score, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, ordinal) AS rank FROM e) SELECT * FROM r WHERE rank <= 20""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rk.top_ranked(_event_scores(spark, sf), 20).select("profile_id", "ordinal", "score", "rank")
+    return rk.top_ranked(_event_scores(table(spark, sf, "events")), 20).select("profile_id", "ordinal", "score", "rank")
 
 
 # the admitted count p(t) = min(p(t-1) + 1, cap(others so far)); its closed form over running values
@@ -177,12 +177,12 @@ SELECT profile_id, ordinal FROM q WHERE NOT pre OR coalesce(admitted, a) > coale
 
 @entry("limited_preprints", "W4", _EVENT_SCORES + _CAP.format(cap="j"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rk.limit_preprints(rk.order_by_score(_event_scores(spark, sf)), 0.5).select("profile_id", "ordinal")
+    return rk.limit_preprints(rk.order_by_score(_event_scores(table(spark, sf, "events"))), 0.5).select("profile_id", "ordinal")
 
 
 @entry("limited_preprints_default", "W4", _EVENT_SCORES + _CAP.format(cap="9 * j"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rk.limit_preprints(rk.order_by_score(_event_scores(spark, sf)), 0.9).select("profile_id", "ordinal")
+    return rk.limit_preprints(rk.order_by_score(_event_scores(table(spark, sf, "events"))), 0.9).select("profile_id", "ordinal")
 
 
 @entry("cold_start", "W10 J7", oracle("candidate journal candidate_issn", _JOURNAL.replace(",", ", ", 1) + """
@@ -346,39 +346,67 @@ def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rk.top_ranked(labeled, 20).select("profile_id", "ordinal", rounded("score").alias("score"), "label", "rank")
 
 
-def _watch_sql() -> str:
-    return _SCORED.replace("FROM candidate)", "FROM candidate WHERE abstract <> '')", 1) + _thresholds_sql("sc") + """,
-b AS (SELECT sc.*, c.source, c.published, CASE WHEN score >= must_read THEN 'must_read' WHEN score >= consider THEN 'consider' ELSE 'ignore' END AS label
-      FROM sc JOIN th USING (profile_id) JOIN candidate c USING (ordinal)),
+# profiles without a library
+_COLD = (7, 8)
+
+
+def _watch_sql(result: str) -> str:
+    cold = ", ".join(f"({p}::BIGINT)" for p in _COLD)
+    return _SCORED.replace("FROM candidate)", "FROM candidate WHERE abstract <> '')", 1) + """,
+sd AS (SELECT * FROM sc WHERE NOT (profile_id = 0 AND ordinal % 50 = 7))""" + _thresholds_sql("sd") + f""",
+cold AS (SELECT p.profile_id, c.ordinal, 0.0::DOUBLE AS score, c.source, c.published, 'consider' AS label,
+    (('0x' || substr(sha256('42:' || p.profile_id || ':' || c.identifier), 1, 13))::BIGINT)::DOUBLE AS sk
+  FROM candidate c CROSS JOIN (VALUES {cold}) p(profile_id) WHERE c.abstract <> ''),""" + """
+b AS (SELECT sd.profile_id, ordinal, score, c.source, c.published, CASE WHEN score >= must_read THEN 'must_read' WHEN score >= consider THEN 'consider' ELSE 'ignore' END AS label, score AS sk
+      FROM sd JOIN th USING (profile_id) JOIN candidate c USING (ordinal) UNION ALL SELECT * FROM cold),
 rc AS (SELECT * FROM b WHERE published >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 31 DAY),
 o AS (SELECT *, row_number() OVER w AS t, source = 'arxiv' AS pre, sum(CASE WHEN source = 'arxiv' THEN 1 ELSE 0 END) OVER w AS a,
-      sum(CASE WHEN source <> 'arxiv' THEN 1 ELSE 0 END) OVER w AS j FROM rc WINDOW w AS (PARTITION BY profile_id ORDER BY score DESC, ordinal ROWS UNBOUNDED PRECEDING)),
+      sum(CASE WHEN source <> 'arxiv' THEN 1 ELSE 0 END) OVER w AS j FROM rc WINDOW w AS (PARTITION BY profile_id ORDER BY sk DESC, ordinal ROWS UNBOUNDED PRECEDING)),
 gp AS (SELECT *, CASE WHEN pre THEN j - a END AS gap FROM o),
 p AS (SELECT *, a + least(0, min(gap) OVER (PARTITION BY profile_id ORDER BY t ROWS UNBOUNDED PRECEDING)) AS admitted FROM gp),
 q AS (SELECT *, coalesce(lag(admitted) OVER (PARTITION BY profile_id ORDER BY t), 0) AS earlier FROM p),
-f AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, ordinal) AS rank FROM q WHERE NOT pre OR coalesce(admitted, a) > coalesce(earlier, 0))
-SELECT profile_id, ordinal, round(score, 6)::DOUBLE AS score, label, source, rank FROM f WHERE rank <= 20"""
+f AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY sk DESC, ordinal) AS rank FROM q WHERE NOT pre OR coalesce(admitted, a) > coalesce(earlier, 0))
+""" + result
 
 
 def watch_frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The full run; works and library have no titles or DOIs in common, so the dedupe keeps distinct works."""
+    """The full run on candidates of which some repeat a DOI, are known to a profile, have a blank DOI or no vector; two profiles have no library."""
+    from ..functions.text import content_hash, embedding_text
+    from ..models.providers import HashingEmbedder
     from ..plans.watch import watch
 
     library, candidates, journals, issns = _inputs(spark, sf)
-    works = candidates.withColumn("title", F.col("identifier")).withColumn("doi", F.concat(F.lit("10.1000/x"), "identifier"))
+    col = F.col
+    doi = F.when(col("ordinal") % 50 == 9, F.lit("  ")).otherwise(F.concat(F.lit("10.1000/x"), "identifier"))
+    works = candidates.withColumn("title", col("identifier")).withColumn("doi", doi)
+    # later copies under another identifier and title
+    copies = works.where("ordinal % 50 = 0").withColumn("ordinal", col("ordinal") + 1_000_000).withColumn("identifier", F.concat(F.lit("copy-"), "identifier")).withColumn("title", F.concat(F.lit("z"), "title"))
+    works = works.unionByName(copies)
+    # every tenth vector is only in the store
+    text = embedding_text(col("title"), col("abstract"))
+    model = HashingEmbedder()
+    moved = works.where("ordinal % 10 = 3")
+    store = moved.select(content_hash(text).alias("content_hash"), F.lit(model.name).alias("model"), "embedding", F.lit(None).cast("timestamp").alias("expires_at"))
+    works = works.withColumn("embedding", F.when(col("ordinal") % 10 != 3, col("embedding")))
     known = library.select("profile_id", F.concat(F.lit("item-"), "key").alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("url"))
-    follows = library.select("profile_id").distinct().select("profile_id", F.explode(F.array(F.lit("arxiv"), F.lit("crossref"))).alias("source"))
+    owned = candidates.where("ordinal % 50 = 7").select(F.lit(0).cast("long").alias("profile_id"), F.lit("").alias("title"), F.concat(F.lit(" 10.1000/X"), "identifier").alias("doi"), F.lit("  ").alias("url"))
+    profiles = library.select("profile_id").distinct().union(spark.createDataFrame([(p,) for p in _COLD], "profile_id long"))
+    follows = profiles.select("profile_id", F.explode(F.array(F.lit("arxiv"), F.lit("crossref"))).alias("source"))
     settings = WatchSettings(limits=WatchLimits(recent_days=31, max_preprint_ratio=0.5, top_k=20))
-    return watch(works, library, known, follows, profile_clusters(library, AS_OF), issns, journals, AS_OF, settings)
+    return watch(works, library, known.unionByName(owned), follows, profile_clusters(library, AS_OF), issns, journals, AS_OF, settings, store=store, embedder=model)
 
 
-@entry("watch", "P2 F8 W4 W5 A23", oracle(_SCORE_VIEWS, _watch_sql()))
+@entry("watch", "P2 F8 W4 W5 W10 A23 J1 J4 J5", oracle(_SCORE_VIEWS, _watch_sql("SELECT profile_id, ordinal, round(score, 6)::DOUBLE AS score, label, source, rank FROM f WHERE rank <= 20")))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return watch_frames(spark, sf)["recommendations"].select("profile_id", "ordinal", rounded("score").alias("score"), "label", "source", "rank")
 
 
-@entry("watch_funnel", "A24", oracle("library candidate", """
-, p AS (SELECT DISTINCT profile_id FROM library), n AS (SELECT count(*) AS a, count(*) FILTER (WHERE abstract <> '') AS b FROM candidate)
-SELECT profile_id, 'offered' AS stage, a AS works FROM p, n UNION ALL SELECT profile_id, 'deduped', a FROM p, n UNION ALL SELECT profile_id, 'with_abstract', b FROM p, n"""))
+@entry("watch_funnel", "A24", oracle(_SCORE_VIEWS, _watch_sql(f"""
+, pf AS (SELECT DISTINCT profile_id FROM library UNION ALL VALUES {', '.join(f'({p}::BIGINT)' for p in _COLD)}),
+n AS (SELECT count(*) AS a, count(*) FILTER (WHERE ordinal % 50 = 0) AS again, count(*) FILTER (WHERE ordinal % 50 = 7) AS owned, count(*) FILTER (WHERE abstract <> '') AS b,
+  count(*) FILTER (WHERE ordinal % 50 = 7 AND abstract <> '') AS owned_b FROM candidate)
+SELECT profile_id, 'offered' AS stage, a + again AS works FROM pf, n UNION ALL SELECT profile_id, 'deduped', CASE WHEN profile_id = 0 THEN a - owned ELSE a END FROM pf, n
+UNION ALL SELECT profile_id, 'with_abstract', CASE WHEN profile_id = 0 THEN b - owned_b ELSE b END FROM pf, n
+UNION ALL SELECT profile_id, 'recent', count(*) FROM rc GROUP BY 1 UNION ALL SELECT profile_id, 'capped', count(*) FROM f GROUP BY 1""")))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return watch_frames(spark, sf)["funnel"].where("stage IN ('offered', 'deduped', 'with_abstract')").select("profile_id", "stage", "works")
+    return watch_frames(spark, sf)["funnel"].select("profile_id", "stage", "works")

@@ -187,10 +187,17 @@ def is_highlights(text: Column) -> Column:
     return (text == "") | F.lower(text).startswith("highlights") | ((bullets > 2) & (bullets >= ends))
 
 
+def _has_text(raw: Column) -> Column:
+    """Whether anything is left after cleaning; only tags, coded tags, white space and the heading vanish."""
+    tags = strip_tags(F.regexp_replace(F.regexp_replace(raw, "(?i)&lt;?|&#60;?|&#x3c;?", "<"), "(?i)&gt;?|&#62;?|&#x3e;?", ">"))
+    spaces = F.regexp_replace(tags, r"&(?:nbsp|ensp|emsp|thinsp|Tab|NewLine|#(?:9|10|13|32|160)|#x(?:9|[aAdD]|20|[aA]0));?", " ")
+    return _tidy(spaces) != ""
+
+
 def _long_meta(page: Column, rules: Rules) -> Column:
-    """First meta tag that is long enough as it is; later ones are not searched."""
+    """First meta tag that is long enough as it is; later ones are not searched. One without any text does not count."""
     tries = [bind(meta_content(page, a, v), lambda m: F.when(F.length(m) >= MIN_ABSTRACT, m)) for a, v in rules.meta]
-    return F.coalesce(*tries)
+    return bind(F.coalesce(*tries), lambda m: F.when(_has_text(m), m))
 
 
 def own_meta(page: Column, publisher: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import with_slices
+from .skew import skew_join, with_slices
 
 BLOCK_ROWS = 20_000
 _SCORE_ROWS = 1024  # candidate rows per matrix product inside a block
@@ -90,10 +90,28 @@ def _each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
+def _reaching(candidates: DataFrame, homes: DataFrame, n_right: int, wanted: DataFrame | None) -> DataFrame:
+    """Candidates with the library blocks ``rb_c`` they have to meet: all, or those with a profile that wants them.
+
+    ``homes(profile_id, rb)`` tells in which blocks a profile is.
+    """
+    rows = candidates.select(F.col("ordinal").cast("long").alias("ordinal"), "embedding")
+    if wanted is None:
+        return rows.select("*", _each(n_right).alias("rb_c"))
+    pairs = wanted.select(F.col("profile_id").cast("long").alias("profile_id"), F.col("ordinal").cast("long").alias("ordinal"))
+    if n_right == 1:
+        return rows.join(pairs.select("ordinal").distinct(), "ordinal", "left_semi").withColumn("rb_c", F.lit(0).cast("long"))
+    spots = skew_join(pairs, homes.distinct(), ["profile_id"], "inner", ["ordinal"]).select("ordinal", F.col("rb").alias("rb_c")).distinct()
+    return rows.join(spots, "ordinal")
+
+
 def knn_join(candidates: DataFrame, library: DataFrame, k: int = 5, eps: float = 1e-12,
-             block_rows: int = BLOCK_ROWS) -> DataFrame:
+             block_rows: int = BLOCK_ROWS, wanted: DataFrame | None = None) -> DataFrame:
     """The k library items most similar to each candidate, per profile.
 
+    ``wanted(profile_id, ordinal)`` sends a candidate only to blocks with a profile that wants it; a block may
+    hold others, too, so the caller keeps the wanted pairs of the result.
+
     ``candidates(ordinal, embedding)``, ``library(profile_id, key, weight, embedding)`` give
     ``(profile_id, ordinal, key, weight, sim, rank)``; ties go to the smaller key.
     """
@@ -108,17 +126,10 @@ def knn_join(candidates: DataFrame, library: DataFrame, k: int = 5, eps: float =
 
     right = library.select("profile_id", "key", F.col("weight").cast("double").alias("weight"), "embedding")
     right = with_slices(right, ["profile_id"], "key", block_rows) if n_right > 1 else right.withColumn("slice", F.lit(0).cast("long"))
-    right = right.select(
-        F.pmod(F.xxhash64("profile_id", "slice"), F.lit(n_right)).alias("rb"),
-        _each(n_left).alias("lb"),
-        "profile_id", "key", "weight", "embedding",
-    )
-    left = candidates.select(
-        F.pmod(F.xxhash64("ordinal"), F.lit(n_left)).alias("lb_c"),
-        _each(n_right).alias("rb_c"),
-        F.col("ordinal").cast("long").alias("ordinal"),
-        F.col("embedding").alias("embedding"),
-    )
+    block = F.pmod(F.xxhash64("profile_id", "slice"), F.lit(n_right)).alias("rb")
+    left = _reaching(candidates, right.select("profile_id", block), n_right, wanted)
+    left = left.select(F.pmod(F.xxhash64("ordinal"), F.lit(n_left)).alias("lb_c"), "rb_c", "ordinal", "embedding")
+    right = right.select(block, _each(n_left).alias("lb"), "profile_id", "key", "weight", "embedding")
     found = left.groupBy("lb_c", "rb_c").cogroup(right.groupBy("lb", "rb")).applyInArrow(
         _block_top_k(k, eps), "profile_id long, ordinal long, key string, weight double, sim double"
     )
@@ -179,29 +190,25 @@ def _block_clusters(keep: int, eps: float):
 
 
 def cluster_scores(candidates: DataFrame, clusters: DataFrame, keep: int = 5, eps: float = 1e-8,
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS, wanted: DataFrame | None = None) -> DataFrame:
     """Per candidate and profile: the winning cluster (``is_best``) and the ``keep`` most similar ones.
 
     ``clusters(profile_id, cluster_id, centroid, effective_size)``. The winner maximises
     sim * ln(1 + effective size); its macro score is that over the largest ln(1 + size).
-    A profile has at most a few dozen clusters, so it is never split over blocks.
+    A profile has at most a few dozen clusters, so it is never split over blocks. ``wanted`` as in ``knn_join``.
     """
     spark = candidates.sparkSession
     n_clusters, n_candidates = clusters.count(), candidates.count()
     n_left = _blocks(n_candidates, block_rows, spark.sparkContext.defaultParallelism)
     n_right = max(1, math.ceil(n_clusters / block_rows))
+    block = F.pmod(F.xxhash64("profile_id"), F.lit(n_right)).alias("rb")
     right = clusters.select(
-        F.pmod(F.xxhash64("profile_id"), F.lit(n_right)).alias("rb"),
-        _each(n_left).alias("lb"),
+        block, _each(n_left).alias("lb"),
         "profile_id", F.col("cluster_id").cast("long").alias("cluster_id"), "centroid",
         F.log1p("effective_size").alias("log_size"),
     )
-    left = candidates.select(
-        F.pmod(F.xxhash64("ordinal"), F.lit(n_left)).alias("lb_c"),
-        _each(n_right).alias("rb_c"),
-        F.col("ordinal").cast("long").alias("ordinal"),
-        F.col("embedding").alias("embedding"),
-    )
+    left = _reaching(candidates, clusters.select("profile_id", block), n_right, wanted)
+    left = left.select(F.pmod(F.xxhash64("ordinal"), F.lit(n_left)).alias("lb_c"), "rb_c", "ordinal", "embedding")
     return left.groupBy("lb_c", "rb_c").cogroup(right.groupBy("lb", "rb")).applyInArrow(_block_clusters(keep, eps), _CLUSTER_SCHEMA)
 
 

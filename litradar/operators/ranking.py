@@ -135,10 +135,11 @@ def limit_preprints(ordered: DataFrame, max_ratio: float = 0.9, score: str = "sc
 
 
 def cold_start(candidates: DataFrame, seed: int = 42) -> DataFrame:
-    """No library yet: a repeatable shuffle, score 0, everything labelled "consider"."""
+    """No library yet: a repeatable shuffle (the first digits of a hash), score 0, everything labelled "consider"."""
+    mixed = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("profile_id").cast("string"), F.col("identifier")), 256)
     return candidates.select(
         "*", F.lit(0.0).alias("score"), F.lit(0.0).alias("similarity"), F.lit("consider").alias("label"),
-        F.xxhash64(F.lit(seed), "profile_id", "identifier").alias("shuffle_key"),
+        F.conv(F.substring(mixed, 1, 13), 16, 10).cast("double").alias("shuffle_key"),
     )
 
 

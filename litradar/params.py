@@ -108,3 +108,4 @@ class WatchSettings:
     limits: WatchLimits = field(default_factory=WatchLimits)
     interests: Interests = field(default_factory=Interests)
     title_threshold: float = 0.9
+    candidate_ttl_days: int = 7

@@ -20,19 +20,23 @@ def profile_clusters(library: DataFrame, as_of, s: WatchSettings = WatchSettings
 
 
 def score_candidates(candidates: DataFrame, library: DataFrame, clusters: DataFrame | None, issns: DataFrame, journals: DataFrame, as_of,
-                     s: WatchSettings = WatchSettings()) -> DataFrame:
-    """Score of every candidate for every profile with a library.
+                     s: WatchSettings = WatchSettings(), wanted: DataFrame | None = None) -> DataFrame:
+    """Score of every candidate for every profile with a library, or of the ``wanted(profile_id, ordinal)`` pairs.
 
     Only narrow columns are carried; texts are attached to the rows that survive. Without
-    clusters the similarity is the plain best one.
+    clusters the similarity is the plain best one. Candidates without a vector are left out; see ``with_vectors``.
     """
     vectors = candidates.where("embedding IS NOT NULL").select("ordinal", "embedding")
     items = with_weight(library.select("profile_id", "key", "date_added", "embedding"), as_of, s.decay)
-    micro = micro_scores(knn_join(vectors, items, s.fusion.neighbors))
+    near = knn_join(vectors, items, s.fusion.neighbors, wanted=wanted)
+    pair = ["profile_id", "ordinal"]
+    if wanted is not None:
+        near = near.join(wanted.select(*pair), pair, "left_semi")
+    micro = micro_scores(near)
     if clusters is None:
         joined = micro.withColumn("macro", F.lit(None).cast("double")).withColumn("cluster_id", F.lit(None).cast("long"))
     else:
-        joined = micro.join(macro_scores(cluster_scores(vectors, clusters)), ["profile_id", "ordinal"], "left")
+        joined = micro.join(macro_scores(cluster_scores(vectors, clusters, wanted=wanted)), ["profile_id", "ordinal"], "left")
     fused = F.col("macro").isNotNull()
     journal = journal_scores(candidates, issns, journals, s.journal)
     narrow = candidates.select("ordinal", "identifier", "source", "published").join(journal, "ordinal")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import in_zone, moment, rfc822
@@ -47,23 +47,33 @@ def feed_xml(items: DataFrame) -> DataFrame:
     return items.select("profile_id", "rank", F.concat(F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>")).alias("item_xml"))
 
 
-def feed_documents(works: DataFrame, as_of, title: str = "Literature feed", link: str = "https://example.com",
-                   about: str = "Recommended papers") -> DataFrame:
-    """One feed document per profile. The works are cut to top_k first, so a document is bounded."""
-    head = F.concat(
+def _feed_head(as_of, title: str, link: str, about: str) -> Column:
+    return F.concat(
         F.lit(f'<?xml version="1.0" encoding="utf-8"?><rss version="2.0" {FEED_NAMESPACES}><channel>'),
         _element("title", F.lit(title)), _element("link", F.lit(link)), _element("description", F.lit(about)),
         _element("lastBuildDate", rfc822(moment(as_of))),
     )
+
+
+def feed_documents(works: DataFrame, as_of, most_items: int, title: str = "Literature feed", link: str = "https://example.com",
+                   about: str = "Recommended papers") -> DataFrame:
+    """One feed document per profile with its first ``most_items`` works; ``write_feeds`` has no such limit."""
+    first = Window.partitionBy("profile_id").orderBy("rank")
+    works = works.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most_items).drop("_n")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_xml"))), lambda x: x["item_xml"]), "")
     return feed_xml(feed_items(works, as_of)).groupBy("profile_id").agg(listed.alias("items")).select(
-        "profile_id", F.concat(head, F.col("items"), F.lit("</channel></rss>")).alias("value")
+        "profile_id", F.concat(_feed_head(as_of, title, link, about), F.col("items"), F.lit("</channel></rss>")).alias("value")
     )
 
 
-def write_feeds(works: DataFrame, path: str, as_of, **channel: str) -> None:
-    """One folder with an XML file per profile."""
-    feed_documents(works, as_of, **channel).write.mode("overwrite").partitionBy("profile_id").text(path)
+def write_feeds(works: DataFrame, path: str, as_of, title: str = "Literature feed", link: str = "https://example.com", about: str = "Recommended papers") -> None:
+    """One folder with an XML file per profile, a line per item: a feed of any length is sorted and written, never held."""
+    items = feed_xml(feed_items(works, as_of)).select("profile_id", F.lit(1).alias("part"), "rank", F.regexp_replace("item_xml", "\n", "&#10;").alias("value"))
+    profiles = items.select("profile_id").distinct()
+    edge = lambda part, value: profiles.select("profile_id", F.lit(part).alias("part"), F.lit(0).cast("long").alias("rank"), value.alias("value"))
+    lines = items.union(edge(0, _feed_head(as_of, title, link, about))).union(edge(2, F.lit("</channel></rss>")))
+    ordered = lines.repartition("profile_id").sortWithinPartitions("profile_id", "part", "rank")
+    ordered.select("profile_id", "value").write.mode("overwrite").partitionBy("profile_id").text(path)
 
 
 def note_payload(works: DataFrame, collection: str, tag: str = "recommendation", note: Column | None = None) -> DataFrame:

@@ -81,11 +81,15 @@ class LogStore:
 
     def current(self) -> DataFrame:
         """Live rows: last per key, tombstones gone."""
-        newest = latest(self.log(), self.keys, [*self.order, "is_deleted"])
+        return self._newest(self.log())
+
+    def _newest(self, log: DataFrame) -> DataFrame:
+        newest = latest(log, self.keys, [*self.order, "is_deleted"])
         return newest.where(~F.coalesce(F.col("is_deleted"), F.lit(False))).drop("is_deleted")
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        return self.current().join(keys, self.keys, "left_semi")
+        """Live rows of some keys; only their rows of the log are grouped."""
+        return self._newest(self.log().join(keys.select(*self.keys).distinct(), self.keys, "left_semi"))
 
     def compact(self, target: str) -> "LogStore":
         """Write the live rows to a new folder; the caller switches over when it is complete."""

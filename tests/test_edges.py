@@ -165,6 +165,8 @@ def test_extraction_rules(spark):
         (page(f'<section class="my-abstract-box"><p>{LONG}</p></section>'), LONG),
         (page('{"abstract": "Quote \\" and ' + LONG + '"}', "https://ieeexplore.ieee.org/document/1"), 'Quote " and ' + LONG),
         (page(f'<div id="abstract">{short}</div>'), None),
+        # a tag of which nothing is left does not end the search
+        (page('<meta name="dc.description" content="' + "&lt;b&gt;&#160;&lt;/b&gt; " * 20 + f'"><section class="abstract">{LONG}</section>', "https://www.nature.com/x"), LONG),
         (page(""), None),
         # the host must end with the domain
         (page(f'<div id="Abs1-content">{LONG}</div>', "https://signature.com/x"), None),

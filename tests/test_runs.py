@@ -148,6 +148,24 @@ def test_watch(spark):
     assert funnel[1, "offered"] == 60 and funnel[1, "deduped"] == 60 - 5 - 1 and funnel[9, "offered"] == 40
 
 
+def test_watch_serves_cold_profiles_fills_vectors_and_selects_by_interest(spark):
+    library, works, known, follows, issns, journals = world(spark)
+    follows = follows.union(spark.createDataFrame([(9, "crossref")], "profile_id long, source string"))
+    works = works.withColumn("embedding", F.when(F.col("ordinal") % 7 != 5, F.col("embedding")))
+    s = WatchSettings(limits=WatchLimits(recent_days=7, max_preprint_ratio=0.9, top_k=0), title_threshold=0.97)
+    interests = spark.createDataFrame([(9, "survey of text", [])], "profile_id long, refined_query string, exclude_keywords array<string>")
+    store = spark.createDataFrame([], stores.EMBEDDING)
+    out = watch(works, library, known, follows, profile_clusters(library, AS_OF), issns, journals, AS_OF, s, store=store, embedder=HashingEmbedder(8), interests=interests, reranker=OverlapReranker())
+    rows = out["recommendations"].collect()
+    cold = [r for r in rows if r.profile_id == 9]
+    assert cold and {(r.label, r.score) for r in cold} == {("consider", 0.0)}
+    assert any(r.ordinal % 7 == 5 for r in rows if r.profile_id == 1)
+    assert out["new_embeddings"].count() == 8
+    assert {r.profile_id: r.mode for r in out["thresholds"].collect()} == {1: "dynamic", 2: "dynamic", 9: "random"}
+    picked = out["interest"].collect()
+    assert len(picked) == 5 and {r.profile_id for r in picked} == {9} and all("Survey" in r.title for r in picked)
+
+
 def test_cold_profiles_are_shuffled_the_same_way(spark):
     library, works, _, follows, issns, journals = world(spark)
     offered = fan_out(works.select("ordinal", "identifier", "source"), follows)
