@@ -12,8 +12,9 @@ its sampled suffixes. The tuples (k-gram, context, place) are sorted externally
    fetched, and the strings at each offset before the sample are compared by hash within the k-gram.
 
 Matches never cross documents, and a string that repeats within its document counts. Contexts that repeat within a batch
-are settled there, one stands for all; k-grams with very many contexts are compared by a shuffle on the string instead
-of in one task.
+are settled there, one stands for all. K-grams that are very frequent in a sample of the documents are spread over tasks
+by context, and those with very many contexts are compared by a shuffle on the string instead of in one task; both
+change the distribution of the work, not the result.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from .shingles import mix64, seeded
 WIDTH, GRAM = 200, 50
 # windows of a long text that are worked on at once
 CHUNK = 1 << 20
-# more contexts of one k-gram than this are not compared in one task
+# more rows of one k-gram than this do not go to one task
 HOT = 20_000
+# one document in so many is looked at to find such k-grams, at most so many of which are spread
+SAMPLE_SHARE, MOST_HOT = 64, 100_000
 _BYTES = seeded(21, 256)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -150,16 +153,18 @@ REPEATS, OPEN, WITNESS = 0, 1, 2
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (gram, context) and leave as ``doc_id, _h, begin, end, gram, state``.
+    """Rows come sorted by (gram, part, context) and leave as ``doc_id, _h, begin, end, gram, state``.
 
-    A row needs its neighbours only. The last row of a batch waits for the next batch; of the row before the first one
-    its key is kept, and whether its gram had another context before.
+    Contexts of a gram in several parts are compared with what the others may hold. Else a row needs its neighbours
+    only. The last row of a batch waits for the next batch; of the row before the first one its key is kept, and whether
+    its gram had another context before.
     """
     waiting, before, other_before = None, None, False
 
     def judge(rows: pa.RecordBatch, n: int) -> pa.RecordBatch:
         nonlocal before, other_before
-        gram, context, mark = (rows.column(c).to_numpy() for c in ("gram", "context", "settled"))
+        gram, context, mark, parts = (rows.column(c).to_numpy() for c in ("gram", "context", "settled", "parts"))
+        spread = parts > 1
         same_gram = np.concatenate(([before is not None and before[0] == gram[0]], gram[1:] == gram[:-1]))
         same_context = same_gram & np.concatenate(([before is not None and before[1] == context[0]], context[1:] == context[:-1]))
         next_gram, next_context = np.append(same_gram[1:], False), np.append(same_context[1:], False)
@@ -167,8 +172,8 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier = np.where(run < 0, other_before, (same_gram & ~same_context)[run])
         span = mark == 2
         repeats = same_context | next_context | (mark == 1) | span
-        witness = repeats & ~span & ~next_context & (earlier | next_gram)
-        is_open = ~repeats & (same_gram | next_gram)
+        witness = repeats & ~span & ~next_context & (earlier | next_gram | spread)
+        is_open = ~repeats & (same_gram | next_gram | spread)
         take = [np.flatnonzero(x[:n]) for x in (repeats, is_open, witness)]
         if n:
             before, other_before = (gram[n - 1], context[n - 1]), bool(earlier[n - 1])
@@ -276,8 +281,14 @@ def _by_text(spans: DataFrame, columns: list[str]) -> DataFrame:
 def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``doc_id, _h, begin, end``: spans (they may overlap) that cover exactly the bytes in a string of ``width`` bytes that starts at two places."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), "text")
-    tuples = spread_scan(texts).mapInArrow(_sampled(width, gram), "gram long, context long, doc_id long, _h long, begin long, end long, settled byte")
-    tuples = tuples.repartition("gram").sortWithinPartitions("gram", "context")
+    tuple_schema = "gram long, context long, doc_id long, _h long, begin long, end long, settled byte"
+    tuples = spread_scan(texts).mapInArrow(_sampled(width, gram), tuple_schema)
+    few = texts.where(F.pmod(F.xxhash64("_h", "doc_id"), F.lit(SAMPLE_SHARE)) == 0).mapInArrow(_sampled(width, gram), tuple_schema)
+    often = few.where("settled < 2").groupBy(F.col("gram").alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") * SAMPLE_SHARE > hot)
+    often = cut_lineage(often.orderBy(F.desc("_n"), "_g").limit(MOST_HOT).select("_g", F.ceil(F.col("_n") * SAMPLE_SHARE / hot).cast("int").alias("_parts")))
+    tuples = tuples.join(F.broadcast(often), F.col("gram") == F.col("_g"), "left").withColumn("parts", F.coalesce("_parts", F.lit(1))).drop("_g", "_parts")
+    tuples = tuples.withColumn("part", F.pmod("context", F.col("parts")).cast("int"))
+    tuples = tuples.repartition("gram", "part").sortWithinPartitions("gram", "part", "context")
     states = cut_lineage(tuples.mapInArrow(_settled, "doc_id long, _h long, begin long, end long, gram long, state byte"))
     open_spans = _by_text(states.where(F.col("state") != REPEATS), ["gram", "begin", "end"])
     match = (F.col("_h") == F.col("_x")) & F.col("doc_id").eqNullSafe(F.col("_d"))

@@ -129,12 +129,14 @@ def test_licenses(spark, folder):
     assert none.where("has_license").count() == 0
 
 
-def test_repeats(spark, folder, rows):
+def test_repeats(spark, folder, rows, monkeypatch):
     want = sorted(edges.without_repeats(rows), key=repr)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert told(QUERIES["op9_suffix_dedup"](spark, folder), *columns) == want
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert told(repeats.remove_repeats(docs, hot=1), *columns) == want
+    monkeypatch.setattr(repeats, "SAMPLE_SHARE", 1)
+    assert told(repeats.remove_repeats(docs, hot=2), *columns) == want
 
 
 def test_repeats_of_texts_in_chunks(spark, monkeypatch):
