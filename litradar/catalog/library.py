@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures.views import AS_OF, LIBRARY_AS_OF, oracle, table, view
 from ..functions import prompts
+from ..functions.pages import LEAD_DESCRIPTION, LEAD_SECTION
 from ..models import services
 from ..models.providers import EchoCompleter, HashingEmbedder, OverlapReranker, complete_prompts, encode_texts, rerank
 from ..operators import extraction, stats
@@ -188,8 +189,8 @@ _FLAT = "replace(replace(text, '<', ' '), '>', ' ')"
 
 @entry("shrunk_pages", "X6", f"""
 WITH t AS (SELECT doc_id, lang, {strip_sql(_QUOTED)} AS quoted, {collapse_sql(_FLAT)} AS flat, {_FLAT} AS plain, {_QUOTED} AS raw FROM documents),
-c AS (SELECT *, CASE WHEN lang IN ('en', 'fr') AND length(quoted) > 200 AND NOT starts_with(quoted, 'IEEE') THEN 'Abstract from page metadata: ' || quoted
-  WHEN lang = 'de' AND length(flat) > 100 AND NOT contains(lower(flat), 'show more') THEN 'Abstract section from page: ' || flat END AS part,
+c AS (SELECT *, CASE WHEN lang IN ('en', 'fr') AND length(quoted) > 200 AND NOT starts_with(quoted, 'IEEE') THEN '{LEAD_DESCRIPTION}' || quoted
+  WHEN lang = 'de' AND length(flat) > 100 AND NOT contains(lower(flat), 'show more') THEN '{LEAD_SECTION}' || flat END AS part,
   CASE lang WHEN 'en' THEN '<meta property="og:description" content="' || raw || '">' WHEN 'fr' THEN '<meta content="' || raw || '" property="og:description">'
     WHEN 'de' THEN '<h2>Abstract</h2>' || plain || '</div>' ELSE '<p>' || plain || '</p>' END AS html FROM t)
 SELECT doc_id, left(coalesce(part, {stripped_sql('html')}), 1500) AS content, length(coalesce(part, {stripped_sql('html')})) > 1500 AND lang NOT IN ('en', 'fr') OR
@@ -201,7 +202,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         lang == "fr", F.concat(F.lit('<meta content="'), quoted, F.lit('" property="og:description">'))).when(
         lang == "de", F.concat(F.lit("<h2>Abstract</h2>"), flat, F.lit("</div>"))).otherwise(F.concat(F.lit("<p>"), flat, F.lit("</p>")))
     pages = table(spark, sf, "documents").select("doc_id", html.alias("html"), F.lit(None).cast("string").alias("abstract"))
-    asked = extraction.model_requests(pages, most_page=1500, most_section=1500 - 28)
+    asked = extraction.model_requests(pages, most_page=1500, most_section=1500 - len(LEAD_SECTION))
     return asked.select("doc_id", F.left("content", F.lit(1500)).alias("content"), "is_cut")
 
 

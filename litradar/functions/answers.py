@@ -42,13 +42,25 @@ def _with_defaults(parsed: Column, defaults: dict[str, Column]) -> Column:
     return F.struct(*[F.when(parsed.isNull(), d).otherwise(parsed[n]).alias(n) for n, d in defaults.items()])
 
 
+# What callers find where an answer could not be read.
+UNREAD = {
+    "research_question": "Unable to extract research question",
+    "methodology": "Unable to extract methodology",
+    "key_findings": "Unable to extract findings",
+    "innovation": "Unable to extract innovation",
+    "background": "Unable to extract background",
+    "methodology_details": "Unable to extract methodology details",
+    "results": "Unable to extract results",
+    "limitations": "Unable to extract limitations",
+    "relevance_to_interests": "Unable to determine relevance",
+}
+OVERVIEW_UNREAD = ("本期共推荐 ", " 篇论文。")
+
+
 def bullets(answer: Column) -> Column:
     text = unfence(answer)
     return _with_defaults(parse(answer, BULLETS), {
-        "research_question": F.lit("Unable to extract research question"),
-        "methodology": F.lit("Unable to extract methodology"),
-        "key_findings": F.lit("Unable to extract findings"),
-        "innovation": F.lit("Unable to extract innovation"),
+        **{name: F.lit(UNREAD[name]) for name in ("research_question", "methodology", "key_findings", "innovation")},
         "relevance_note": F.when(text != "", F.left(text, F.lit(200))),
     })
 
@@ -56,12 +68,9 @@ def bullets(answer: Column) -> Column:
 def detailed(answer: Column) -> Column:
     text = unfence(answer)
     return _with_defaults(parse(answer, DETAILED), {
-        "background": F.lit("Unable to extract background"),
-        "methodology_details": F.lit("Unable to extract methodology details"),
-        "results": F.lit("Unable to extract results"),
-        "limitations": F.lit("Unable to extract limitations"),
+        **{name: F.lit(UNREAD[name]) for name in ("background", "methodology_details", "results", "limitations")},
         "future_directions": F.lit(None).cast("string"),
-        "relevance_to_interests": F.when(text != "", F.left(text, F.lit(200))).otherwise(F.lit("Unable to determine relevance")),
+        "relevance_to_interests": F.when(text != "", F.left(text, F.lit(200))).otherwise(F.lit(UNREAD["relevance_to_interests"])),
     })
 
 
@@ -76,7 +85,7 @@ def interests(answer: Column) -> Column:
 
 def overview(answer: Column, paper_count: Column) -> Column:
     parsed = parse(answer, OVERVIEW)
-    fallback = F.concat(F.lit("本期共推荐 "), paper_count.cast("string"), F.lit(" 篇论文。"))
+    fallback = F.concat(F.lit(OVERVIEW_UNREAD[0]), paper_count.cast("string"), F.lit(OVERVIEW_UNREAD[1]))
     topics = F.transform(
         F.coalesce(parsed["topics"], F.array().cast("array<struct<topic_name:string,paper_count:bigint,description:string>>")),
         lambda t: F.struct(F.coalesce(t["topic_name"], F.lit(UNNAMED)).alias("topic_name"),

@@ -43,6 +43,7 @@ PUBLISHERS: dict[str, Rules] = {
         ("ieeexplore.ieee.org",),
         (("property", "og:description"), ("property", "twitter:description"), ("name", "description")),
         (
+            # possessive, so that a long text does not end in deep recursion
             r'"abstract"\s*:\s*"((?:[^"\\]++|\\.)++)"',
             r'<div[^>]*class=["\'][^"\']*abstract-text[^"\']*["\'][^>]*>(.*?)</div>',
         ),
@@ -268,6 +269,7 @@ OG_DESCRIPTION = (
     r'(?i)<meta[^>]*(?:property=["\']og:description["\'][^>]*content=["\']([^"\']+)["\']'
     r'|content=["\']([^"\']+)["\'][^>]*property=["\']og:description["\'])'
 )
+# the plain description is known in one order of its attributes only
 DESCRIPTION = r'(?i)<meta[^>]*name=["\']description["\'][^>]*content=["\']([^"\']+)["\']'
 SECTIONS = (
     r"<h2[^>]*>\s*Abstract\s*</h2>\s*(.*?)</div",
@@ -281,6 +283,9 @@ SECTIONS = (
 )
 
 
+LEAD_DESCRIPTION, LEAD_SECTION = "The page describes itself as: ", "What looks like the abstract: "
+
+
 def _cut(text: Column, most: int | None) -> Column:
     return text if most is None else F.left(text, F.lit(most))
 
@@ -289,7 +294,7 @@ def abstract_section(page: Column, most: int | None = None) -> Column:
     """The part of a page that looks like an abstract, with a lead-in for the model; null if none."""
     og = strip(F.coalesce(empty_to_null(F.regexp_extract(page, OG_DESCRIPTION, 1)), empty_to_null(F.regexp_extract(page, OG_DESCRIPTION, 2))))
     described = strip(empty_to_null(F.regexp_extract(page, DESCRIPTION, 1)))
-    lead, section_lead = F.lit("Abstract from page metadata: "), F.lit("Abstract section from page: ")
+    lead, section_lead = F.lit(LEAD_DESCRIPTION), F.lit(LEAD_SECTION)
     tries = [
         F.when((F.length(og) > 200) & ~og.startswith("IEEE"), F.concat(lead, og)),
         F.when(F.length(described) > 200, F.concat(lead, described)),

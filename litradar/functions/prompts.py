@@ -57,6 +57,8 @@ PAGE_ABSTRACT = (
 # Language names by code.
 LANGUAGES = {"zh-CN": "简体中文", "zh-TW": "繁体中文", "ja": "日语", "ko": "韩语", "de": "德语", "fr": "法语", "es": "西班牙语"}
 # Section names.
+# Words of the listed lines.
+LINE_ABSTRACT, LINE_TAGS, NO_TAGS, PAPERS = "摘要片段：", "标签：", "无标签", "篇"
 SECTIONS = {"interest": "精选推荐", "similarity": "相似度推荐"}
 
 
@@ -82,13 +84,13 @@ def paper_prompt(template: str, title: Column, abstract: Column, authors: Column
 def overview_line(position: Column, title: Column, abstract: Column) -> Column:
     """Numbered entry with the first 200 characters of the abstract."""
     text = F.coalesce(abstract, F.lit(""))
-    return F.concat(position.cast("string"), F.lit(". "), title, F.lit("\n   摘要片段："), F.left(text, F.lit(200)),
+    return F.concat(position.cast("string"), F.lit(". "), title, F.lit("\n   " + LINE_ABSTRACT), F.left(text, F.lit(200)),
                     F.when(F.length(text) > 200, "...").otherwise(""))
 
 
 def classification_line(position: Column, title: Column, tags: Column) -> Column:
     """Numbered entry with up to five tags."""
-    return F.concat(position.cast("string"), F.lit(". "), title, F.lit("\n   标签："), _or(F.array_join(F.slice(tags, 1, 5), ", "), "无标签"))
+    return F.concat(position.cast("string"), F.lit(". "), title, F.lit("\n   " + LINE_TAGS), _or(F.array_join(F.slice(tags, 1, 5), ", "), NO_TAGS))
 
 
 def cluster_entry(position: Column, member_count: Column, titles: Column, keywords: Column) -> Column:
@@ -99,11 +101,11 @@ def cluster_entry(position: Column, member_count: Column, titles: Column, keywor
 
 def stat_line(name: Column, count: Column, kind: Column | None = None) -> Column:
     middle = F.lit("") if kind is None else F.concat(F.lit(" ["), kind, F.lit("]"))
-    return F.concat(F.lit("- "), name, middle, F.lit(": "), count.cast("string"), F.lit("篇"))
+    return F.concat(F.lit("- "), name, middle, F.lit(": "), count.cast("string"), F.lit(PAPERS))
 
 
 def domain_line(domain: Column, count: Column, percent: Column) -> Column:
-    return F.concat(F.lit("- "), domain, F.lit(": "), count.cast("string"), F.lit("篇 ("), F.format_string("%.1f", percent), F.lit("%)"))
+    return F.concat(F.lit("- "), domain, F.lit(": "), count.cast("string"), F.lit(PAPERS + " ("), F.format_string("%.1f", percent), F.lit("%)"))
 
 
 def joined_lines(position: Column, line: Column, separator: str = "\n") -> Column:

@@ -13,6 +13,17 @@ from ..operators.ranking import first_per_group, numbered_batches
 from ..operators.stats import venue_type
 from .providers import Completer, complete_prompts
 
+# Words of the insight request for parts without data, and for what is new.
+NO_DATA = {
+    "top_domains": "暂无领域分类数据",
+    "top_authors": "暂无作者数据",
+    "top_venues": "暂无期刊/会议数据",
+    "top_keywords": "暂无关键词数据",
+    "quarterly_trends": "近期无新增论文",
+}
+RECENT = ("- 近期新增论文：", "篇\n- 新增关键词：", "无明显新增")
+UNKNOWN = "未知"
+
 
 def summary_signature(provider: str, model: str = "") -> Column:
     """Changes with the provider, the model and the prompts; part of the store key."""
@@ -157,11 +168,10 @@ def insight_prompts(stats: dict[str, DataFrame], domains: DataFrame) -> DataFram
     joined = stats["overview"]
     for part in parts:
         joined = joined.join(part, "profile_id", "left")
-    recent = F.concat(F.lit("- 近期新增论文："), F.col("recent_count").cast("string"), F.lit("篇\n- 新增关键词："), F.coalesce("new_tags", F.lit("无明显新增")))
-    missing = {"top_domains": "暂无领域分类数据", "top_authors": "暂无作者数据", "top_venues": "暂无期刊/会议数据", "top_keywords": "暂无关键词数据", "quarterly_trends": "近期无新增论文"}
-    values = {name: F.coalesce(F.col(name), F.lit(text)) for name, text in missing.items()}
+    recent = F.concat(F.lit(RECENT[0]), F.col("recent_count").cast("string"), F.lit(RECENT[1]), F.coalesce("new_tags", F.lit(RECENT[2])))
+    values = {name: F.coalesce(F.col(name), F.lit(text)) for name, text in NO_DATA.items()}
     return joined.select("profile_id", prompts.render(
-        prompts.LIBRARY_INSIGHTS, total_papers=F.col("total_papers"), collection_duration=F.coalesce("duration", F.lit("未知")),
+        prompts.LIBRARY_INSIGHTS, total_papers=F.col("total_papers"), collection_duration=F.coalesce("duration", F.lit(UNKNOWN)),
         year_range=F.concat(F.col("first_year").cast("string"), F.lit("-"), F.col("last_year").cast("string")), recent_analysis=recent, **values,
     ).alias("prompt"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from litradar.functions import answers, clock, feed, scoring, text
 from litradar.operators import filters, joins, stats
 from litradar.operators.extraction import extract_abstracts
-from litradar.functions.pages import shrink_page
+from litradar.functions.pages import LEAD_DESCRIPTION, LEAD_SECTION, shrink_page
 
 AS_OF = "2024-02-01 12:30:00"
 
@@ -182,7 +182,7 @@ def test_shrunk_pages(spark):
     rows = [(f'<meta property="og:description" content="{body}">',), (f'<meta property="og:description" content="IEEE {body}"><h2>Abstract</h2> {body}</div>',),
             (f'<div id="abstract">{body} Show More</div><script>x</script><p>rest</p>',), ("<nav>n</nav><!-- c --><p>a   b</p>",)]
     got = [g[0] for g in values(spark, rows, "h string", shrink_page(F.col("h")))]
-    assert got[0] == "Abstract from page metadata: " + body.strip()
-    assert got[1] == "Abstract section from page: " + body.strip()
+    assert got[0] == LEAD_DESCRIPTION + body.strip()
+    assert got[1] == LEAD_SECTION + body.strip()
     assert got[2].endswith("<p>rest</p>") and "script" not in got[2]
     assert got[3] == "<p>a b</p>"
