@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .text import bind, collapse_spaces, empty_to_null, one_space, strip, strip_tags
+from .text import bind, collapse_spaces, decode_common, empty_to_null, has_rare_entities, one_space, strip, strip_tags
 
 MIN_ABSTRACT = 100
 
@@ -170,9 +170,9 @@ def _tidy(text: Column) -> Column:
 
 
 def decode_texts(texts: Column) -> Column:
-    """Entities of an array of texts; only arrays with an ampersand go to Python."""
-    coded = F.exists(texts, lambda t: t.contains("&"))
-    return F.coalesce(_unescape_all(F.when(coded, texts)), texts)
+    """Entities of an array of texts; only arrays with other than the usual ones go to Python."""
+    usual = F.transform(texts, lambda t: F.when(t.contains("&"), decode_common(t)).otherwise(t))
+    return F.coalesce(_unescape_all(F.when(F.exists(texts, has_rare_entities), texts)), usual)
 
 
 def clean_texts(texts: Column) -> Column:

@@ -64,9 +64,25 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
+# The usual entities; the ampersand comes last, so that nothing is decoded twice.
+COMMON_ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#34", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("#160", "\u00a0"), ("amp", "&"))
+_COMMON = "&(?:" + "|".join(name for name, _ in COMMON_ENTITIES) + ");"
+
+
+def has_rare_entities(c: Column) -> Column:
+    """Whether an ampersand is left that does not belong to a usual entity."""
+    return c.contains("&") & F.regexp_replace(c, _COMMON, "").contains("&")
+
+
+def decode_common(c: Column) -> Column:
+    for name, char in COMMON_ENTITIES:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return c
+
+
 def unescape(c: Column) -> Column:
-    """Decode entities. Only texts with an ampersand are sent to Python."""
-    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
+    """Decode entities. Only texts with other than the usual ones are sent to Python."""
+    return F.coalesce(_unescape(F.when(has_rare_entities(c), c)), F.when(c.contains("&"), decode_common(c)).otherwise(c))
 
 
 def strip_tags(c: Column) -> Column:

@@ -186,3 +186,13 @@ def test_shrunk_pages(spark):
     assert got[1] == LEAD_SECTION + body.strip()
     assert got[2].endswith("<p>rest</p>") and "script" not in got[2]
     assert got[3] == "<p>a b</p>"
+
+
+def test_entities_in_the_jvm_and_in_python(spark):
+    import html
+
+    from litradar.functions.text import unescape
+
+    texts = ["a &lt;b&gt; &amp;lt; &quot;x&quot; &#39;y&#39; &nbsp;", "&amp;amp;lt;", "caf&eacute; &lt;", "&#x41;&#66; &amp", "R&D &amp; more", "none", "", "&amp;#39; &#160;"]
+    got = [g[0] for g in values(spark, [(t,) for t in texts], "t string", unescape(F.col("t")))]
+    assert got == [html.unescape(t) for t in texts]
