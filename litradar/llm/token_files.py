@@ -13,30 +13,33 @@ leave no half-written block.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small_side
+from .shingles import mix64, seeded
 
 END_ID = 1
 BLOCK_IDS = 1 << 20
 # at most so many pairs are replaced in a round, and rounds end when no pair occurs so often
 ROUND_PAIRS, ROUNDS, LEAST = 512, 8, 16
 SYMBOLS = 1 << 16
-# words whose ids a Python worker keeps; longer words are not kept
-KEPT_WORDS, KEPT_LENGTH = 400_000, 64
+# words and pieces whose ids a Python worker keeps; longer words are not kept
+KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 300_000, 1_000_000, 64
 _SLOTS = 20
 
 BLOCKS = ("part int, block int, doc_ids array<bigint>, text_hashes array<bigint>, sizes array<bigint>, left array<int>, right array<int>, "
@@ -45,8 +48,28 @@ BLOCKS = ("part int, block int, doc_ids array<bigint>, text_hashes array<bigint>
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 
+# printable ASCII and Latin letters that are lower-cased alike everywhere, one by one
+_PLAIN = re.compile("[!-~\xc0-\u012f\u0131-\u024f]+")
+# texts of these are cut into pieces all at once: no apostrophe, which may start a piece of its own, no marker, no endless word
+_SIMPLE = re.compile("(?:[\t-\r ]*+[!-&(-~\xc0-\u012f\u0131-\u024f]{1,500}+(?=[\t-\r ]|\\Z))*+[\t-\r ]*+")
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_KIND = np.full(0x250, _SIGN, dtype=np.uint8)
+_KIND[[*range(9, 14), 32]] = _SPACE
+_KIND[[*range(48, 58)]] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]] = _LETTER
+_KIND[[0xD7, 0xF7]] = _SIGN
+_UNIT = seeded(41, 0x250)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
 class Encoder:
-    """Ids of texts as unsigned 16-bit bytes. The tokenizer drops white space, so words are encoded once and remembered."""
+    """Ids of texts as unsigned 16-bit bytes.
+
+    The tokenizer drops white space and splits the rest into pieces, each of which it encodes by itself. So words are
+    encoded once and remembered; a new word of plain letters and signs is put together from remembered pieces, and only
+    new pieces and other words go to the tokenizer. Texts of plain characters alone are cut into pieces by array
+    operations.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,7 +79,16 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size > SYMBOLS:
             raise ValueError("ids do not fit the file format")
+        settings = json.loads(self.tokenizer.to_str())
+        splits = [s["pattern"]["Regex"] for s in settings["pre_tokenizer"].get("pretokenizers", []) if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+        suffix = settings["model"].get("end_of_word_suffix")
+        # pieces are known only for a tokenizer of this kind; any other gets whole words
+        self.split = regex.compile(splits[0]) if len(splits) == 1 and suffix and _lowers(settings) else None
+        self.last = np.zeros(self.size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -65,20 +97,93 @@ class Encoder:
             out += [np.array(e.ids, dtype="<u2").tobytes() for e in found]
         return out
 
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Many pieces in one text; the last id of each is one that ends a word."""
+        out = []
+        for at in range(0, len(pieces), 1_000):
+            some = pieces[at : at + 1_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                out += self._ids(some)
+            else:
+                out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, other = {}, []
+        for word in new:
+            if self.split is not None and len(word) <= KEPT_LENGTH and _PLAIN.fullmatch(word) and "<|" not in word:
+                plain[word] = self.split.findall(word.lower())
+            else:
+                other.append(word)
+        pieces = list(set(chain.from_iterable(plain.values())))
+        known = dict(zip(pieces, self._remembered(pieces), strict=True))
+        found = {w: b"".join(map(known.__getitem__, p)) for w, p in plain.items()}
+        found.update(zip(other, self._ids(other), strict=True))
+        return found
+
+    def _remembered(self, pieces: list[str]) -> list[bytes]:
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        unknown = [p for p in pieces if p not in self.pieces]
+        fresh = dict(zip(unknown, self._piece_ids(unknown), strict=True))
+        self.pieces.update((p, i) for p, i in fresh.items() if len(p) <= KEPT_LENGTH)
+        return [self.pieces.get(p) or fresh[p] for p in pieces]
+
+    def _encode_simple(self, texts: list[str]) -> list[bytes]:
+        """All pieces of all texts as places in one array; each distinct one is looked up once."""
+        whole = " ".join(texts).lower() + " "
+        units = np.frombuffer(whole.encode("utf-16-le"), dtype=np.uint16)
+        kind = _KIND[units]
+        same = np.concatenate(([False], (kind[1:] == kind[:-1]) & (kind[1:] != _DIGIT)))
+        start = np.flatnonzero((kind != _SPACE) & ~same)
+        # a piece ends where the next unit is not of it
+        end = np.flatnonzero((kind != _SPACE) & np.append(~same[1:], True)) + 1
+        size = end - start
+        keys, todo = np.zeros(len(start), dtype=np.uint64), np.arange(len(start))
+        for i in range(int(size.max(initial=0))):
+            todo = todo[size[todo] > i]
+            keys[todo] = keys[todo] * _STEP + _UNIT[units[start[todo] + i]]
+        _, first, which = np.unique(mix64(keys), return_index=True, return_inverse=True)
+        known = self._remembered([whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(known), dtype="<u2")
+        many = np.array([len(k) // 2 for k in known], dtype=np.int64)
+        begin = (np.cumsum(many) - many)[which]
+        n = many[which]
+        after = np.cumsum(n)
+        ids = flat[np.repeat(begin - (after - n), n) + np.arange(int(after[-1]) if len(after) else 0)].astype("<u2")
+        bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        cut = np.concatenate(([0], after))[np.searchsorted(start, bounds)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        simple = [i for i, t in enumerate(texts) if self.split is not None and "<|" not in t and _SIMPLE.fullmatch(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(simple, self._encode_simple([texts[i] for i in simple]), strict=True):
+            out[i] = ids
+        rest = sorted(set(range(len(texts))).difference(simple))
+        for i, ids in zip(rest, self._encode_words([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
         """Texts with unusual white space are encoded as a whole."""
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        known = self.words
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = {w for words in split if words for w in words if w not in known}
-        new = list(new)
-        long = dict[str, bytes]()
-        for word, ids in zip(new, self._ids(new), strict=True):
-            (known if len(word) <= KEPT_LENGTH else long)[word] = ids
-        look = known if not long else known | long
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        found = self._learn(list(set(chain.from_iterable(s for s in split if s)).difference(self.words)))
+        self.words.update((w, i) for w, i in found.items() if len(w) <= KEPT_LENGTH)
+        look = (self.words if all(len(w) <= KEPT_LENGTH for w in found) else self.words | found).__getitem__
         odd = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(odd) if s is None else b"".join([look[w] for w in s]) for s in split]
+        return [next(odd) if s is None else b"".join(map(look, s)) for s in split]
+
+
+def _lowers(settings: dict) -> bool:
+    """Whether letters are composed and lower-cased one by one and nothing else is changed."""
+    steps = settings.get("normalizer") or {}
+    kinds = [s["type"] for s in steps.get("normalizers", [])]
+    return kinds == ["NFC", "Replace", "Lowercase"] and steps["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
 
 
 def encoder(path: str) -> Encoder:
@@ -90,47 +195,64 @@ def encoder(path: str) -> Encoder:
 
 
 def _alternate(spots: np.ndarray) -> np.ndarray:
-    """Of neighbouring places every other one, from the left: pairs must not overlap."""
-    if not len(spots):
-        return spots
+    """Marks, of neighbouring places, every other one from the left: pairs must not overlap."""
     place = np.arange(len(spots))
-    run = np.maximum.accumulate(np.where(np.concatenate(([True], spots[1:] != spots[:-1] + 1)), place, 0))
-    return spots[(place - run) % 2 == 0]
+    first = np.ones(len(spots), dtype=bool)
+    first[1:] = spots[1:] != spots[:-1] + 1
+    return (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``symbols, left, right``. A round counts all pairs, takes the most frequent ones and replaces them at once."""
+    """``symbols, left, right``. A round counts all pairs, takes the most frequent ones and replaces them at once.
+
+    Pairs are counted by hash slot first. Of each of the fullest slots one pair is counted exactly; another one in the
+    same slot has its turn in a later round.
+    """
     symbols = ids.astype(np.uint32)
     left, right = [], []
+    rules = 0
     for _ in range(ROUNDS):
-        room = min(ROUND_PAIRS, SYMBOLS - base - sum(map(len, left)))
+        room = min(ROUND_PAIRS, SYMBOLS - base - rules)
         if len(symbols) < 2 or room <= 0:
             break
         a, b = symbols[:-1], symbols[1:]
-        # exact counts are needed only for pairs in the fullest slots
         slot = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOTS)
         slot[a == end_id] = 0
         full = np.bincount(slot, minlength=1 << _SLOTS)
         full[0] = 0
-        limit = max(LEAST, int(np.partition(full, -2 * room)[-2 * room]))
-        spots = np.flatnonzero((full >= limit)[slot])
-        code = a[spots].astype(np.uint64) << np.uint64(32) | b[spots]
-        pairs, which, count = np.unique(code, return_inverse=True, return_counts=True)
+        # so many slots are at least as full as the limit, if any is
+        at_least = np.cumsum(np.bincount(np.minimum(full, 1 << 16), minlength=(1 << 16) + 1)[::-1])[::-1]
+        limit = max(LEAST, int(np.searchsorted(-at_least, -2 * room)))
+        chosen = np.flatnonzero(full >= limit)
+        if not len(chosen):
+            break
+        place = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        place[chosen] = np.arange(len(chosen))
+        at = place[slot]
+        spots = np.flatnonzero(at >= 0)
+        at = at[spots]
+        pair = np.zeros((len(chosen), 2), dtype=np.uint32)
+        pair[at[::-1], 0], pair[at[::-1], 1] = a[spots[::-1]], b[spots[::-1]]  # the first one of a slot stays
+        same = (a[spots] == pair[at, 0]) & (b[spots] == pair[at, 1])
+        spots, at = spots[same], at[same]
+        count = np.bincount(at, minlength=len(chosen))
         best = np.argsort(-count, kind="stable")[:room]
         best = np.sort(best[count[best] >= LEAST])
         if not len(best):
             break
-        rule = np.full(len(pairs), -1)
-        rule[best] = base + sum(map(len, left)) + np.arange(len(best))
-        chosen = rule[which] >= 0
-        first, rule = spots[chosen], rule[which[chosen]]
-        taken = _alternate(first)
-        symbols[taken] = rule[np.searchsorted(first, taken)]
+        rule = np.full(len(chosen), -1, dtype=np.int64)
+        rule[best] = base + rules + np.arange(len(best))
+        taken = rule[at] >= 0
+        spots, at = spots[taken], at[taken]
+        single = _alternate(spots)
+        spots, at = spots[single], at[single]
+        left.append(pair[best, 0].astype(np.int32))
+        right.append(pair[best, 1].astype(np.int32))
+        rules += len(best)
+        symbols[spots] = rule[at]
         keep = np.ones(len(symbols), dtype=bool)
-        keep[taken + 1] = False
+        keep[spots + 1] = False
         symbols = symbols[keep]
-        left.append((pairs[best] >> np.uint64(32)).astype(np.int32))
-        right.append((pairs[best] & np.uint64(0xFFFFFFFF)).astype(np.int32))
     none = np.zeros(0, dtype=np.int32)
     return symbols.astype("<u2"), np.concatenate(left) if left else none, np.concatenate(right) if right else none
 

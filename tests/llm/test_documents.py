@@ -188,6 +188,29 @@ def test_grammar_round_trip(ids, start, n, times):
     assert 1 not in left  # pairs do not cross the end of a text
 
 
+TRICKY = [
+    "don't I'LL 'sabc !'s '' 's 've've", "12½ x×y ÷ ŉ ǅ ß ẞ ﬁ é Å İstanbul ΣΑΣ ª º", "<|endoftext|> a<|endoftext|>b <|startoftext|", "a\x1cb c​d\xa0e",
+    "", "  ", "漢字かな العربية ไทย 😀👍🏽", "ab1c22,;d" + "x" * 700, "x" * 200 + " " + "y" * 499,
+]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(TRICKY), st.text(alphabet="abÉé'1½,.!<|> \ńßsΣ", max_size=30), st.text(max_size=20)), max_size=4))
+def test_encoder_equals_the_tokenizer(texts):
+    encode = token_files.encoder(tokenizer_path())
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encode.encode(texts) == want
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 5)
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 5)
+    encode = token_files.Encoder(tokenizer_path())
+    for at in range(0, 60, 20):
+        texts = [" ".join(edges.LONG[at : at + 20]), "it's " + " ".join(edges.PASSAGE[at : at + 20])]
+        assert encode.encode(texts) == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+
+
 def test_grammar_makes_real_text_smaller():
     encode = token_files.encoder(tokenizer_path())
     data = np.frombuffer(encode.encode([" ".join(edges.LONG * 20)])[0], dtype="<u2")
