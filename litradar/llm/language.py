@@ -134,15 +134,15 @@ def identify(documents: DataFrame, model: Model, keep: list[Column | str]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            best, score = np.array([UNDETERMINED] * len(texts), dtype=object), np.zeros(len(texts))
-            able = [i for i, t in enumerate(texts) if model.languages and t is not None and _LETTER.search(t)]
-            for at in range(0, len(able), 128):
-                rows = able[at : at + 128]
-                margins = scores(model, [texts[i] for i in rows])
-                first = margins.argmax(axis=1)
-                best[rows] = [model.languages[k] for k in first]
-                score[rows] = np.clip((margins[np.arange(len(rows)), first].astype(np.float64) + 1) / 2, 0, 1)
+            best, score = np.array([UNDETERMINED] * len(batch), dtype=object), np.zeros(len(batch))
+            for at in range(0, len(batch) if model.languages else 0, 128):
+                texts = batch.column("_text").slice(at, 128).to_pylist()
+                able = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+                if able:
+                    margins = scores(model, [texts[i] for i in able])
+                    first, rows = margins.argmax(axis=1), np.array(able) + at
+                    best[rows] = [model.languages[k] for k in first]
+                    score[rows] = np.clip((margins[np.arange(len(able)), first].astype(np.float64) + 1) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(best.tolist(), pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     return spread_scan(kept).mapInArrow(run, f"{schema}, lang_pred string, score double" if names else "lang_pred string, score double")

@@ -20,7 +20,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ BLOCK_IDS = 1 << 20
 ROUND_PAIRS, ROUNDS, LEAST = 512, 8, 16
 SYMBOLS = 1 << 16
 # words and pieces whose ids a Python worker keeps; longer words are not kept
-KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 300_000, 1_000_000, 64
+KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 200_000, 800_000, 64
 _SLOTS = 20
 
 BLOCKS = ("part int, block int, doc_ids array<bigint>, text_hashes array<bigint>, sizes array<bigint>, left array<int>, right array<int>, "
@@ -305,9 +305,10 @@ def _blocks(path: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            rows = iter(zip(batch.column("doc_id").to_pylist(), batch.column("_h").to_pylist(), batch.column("text").to_pylist(), strict=True))
-            while some := list(islice(rows, 500)):
-                for (doc, h, _), found in zip(some, encode.encode([t or "" for *_, t in some]), strict=True):
+            for at in range(0, len(batch), 500):
+                some = batch.slice(at, 500)
+                texts = [t or "" for t in some.column("text").to_pylist()]
+                for doc, h, found in zip(some.column("doc_id").to_pylist(), some.column("_h").to_pylist(), encode.encode(texts), strict=True):
                     docs.append(doc)
                     hashes.append(h)
                     ids.append(found + end)
