@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import spread_scan
+from ..session import cut_lineage, spread_scan
+from .common import small_side
 from .shingles import seeded
 
 LONGEST = 4
@@ -96,9 +97,22 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def sampled(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` rows of each language, the same ones each time; Spark prunes the ranks before the shuffle."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    return labelled.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
+    """``lang, text`` of at most ``rows`` rows of each language, the same ones each time.
+
+    Languages are counted first; of a frequent one only keys with a small hash go on, about eight times as many as
+    needed, so no task gets a whole language and no text is shuffled.
+    """
+    texts = labelled.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_key"))
+    counts = small_side(cut_lineage(texts.groupBy("lang").agg(F.count("*").alias("_n"))))
+    place = F.pmod(F.col("_key"), F.lit(1 << 30)) / (1 << 30)
+    few = texts.select("doc_id", "lang", "_key").join(counts, "lang").where(place < 8.0 * rows / F.col("_n"))
+    order = Window.partitionBy("lang").orderBy("_key", "doc_id")
+    chosen = few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
+    chosen = chosen.groupBy(F.col("lang").alias("_lang"), F.col("doc_id").alias("_doc")).agg(F.lit(1).alias("_one"))
+    found = texts.join(small_side(cut_lineage(chosen)), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("lang") == F.col("_lang")))
+    # a doc_id may repeat
+    again = Window.partitionBy("lang").orderBy("_key", "doc_id", F.xxhash64("text"))
+    return found.withColumn("_rank", F.row_number().over(again)).where(F.col("_rank") <= rows).select("lang", "text")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +126,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on ``lang, text, doc_id``; at most ``rows`` texts of each language come to the driver, as bits."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = sampled(usable.select("doc_id", "lang", "text"), rows).select("lang", "text")
-    taken = found.mapInArrow(_packed, "lang string, grams binary").collect()
+    taken = sampled(usable, rows).mapInArrow(_packed, "lang string, grams binary").collect()
     taken = sorted((r["lang"], bytes(r["grams"])) for r in taken)
     bits = np.array([np.frombuffer(g, dtype=np.uint8) for _, g in taken]) if taken else np.zeros((0, PLACES // 8), dtype=np.uint8)
     return fit(np.unpackbits(bits, axis=1), [x for x, _ in taken], landmarks, ridge)

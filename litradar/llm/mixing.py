@@ -21,7 +21,7 @@ from ..session import cut_lineage
 from .common import small_side
 
 # hex digits of the hash that number the slices of a leaf
-SLICE_DIGITS = 4
+SLICE_DIGITS = 3
 
 
 def token_count(text: Column) -> Column:
