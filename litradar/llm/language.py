@@ -68,14 +68,16 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((PLACES, 0), dtype=np.float32), np.zeros(0, dtype=np.float32))
-    unit = rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1))[:, None].astype(np.float32)
+    norm = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)[:, None]
     names = np.array(labels)
     marks = np.concatenate([np.flatnonzero(names == x)[:landmarks] for x in languages])
-    anchors = unit[marks]
+    anchors = rows[marks].astype(np.float32) / norm[marks]
     values, vectors = np.linalg.eigh((anchors @ anchors.T).astype(np.float64))
     good = values > 1e-8 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    inputs = (unit @ anchors.T).astype(np.float64) @ whiten
+    # a few rows at a time: the presence matrix is small only as bytes
+    kernel = [(rows[at : at + 128].astype(np.float32) / norm[at : at + 128]) @ anchors.T for at in range(0, len(rows), 128)]
+    inputs = np.concatenate(kernel).astype(np.float64) @ whiten
     inputs = np.column_stack([inputs, np.ones(len(inputs))])
     targets = np.where(names[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # every language weighs the same, however many rows it has
