@@ -74,7 +74,14 @@ def page_text(spark, sf_dir):
 # 4: near-duplicates
 
 
-@query("op4_near_dedup")
+@query("op4_near_dedup", f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower_sql('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM w WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+      e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+      r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id),
+      m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+      SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""")
 def near_dedup_groups(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("_h")
 
