@@ -209,7 +209,16 @@ def license_scan(spark, sf_dir):
 # 9: repeated strings
 
 
-@query("op9_suffix_dedup")
+@query("op9_suffix_dedup", """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+      g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM t)),
+      d AS (SELECT doc_id, i FROM g JOIN (SELECT k FROM g GROUP BY k HAVING count(*) > 1) USING (k)),
+      o AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, -1) AS opens FROM d),
+      q AS (SELECT doc_id, i, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM o),
+      s AS (SELECT doc_id, no, min(i) AS a, max(i) + 200 AS b FROM q GROUP BY doc_id, no),
+      p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS done FROM s),
+      u AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+      SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN u USING (doc_id)""")
 def suffix_dedup(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
