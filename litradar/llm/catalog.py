@@ -209,8 +209,8 @@ def license_scan(spark, sf_dir):
 # 9: repeated strings
 
 
-@query("op9_suffix_dedup", """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-      g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM t)),
+@query("op9_suffix_dedup", """WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS d, hex(d) AS h FROM documents),
+      g AS (SELECT doc_id, i, md5(d[i + 1 : i + 200]) AS k FROM (SELECT doc_id, d, unnest(range(0, octet_length(d) - 199)) AS i FROM t)),
       d AS (SELECT doc_id, i FROM g JOIN (SELECT k FROM g GROUP BY k HAVING count(*) > 1) USING (k)),
       o AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, -1) AS opens FROM d),
       q AS (SELECT doc_id, i, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM o),
