@@ -71,23 +71,23 @@ def watch(candidates: DataFrame, library: DataFrame, known_works: DataFrame, sub
     fresh_rows, capped, final = _cut(labeled, as_of, s, "score")
 
     # profiles without a library: the shuffle takes the place of the score order
-    waiting = usable.join(library.select("profile_id").distinct(), "profile_id", "left_anti")
-    unseen = waiting.join(works.select("ordinal", "identifier", "source", "published"), "ordinal")
-    cold = order_by_score(rank_cold(unseen, subscriptions.select("profile_id").distinct(), library, issns, journals, s), "shuffle_key")
-    cold_fresh, cold_capped, cold_final = _cut(cold, as_of, s, "shuffle_key")
-    random = waiting.select("profile_id").distinct().select("profile_id", F.lit(0.0).alias("must_read"), F.lit(0.0).alias("consider"), F.lit("random").alias("mode"))
-
-    def both(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.unionByName(b, allowMissingColumns=True)
-
-    stages = {"offered": offered, "deduped": kept, "with_abstract": usable, "recent": both(fresh_rows, cold_fresh), "capped": both(capped, cold_capped)}
+    waiting = cut_lineage(usable.join(library.select("profile_id").distinct(), "profile_id", "left_anti"))
+    if not waiting.isEmpty():
+        unseen = waiting.join(works.select("ordinal", "identifier", "source", "published"), "ordinal")
+        cold = order_by_score(rank_cold(unseen, waiting.select("profile_id").distinct(), library, issns, journals, s), "shuffle_key")
+        parts = _cut(cold, as_of, s, "shuffle_key")
+        fresh_rows, capped, final = (a.unionByName(b, allowMissingColumns=True) for a, b in zip((fresh_rows, capped, final), parts, strict=True))
+        random = waiting.select("profile_id").distinct().select("profile_id", F.lit(0.0).alias("must_read"), F.lit(0.0).alias("consider"), F.lit("random").alias("mode"))
+        thresholds = thresholds.unionByName(random)
+
+    stages = {"offered": offered, "deduped": kept, "with_abstract": usable, "recent": fresh_rows, "capped": capped}
     marked = None
     for name, frame in stages.items():
         rows = frame.select("profile_id", F.lit(name).alias("stage"))
         marked = rows if marked is None else marked.union(rows)
     texts = works.select("ordinal", *[c for c in ("title", "abstract", "url", "doi", "venue", "authors") if c in works.columns])
-    out["recommendations"] = both(final, cold_final).join(texts, "ordinal")
-    out["thresholds"] = thresholds.unionByName(random)
+    out["recommendations"] = final.join(texts, "ordinal")
+    out["thresholds"] = thresholds
     out["funnel"] = marked.groupBy("profile_id", "stage").agg(F.count("*").alias("works"))
     if interests is not None and embedder is not None and reranker is not None:
         columns = ["ordinal", "identifier", "source", "title", "abstract", "embedding"]
