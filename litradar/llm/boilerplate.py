@@ -3,8 +3,8 @@
 A page is parsed into blocks. What markup says is no article (scripts, menus, forms, adverts, comments, ...) goes; if
 there is an article element, or another one that holds the main text, its blocks are the text. Where markup says
 nothing, the host decides: the token streams of the host's pages are cut into all their suffixes, suffixes that share
-their first tokens are brought together (an interval of the host's suffix array), and the ones that start on several
-distinct pages mark their tokens as boilerplate. Marked runs are removed, unique runs stay. Pages with equal streams
+their first tokens are brought together (an interval of the host's suffix array), and the ones that start on a share of the
+host's distinct pages mark their tokens as boilerplate. Marked runs are removed, the others stay. Pages with equal texts
 count as one, so that copies of an article do not remove it.
 
 The suffixes of a host are spread over tasks by their first tokens and counted before the shuffle; no task gets a host.
@@ -12,6 +12,7 @@ The suffixes of a host are spread over tasks by their first tokens and counted b
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread_scan
+from .common import small_side
 
-# a run of so many tokens on so many distinct pages of a host is boilerplate
-RUN_TOKENS, RUN_PAGES = 6, 3
+# a run of so many tokens on so many distinct pages of a host, and on such a share of them, is boilerplate
+RUN_TOKENS, RUN_PAGES, RUN_SHARE = 10, 3, 0.2
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z", re.S)
@@ -156,18 +158,27 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _digest(blocks: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(blocks).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each page with text outside an article: its tokens by block, boilerplate candidates first to last."""
+    """Rows for each page with text: the tokens by block of what is outside an article, boilerplate candidates first to last.
+
+    ``stream`` is a digest of the text that the page would have without host runs; equal ones are one distinct page.
+    """
     for batch in batches:
         out = []
         for page_id, h, url, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "_h", "url", "html")], strict=True):
             page = parse(html)
+            outside = page.chrome + (page.other if page.found else [])
+            stream = _digest(page.main or page.other or page.chrome)
             if not page.found and page.other:
-                out.append((page_id, h, host_of(url), True, [b.split(" ") for b in page.other]))
-            if outside := page.chrome + (page.other if page.found else []):
-                out.append((page_id, h, host_of(url), False, [b.split(" ") for b in outside]))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.string())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page_id", "_h", "host", "undecided", "blocks"])
+                out.append((page_id, h, host_of(url), stream, True, [b.split(" ") for b in page.other]))
+            if outside or page.found:
+                out.append((page_id, h, host_of(url), stream, False, [b.split(" ") for b in outside]))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.list_(pa.string())))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page_id", "_h", "host", "stream", "undecided", "blocks"])
 
 
 def _known_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,30 +207,36 @@ def _without_runs(run_tokens: int):
     return run
 
 
-def host_runs(streams: DataFrame, run_tokens: int = RUN_TOKENS, run_pages: int = RUN_PAGES) -> DataFrame:
-    """``page_id, _h, block, at`` of undecided pages: places where a run starts that ``run_pages`` pages of the host have.
+def least_pages(streams: DataFrame, run_pages: int, run_share: float) -> DataFrame:
+    """``host, least``: on how many distinct pages of the host a run is boilerplate."""
+    hosts = streams.groupBy("host", "stream").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
+    return hosts.select("host", F.greatest(F.lit(run_pages), F.ceil(F.col("pages") * run_share)).alias("least"))
+
+
+def host_runs(streams: DataFrame, run_tokens: int = RUN_TOKENS, run_pages: int = RUN_PAGES, run_share: float = RUN_SHARE) -> DataFrame:
+    """``page_id, _h, block, at`` of undecided pages: places where a run starts that enough distinct pages of the host have.
 
-    ``streams`` is what the pages leave outside their articles. A block shorter than a run is one run.
+    ``streams`` is what the pages leave outside their articles. A block shorter than a run is one run, as a whole.
     """
-    digest = F.xxhash64("blocks")
-    blocks = streams.select("page_id", "_h", "host", "undecided", digest.alias("stream"), F.posexplode("blocks").alias("block", "tokens"))
+    blocks = streams.select("page_id", "_h", "host", "undecided", "stream", F.posexplode("blocks").alias("block", "tokens"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("tokens") - run_tokens, F.lit(0)))
     suffixes = blocks.select("page_id", "_h", "host", "undecided", "stream", "block", "tokens", F.explode(starts).alias("at"))
     suffixes = suffixes.select("page_id", "_h", "host", "undecided", "stream", "block", "at", F.xxhash64(F.slice("tokens", F.col("at") + 1, run_tokens)).alias("run"))
     pages = suffixes.groupBy("host", "run", "stream").agg(F.lit(1).alias("one")).groupBy("host", "run").agg(F.count("*").alias("n"))
-    common = pages.where(F.col("n") >= run_pages).select("host", "run")
+    least = small_side(cut_lineage(least_pages(streams, run_pages, run_share)))
+    common = pages.where(F.col("n") >= run_pages).join(least, "host").where(F.col("n") >= F.col("least")).select("host", "run")
     return suffixes.where("undecided").join(common, ["host", "run"]).select("page_id", "_h", "block", "at")
 
 
-def main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS, run_pages: int = RUN_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS, run_pages: int = RUN_PAGES, run_share: float = RUN_SHARE) -> DataFrame:
     """Per page row: ``page_id, url, text`` (blocks joined by a line feed, empty if none).
 
     A null html is empty; pages without a url are of one nameless host; repeated rows get a row each; a null page_id is
     kept; markup that is cut off ends where the page ends; an empty table gives no rows; other columns are ignored.
     """
     rows = spread_scan(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html", "url").alias("_h"), "html"))
-    streams = cut_lineage(rows.mapInArrow(_evidence, "page_id long, _h long, host string, undecided boolean, blocks array<array<string>>"))
-    spots = host_runs(streams, run_tokens, run_pages).groupBy("page_id", "_h").agg(F.collect_set(F.struct("block", "at")).alias("spots"))
+    streams = cut_lineage(rows.mapInArrow(_evidence, "page_id long, _h long, host string, stream long, undecided boolean, blocks array<array<string>>"))
+    spots = host_runs(streams, run_tokens, run_pages, run_share).groupBy("page_id", "_h").agg(F.collect_set(F.struct("block", "at")).alias("spots"))
     spots = spots.select(F.col("page_id").alias("_p"), F.col("_h").alias("_x"), "spots")
     # repeated rows are one here
     undecided = streams.where("undecided").dropDuplicates(["page_id", "_h"])

@@ -79,3 +79,17 @@ def test_host_runs_decide_where_markup_does_not(spark, tmp_path):
         text = f"{own}. short end {i}\n{own}" if i is not None and i < 5 else {10: line, 11: "x", None: ""}.get(i, " ".join(f"c{k}" for k in range(20)))
         want.append((i, text, len(text)))
     assert got == sorted(want, key=repr)
+
+
+def test_common_phrases_of_a_large_host_stay(spark):
+    phrase = "as far as we can tell from the figures of the last few years"
+    footer = "all rights of these pages belong to their owners and to nobody else"
+    def blocks(i):
+        own = " ".join(f"w{i}_{k}" for k in range(20))
+        return [*(["Introduction"] if i < 6 else []), f"{phrase} {own}" if i % 8 == 0 else own, "Read on", footer]
+
+    pages = [(i, f"http://large.example.com/{i}", "".join(f"<div>{b}</div>" for b in blocks(i))) for i in range(60)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in boilerplate.main_text(frame).collect()}
+    # six pages have the heading and eight the phrase; the teaser and the footer are on all
+    assert got == {i: "\n".join(blocks(i)[:-2]) for i in range(60)}
