@@ -1,32 +1,48 @@
 """Main text of web pages, with host boilerplate found as repeated token runs.
 
 A page is parsed into blocks. What markup says is no article (scripts, menus, forms, adverts, comments, ...) goes; if
-there is an article element, or another one that holds the main text, its blocks are the text. Where markup says
-nothing, the host decides: the token streams of the host's pages are cut into all their suffixes, suffixes that share
-their first tokens are brought together (an interval of the host's suffix array), and the ones that start on a share of the
-host's distinct pages mark their tokens as boilerplate. Marked runs are removed, the others stay. Pages with equal texts
-count as one, so that copies of an article do not remove it.
-
-The suffixes of a host are spread over tasks by their first tokens and counted before the shuffle; no task gets a host.
+there is an article element, or another one that holds the main text, its blocks are the text, else those of which
+markup says nothing. Then the host decides: the token streams of the host's pages are cut into all their suffixes,
+suffixes that share their first tokens are brought together (an interval of the host's suffix array), and the ones that
+start on a share of the host's distinct pages mark their tokens as boilerplate. Marked runs are removed, the others stay.
+Pages with equal texts count as one, so that copies of an article do not remove it. Inside an article element the share
+is higher, and an article of which most would go is a near copy and stays whole.
+
+Not every suffix is shuffled. The anchor of a run is the smallest hash of its 3-grams, so equal runs have equal anchors;
+a first pass counts the distinct anchors of each page (about one token in five, combined before the shuffle). Only runs
+whose anchor is on enough pages can be boilerplate. These anchors go to the tasks as a bit set, whose false hits cost
+work and change no result; the second pass counts the runs that it lets through exactly. No task gets a host.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread_scan
 from .common import small_side
+from .repeats import _hashes, _prefix_sums
+from .shingles import mix64, seeded
 
 # a run of so many tokens on so many distinct pages of a host, and on such a share of them, is boilerplate
 RUN_TOKENS, RUN_PAGES, RUN_SHARE = 10, 3, 0.2
+# the same share for runs inside an article element
+MAIN_SHARE = 0.5
+ANCHOR_TOKENS = 3
+# bits for each anchor in the set of frequent ones, and the least and most bits of the set, as powers of 2
+ANCHOR_BITS, LEAST_BITS, MOST_BITS = 64, 16, 28
+# stands among the anchors of a host for "has frequent ones"
+ANY = 0x9E3779B9
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z", re.S)
@@ -158,48 +174,176 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _digest(blocks: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\n".join(blocks).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+
+
+@functools.cache
+def _places(n: int) -> np.ndarray:
+    return seeded(41, n) | np.uint64(1)
+
+
+class Runs:
+    """All runs of a page's blocks: ``block``, first token ``at`` and 32-bit ``anchor``. A block shorter than a run is one run."""
+
+    def __init__(self, blocks: list[str], run_tokens: int) -> None:
+        data = np.frombuffer("\n".join(blocks).encode("utf-8", "replace"), np.uint8)
+        sums = _prefix_sums(data)
+        # blocks have single spaces and no line feed
+        gaps = np.flatnonzero((data == 32) | (data == 10)) if blocks else np.zeros(0, np.int64)
+        begins, ends = (np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))) if blocks else (gaps, gaps)
+        self.tokens = _hashes(sums, begins, ends)
+        last = np.concatenate((np.flatnonzero(data[gaps] == 10) + 1, [len(begins)])) if blocks else gaps
+        sizes = np.diff(last, prepend=0)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.flatnonzero(np.arange(len(of)) + run_tokens <= last[of])
+        self.place = _places(run_tokens)
+        short = np.flatnonzero(sizes < run_tokens)
+        self.short = _hashes(sums, begins[(last - sizes)[short]], ends[last[short] - 1])
+        smallest = np.zeros(0, np.uint64)
+        if len(self.first):
+            gram = min(ANCHOR_TOKENS, run_tokens)
+            smallest = mix64(self._sums(np.arange(len(of) - gram + 1), gram))
+            span, width = 1, run_tokens - gram + 1
+            while span < width:
+                step = min(span, width - span)
+                smallest = np.minimum(smallest[:-step], smallest[step:])
+                span += step
+        self.anchor = np.concatenate((smallest[self.first] if len(self.first) else smallest, self.short)) >> np.uint64(32)
+        self.block = np.concatenate((of[self.first], short)).astype(np.int32)
+        self.at = np.concatenate((self.first - (last - sizes)[of[self.first]], np.zeros(len(short), np.int64))).astype(np.int32)
+
+    def _sums(self, first: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(first), np.uint64)
+        for i in range(n):
+            out += self.tokens[first + i] * self.place[i]
+        return out
+
+    def run(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of the runs at these positions."""
+        n = len(self.first)
+        return np.concatenate((mix64(self._sums(self.first[which[which < n]], len(self.place))), self.short[which[which >= n] - n])).view(np.int64)
+
+
+def _host_hash(host: str) -> int:
+    return zlib.crc32(host.encode("utf-8", "replace"))
+
 
+def _outside(page: Page) -> list[str]:
+    return page.chrome + (page.other if page.found else [])
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for each page with text: the tokens by block of what is outside an article, boilerplate candidates first to last.
 
-    ``stream`` is a digest of the text that the page would have without host runs; equal ones are one distinct page.
+def _stream(page: Page) -> int:
+    """Digest of the text that the page has without host runs; equal ones are one distinct page."""
+    return _digest("\n".join(page.main or page.other or page.chrome)) - (1 << 63)
+
+
+def _anchors(run_tokens: int):
+    """``host, key, target``: the pages' streams with their host, and without it the anchors of each page, keyed with the host's hash.
+
+    ``target`` tells the anchors that are in the text that the page may keep.
     """
-    for batch in batches:
-        out = []
-        for page_id, h, url, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "_h", "url", "html")], strict=True):
-            page = parse(html)
-            outside = page.chrome + (page.other if page.found else [])
-            stream = _digest(page.main or page.other or page.chrome)
-            if not page.found and page.other:
-                out.append((page_id, h, host_of(url), stream, True, [b.split(" ") for b in page.other]))
-            if outside or page.found:
-                out.append((page_id, h, host_of(url), stream, False, [b.split(" ") for b in outside]))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.list_(pa.string())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page_id", "_h", "host", "stream", "undecided", "blocks"])
-
-
-def _known_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of pages that markup decides; null for the others."""
-    for batch in batches:
-        texts = []
-        for html in batch.column("html").to_pylist():
-            page = parse(html)
-            texts.append("\n".join(page.main) if page.found or not page.other else None)
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "_h")], pa.array(texts, pa.string())], names=["page_id", "url", "_h", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, streams, keys, targets = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = parse(html)
+                if not (page.main or page.other or page.chrome):
+                    continue
+                host = host_of(url)
+                hosts.append(host)
+                streams.append(_stream(page))
+                own = np.unique(Runs(page.main or page.other, run_tokens).anchor)
+                others = np.setdiff1d(Runs(_outside(page), run_tokens).anchor, own)
+                keys += [np.concatenate((own, others)) | np.uint64(_host_hash(host) << 32)]
+                targets += [np.arange(len(own) + len(others)) < len(own)]
+            key = pa.array(np.concatenate(keys).view(np.int64))
+            names = ["host", "key", "target"]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(streams, pa.int64()), pa.array([True] * len(hosts), pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.string()), key, pa.array(np.concatenate(targets))], names=names)
+
+    return run
+
+
+def _least(pages, share: float, run_pages: int):
+    return F.greatest(F.lit(run_pages), F.ceil(F.round(pages * share, 6)))
+
+
+def _anchor_bits(keys: DataFrame) -> np.ndarray:
+    """The set of frequent anchors, and of the hosts that have any, as bits; several may share one."""
+    hosts = keys.select(F.shiftright("key", 32).alias("host")).distinct()
+    keys = keys.union(hosts.select(F.shiftleft("host", 32).bitwiseOR(F.lit(ANY)).alias("key")))
+    bits = min(max((ANCHOR_BITS * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    spot = F.col("key").bitwiseXOR(F.shiftrightunsigned("key", 32)).bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(spot.alias("spot")).groupBy(F.shiftright("spot", 5).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 31))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _passing(anchors: np.ndarray, host: str, bits: np.ndarray) -> np.ndarray:
+    spot = (anchors ^ np.uint64(_host_hash(host))) & np.uint64(len(bits) * 32 - 1)
+    return np.flatnonzero(bits[spot >> np.uint64(5)] >> (spot & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+
+
+def _has_frequent(host: str, bits: np.ndarray) -> bool:
+    return len(_passing(np.array([ANY], np.uint64), host, bits)) > 0
+
+
+def _candidates(run_tokens: int, bits: np.ndarray):
+    """Runs that may be boilerplate, by page: those of its text, with the text, and those outside of it (``main`` is null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, found = [], [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+            for page_id, h, url, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "_h", "url", "html")], strict=True):
+                host = host_of(url)
+                if not _has_frequent(host, bits):
+                    continue
+                page = parse(html)
+                for blocks, main in ((page.main or page.other, page.found), (_outside(page), None)):
+                    if blocks and len(which := _passing((runs := Runs(blocks, run_tokens)).anchor, host, bits)):
+                        out.append((page_id, h, host, _stream(page), main, blocks if main is not None else None))
+                        found.append((runs.block[which], runs.at[which], runs.run(which)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string()))
+            ends = np.cumsum([len(x[0]) for x in found]).astype(np.int32)
+            spots = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["block", "at", "run"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], pa.ListArray.from_arrays(pa.array(ends), spots)],
+                                             names=["page_id", "_h", "host", "stream", "main", "blocks", "runs"])
+
+    return run
+
+
+def _known_text(run_tokens: int, bits: np.ndarray):
+    """The text of pages without a candidate; null for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = parse(html)
+                blocks, host = page.main or page.other, host_of(url)
+                open_ = blocks and _has_frequent(host, bits) and len(_passing(Runs(blocks, run_tokens).anchor, host, bits))
+                texts.append(None if open_ else "\n".join(blocks))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "_h")], pa.array(texts, pa.string())], names=["page_id", "url", "_h", "text"])
+
+    return run
 
 
 def _without_runs(run_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for blocks, spots in zip(batch.column("blocks").to_pylist(), batch.column("spots").to_pylist(), strict=True):
+            for main, blocks, spots in zip(*[batch.column(c).to_pylist() for c in ("main", "blocks", "spots")], strict=True):
+                blocks = [b.split(" ") for b in blocks]
                 kept = [[True] * len(b) for b in blocks]
                 for s in spots or ():
                     own = kept[s["block"]]
                     own[s["at"] : s["at"] + run_tokens] = [False] * min(run_tokens, len(own) - s["at"])
+                if main and 2 * sum(map(sum, kept)) < sum(map(len, kept)):
+                    kept = [[True] * len(b) for b in blocks]
                 lines = [" ".join(t for t, k in zip(b, own, strict=True) if k) for b, own in zip(blocks, kept, strict=True)]
                 texts.append("\n".join(x for x in lines if x))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("_h"), pa.array(texts, pa.string())], names=["page_id", "_h", "text"])
@@ -207,43 +351,47 @@ def _without_runs(run_tokens: int):
     return run
 
 
-def least_pages(streams: DataFrame, run_pages: int, run_share: float) -> DataFrame:
-    """``host, least``: on how many distinct pages of the host a run is boilerplate."""
-    hosts = streams.groupBy("host", "stream").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    return hosts.select("host", F.greatest(F.lit(run_pages), F.ceil(F.col("pages") * run_share)).alias("least"))
+def host_limits(counted: DataFrame, run_pages: int, run_share: float, main_share: float) -> DataFrame:
+    """``host, least, least_main``: on how many distinct pages of the host a run is boilerplate, in an article element and else."""
+    hosts = counted.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("pages"))
+    return hosts.select("host", _least(F.col("pages"), run_share, run_pages).alias("least"), _least(F.col("pages"), main_share, run_pages).alias("least_main"))
 
 
-def host_runs(streams: DataFrame, run_tokens: int = RUN_TOKENS, run_pages: int = RUN_PAGES, run_share: float = RUN_SHARE) -> DataFrame:
-    """``page_id, _h, block, at`` of undecided pages: places where a run starts that enough distinct pages of the host have.
-
-    ``streams`` is what the pages leave outside their articles. A block shorter than a run is one run, as a whole.
-    """
-    blocks = streams.select("page_id", "_h", "host", "undecided", "stream", F.posexplode("blocks").alias("block", "tokens"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("tokens") - run_tokens, F.lit(0)))
-    suffixes = blocks.select("page_id", "_h", "host", "undecided", "stream", "block", "tokens", F.explode(starts).alias("at"))
-    suffixes = suffixes.select("page_id", "_h", "host", "undecided", "stream", "block", "at", F.xxhash64(F.slice("tokens", F.col("at") + 1, run_tokens)).alias("run"))
-    pages = suffixes.groupBy("host", "run", "stream").agg(F.lit(1).alias("one")).groupBy("host", "run").agg(F.count("*").alias("n"))
-    least = small_side(cut_lineage(least_pages(streams, run_pages, run_share)))
-    common = pages.where(F.col("n") >= run_pages).join(least, "host").where(F.col("n") >= F.col("least")).select("host", "run")
-    return suffixes.where("undecided").join(common, ["host", "run"]).select("page_id", "_h", "block", "at")
+def host_runs(candidates: DataFrame, limits: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
+    """``page_id, _h, block, at``: places in the pages' texts where a run starts that enough distinct pages of the host have."""
+    spots = candidates.select("page_id", "_h", "host", "stream", "main", F.explode("runs").alias("r")).select("page_id", "_h", "host", "stream", "main", "r.*")
+    pages = spots.groupBy("host", "run", "stream").agg(F.lit(1).alias("one")).groupBy("host", "run").agg(F.count("*").alias("n"))
+    common = pages.where(F.col("n") >= run_pages).join(limits, "host").where(F.col("n") >= F.least("least", "least_main"))
+    common = small_side(cut_lineage(common.select("host", "run", (F.col("n") >= F.col("least")).alias("in_other"), (F.col("n") >= F.col("least_main")).alias("in_main"))))
+    marked = spots.where(F.col("main").isNotNull()).join(common, ["host", "run"])
+    return marked.where(F.when(F.col("main"), F.col("in_main")).otherwise(F.col("in_other"))).select("page_id", "_h", "block", "at")
 
 
-def main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS, run_pages: int = RUN_PAGES, run_share: float = RUN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS, run_pages: int = RUN_PAGES, run_share: float = RUN_SHARE, main_share: float = MAIN_SHARE) -> DataFrame:
     """Per page row: ``page_id, url, text`` (blocks joined by a line feed, empty if none).
 
     A null html is empty; pages without a url are of one nameless host; repeated rows get a row each; a null page_id is
     kept; markup that is cut off ends where the page ends; an empty table gives no rows; other columns are ignored.
     """
     rows = spread_scan(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html", "url").alias("_h"), "html"))
-    streams = cut_lineage(rows.mapInArrow(_evidence, "page_id long, _h long, host string, stream long, undecided boolean, blocks array<array<string>>"))
-    spots = host_runs(streams, run_tokens, run_pages, run_share).groupBy("page_id", "_h").agg(F.collect_set(F.struct("block", "at")).alias("spots"))
+    anchors = rows.select("url", "html").mapInArrow(_anchors(run_tokens), "host string, key long, target boolean")
+    counted = anchors.groupBy("host", "key").agg(F.count("*").alias("n"), F.max("target").alias("target"))
+    counted = cut_lineage(counted.where(F.col("host").isNotNull() | F.col("target") & (F.col("n") >= run_pages)))
+    limits = small_side(cut_lineage(host_limits(counted, run_pages, run_share, main_share)))
+    # hosts with one hash have the lower limit, repeated pages count twice: no frequent anchor is missed
+    by_hash = limits.groupBy(F.crc32("host").alias("hash")).agg(F.min(F.least("least", "least_main")).alias("least"))
+    keys = counted.where(F.col("host").isNull()).withColumn("hash", F.shiftrightunsigned("key", 32))
+    bits = _anchor_bits(cut_lineage(keys.join(by_hash, "hash").where(F.col("n") >= F.col("least")).select("key")))
+    candidates = cut_lineage(rows.mapInArrow(_candidates(run_tokens, bits), "page_id long, _h long, host string, stream long, main boolean, blocks array<string>, "
+                                             "runs array<struct<block: int, at: int, run: long>>"))
+    spots = host_runs(candidates, limits, run_pages).groupBy("page_id", "_h").agg(F.collect_set(F.struct("block", "at")).alias("spots"))
     spots = spots.select(F.col("page_id").alias("_p"), F.col("_h").alias("_x"), "spots")
     # repeated rows are one here
-    undecided = streams.where("undecided").dropDuplicates(["page_id", "_h"])
+    texts = candidates.where(F.col("main").isNotNull()).dropDuplicates(["page_id", "_h"])
     same = (F.col("_h") == F.col("_x")) & F.col("page_id").eqNullSafe(F.col("_p"))
-    cleaned = undecided.join(spots, same, "left").select("page_id", "_h", "blocks", "spots").mapInArrow(_without_runs(run_tokens), "page_id long, _h long, text string")
+    cleaned = texts.join(spots, same, "left").select("page_id", "_h", "main", "blocks", "spots").mapInArrow(_without_runs(run_tokens), "page_id long, _h long, text string")
     cleaned = cut_lineage(cleaned).select(F.col("page_id").alias("_p"), F.col("_h").alias("_x"), F.col("text").alias("_cleaned"))
-    known = rows.mapInArrow(_known_text, "page_id long, url string, _h long, text string")
+    known = rows.mapInArrow(_known_text(run_tokens, bits), "page_id long, url string, _h long, text string")
     decided = known.where(F.col("text").isNotNull()).select("page_id", "url", "text")
     if cleaned.isEmpty():
         return decided

@@ -93,3 +93,19 @@ def test_common_phrases_of_a_large_host_stay(spark):
     got = {r.page_id: r.text for r in boilerplate.main_text(frame).collect()}
     # six pages have the heading and eight the phrase; the teaser and the footer are on all
     assert got == {i: "\n".join(blocks(i)[:-2]) for i in range(60)}
+
+
+def test_host_runs_inside_article_elements(spark):
+    notice = "our shop has a summer sale until the end of this long month"
+    phrase = "as far as we can tell from the figures of the last few years"
+    def blocks(i):
+        own = " ".join(f"w{i}_{k}" for k in range(30))
+        return [f"{phrase} {own}" if i % 3 == 0 else own, notice]
+
+    pages = [(i, f"http://shop.example.com/{i}", blocks(i)) for i in range(12)]
+    copied = " ".join(f"c{k}" for k in range(40))
+    pages += [(20 + i, f"http://copies.example.com/{i}", [f"{copied} {i}"]) for i in range(4)]
+    frame = spark.createDataFrame([(i, url, "<nav>Home</nav><article>" + "".join(f"<p>{b}</p>" for b in bs) + "</article>") for i, url, bs in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in boilerplate.main_text(frame).collect()}
+    # a third of the pages have the phrase; near copies are no boilerplate
+    assert got == {i: "\n".join(x for x in bs if x != notice) for i, _, bs in pages}
