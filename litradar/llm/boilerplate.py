@@ -53,12 +53,14 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-CHROME = frozenset("head nav footer aside form button select option menu dialog svg canvas object audio video template map fieldset".split())
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+CHROME = frozenset("head nav footer aside button select option menu dialog svg canvas object audio video template map fieldset".split())
+CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe "
     "subscription signup paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments disqus respond reply "
     "replies share sharing social related recommended popup modal overlay login search widget toolbar skip".split())
+# parts of a class name that tell a state or a topic and no function, as in no-sidebar or tag-social
+STATE_WORDS = frozenset("no not has with without enabled disabled category tag".split())
 MAIN_ROLES = frozenset(["main", "article"])
 MAIN_WORDS = (frozenset(["articlebody"]), frozenset(["article"]), frozenset(["entry", "content"]), frozenset(["post", "content"]), frozenset(["post", "body"]), frozenset(["story"]), frozenset(["main", "content"]))
 
@@ -72,10 +74,10 @@ class Page:
 
 
 def _role(name: str, rest: str, in_main: bool) -> str:
-    """``chrome``, ``article``, ``main`` (weaker) or nothing."""
+    """``chrome``, ``wrapper`` (chrome unless an article stands in it), ``article``, ``main`` (weaker), ``content`` (a main one by its class) or nothing."""
     if name in CHROME:
         return "chrome"
-    words, role = set(), ""
+    words, chrome, role = set(), set(), ""
     for key, *values in _ATTRIBUTE.findall(rest) if rest else ():
         value = "".join(values).lower()
         key = key.lower()
@@ -85,23 +87,31 @@ def _role(name: str, rest: str, in_main: bool) -> str:
             role = value
         elif key in ("class", "id", "itemprop"):
             words.update(_PARTS.split(value))
-    if role in CHROME_ROLES or words & CHROME_WORDS and name not in ("body", "html"):
+            for parts in map(_PARTS.split, value.split()):
+                if STATE_WORDS.isdisjoint(parts):
+                    chrome.update(parts)
+    if role in CHROME_ROLES:
         return "chrome"
+    if in_main:
+        chrome.discard("header")  # an article's own header has its title
+    if name == "form" or role == "form" or chrome & CHROME_WORDS and name not in ("body", "html"):
+        return "wrapper"
     if name == "header":
-        return "" if in_main else "chrome"  # an article's own header has its title
+        return "" if in_main else "chrome"
     if name == "article":
         return "article"
-    if name == "main" or role in MAIN_ROLES or any(w <= words for w in MAIN_WORDS):
+    if name == "main" or role in MAIN_ROLES:
         return "main"
-    return ""
+    return "content" if any(w <= words for w in MAIN_WORDS) else ""
 
 
 def parse(html: str | None) -> Page:
     """Blocks in page order: white space inside is one space, character references are decoded, empty ones are left out."""
-    page, strong, weak = Page(), [], []
+    page, strong, weak, wrapped = Page(), [], [], []
     depth: list[tuple[str, str]] = []  # open elements that have a role, each with the same-named ones inside it
     parts: list[str] = []
-    kinds = {"chrome": 0, "article": 0, "main": 0}
+    kinds = {"chrome": 0, "wrapper": 0, "article": 0, "main": 0, "content": 0, "wrapped": 0}
+    around = [0]  # wrappers around each article or main element that stands in one; what is in no other is the article's
     raw, at, text = None, 0, html or ""
 
     def flush() -> None:
@@ -109,11 +119,13 @@ def parse(html: str | None) -> Page:
         block = " ".join("".join(parts).split())
         parts = []
         if block:
-            if kinds["chrome"]:
+            if kinds["chrome"] or kinds["wrapper"] > around[-1]:
                 page.chrome.append(block)
+            elif kinds["wrapped"]:
+                wrapped.append(block)
             elif kinds["article"]:
                 strong.append(block)
-            elif kinds["main"]:
+            elif kinds["main"] or kinds["content"]:
                 weak.append(block)
             else:
                 page.other.append(block)
@@ -146,6 +158,8 @@ def parse(html: str | None) -> Page:
                     for _, kind in depth[i:]:
                         if kind:
                             kinds[kind] -= 1
+                        if kind == "wrapped":
+                            around.pop()
                     del depth[i:]
                     break
             continue
@@ -154,14 +168,23 @@ def parse(html: str | None) -> Page:
             continue
         if name in VOID or found["rest"].endswith("/"):
             continue
-        kind = _role(name, found["rest"], kinds["article"] > 0 or kinds["main"] > 0)
+        kind = _role(name, found["rest"], any(kinds[k] for k in ("article", "main", "content", "wrapped")))
+        if kind in ("article", "main") and kinds["wrapper"] > around[-1]:
+            kind = "wrapped"
         if kind and name in INLINE:
             flush()
         if kind or any(n == name for n, _ in depth):
             depth.append((name, kind))
             if kind:
                 kinds[kind] += 1
+            if kind == "wrapped":
+                around.append(kinds["wrapper"])
     flush()
+    # an article in a wrapper is the page's if none stands outside, or else a teaser or a comment
+    if wrapped and not strong and sum(map(len, wrapped)) > sum(map(len, weak or page.other)):
+        strong = wrapped
+    else:
+        page.chrome += wrapped
     page.main = strong or weak
     page.found = bool(page.main)
     if strong:

@@ -109,3 +109,23 @@ def test_host_runs_inside_article_elements(spark):
     got = {r.page_id: r.text for r in boilerplate.main_text(frame).collect()}
     # a third of the pages have the phrase; near copies are no boilerplate
     assert got == {i: "\n".join(x for x in bs if x != notice) for i, _, bs in pages}
+
+
+WRAPPED = [
+    ("<div class='layout no-sidebar'><article><p>a text</p></article></div>", "a text"),
+    ("<div class='has-sidebar share-enabled'><p>a</p><div class=sidebar>s</div></div>", "a"),
+    ("<form action=/><nav>n</nav><main><p>a text</p><form>search</form></main></form>", "a text"),
+    ("<form><div class=menu>m</div><article><p>a text</p><div class=share>s</div></article></form><p>end</p>", "a text"),
+    ("<div class='page sidebar-right'><article><header class='entry-header'><h1>Title</h1></header><p>a</p></article></div>", "Title\na"),
+    ("<article><header class='entry-header'><h1>Title</h1></header><p>a</p></article>", "Title\na"),
+    ("<article class='post tag-social'><p>a</p></article><div class=related><article>a longer teaser</article></div>", "a"),
+    ("<article><p>a</p><section id=comments><article>a comment</article></section></article>", "a"),
+    ("<p>all of the text</p><div class=related><article>teaser</article></div>", "all of the text"),
+    ("<nav><article>n</article></nav><p>a</p>", "a"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), WRAPPED)
+def test_articles_inside_wrappers(html, text):
+    page = boilerplate.parse(html)
+    assert "\n".join(page.main or page.other) == text
