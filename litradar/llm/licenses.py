@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import lower_ascii, small_side
+from .license_digests import DIGESTS
 
 # Spellings that count as equal, after punctuation is gone.
 SPELLINGS = (
@@ -83,6 +84,27 @@ TEXTS = (
     *NOTICES,
 )
 
+# Names of licences in notices, and the notices; only whole lines or texts count.
+NAMES = {
+    "MIT": ("the MIT License",), "ISC": ("the ISC License",), "Zlib": ("the zlib License",), "BSL-1.0": ("the Boost Software License, Version 1.0", "the Boost Software License 1.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License",), "BSD-3-Clause": ("the BSD 3-Clause License",), "Unlicense": ("the Unlicense",),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"),
+    "MPL-2.0": ("the Mozilla Public License, Version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0"),
+    "EPL-2.0": ("the Eclipse Public License, Version 2.0", "the Eclipse Public License 2.0", "the EPL 2.0"),
+    **{f"{short}-{v}": tuple(x for long in (f"the GNU {name}", f"the GNU {short}", f"the {short}") for x in (f"{long}, version {plain}", f"{long} v{plain}", f"{long}v{plain}"))
+       for short, name, versions in (("GPL", "General Public License", ("2.0", "3.0")), ("LGPL", "Lesser General Public License", ("2.1", "3.0")), ("AGPL", "Affero General Public License", ("3.0",)))
+       for v in versions for plain in [v.removesuffix(".0")]},
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0 1.0 Universal"),
+    **{f"CC-{short}-{v}": (f"CC {short} {v}", f"a Creative Commons {name} {v} International License", f"the Creative Commons {name} {v} International License")
+       for short, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                           ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("4.0",)},
+}
+PHRASES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.")
+USUAL_NOTICES = (
+    *((name, p.format(x)) for name, called in NAMES.items() for x in called for p in PHRASES),
+    *((name, f"SPDX-License-Identifier: {name}{end}") for name in NAMES for end in (("", "-only", "-or-later") if "GPL" in name else ("",))),
+)
+
 # a line that names who holds the rights, with a sign, a year or a place for it
 COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n]*(copyright[^\p{L}\p{N}\n]*(c\)|©|[0-9<\[])|©|\(c\)|all rights reserved)[^\n]*$"
 
@@ -100,11 +122,12 @@ def _one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, " *\n[ \n]*", " "))
 
 
-def known_digests(spark, texts: Sequence[tuple[str, str]] = TEXTS) -> DataFrame:
-    """``digest, license``: one row per known text; texts that become equal keep the first id."""
+def known_digests(spark, texts: Sequence[tuple[str, str]] = (*TEXTS, *USUAL_NOTICES), digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """``digest, license``: one row per known text; texts that become equal keep the first id, and ``texts`` come before ``digests``."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "place int, license string, text string")
-    digests = rows.select("place", "license", F.sha2(_one_line(canonical_text(F.col("text"))), 256).alias("digest"))
-    return digests.groupBy("digest").agg(F.min_by("license", "place").alias("license"))
+    known = rows.select("place", "license", F.sha2(_one_line(canonical_text(F.col("text"))), 256).alias("digest"))
+    ready = spark.createDataFrame([(len(texts) + i, *d) for i, d in enumerate(digests)], "place int, license string, digest string")
+    return known.unionByName(ready).groupBy("digest").agg(F.min_by("license", "place").alias("license"))
 
 
 def scan_licenses(documents: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators over documents: rows that break things, against plain versions."""
 
+import os
+
 import edges
 import numpy as np
 import pandas as pd
@@ -129,6 +131,44 @@ def test_licenses(spark, folder):
     assert none.where("has_license").count() == 0
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>
+"""
+GIVEN = "/usr/share/common-licenses"
+
+
+def test_usual_license_texts_are_known(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {"Unlicense": UNLICENSE} | {i: open(f"{GIVEN}/{f}").read() for i, f in files.items() if os.path.exists(f"{GIVEN}/{f}")}
+    notices = {"AGPL-3.0": "x\nReleased under the GNU Affero General Public License v3.", "CC-BY-4.0": "x\nSPDX-License-Identifier: CC-BY-4.0"}
+    docs = spark.createDataFrame([*((i, t.upper()) for i, t in texts.items()), *notices.items()], "doc_id string, text string")
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()}
+    assert {i: got[i][0] for i in texts} == {i: i for i in texts}
+    assert {i: got[i] for i in notices} == {i: (None, [i]) for i in notices}
+
+
 def test_repeats(spark, folder, rows, monkeypatch):
     want = sorted(edges.without_repeats(rows), key=repr)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
