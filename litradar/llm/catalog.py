@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, pin_utc
-from . import boilerplate, decontaminate, language, licenses, mixing, near_dedup, repeats, token_files, topk, toxicity
+from . import boilerplate, decontaminate, language, licenses, mixing, near_dedup, negatives, repeats, runs, shards, token_files, topk, toxicity
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,104 @@ def toxicity_chain(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     models = toxicity.train(docs, table(spark, sf_dir, "labels"), TOXICITY)
     return toxicity.score(docs, models, [n for n, _ in TOXICITY])
+
+
+# 11: periodic runs
+
+# CRC-32 by its rule: the table of a byte, and the fold over the bytes of a list
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))"
+
+
+def _crc_sql(codes: str, table: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1])), 4294967295)"
+
+
+_DOC_CRC = _crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))", "crcs")
+
+
+def with_planted_runs(doc_id: Column, text: Column) -> Column:
+    """The text, or for one document in ten its words with a period that depends on the id."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit("([^\\x20\\x09-\\x0D]+)"), 1)
+    n = F.size(words)
+    a = F.pmod(g, n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), planted).otherwise(text)
+
+
+@query("op11_periodic_runs", f"""WITH k AS (SELECT {_CRC_TABLE} AS crcs),
+      h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, len(w) AS n, {_DOC_CRC} AS h FROM documents, k),
+      a AS (SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS planted, (h // 10) % greatest(n, 1) AS a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM h),
+      d AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM a),
+      x AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM d),
+      e AS (SELECT a.doc_id, b.i - a.i AS q, a.i AS i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+      g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+      s AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+      r AS (SELECT * FROM s WHERE NOT EXISTS (FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND o.s <= s.s AND o.e >= s.e)),
+      c AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM r),
+      t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id),
+      m AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS list FROM r GROUP BY doc_id),
+      b AS (SELECT doc_id, s, e - s AS length, q FROM r
+        WHERE NOT EXISTS (FROM r o WHERE o.doc_id = r.doc_id AND ((o.e - o.s) * r.q > (r.e - r.s) * o.q OR (o.e - o.s) * r.q = (r.e - r.s) * o.q AND (o.s, o.q) < (r.s, r.q))))
+      SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, length, q AS period, 1000 * length // q AS exponent_milli,
+        sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+      FROM d LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text")))
+    # runs come by start and period, so the first of the largest is the one asked for
+    larger = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), larger)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+# 12: shards
+
+SHARDS = 24
+
+
+def _shards_sql() -> str:
+    best = lambda scores: f"CAST(list_position({scores}, list_max({scores})) - 1 AS INTEGER)"
+    code = "instr('0123456789ABCDEF', substr(hex(data[i : i]), 1, 1)) * 16 + instr('0123456789ABCDEF', substr(hex(data[i : i]), 2, 1)) - 17"
+    return f"""WITH k AS (SELECT {_CRC_TABLE} AS crcs),
+      t AS (SELECT doc_id, encode(coalesce(text, '')) AS data, octet_length(data) AS n, crcs FROM documents, k),
+      c AS (SELECT doc_id, n + 8 AS size, {_crc_sql(f"list_transform(range(1, n + 1), lambda i: CAST({code} AS BIGINT))", "crcs")} AS text_crc32,
+        list_transform(range({SHARDS + 1}), lambda s: 1 / -ln((CAST('0x' || substr(md5(s || '-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {shards.DIGITS}) AS BIGINT) + 0.5) / {float(shards.SPAN)})) AS score,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {shards.DIGITS}) AS BIGINT) AS place FROM t),
+      s AS (SELECT *, {best(f'score[1 : {SHARDS}]')} AS shard, {best('score')} AS grown_shard FROM c)
+      SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
+
+
+@query("op12_rendezvous_shards", _shards_sql())
+def rendezvous_shards(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    shards.write_shards(table(spark, sf_dir, "documents"), path, [1.0] * SHARDS)
+    doc_id, text = F.col("record.doc_id"), F.col("record.text")
+    return shards.read_shards(spark, path).select(
+        doc_id.alias("doc_id"), shards.text_bytes(text).alias("size"), shards.text_crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
+        "shard", "slot", shards.shard_of(doc_id, [1.0] * (SHARDS + 1)).alias("grown_shard"))
+
+
+# 13: hard negatives
+
+
+@query("op13_hard_negatives", """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+        FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+      p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+      n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+          CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+      SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""")
+def hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"))
