@@ -19,7 +19,6 @@ change the distribution of the work, not the result.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,28 +39,23 @@ HOT = 20_000
 SAMPLE_SHARE, MOST_HOT = 64, 100_000
 _BYTES = seeded(21, 256)
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
+    p = np.full(n, base, dtype=np.uint64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=np.uint64)
 
 
 def _prefix_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    size = 1 << max(12, int(len(data)).bit_length())
-    np.cumsum(_BYTES[data] * _powers(size)[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(_BYTES[data] * _powers(len(data)), dtype=np.uint64, out=sums[1:])
     return sums
 
 
 def _hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    size = 1 << max(12, int(len(sums) - 1).bit_length())
-    return mix64((sums[end] - sums[begin]) * _powers(size)[1][begin])
+    return mix64((sums[end] - sums[begin]) * _powers(len(sums), _INVERSE)[begin])
 
 
 def _leftmost_smallest(values: np.ndarray, width: int) -> np.ndarray:

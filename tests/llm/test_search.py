@@ -1,9 +1,14 @@
 """Top-k search and main text of pages."""
 
+import re
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from checks import same
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from litradar.llm import boilerplate, topk
 from litradar.llm.catalog import ORACLE, QUERIES
@@ -129,3 +134,96 @@ WRAPPED = [
 def test_articles_inside_wrappers(html, text):
     page = boilerplate.parse(html)
     assert "\n".join(page.main or page.other) == text
+
+
+OPEN_ENDS = [
+    ("<ul><li class='menu-item'>Home<li class='menu-item'>About</ul><p>Main text", "Main text"),
+    ("<p class='ad'>Buy<p>Main text", "Main text"),
+    ("<table><tr><td class='share'>x<td>cell</table><p>More", "cell\nMore"),
+    ("<article><p>a<dl><dt>x<dd>y<dt class=ad>z<dd>w</dl></article>", "a\nx\ny\nw"),
+    ("<ul><li class=ad>x<ul><li>y</ul>z<li>kept</ul>", "kept"),
+    ("<div><p>one<div class=ad>two</p>three</div>four</div>five", "one\nfour\nfive"),
+    ("<article><h1>T</h1><section id='search'><h2>Search algorithms</h2><p>a</p></section><section id='related-work'><p>b</p></section>"
+     "<div class='promotion-effects'>c</div><p class='alert'>d</p><div class='cookie-banner'>e</div><div class='share-links'>f</div></article>", "T\nSearch algorithms\na\nb\nc\nd"),
+    ("<p>Hi <a class='login'>Bob</a> now</p>", "Hi now"),
+    ("<p>Hi <span class='ad'><span>x</span> y</span>there <a href=/>link</a></p>", "Hi there link"),
+    ("<article><p>Hi <a class='login'>Bob</a> now</p></article>", "Hi Bob now"),
+    ("<p>a <b>b<p>c</b> d", "a b\nc d"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), OPEN_ENDS)
+def test_end_tags_may_be_missing(html, text):
+    page = boilerplate.parse(html)
+    assert "\n".join(page.main or page.other) == text
+
+
+def test_parser_is_linear():
+    took = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        boilerplate.parse("<div><p>x<li>" * n + "<span class=ad><b>y</i></span>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
+OMITTED = {"p", "li", "dt", "dd", "td", "tr"}
+
+
+@st.composite
+def trees(draw, depth=0):
+    """Markup, markup without the end tags that may be left out, and the blocks that stay."""
+    kind = draw(st.sampled_from(["p", "ul", "dl", "table"] if depth > 2 else ["p", "ul", "dl", "table", "div"]))
+    ad = draw(st.booleans()) and draw(st.booleans())
+    attribute = " class='ad'" if ad else ""
+    if kind == "p":
+        text = draw(st.sampled_from(["one", "two &amp; three", "x"]))
+        return f"<p{attribute}>{text}</p>", f"<p{attribute}>{text}", [] if ad else [text.replace("&amp;", "&")]
+    if kind == "div":
+        inner = draw(st.lists(trees(depth + 1), max_size=4))
+        whole, short = ("".join(x[i] for x in inner) for i in (0, 1))
+        return f"<div{attribute}>{whole}</div>", f"<div{attribute}>{short}</div>", [] if ad else [b for x in inner for b in x[2]]
+    item = {"ul": ["li"], "dl": ["dt", "dd"], "table": ["td"]}[kind]
+    whole, short, blocks = "", "", []
+    for _ in range(draw(st.integers(0, 3))):
+        name, hidden, text = draw(st.sampled_from(item)), draw(st.booleans()), draw(st.sampled_from(["a", "b c", "d"]))
+        tag = f"<{name} class='share'>" if hidden else f"<{name}>"
+        inner = draw(trees(depth + 2)) if depth < 2 and draw(st.booleans()) else ("", "", [])
+        whole, short = f"{whole}{tag}{text}{inner[0]}</{name}>", f"{short}{tag}{text}{inner[1]}"
+        blocks += [] if hidden else [text, *inner[2]]
+    row = ("<tr>", "</tr>") if kind == "table" else ("", "")
+    return f"<{kind}{attribute}>{row[0]}{whole}{row[1]}</{kind}>", f"<{kind}{attribute}>{row[0]}{short}</{kind}>", [] if ad else blocks
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(trees(), max_size=5))
+def test_omitted_end_tags_change_nothing(parts):
+    whole, short = ("".join(p[i] for p in parts) for i in (0, 1))
+    blocks = [b for p in parts for b in p[2]]
+    for html in (whole, short, f"<nav>n</nav><article>{short}</article>"):
+        page = boilerplate.parse(html)
+        assert (page.main or page.other) == blocks
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_no_article_of_the_given_tables_loses_a_block(spark, sf):
+    """Their pages have one article each, of headings and paragraphs that are all closed or end where the next one starts."""
+    pages = pd.read_parquet(f"/root/testdata/{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in QUERIES["op3_main_text"](spark, f"/root/testdata/{sf}").collect()}
+    import html as entities
+
+    for page_id, html in zip(pages.page_id, pages.html, strict=True):
+        article = re.search(r"<article[^>]*>(.*)</article>", html, re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"</?(b|i|a|em|strong|span)\b[^>]*>", "", x))).split()) for x in re.split(r"</?(?:h1|p|li|ul|div)\b[^>]*>", article)]
+        assert got[page_id] == "\n".join(b for b in blocks if b), page_id
+
+
+def test_headings_and_copies_outside_articles_take_nothing_from_them(spark):
+    """Each page's advert is the opening of another page's article, and all articles have one heading."""
+    def own(i):
+        return f"Opening {i} of a story with more than ten words in its very first sentence. " + " ".join(f"w{i}_{k}" for k in range(20))
+
+    pages = [(i, f"http://small.example.com/{i}", f"<div class=ad>{own((i + 1) % 8)}</div><div>{own((i + 2) % 8)}</div><article><h1>The same heading on all pages of this one host here</h1><p>{own(i)}</p><p>z{i}</p></article>") for i in range(8)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in boilerplate.main_text(frame).collect()}
+    assert got == {i: f"The same heading on all pages of this one host here\n{own(i)}\nz{i}" for i in range(8)}
