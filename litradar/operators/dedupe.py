@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.text import empty_to_null, normalize_doi, normalize_identifier, normalize_title
 from ..functions.titles import overlap_ratio, token_key, token_set_ratio
 from ..session import cut_lineage
+from .graph import components
 from .skew import HOT_ROWS, never_null, skew_join
 
 TITLE_BLOCK = 4096
+# batch dedupe: rounds before connected parts are looked for, and the entries of a part that one task may settle
+ROUNDS, COMPONENT_ENTRIES = 4, 500_000
 
 
 def without_known_dois(candidates: DataFrame, library: DataFrame) -> DataFrame:
@@ -201,13 +206,61 @@ def _title_links(keys: DataFrame, threshold: float) -> DataFrame:
     return once.union(once.select("b", "a"))
 
 
-def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles: bool = True) -> DataFrame:
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep rows in order, component by component; entries come sorted by component, profile and ordinal."""
+    component, row, own, hit = None, None, [], False
+    taken: set[tuple[int, str]] = set()
+    kept: list[tuple[int, int]] = []
+
+    def settle() -> None:
+        if row is not None and not hit:
+            kept.append(row)
+            taken.update((row[0], g) for g in own)
+
+    for batch in batches:
+        for part, profile, ordinal, group, is_own in zip(*(batch.column(c).to_pylist() for c in ("component", "profile_id", "ordinal", "grp", "own")), strict=True):
+            if (profile, ordinal) != row or part != component:
+                settle()
+                if part != component:
+                    component = part
+                    taken.clear()
+                row, own, hit = (profile, ordinal), [], False
+            hit = hit or (profile, group) in taken
+            if is_own:
+                own.append(group)
+        yield pa.record_batch({"profile_id": pa.array([k[0] for k in kept], pa.int64()), "ordinal": pa.array([k[1] for k in kept], pa.int64())})
+        kept.clear()
+    settle()
+    yield pa.record_batch({"profile_id": pa.array([k[0] for k in kept], pa.int64()), "ordinal": pa.array([k[1] for k in kept], pa.int64())})
+
+
+def _solve_small(entries: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Split open entries by connected component: the kept rows of those with at most ``most`` entries, and the other entries.
+
+    Rows of a component depend on nothing outside it, so one task can go through it in order.
+    """
+    node = F.xxhash64(F.lit("row"), "profile_id", "ordinal")
+    edges = entries.select(node.alias("a"), F.xxhash64(F.lit("group"), "profile_id", "grp").alias("b"))
+    label = components(edges)
+    named = cut_lineage(entries.withColumn("node", node).join(label, "node").drop("node"))
+    size = named.groupBy("component").agg(F.count("*").alias("entries"))
+    large = cut_lineage(size.where(F.col("entries") > most).select("component"))
+    small = named if large.isEmpty() else named.join(large, "component", "left_anti")
+    order = ["component", "profile_id", "ordinal"]
+    kept = small.repartition("component").sortWithinPartitions(*order).mapInArrow(_greedy, "profile_id long, ordinal long")
+    return kept, named.join(large, "component", "left_semi").drop("component")
+
+
+def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles: bool = True, rounds: int = ROUNDS,
+                   component_entries: int = COMPONENT_ENTRIES) -> DataFrame:
     """Keep a row unless an earlier kept row shares its identifier, DOI or (similar) title.
 
-    The result equals the loop in ``ordinal`` order. Rows meet in groups (one per identifier
-    or DOI value, one per title key) and only the lowest ordinal of a group is passed on, so a
-    group of any size makes no pairs. Each round drops a row when a group it watches has an
-    earlier kept row, and keeps it when no earlier row is left in any of them.
+    The result equals the loop in ``ordinal`` order. Rows meet in groups (one per identifier or DOI value, one per title
+    key) and only the lowest ordinal of a group is passed on, so a group of any size makes no pairs. A round keeps every
+    row that is the lowest in all of its groups and drops the later rows of these groups; the state is the table of
+    entries of open rows, so the work of a round follows what is open. Copies settle in a round or two. Long chains, in
+    which each row waits for the one before it, need a round per link: after some rounds, what still hangs together
+    with at most ``component_entries`` entries is settled by one task in order, and only larger parts go on.
     """
     rows = candidates.select(
         F.col("profile_id").cast("long").alias("profile_id"), F.col("ordinal").cast("long").alias("ordinal"),
@@ -235,27 +288,26 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
     def with_group(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         return left.join(right, group, how) if even else skew_join(left, right, group, how, ["ordinal"], hot=hot)
 
-    watch = cut_lineage(with_group(watch, sizes.select(*group), "inner"))
-    kept = rows.select(*row).join(watch.select(*row).distinct(), row, "left_anti")
-    settled, waiting = None, None
-    # every round settles the lowest open row at least
-    while True:
-        watching = watch if waiting is None else watch.join(waiting, row, "left_semi")
-        lows = watching.where("own").groupBy(*group).agg(F.min("ordinal").alias("low_open"))
-        if settled is None:
-            lows = lows.withColumn("low_kept", F.lit(None).cast("long"))
-        else:
-            low_kept = watch.where("own").join(settled, row, "left_semi").groupBy(*group).agg(F.min("ordinal").alias("low_kept"))
-            lows = lows.join(low_kept, group, "full")
-        seen = with_group(watching, lows, "left")
-        verdict = cut_lineage(seen.groupBy(*row).agg(F.min("low_open").alias("lo"), F.min("low_kept").alias("lk")).select(
-            *row, F.when(F.col("lk") < F.col("ordinal"), "drop").when(F.col("lo") == F.col("ordinal"), "keep").otherwise("open").alias("verdict"),
-        ))
-        newly = verdict.where("verdict = 'keep'").select(*row)
-        settled = newly if settled is None else settled.union(newly)
-        waiting = verdict.where("verdict = 'open'").select(*row)
-        if waiting.isEmpty():
-            return candidates.join(kept.union(settled), row, "left_semi")
+    open_ = cut_lineage(with_group(watch, sizes.select(*group), "inner"))
+    kept = [rows.select(*row).join(open_.select(*row).distinct(), row, "left_anti")]
+    done = 0
+    while not open_.isEmpty():
+        if done and done % rounds == 0:
+            settled, open_ = _solve_small(open_, component_entries)
+            kept.append(cut_lineage(settled))
+            open_ = cut_lineage(open_)
+            if open_.isEmpty():
+                break
+        lows = open_.where("own").groupBy(*group).agg(F.min("ordinal").alias("low"))
+        # the lowest open row of all, at least, is the lowest of its groups
+        first = with_group(open_, lows, "left").groupBy(*row).agg(F.min("low").alias("low")).where(F.col("low") == F.col("ordinal"))
+        newly = cut_lineage(first.select(*row))
+        taken = open_.where("own").join(newly, row, "left_semi").select(*group, F.col("ordinal").alias("by"))
+        later = with_group(open_, taken, "inner").where(F.col("ordinal") > F.col("by")).select(*row)
+        open_ = cut_lineage(open_.join(newly.union(later).distinct(), row, "left_anti"))
+        kept.append(newly)
+        done += 1
+    return candidates.join(functools.reduce(DataFrame.union, kept), row, "left_semi")
 
 
 def dedupe(candidates: DataFrame, library: DataFrame, threshold: float = 0.9) -> DataFrame:

@@ -77,3 +77,20 @@ def test_partitions_do_not_matter(spark):
     frame = spark.createDataFrame(rows, SCHEMA)
     results = {tuple(sorted(r.ordinal for r in first_of_batch(frame.repartition(n)).collect())) for n in (1, 8, 40)}
     assert len(results) == 1
+
+
+def chain(n):
+    """Each row shares a value with the next one only."""
+    return [(0, i, f"c{i}", f"c{i + 1}", "") for i in range(n)]
+
+
+def test_long_chain_is_settled_without_a_round_per_link(spark):
+    rows = chain(10_000) + [(1, 2 * i, f"d{i}", None, "") for i in range(50)] + [(1, 2 * i + 1, f"x{i}", f"D{i}", "") for i in range(50)]
+    got = first_of_batch(spark.createDataFrame(rows, SCHEMA), fuzzy_titles=False).collect()
+    assert sorted((r.profile_id, r.ordinal) for r in got) == [(0, i) for i in range(0, 10_000, 2)] + [(1, 2 * i) for i in range(50)]
+
+
+def test_rounds_and_parts_agree(spark):
+    rows = random_rows(4, 40) + [(0, 100 + o, *x) for _, o, *x in chain(9)]
+    got = sorted(r.ordinal for r in first_of_batch(spark.createDataFrame(rows, SCHEMA), rounds=2, component_entries=12).collect())
+    assert got == greedy(rows)
