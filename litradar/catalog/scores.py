@@ -10,7 +10,7 @@ from ..operators import clusters as cl
 from ..operators import neighbors as nb
 from ..operators import ranking as rk
 from ..params import Thresholds, WatchLimits, WatchSettings
-from ..plans.rank import label_and_order, profile_clusters, rank_cold, score_candidates
+from ..plans.rank import with_thresholds, profile_clusters, rank_cold, score_candidates
 from .base import entry, rounded
 
 # --- shared SQL parts ---
@@ -132,14 +132,14 @@ def _event_scores(events: DataFrame) -> DataFrame:
 @entry("percentile_thresholds", "A23", _EVENT_SCORES + _thresholds_sql("e") + """
 SELECT profile_id, round(must_read, 6)::DOUBLE AS must_read, round(consider, 6)::DOUBLE AS consider, 'dynamic' AS mode FROM th""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    th = rk.percentile_thresholds(rk.order_by_score(_event_scores(table(spark, sf, "events"))))
+    th = rk.percentile_thresholds(_event_scores(table(spark, sf, "events")))
     return th.withColumns({"must_read": rounded("must_read"), "consider": rounded("consider")})
 
 
 @entry("floored_thresholds", "A23", _EVENT_SCORES + _thresholds_sql("e", (0.99, 1.2)) + """
 SELECT profile_id, round(must_read, 6)::DOUBLE AS must_read, round(consider, 6)::DOUBLE AS consider, 'dynamic' AS mode FROM th""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    th = rk.percentile_thresholds(rk.order_by_score(_event_scores(table(spark, sf, "events"))), Thresholds(min_must_read=0.99, min_consider=1.2))
+    th = rk.percentile_thresholds(_event_scores(table(spark, sf, "events")), Thresholds(min_must_read=0.99, min_consider=1.2))
     return th.withColumns({"must_read": rounded("must_read"), "consider": rounded("consider")})
 
 
@@ -149,7 +149,7 @@ t AS (SELECT profile_id, count(*) AS total FROM b GROUP BY 1), n AS (SELECT unne
 SELECT t.profile_id, total, n.label, count(b.label) AS label_count, round(100.0 * count(b.label) / total, 6)::DOUBLE AS percent
 FROM t CROSS JOIN n LEFT JOIN b ON b.profile_id = t.profile_id AND b.label = n.label GROUP BY t.profile_id, total, n.label""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    labeled, _ = label_and_order(_event_scores(table(spark, sf, "events")))
+    labeled, _ = with_thresholds(_event_scores(table(spark, sf, "events")))
     return rk.label_distribution(labeled).withColumn("percent", rounded("percent"))
 
 
@@ -342,7 +342,7 @@ r AS (SELECT sc.profile_id, ordinal, score, CASE WHEN score >= must_read THEN 'm
   row_number() OVER (PARTITION BY sc.profile_id ORDER BY score DESC, ordinal) AS rank FROM sc JOIN th USING (profile_id))
 SELECT profile_id, ordinal, round(score, 6)::DOUBLE AS score, label, rank FROM r WHERE rank <= 20"""))
 def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    labeled, _ = label_and_order(_scored(spark, sf))
+    labeled, _ = with_thresholds(_scored(spark, sf))
     return rk.top_ranked(labeled, 20).select("profile_id", "ordinal", rounded("score").alias("score"), "label", "rank")
 
 

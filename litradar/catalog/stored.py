@@ -11,7 +11,7 @@ from ..fixtures.views import AS_OF, LIBRARY_AS_OF, oracle, table, view
 from ..models.providers import HashingEmbedder
 from ..operators import clusters as cl
 from ..plans.profile import build_profile, cluster_library
-from ..plans.rank import label_and_order
+from ..plans.rank import with_thresholds
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import sinks, stores
 from ..streaming.sync import first_sightings, score_feed
@@ -102,7 +102,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     output = _folder(spark, "feed")
 
     def score(batch: DataFrame) -> DataFrame:
-        return label_and_order(_event_scores(batch))[0].select("profile_id", "ordinal", "label")
+        return with_thresholds(_event_scores(batch))[0].select("profile_id", "ordinal", "label")
 
     score_feed(stream, score, output, _folder(spark, "feed-checkpoint")).awaitTermination()
     return spark.read.parquet(output).select("profile_id", "ordinal", "label")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import encodable_text
+from ..operators.skew import skew_join
 
 
 class Embedder(Protocol):
@@ -163,14 +164,16 @@ def rerank(documents: DataFrame, reranker: Reranker, top_k: int) -> DataFrame:
     limit = reranker.max_documents
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"{len(pdf)} documents exceed the reranker limit of {limit}; select by similarity first")
+        if (rows := int(pdf["_rows"].iloc[0])) > limit:
+            raise ValueError(f"{rows} documents exceed the reranker limit of {limit}; select by similarity first")
         pdf = pdf.sort_values("ordinal")
         scores = reranker.rerank(pdf["query"].iloc[0], pdf["document"].tolist())
         return pd.DataFrame({"profile_id": pdf["profile_id"], "ordinal": pdf["ordinal"], "rerank_score": np.asarray(scores, dtype=float)})
 
-    # one more row than the limit is enough to tell that there are too many: the group stays bounded
-    bounded = documents.withColumn("_n", F.row_number().over(Window.partitionBy("profile_id").orderBy("ordinal"))).where(F.col("_n") <= limit + 1).drop("_n")
+    # of a profile with too many one row is enough to tell so: the group stays bounded
+    counts = documents.groupBy("profile_id").agg(F.count("*").alias("_rows"), F.min("ordinal").alias("_first"))
+    counted = skew_join(documents, counts, ["profile_id"], "inner", ["ordinal"])
+    bounded = counted.where((F.col("_rows") <= limit) | (F.col("ordinal") == F.col("_first"))).drop("_first")
     scored = bounded.groupBy("profile_id").applyInPandas(run, "profile_id long, ordinal long, rerank_score double")
     best = Window.partitionBy("profile_id").orderBy(F.desc("rerank_score"), "ordinal")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top_k)

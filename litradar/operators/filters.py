@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import days_before, moment, today_start
 from ..functions.text import is_non_article, strip
+from .selection import top_n
 from .skew import skew_join
 
 # Item types that are no bibliographic records.
@@ -62,9 +63,8 @@ def in_fetch_window(works: DataFrame, as_of, days_back: int, column: str = "publ
 
 
 def newest_per_source(works: DataFrame, max_results: int) -> DataFrame:
-    """The newest rows of each source."""
-    newest = Window.partitionBy("source").orderBy(F.desc("published"), "ordinal")
-    return works.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max_results).drop("_n")
+    """The newest rows of each source, ties by the smaller ordinal. No task gets a whole source."""
+    return top_n(works, ["source"], F.col("published"), "ordinal", max_results)
 
 
 def unexpired(as_of) -> Column:

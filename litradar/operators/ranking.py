@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import label
 from ..params import Thresholds
-from .scan import chunked, per_chunk, row_numbers, running
+from ..session import cut_lineage
+from .scan import chunked, row_numbers, running
+from .selection import top_n, values_at
+from .skew import skew_join
 
 # Sources whose works count as preprints (compared in lower case).
+# the largest limit on a row number that Spark applies before the shuffle
+PRUNED_ROWS = 1_000
 PREPRINT_SOURCES = ("arxiv", "biorxiv", "medrxiv")
 
 
@@ -22,7 +27,9 @@ def top_counts(counted: DataFrame, keys: Sequence[str], count: str, value: str,
 
 
 def top_ranked(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """Best k per profile. The limit on the row number prunes before the shuffle."""
+    """Best k per profile. Spark prunes limits up to ``PRUNED_ROWS`` before the shuffle; for larger ones the rows are selected first."""
+    if k > PRUNED_ROWS:
+        scored = top_n(scored, ["profile_id"], F.col(score), "ordinal", k)
     best = Window.partitionBy("profile_id").orderBy(F.desc(score), "ordinal")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
@@ -41,30 +48,28 @@ def full_rank(ordered: DataFrame, score: str = "score", name: str = "rank") -> D
     return row_numbers(ordered, ["profile_id"], score_order(score), name)
 
 
-def percentile_thresholds(ordered: DataFrame, p: Thresholds = Thresholds(), score: str = "score") -> DataFrame:
+def percentile_thresholds(scored: DataFrame, p: Thresholds = Thresholds(), score: str = "score") -> DataFrame:
     """``(profile_id, must_read, consider, mode)``; exact percentiles with linear interpolation.
 
-    The rows at the two positions around each percentile are looked up in the global
-    order, so no group state grows with the profile.
+    The scores at the two places around each percentile are found by histograms (see ``selection``), so nothing sorts a
+    whole profile. ``scored`` is read several times.
     """
-    sizes = ordered.groupBy("profile_id").agg(F.count("*").alias("n"))
+    sizes = scored.groupBy("profile_id").agg(F.count("*").alias("n"))
     if p.mode == "fixed":
         return sizes.select("profile_id", F.lit(p.must_read).alias("must_read"), F.lit(p.consider).alias("consider"), F.lit("fixed").alias("mode"))
-    ranked = per_chunk(full_rank(ordered, score, "_pos"), sizes, ["profile_id"])
-    pos = F.col("n") - F.col("_pos")  # 0 = lowest score
+    sizes = cut_lineage(sizes)
     spots = {"m": p.must_read_percentile, "c": p.consider_percentile}
-    aggregates = []
-    near = F.lit(False)
+    places = []
     for name, q in spots.items():
-        at = (F.col("n") - 1) * F.lit(q / 100.0)
-        low, high = F.floor(at), F.ceil(at)
-        near = near | (pos == low) | (pos == high)
-        aggregates += [
-            F.max(F.when(pos == low, F.col(score))).alias(f"{name}_low"),
-            F.max(F.when(pos == high, F.col(score))).alias(f"{name}_high"),
-            F.first(at - low).alias(f"{name}_part"),
-        ]
-    found = ranked.where(near).groupBy("profile_id", "n").agg(*aggregates)
+        at = (F.col("n") - 1) * F.lit(q / 100.0)  # 0 = lowest score
+        for side, whole in (("low", F.floor(at)), ("high", F.ceil(at))):
+            places.append(F.struct(F.lit(f"{name}_{side}").alias("spot"), (F.col("n") - 1 - whole).cast("long").alias("at"), (at - F.floor(at)).alias("part")))
+    asked = sizes.select("profile_id", "n", F.explode(F.array(*places)).alias("x")).select("profile_id", "n", "x.*")
+    values = values_at(scored, ["profile_id"], asked, score).withColumnRenamed(score, "_at_score")
+    found = asked.join(values, ["profile_id", "at"]).groupBy("profile_id", "n").agg(
+        *[F.max(F.when(F.col("spot") == f"{name}_{side}", F.col("_at_score"))).alias(f"{name}_{side}") for name in spots for side in ("low", "high")],
+        *[F.max(F.when(F.col("spot") == f"{name}_low", F.col("part"))).alias(f"{name}_part") for name in spots],
+    )
 
     def at_percentile(name: str) -> Column:
         return F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * F.col(f"{name}_part")
@@ -84,10 +89,10 @@ def percentile_thresholds(ordered: DataFrame, p: Thresholds = Thresholds(), scor
     )
 
 
-def with_labels(ordered: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
-    return per_chunk(ordered, thresholds.select("profile_id", "must_read", "consider"), ["profile_id"]).withColumn(
-        "label", label(F.col(score), F.col("must_read"), F.col("consider"))
-    ).drop("must_read", "consider")
+def with_labels(scored: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
+    """A profile with very many rows is cut into parts for the join."""
+    joined = skew_join(scored, thresholds.select("profile_id", "must_read", "consider"), ["profile_id"], "inner", ["ordinal"])
+    return joined.withColumn("label", label(F.col(score), F.col("must_read"), F.col("consider"))).drop("must_read", "consider")
 
 
 def label_distribution(labeled: DataFrame) -> DataFrame:

@@ -61,15 +61,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: d
     )
 
 
-def per_chunk(ordered: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join one row per group to the rows of the chunked frame, chunk by chunk.
-
-    The small side is copied to each chunk its group reaches, so no task gets a whole group.
-    """
-    spots = ordered.select(*keys, CHUNK).distinct().join(small, list(keys))
-    return ordered.join(spots, [*keys, CHUNK])
-
-
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "row_no") -> DataFrame:
     """1-based position within the group; ``df`` comes from ``chunked``."""
     return running(df, keys, order, sums={name: F.lit(1).cast("long")})

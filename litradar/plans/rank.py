@@ -9,8 +9,9 @@ from ..functions.scoring import final_score, fused_similarity
 from ..operators.clusters import centroids, weighted_items, with_weight
 from ..operators.joins import journal_scores
 from ..operators.neighbors import cluster_scores, knn_join, macro_scores, micro_scores
-from ..operators.ranking import cold_start, order_by_score, percentile_thresholds, with_labels
+from ..operators.ranking import cold_start, percentile_thresholds, with_labels
 from ..params import WatchSettings
+from ..session import cut_lineage
 
 
 def profile_clusters(library: DataFrame, as_of, s: WatchSettings = WatchSettings()) -> DataFrame:
@@ -46,11 +47,11 @@ def score_candidates(candidates: DataFrame, library: DataFrame, clusters: DataFr
     return scored.withColumn("score", final_score(F.col("similarity"), F.col("journal_score"), s.fusion))
 
 
-def label_and_order(scored: DataFrame, s: WatchSettings = WatchSettings()) -> tuple[DataFrame, DataFrame]:
-    """Labelled rows in chunked score order, and the thresholds of each profile."""
-    ordered = order_by_score(scored)
-    thresholds = percentile_thresholds(ordered, s.thresholds)
-    return with_labels(ordered, thresholds), thresholds
+def with_thresholds(scored: DataFrame, s: WatchSettings = WatchSettings()) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows, and the thresholds of each profile."""
+    scored = cut_lineage(scored)
+    thresholds = cut_lineage(percentile_thresholds(scored, s.thresholds))
+    return with_labels(scored, thresholds), thresholds
 
 
 def rank_cold(candidates: DataFrame, profiles: DataFrame, library: DataFrame, issns: DataFrame, journals: DataFrame,

@@ -15,7 +15,7 @@ from ..params import WatchSettings
 from ..session import cut_lineage
 from .interest import select_interest_works
 from .profile import embed_items
-from .rank import label_and_order, rank_cold, score_candidates
+from .rank import with_thresholds, rank_cold, score_candidates
 
 
 def fan_out(works: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def with_vectors(works: DataFrame, store: DataFrame, embedder: Embedder, as_of,
     return filled.withColumn("embedding", F.coalesce(F.col("embedding").cast("array<float>"), "_found")).drop("_found"), new_rows
 
 
-def _cut(ordered: DataFrame, as_of, s: WatchSettings, score: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cut(labeled: DataFrame, as_of, s: WatchSettings, score: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows after the recency filter, after the preprint cap, and the list."""
-    fresh = recent(ordered, as_of, s.limits.recent_days)
+    fresh = order_by_score(recent(labeled, as_of, s.limits.recent_days), score)
     capped = limit_preprints(fresh, s.limits.max_preprint_ratio, score)
     return fresh, capped, top_ranked(capped, s.limits.top_k, score) if s.limits.top_k else capped
 
@@ -67,14 +67,14 @@ def watch(candidates: DataFrame, library: DataFrame, known_works: DataFrame, sub
     pool = with_candidate_abstract(works) if s.limits.require_abstract else works
 
     scored = score_candidates(pool, library, clusters, issns, journals, as_of, s, usable)
-    labeled, thresholds = label_and_order(scored, s)
+    labeled, thresholds = with_thresholds(scored, s)
     fresh_rows, capped, final = _cut(labeled, as_of, s, "score")
 
     # profiles without a library: the shuffle takes the place of the score order
     waiting = cut_lineage(usable.join(library.select("profile_id").distinct(), "profile_id", "left_anti"))
     if not waiting.isEmpty():
         unseen = waiting.join(works.select("ordinal", "identifier", "source", "published"), "ordinal")
-        cold = order_by_score(rank_cold(unseen, waiting.select("profile_id").distinct(), library, issns, journals, s), "shuffle_key")
+        cold = rank_cold(unseen, waiting.select("profile_id").distinct(), library, issns, journals, s)
         parts = _cut(cold, as_of, s, "shuffle_key")
         fresh_rows, capped, final = (a.unionByName(b, allowMissingColumns=True) for a, b in zip((fresh_rows, capped, final), parts, strict=True))
         random = waiting.select("profile_id").distinct().select("profile_id", F.lit(0.0).alias("must_read"), F.lit(0.0).alias("consider"), F.lit("random").alias("mode"))
