@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import spread_scan
+from ..session import cut_lineage, spread_scan
 from .shingles import NOT_WORD, word_hashes
 
 # the bound of the labelled sample: rows with and rows without the last category
@@ -175,8 +175,13 @@ def train(documents: DataFrame, labels: DataFrame, categories: Sequence[tuple[st
     agreed = marked.groupBy("doc_id").agg(*[F.min(n).alias(n) for n in names], *[F.max(n).alias(f"_{n}") for n in names])
     for n in names:
         agreed = agreed.where(F.col(n) == F.col(f"_{n}"))
-    order = Window.partitionBy(names[-1]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = agreed.select("doc_id", *names).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
+    agreed = cut_lineage(agreed.select("doc_id", *names, F.xxhash64("doc_id").alias("_key")))
+    # two classes are counted first; of a frequent one only keys with a small hash go on, about eight times as many as needed
+    counts = agreed.groupBy(F.col(names[-1]).alias("_class")).agg(F.count("*").alias("_n"))
+    place = F.pmod(F.col("_key"), F.lit(1 << 30)) / (1 << 30)
+    few = agreed.join(F.broadcast(counts), F.col(names[-1]) == F.col("_class")).where(place < 8.0 * rows / F.col("_n"))
+    order = Window.partitionBy(names[-1]).orderBy("_key", "doc_id")
+    chosen = few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
     chosen = chosen.select("doc_id", F.array(*names).alias("labels"))
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     # the sample is at most twice ``rows`` rows
