@@ -10,6 +10,7 @@ from ..functions import text
 from ..operators import dedupe, filters, joins, stats
 from ..sources import readers, stores
 from .base import entry, rounded, strip_sql
+from .title_sql import loop_steps, similar_steps
 
 _TYPED = """
 SELECT doc_id, CASE lang WHEN 'fr' THEN 'attachment' WHEN 'de' THEN 'note' WHEN 'es' THEN NULL ELSE 'journalArticle' END AS "itemType" FROM documents"""
@@ -176,17 +177,32 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.overlapping_titles(dedupe.title_keys(view(spark, sf, "page_work")), dedupe.title_keys(view(spark, sf, "document_item")))
 
 
-@entry("similar_titles", "C3 J3")
+_ALIKE = f"""
+, a AS (SELECT DISTINCT {_KEY_SQL.format("title")} AS k FROM page_work), b AS (SELECT DISTINCT {_KEY_SQL.format("title")} AS k FROM document_item),
+p AS (SELECT a.k AS left_key, b.k AS right_key FROM a, b WHERE a.k <> '' AND b.k <> ''){similar_steps("p", "alike")}"""
+
+
+@entry("similar_titles", "C3 J3", oracle("page_work document_item", f"{_ALIKE} SELECT left_key, right_key FROM alike"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.similar_titles(dedupe.title_keys(view(spark, sf, "page_work")), dedupe.title_keys(view(spark, sf, "document_item")))
 
 
-@entry("without_known_titles", "J3")
+_TITLED = f""", o AS (SELECT *, {_KEY_SQL.format("title")} AS k FROM ({_OFFERS})), d AS (SELECT DISTINCT profile_id, {_KEY_SQL.format("title")} AS k FROM document_item),
+known AS (SELECT DISTINCT d.profile_id, left_key AS k FROM alike JOIN d ON d.k = right_key)"""
+
+
+@entry("without_known_titles", "J3", oracle("page_work document_item", f"""{_ALIKE}{_TITLED}
+SELECT profile_id, ordinal FROM o ANTI JOIN known USING (profile_id, k)"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.without_known_titles(offered_works(spark, sf), view(spark, sf, "document_item")).select("profile_id", "ordinal")
 
 
-@entry("first_of_batch", "J4")
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@entry("first_of_batch", "J4", _recursive(oracle("page_work document_item", f"""
+, o AS (SELECT *, {_KEY_SQL.format("title")} AS k FROM ({_OFFERS})){loop_steps("o", "kept")} SELECT profile_id, ordinal FROM kept""")))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.first_of_batch(offered_works(spark, sf)).select("profile_id", "ordinal")
 
@@ -202,7 +218,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.first_of_batch(items, fuzzy_titles=False).select("ordinal")
 
 
-@entry("dedupe", "P5")
+@entry("dedupe", "P5", _recursive(oracle("page_work document_item", f"""{_ALIKE}{_TITLED},
+u AS MATERIALIZED (SELECT o.* FROM o ANTI JOIN known USING (profile_id, k)
+  WHERE NOT EXISTS (SELECT 1 FROM document_item d WHERE d.profile_id = o.profile_id AND lower(d.doi) = lower(o.doi))
+    AND NOT EXISTS (SELECT 1 FROM document_item d WHERE d.profile_id = o.profile_id AND lower(d.url) = lower(o.identifier))){loop_steps("u", "kept")}
+SELECT profile_id, ordinal FROM kept""")))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.dedupe(offered_works(spark, sf), view(spark, sf, "document_item")).select("profile_id", "ordinal")
 

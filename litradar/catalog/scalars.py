@@ -10,6 +10,7 @@ from ..functions import answers, clock, feed, prompts, scoring, text, titles
 from ..functions.pages import clean_texts, detect_publisher, is_highlights, meta_content, stripped_page
 from ..operators.stats import venue_type
 from .base import collapse_sql, entry, rounded, strip_sql, stripped_sql, unescape_sql
+from .title_sql import full_ratio, ratio_steps
 
 
 @entry("normalized_identifiers", "C1", f"""
@@ -46,7 +47,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@entry("title_token_set_ratios", "C3")
+@entry("title_token_set_ratios", "C3", oracle("page_work document_item", f"""
+, p AS (SELECT w.ordinal, {_TOKENS.format(f"lower({collapse_sql('w.title')})")} AS ta, {_TOKENS.format(f"lower({collapse_sql('d.title')})")} AS tb
+        FROM page_work w JOIN document_item d ON d.version = w.ordinal){ratio_steps("p", "q")},
+r AS (SELECT *, CASE WHEN length(xa) < length(xb) THEN xa ELSE xb END AS u, CASE WHEN length(xa) < length(xb) THEN xb ELSE xa END AS v FROM q)
+SELECT ordinal, round((CASE WHEN cheap = 100 OR len(ta) = 0 OR len(tb) = 0 THEN cheap ELSE {full_ratio('u', 'v')} END) / 100, 6)::DOUBLE AS ratio FROM r"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _title_pairs(spark, sf).select("ordinal", rounded(titles.token_set_ratio_udf("a", "b")).alias("ratio"))
 

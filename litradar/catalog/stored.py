@@ -14,10 +14,14 @@ from ..plans.profile import build_profile, cluster_library
 from ..plans.rank import with_thresholds
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import sinks, stores
+from ..sources.checked import article_source, preprint_source, read_checked
+from ..streaming.feed import watch_feed
 from ..streaming.sync import first_sightings, score_feed
 from .base import entry
 from .library import _works
+from .rows import _ALIKE, _OFFERS, _TITLED, _recursive, offered_works
 from .scores import _EVENT_SCORES, _event_scores, _thresholds_sql
+from .title_sql import loop_steps
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -108,6 +112,47 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(output).select("profile_id", "ordinal", "label")
 
 
+_LATER = 1_000_000_000
+
+
+@entry("deduped_feed", "T4 J1 J2 J3 J4 A23 C15", _recursive(oracle("page_work document_item", f"""{_ALIKE}{_TITLED},
+u AS MATERIALIZED (SELECT profile_id, o.ordinal % 2 * {_LATER} + o.ordinal AS ordinal, identifier, doi, k FROM o ANTI JOIN known USING (profile_id, k)
+  WHERE NOT EXISTS (SELECT 1 FROM document_item d WHERE d.profile_id = o.profile_id AND lower(d.doi) = lower(o.doi))
+    AND NOT EXISTS (SELECT 1 FROM document_item d WHERE d.profile_id = o.profile_id AND lower(d.url) = lower(o.identifier))){loop_steps("u", "kept")},
+e AS (SELECT kept.profile_id * 2 + kept.ordinal // {_LATER} AS profile_id, kept.ordinal % {_LATER} AS ordinal, round(value / 100.0, 4) AS score FROM kept JOIN events ON event_id = kept.ordinal % {_LATER}),
+n AS (SELECT profile_id, count(*) AS n FROM e GROUP BY 1){_thresholds_sql("e")}
+SELECT e.profile_id // 2 AS profile_id, ordinal, e.profile_id % 2 AS trigger, CASE WHEN score >= CASE WHEN n < 2 THEN 0.75 ELSE must_read END THEN 'must_read' WHEN score >= CASE WHEN n < 2 THEN 0.55 ELSE consider END THEN 'consider' ELSE 'ignore' END AS label
+FROM e JOIN th USING (profile_id) JOIN n USING (profile_id)""")))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Offered works land in two parts; the second trigger meets the output of the first."""
+    events = table(spark, sf, "events").select(F.col("event_id").alias("ordinal"), F.round(F.col("value") / 100, 4).alias("score"), F.col("ts").cast("timestamp").alias("published"))
+    works = cut_lineage(offered_works(spark, sf).select("profile_id", "ordinal", "identifier", "doi", "title", "source").join(events, "ordinal"))
+    library = cut_lineage(view(spark, sf, "document_item").select("profile_id", "title", "doi", "url"))
+    landing, folder, checkpoint = (_folder(spark, n) for n in ("landing", "watched-feed", "watched-checkpoint"))
+    for part in (0, 1):
+        works.where(F.col("ordinal") % 2 == part).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(works.schema).parquet(landing)
+        watch_feed(stream, library, lambda kept: with_thresholds(kept)[0], folder, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{folder}/output").select("profile_id", "ordinal", F.col("batch_id").cast("long").alias("trigger"), "label")
+
+
+@entry("checked_sources", "S15 S2 S3", oracle("page_work", """
+SELECT CASE WHEN url LIKE 'https:%' THEN 'arxiv' ELSE 'crossref' END AS source, identifier, ordinal % 10 = 3 AS is_broken FROM page_work WHERE title <> ''"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Works land as article pages and as feed entries; each tenth record is cut off or has a bare ampersand."""
+    works = view(spark, sf, "page_work").where("title <> ''")
+    broken = F.col("ordinal") % 10 == 3
+    articles, feed = _folder(spark, "articles"), _folder(spark, "feed-entries")
+    item = F.struct(F.col("identifier").alias("DOI"), F.array(F.concat(F.lit("About "), F.regexp_replace("title", "[^A-Za-z ]", "x"), F.lit(" and more"))).alias("title"), F.col("url").alias("URL"))
+    page = F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("message")))
+    works.where("url NOT LIKE 'https:%'").select(F.when(broken, F.substring(page, F.lit(1), F.length(page) - 3)).otherwise(page).alias("value")).write.text(articles)
+    entry_xml = F.concat(F.lit("<entry><id>"), "identifier", F.lit("</id><title>a work"), F.when(broken, " & more").otherwise(""), F.lit("</title></entry>"))
+    works.where("url LIKE 'https:%'").select(entry_xml.alias("value")).write.text(feed)
+    got = read_checked(spark, [preprint_source(), article_source(multi_line=False)], {"arxiv": feed, "crossref": articles})
+    name = F.coalesce(F.nullif(F.regexp_extract("record", "<id>([^<]*)", 1), F.lit("")), F.regexp_extract("record", '"DOI":"([^"]*)', 1))
+    return got.works.select("source", "identifier", F.lit(False).alias("is_broken")).union(got.quarantine.select("source", name, F.lit(True)))
+
+
 @entry("sighted_users", "T3", "SELECT DISTINCT user_id FROM events")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     stream = _landed(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))

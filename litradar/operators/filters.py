@@ -64,7 +64,7 @@ def in_fetch_window(works: DataFrame, as_of, days_back: int, column: str = "publ
 
 def newest_per_source(works: DataFrame, max_results: int) -> DataFrame:
     """The newest rows of each source, ties by the smaller ordinal. No task gets a whole source."""
-    return top_n(works, ["source"], F.col("published"), "ordinal", max_results)
+    return top_n(works, ["source"], F.col("published").cast("timestamp"), "ordinal", max_results)
 
 
 def unexpired(as_of) -> Column:

@@ -14,7 +14,7 @@ from ..sources.stores import LogStore, high_water_marks
 TOMBSTONE = "profile_id long, key string, version long"
 
 
-def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -38,13 +38,13 @@ def sync_library(spark: SparkSession, landing: str, store: LogStore, state: LogS
         )
         state.append(marks)
 
-    return _run(stream, handle, checkpoint, once)
+    return run_batches(stream, handle, checkpoint, once)
 
 
 def sync_tombstones(spark: SparkSession, landing: str, store: LogStore, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append deletions; a later version of the record brings it back."""
     stream = spark.readStream.schema(TOMBSTONE).json(landing)
-    return _run(stream, lambda batch, _: store.append(batch, deleted=True), checkpoint, once)
+    return run_batches(stream, lambda batch, _: store.append(batch, deleted=True), checkpoint, once)
 
 
 def score_feed(stream: DataFrame, score_batch: Callable[[DataFrame], DataFrame], output: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -56,7 +56,7 @@ def score_feed(stream: DataFrame, score_batch: Callable[[DataFrame], DataFrame],
     def handle(batch: DataFrame, batch_id: int) -> None:
         score_batch(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
-    return _run(stream, handle, checkpoint, once)
+    return run_batches(stream, handle, checkpoint, once)
 
 
 def fresh_works(stream: DataFrame, library_keys: DataFrame, on: Sequence[str]) -> DataFrame:
