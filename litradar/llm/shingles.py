@@ -58,11 +58,12 @@ def word_hashes(texts: Sequence[bytes], separators: np.ndarray = _SPACE) -> tupl
             break
         todo = todo[size[todo] > i]
         hashes[todo] = hashes[todo] * _BASE + _BYTE[data[starts[todo] + i]]
-    for k in np.flatnonzero(size > 64):  # rare: one long word after the other
-        h = int(hashes[k])
-        for b in _BYTE[data[starts[k] + 64 : ends[k]]].tolist():
-            h = (h * int(_BASE) + b) & 0xFFFFFFFFFFFFFFFF
-        hashes[k] = h
+    for k in np.flatnonzero(size > 64):  # rare: one long word after the other, by the powers of the base
+        powers = np.full(size[k] - 63, _BASE, dtype=np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)[::-1]
+        hashes[k : k + 1] *= powers[:1]
+        hashes[k : k + 1] += (_BYTE[data[starts[k] + 64 : ends[k]]] * powers[1:]).sum(dtype=np.uint64, keepdims=True)
     return mix64(hashes), bounds
 
 

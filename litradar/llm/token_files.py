@@ -1,9 +1,10 @@
 """Token ids in grammar-compressed files.
 
 Texts are encoded in ascending order of their ids, and the ids of neighbouring texts are gathered in blocks. A block is
-compressed by Re-Pair: the most frequent pairs of neighbouring symbols are replaced by new symbols, again and again,
-until no pair is frequent. Rules are kept with the length of what they expand to, so a text is decoded by skipping whole
-symbols up to its first id. Pairs never cross the end of a text.
+compressed by Re-Pair: the most frequent pairs of neighbouring symbols are replaced by new symbols, many in a round, for
+a few rounds (``ROUNDS``; most of the gain is in the first ones) or until no pair is frequent. Rules are kept with the
+length of what they expand to, so a text is decoded by skipping whole symbols up to its first id (``read_documents``). No
+symbol reaches over the end of a text.
 
 The file format is a Parquet table with a row per block: ``part, block`` (order of the blocks), ``doc_ids, text_hashes,
 sizes`` (ids of each text), ``left, right`` (the pair of each rule; rule r is symbol ``base + r``), ``lengths`` (ids a
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .common import small_side
 from .shingles import mix64, seeded
 
@@ -211,13 +213,16 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
     symbols = ids.astype(np.uint32)
     left, right = [], []
     rules = 0
+    # symbols that end with the end of a text; none of them begins a pair
+    closed = np.zeros(SYMBOLS, dtype=bool)
+    closed[end_id] = True
     for _ in range(ROUNDS):
         room = min(ROUND_PAIRS, SYMBOLS - base - rules)
         if len(symbols) < 2 or room <= 0:
             break
         a, b = symbols[:-1], symbols[1:]
         slot = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOTS)
-        slot[a == end_id] = 0
+        slot[closed[a]] = 0
         full = np.bincount(slot, minlength=1 << _SLOTS)
         full[0] = 0
         # so many slots are at least as full as the limit, if any is
@@ -233,7 +238,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         at = at[spots]
         pair = np.zeros((len(chosen), 2), dtype=np.uint32)
         pair[at[::-1], 0], pair[at[::-1], 1] = a[spots[::-1]], b[spots[::-1]]  # the first one of a slot stays
-        same = (a[spots] == pair[at, 0]) & (b[spots] == pair[at, 1])
+        same = ~closed[a[spots]] & (a[spots] == pair[at, 0]) & (b[spots] == pair[at, 1])
         spots, at = spots[same], at[same]
         count = np.bincount(at, minlength=len(chosen))
         best = np.argsort(-count, kind="stable")[:room]
@@ -246,6 +251,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         spots, at = spots[taken], at[taken]
         single = _alternate(spots)
         spots, at = spots[single], at[single]
+        closed[base + rules : base + rules + len(best)] = closed[pair[best, 1]]
         left.append(pair[best, 0].astype(np.int32))
         right.append(pair[best, 1].astype(np.int32))
         rules += len(best)
@@ -362,3 +368,27 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     offsets = small_side(offsets.select("part", "block", (F.col("_part") + F.col("_block")).alias("_from")))
     rows = blocks.mapInArrow(_decoded, "part int, block int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, ["part", "block"]).select("doc_id", (F.col("_from") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            left, right, lengths = (np.array(row[c], dtype=np.int64) for c in ("left", "right", "lengths"))
+            symbols, ends = np.frombuffer(row["symbols"], dtype="<u2"), np.cumsum(row["sizes"])
+            for at in row["places"]:
+                n = row["sizes"][at]
+                ids = decode_range(symbols, left, right, lengths, row["base"], int(ends[at]) - n, n)
+                yield pa.record_batch({"doc_id": pa.array([row["doc_ids"][at]], pa.int64()), "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``doc_id, ids`` (with the end id) of the texts whose ``doc_id`` is in ``wanted``; only their ranges of a block are decoded.
+
+    The ids of all blocks are looked through first, without their symbols. A doc_id of several texts gives a row each,
+    an unknown one none; a null doc_id asks for nothing.
+    """
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    places = blocks.select("part", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    found = places.join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = small_side(cut_lineage(found.groupBy("part", "block").agg(F.collect_list("place").alias("places"))))
+    return blocks.join(found, ["part", "block"]).mapInArrow(_picked, "doc_id long, ids array<int>")

@@ -26,20 +26,30 @@ from ..session import cut_lineage
 SCALE = 1024
 SAMPLE, PIVOTS, ANNULI = 2_000, 32, 8
 SLICE_ROWS, GROUP_QUERIES = 8_192, 512
+# beyond this, scores might not fit 64 bits
+MOST_SCORE = 2.0**62
+TOO_LARGE = "inner products of these vectors may not fit 64 bits"
 
 
 def _integers(scale: int):
+    """Whole batches at once: rows without id or vector or with a null or non-finite component are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-                if i is None or not v.is_valid or v.values.null_count:
-                    continue
-                x = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    out.append(np.floor(x * scale).astype("<i8").tobytes())
-            yield pa.record_batch({"vec_id": pa.array(ids, pa.int64()), "v": pa.array(out, pa.binary())})
+            vectors = batch.column("embedding")
+            offsets = vectors.offsets.to_numpy()
+            x = vectors.values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            bad = np.concatenate(([0], np.cumsum(~np.isfinite(x))))
+            present = batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False) & vectors.is_valid().to_numpy(zero_copy_only=False)
+            good = present & (bad[offsets[1:]] == bad[offsets[:-1]])
+            size = np.diff(offsets)[good]
+            place = np.repeat(offsets[:-1][good] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            values = np.floor(x[place] * scale)
+            if len(values) and not np.abs(values).max() < MOST_SCORE**0.5:
+                raise ValueError(TOO_LARGE)
+            ends = np.concatenate(([0], 8 * np.cumsum(size))).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(values.astype("<i8"))])
+            yield pa.record_batch({"vec_id": batch.column("vec_id").filter(pa.array(good)), "v": held})
 
     return run
 
@@ -171,7 +181,7 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = SCA
     Components are floor(scale * x); equal scores go by the smaller id. A null id, a null vector and one with a null or
     non-finite component take no part. Rows that repeat id and vector count once; an id with several vectors competes
     with each, and asks with each of them at once (its best scores). Shorter vectors are filled with zeros. Fewer than
-    ``k`` other rows give fewer results, an empty table none.
+    ``k`` other rows give fewer results, an empty table none. Scores that might not fit 64 bits are an error.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_integers(scale), "vec_id long, v binary")
@@ -191,6 +201,8 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = SCA
     # at most PIVOTS * ANNULI rows
     stats = index.groupBy("annulus").agg(F.min("far").alias("least"), F.max("far").alias("most"), F.max("norm").alias("norm"), F.count("*").alias("n")).collect()
     rings = np.array(sorted((r["annulus"], r["least"], r["most"], r["norm"]) for r in stats), dtype=np.float64)
+    if not rings[:, 3].max() ** 2 * (1 + 1e-9) < MOST_SCORE:
+        raise ValueError(TOO_LARGE)
     slices = F.create_map(*[F.lit(x) for r in stats for x in (r["annulus"], -(-r["n"] // SLICE_ROWS))])
     sliced = index.withColumn("slice", F.pmod(F.xxhash64("vec_id"), slices[F.col("annulus")]).cast("int"))
     queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "v")

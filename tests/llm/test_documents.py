@@ -225,7 +225,40 @@ def test_grammar_round_trip(ids, start, n, times):
     start, n = min(start, len(ids)), min(n, max(len(ids) - start, 0))
     if n:
         assert np.array_equal(token_files.decode_range(symbols, left, right, lengths, 10, start, n), ids[start : start + n])
-    assert 1 not in left  # pairs do not cross the end of a text
+    # no symbol reaches over the end of a text: the end id is only ever the last of what a rule expands to
+    for r in range(len(left)):
+        whole = token_files.expand(np.array([10 + r]), left, right, 10).tolist()
+        assert 1 not in whole[:-1]
+
+
+def test_pairs_of_pairs_do_not_cross_ends():
+    symbols, left, right = token_files.compress(np.array([5, 1] * 400, dtype=np.uint32), 100)
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(5, 1)] and symbols.tolist() == [100] * 400
+
+
+def test_single_documents_are_read(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs = [(i % 40, " ".join(edges.prose(i, 5 + i))) for i in range(60)] + [(100, None), (None, "no id")]
+    token_files.write_tokens(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), f"{tmp_path}/t", tokenizer_path(), block_ids=500)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    wanted = spark.createDataFrame([(3,), (39,), (100,), (7,), (7,), (999,), (None,)], "doc_id long")
+    got = sorted((r.doc_id, list(r.ids)) for r in token_files.read_documents(spark, f"{tmp_path}/t", wanted).collect())
+    assert got == sorted((d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in docs if d in (3, 39, 100, 7))
+
+
+def test_long_words_hash_as_short_ones():
+    """One sum for words of any length; case does not matter."""
+    words = [b"aB" * 40, b"Ab" * 40, b"x" * 65, b"x" * 64, b"x" * 64 + b"y", b"q" * 3_000_000]
+    hashes, bounds = shingles.word_hashes(words)
+    assert bounds.tolist() == list(range(len(words) + 1))
+    plain = []
+    for w in words[:-1]:
+        h = 0
+        for b in w.lower():
+            h = (h * int(shingles._BASE) + int(shingles._BYTE[b])) & 0xFFFFFFFFFFFFFFFF
+        plain.append(int(shingles.mix64(np.array([h], dtype=np.uint64))[0]))
+    assert hashes[:-1].tolist() == plain and plain[0] == plain[1] and len(set(plain)) == 4
 
 
 TRICKY = [

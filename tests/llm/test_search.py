@@ -38,6 +38,14 @@ def test_few_vectors(spark):
     assert got == [(0, 1, 100, 3 * 1024 * 1024), (0, 2, 7, 0), (100, 1, 0, 3 * 1024 * 1024), (100, 2, 7, -3 * 1024 * 1024)]
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(frame).collect()
+    near = spark.createDataFrame([(0, [2.0**20, 1.0]), (1, [2.0**20, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(near).collect()] == [(0, 1, 1, 2**60 + 2 * 2**20)]
+
+
 def test_large_components_stay_exact():
     a = np.array([[2**30, 3], [1, 2**29]], dtype=np.int64)
     assert topk._products(a, a).tolist() == [[2**60 + 9, 2**30 + 3 * 2**29], [2**30 + 3 * 2**29, 1 + 2**58]]
