@@ -13,7 +13,7 @@ from ..models.providers import EchoCompleter, HashingEmbedder, OverlapReranker,
 from ..operators import extraction, stats
 from ..plans import interest as interest_plan
 from ..plans.enrich import enrich
-from ..session import spread_scan
+from ..session import cut_lineage, spread_scan
 from ..sources import sinks
 from .base import collapse_sql, entry, rounded, strip_sql, stripped_sql, unescape_sql
 
@@ -378,8 +378,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     works = _works(spark, sf)
     texts = works.select(F.col("identifier").alias("content_hash"), F.col("abstract").alias("text"))
     vectors = encode_texts(texts, HashingEmbedder()).withColumnRenamed("content_hash", "identifier")
-    # every benchmark text describes an interest; a profile takes its first
-    described = _interests(spark, sf).groupBy((F.col("profile_id") % 4).alias("profile_id")).agg(F.min_by("description", "profile_id").alias("description"))
+    # every benchmark text is the interest of a profile of its own; works are dealt over them
+    described = cut_lineage(_interests(spark, sf).select("profile_id", "description"))
+    works = works.withColumn("profile_id", F.col("ordinal") % F.greatest(F.lit(described.count()), F.lit(1)))
     refined = services.refine_interests(described, EchoCompleter())
     chosen = interest_plan.select_interest_works(works.join(vectors, "identifier").drop("score", "label", "rank"), refined, HashingEmbedder(), OverlapReranker(),
                                                  view(spark, sf, "candidate_issn"), view(spark, sf, "journal"))

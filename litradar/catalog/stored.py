@@ -162,6 +162,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("user_id long").parquet(output)
 
 
+@entry("written_feeds", "S17", """
+SELECT doc_id % 4 AS profile_id, CAST(doc_id AS VARCHAR) AS guid, lang || ' ' || source AS title FROM documents""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Feeds of all works, as files that are read again."""
+    path = _folder(spark, "feeds")
+    sinks.write_feeds(_works(spark, sf), path, AS_OF)
+    lines = spark.read.schema("value string, profile_id long").text(path).where("value LIKE '<item>%'")
+    return lines.select("profile_id", F.regexp_extract("value", "<guid>([^<]*)</guid>", 1).alias("guid"), F.regexp_extract("value", "<title>([^<]*)</title>", 1).alias("title"))
+
+
 @entry("feed_documents", "S17", """
 WITH r AS (SELECT doc_id % 4 AS profile_id, doc_id, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS n, lang || ' ' || source AS title FROM documents)
 SELECT profile_id, count(*) AS items, string_agg(title, '|' ORDER BY doc_id) AS titles, TRUE AS closed FROM r WHERE n <= 25 GROUP BY 1""")
