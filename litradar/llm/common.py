@@ -20,6 +20,10 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def is_small(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return side.limit(rows + 1).count() <= rows
+
+
 def small_side(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table for broadcast if it has at most ``rows`` rows; else Spark shuffles and splits skewed keys."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+    return F.broadcast(side) if is_small(side, rows) else side

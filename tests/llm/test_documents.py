@@ -1,6 +1,7 @@
 """Operators over documents: rows that break things, against plain versions."""
 
 import os
+import re
 
 import edges
 import numpy as np
@@ -113,6 +114,34 @@ def test_benchmark_hits(spark, folder, rows):
     assert told(frame, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(edges.hits(rows, items), key=repr)
 
 
+def test_benchmark_hits_of_a_shuffled_join(spark, folder):
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated")
+    want = told(decontaminate.contamination(docs, items), *columns)
+    assert any(r[-1] for r in want)
+    assert told(decontaminate.contamination(docs, items, broadcast_rows=0), *columns) == want
+
+
+def test_shuffled_places_carry_no_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "z y x"), (3, "b c d a b c d e f g h i j")], "doc_id long, text string")
+    items = spark.createDataFrame([("p", "a b c d e f g h i j"), ("q", "y x"), ("r", None)], "item_id string, text string")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plans, cut = [], decontaminate.cut_lineage
+    monkeypatch.setattr(decontaminate, "cut_lineage", lambda f: plans.append((f.columns, f._jdf.queryExecution().explainString(mode))) or cut(f))
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 1)
+    monkeypatch.setattr(decontaminate, "small_side", lambda side: side)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = decontaminate.contamination(docs, items, broadcast_rows=0)
+        assert told(found, "doc_id", "n_hit") == [(1, 10), (2, 2), (3, 10)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    [met] = [plan for columns, plan in plans if "_at" in columns]
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", met)
+    places = [columns for columns in shuffled if "pos#" in columns]
+    assert places and not any("words#" in columns for columns in shuffled)
+
+
 def test_benchmark_plan_has_no_python(spark, folder):
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.contamination(docs, items)._jdf.queryExecution().executedPlan().toString()
