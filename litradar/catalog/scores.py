@@ -9,6 +9,7 @@ from ..fixtures.views import AS_OF, oracle, table, view
 from ..operators import clusters as cl
 from ..operators import neighbors as nb
 from ..operators import ranking as rk
+from ..operators.vector_index import build_index, indexed_knn
 from ..params import Thresholds, WatchLimits, WatchSettings
 from ..plans.rank import with_thresholds, profile_clusters, rank_cold, score_candidates
 from .base import entry, rounded
@@ -72,10 +73,23 @@ def _neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return nb.knn_join(view(spark, sf, "candidate"), cl.with_weight(view(spark, sf, "library"), AS_OF), 5)
 
 
-@entry("nearest_neighbors", "J8", oracle("library candidate", _KNN + """
-SELECT profile_id, ordinal, key, rank, round(sim, 6)::DOUBLE AS sim FROM k WHERE rank <= 5"""))
+_NEIGHBORS_SQL = oracle("library candidate", _KNN + """
+SELECT profile_id, ordinal, key, rank, round(sim, 6)::DOUBLE AS sim FROM k WHERE rank <= 5""")
+
+
+def _neighbor_rows(found: DataFrame) -> DataFrame:
+    return found.select("profile_id", "ordinal", "key", F.col("rank").cast("long").alias("rank"), rounded("sim").alias("sim"))
+
+
+@entry("nearest_neighbors", "J8", _NEIGHBORS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _neighbor_rows(_neighbors(spark, sf))
+
+
+@entry("indexed_neighbors", "J8", _NEIGHBORS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _neighbors(spark, sf).select("profile_id", "ordinal", "key", F.col("rank").cast("long").alias("rank"), rounded("sim").alias("sim"))
+    index = build_index(cl.with_weight(view(spark, sf, "library"), AS_OF))
+    return _neighbor_rows(indexed_knn(view(spark, sf, "candidate"), index, 5)[0])
 
 
 @entry("micro_scores", "W1 J15", oracle("library candidate", _KNN + """
