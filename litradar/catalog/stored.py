@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..fixtures.views import AS_OF, LIBRARY_AS_OF, oracle, table, view
 from ..models.providers import HashingEmbedder
 from ..operators import clusters as cl
-from ..plans.profile import build_profile, cluster_library
+from ..operators.filters import with_library_abstract
+from ..plans.profile import build_profile, cluster_library, embed_items, texts_to_encode
 from ..plans.rank import with_thresholds
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import sinks, stores
@@ -203,3 +204,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     sums = near.groupBy("profile_id").agg(F.count("*").alias("items"), F.count_distinct("key").alias("keys"), F.avg((F.col("nearest") == F.col("cluster_id")).cast("int")).alias("_share"), F.count_distinct("cluster_id").alias("_k"))
     _, high = cl.cluster_bounds(F.col("items"))
     return sums.select("profile_id", "items", "keys", (F.col("_share") >= 0.95).alias("near_own_centroid"), (F.col("_k") <= high).alias("k_in_bounds"))
+
+
+@entry("profile_rebuild", "P1 T2 S9", oracle("document_item", """
+, u AS (SELECT *, coalesce(title, '') || chr(0) || abstract AS t FROM document_item WHERE trim(coalesce(abstract, '')) <> '')
+SELECT profile_id, count(*) AS total_papers, 0::BIGINT AS missing, (SELECT count(DISTINCT t) FROM u WHERE length(abstract) % 2 = 0) AS encoded_again FROM u GROUP BY 1"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A full build with a store of all texts, some of them stored for candidates: only the profile's own vectors are encoded again."""
+    items = view(spark, sf, "document_item").withColumn("date_added", F.lit("2001-08-01 00:00:00").cast("timestamp"))
+    usable = with_library_abstract(items)
+    _, rows = embed_items(usable, spark.createDataFrame([], stores.EMBEDDING), HashingEmbedder(), LIBRARY_AS_OF, "profile", None)
+    odd = texts_to_encode(usable).where(F.length("abstract") % 2 == 1).select("content_hash", F.lit("candidate").alias("_kind")).distinct()
+    kind = F.coalesce("_kind", "source_type")
+    store = cut_lineage(rows.join(odd, "content_hash", "left").withColumn("source_type", kind).drop("_kind").withColumn("source_id", F.lit(None).cast("string")))
+    _, missing = embed_items(usable, store, HashingEmbedder(), LIBRARY_AS_OF, "profile", None)
+    out = build_profile(items, items.select("key", F.col("source").alias("tag")), store, HashingEmbedder(), LIBRARY_AS_OF, full=True)
+    counts = [F.lit(f.count()).cast("long").alias(name) for f, name in ((missing, "missing"), (out["new_embeddings"], "encoded_again"))]
+    return out["summary"].select("profile_id", "total_papers", *counts)
