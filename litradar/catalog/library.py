@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures.views import AS_OF, LIBRARY_AS_OF, oracle, table, view
+from ..fixtures.views import AS_OF, LIBRARY_AS_OF, oracle, query, table, view
 from ..functions import prompts
 from ..functions.pages import LEAD_DESCRIPTION, LEAD_SECTION
 from ..models import services
@@ -153,17 +153,34 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- pages ---
 
-@entry("extracted_abstracts", "X1 X2 X4 X5 C20", oracle("publisher_page", f"""
+_EXTRACTED_SQL = f"""
 , t AS (SELECT d.doc_id, lang, text, {strip_sql("replace(replace(text, chr(34), ' '), chr(39), ' ')")} AS quoted FROM documents d),
 c AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN CASE WHEN length(quoted) >= 100 THEN {collapse_sql(f"regexp_replace(regexp_replace({unescape_sql('quoted')}, '<[^>]+>', ' ', 'g'), '^\\s*(?i:abstract)\\s*:?\\s*', '')")} END
   ELSE {collapse_sql(f"regexp_replace(regexp_replace({unescape_sql('text')}, '<[^>]+>', ' ', 'g'), '^\\s*(?i:abstract)\\s*:?\\s*', '')")} END AS plain,
   CASE WHEN lang = 'en' THEN FALSE ELSE TRUE END AS selected FROM t)
 SELECT doc_id, CASE WHEN selected AND lang = 'fr' AND length('Abstract : ' || plain) >= 100 AND length(plain) >= 100 THEN plain
-  WHEN selected AND lang = 'fr' THEN NULL WHEN selected AND length(plain) < 100 THEN NULL ELSE plain END AS abstract FROM c"""))
+  WHEN selected AND lang = 'fr' THEN NULL WHEN selected AND length(plain) < 100 THEN NULL ELSE plain END AS abstract FROM c"""
+
+
+@entry("extracted_abstracts", "X1 X2 X4 X5 C20", oracle("publisher_page", _EXTRACTED_SQL))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract_abstracts(spread_scan(view(spark, sf, "publisher_page"))).select("doc_id", "abstract")
 
 
+# landed answers: refusals, twice the text between white space, and short ones
+_ANSWERS = "SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN 'NOT_FOUND ' || text WHEN 1 THEN '  ' || text || ' ' || text || ' ' ELSE left(text, 49) END AS answer FROM documents"
+
+
+@entry("answered_pages", "X7 X1", oracle("publisher_page", ", e AS (" + _EXTRACTED_SQL.replace("\n, t AS", "WITH t AS", 1) + f"""),
+w AS (SELECT doc_id, {strip_sql("answer")} AS answer FROM ({_ANSWERS}))
+SELECT e.doc_id, coalesce(e.abstract, CASE WHEN NOT contains(w.answer, 'NOT_FOUND') AND length(w.answer) >= 50 THEN w.answer END) AS abstract,
+  e.abstract IS NULL AS asked FROM e LEFT JOIN w ON w.doc_id = e.doc_id"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules first, and landed answers for the pages they miss."""
+    extracted = extraction.extract_abstracts(spread_scan(view(spark, sf, "publisher_page"))).select("doc_id", "abstract", F.col("abstract").isNull().alias("asked"))
+    return extraction.with_answers(extracted, query(spark, sf, _ANSWERS), "doc_id").select("doc_id", "abstract", "asked")
+
+
 @entry("state_abstracts", "X3", """
 SELECT doc_id, CASE WHEN length(p) >= 100 THEN p END AS abstract FROM (SELECT doc_id, 'First ' || source || ' ' || lang || repeat(' word', n_chars % 40) || chr(10) || 'Second ' || lang AS p FROM documents)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:

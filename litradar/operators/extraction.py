@@ -41,6 +41,13 @@ def accepted_answer(answer: str = "answer"):
     return F.when(~text.contains("NOT_FOUND") & (F.length(text) >= 50), text)
 
 
+def with_answers(extracted: DataFrame, answers: DataFrame, key: str = "doi") -> DataFrame:
+    """Fill missing abstracts from landed ``answers(key, answer)``; of several accepted ones for a key the smallest, a null key has none."""
+    accepted = answers.select(F.col(key), accepted_answer().alias("_answer")).where("_answer IS NOT NULL")
+    best = accepted.groupBy(key).agg(F.min("_answer").alias("_answer"))
+    return extracted.join(best, key, "left").withColumn("abstract", F.coalesce("abstract", "_answer")).drop("_answer")
+
+
 def as_store_rows(extracted: DataFrame, as_of, ttl_days: int = 30, source: str = "pages") -> DataFrame:
     """Extraction results in the shape of the abstract store."""
     now = moment(as_of)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..models.providers import Completer, complete_prompts
-from ..operators.extraction import accepted_answer, as_store_rows, extract_abstracts, model_requests
+from ..operators.extraction import as_store_rows, extract_abstracts, model_requests, with_answers
 from ..operators.filters import abstract_route
 from ..operators.joins import fill_abstracts
 from ..operators.stats import enrichment_stats
@@ -26,8 +26,7 @@ def extract_with_fallback(pages: DataFrame, completer: Completer | None = None)
     lead = F.when(F.col("title") != "", F.concat(F.lit("Paper title: "), "title", F.lit("\n\n"))).otherwise("")
     requests = asked.select("doi", F.concat(lead, prompts.render(prompts.PAGE_ABSTRACT, html=F.col("content"))).alias("prompt"))
     replies = cut_lineage(complete_prompts(requests, completer, ["doi"]))
-    answered = replies.select("doi", accepted_answer().alias("_answer")).dropDuplicates(["doi"])
-    return extracted.join(answered, "doi", "left").withColumn("abstract", F.coalesce("abstract", "_answer")).drop("_answer")
+    return with_answers(extracted, replies)
 
 
 def enrich(candidates: DataFrame, store: DataFrame, pages: DataFrame, as_of, completer: Completer | None = None) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from litradar.functions import answers, clock, feed, scoring, text
 from litradar.operators import filters, joins, stats
-from litradar.operators.extraction import extract_abstracts
+from litradar.operators.extraction import extract_abstracts, with_answers
 from litradar.functions.pages import LEAD_DESCRIPTION, LEAD_SECTION, shrink_page
 
 AS_OF = "2024-02-01 12:30:00"
@@ -196,3 +196,12 @@ def test_entities_in_the_jvm_and_in_python(spark):
     texts = ["a &lt;b&gt; &amp;lt; &quot;x&quot; &#39;y&#39; &nbsp;", "&amp;amp;lt;", "caf&eacute; &lt;", "&#x41;&#66; &amp", "R&D &amp; more", "none", "", "&amp;#39; &#160;"]
     got = [g[0] for g in values(spark, [(t,) for t in texts], "t string", unescape(F.col("t")))]
     assert got == [html.unescape(t) for t in texts]
+
+
+def test_landed_answers_fill_missing_abstracts(spark):
+    long = "a" * 60
+    extracted = spark.createDataFrame([("x", None), ("x", None), ("y", "kept"), ("z", None), (None, None), ("w", None)], "doi string, abstract string")
+    answers = spark.createDataFrame([("x", f" {long}b "), ("x", f"{long}a"), ("x", "short"), ("y", long), ("z", f"NOT_FOUND {long}"), (None, long), ("v", long)], "doi string, answer string")
+    got = sorted(((r.doi, r.abstract) for r in with_answers(extracted, answers).collect()), key=repr)
+    assert got == sorted([("x", long + "a"), ("x", long + "a"), ("y", "kept"), ("z", None), (None, None), ("w", None)], key=repr)
+    assert with_answers(extracted, answers.limit(0)).where("abstract IS NULL").count() == 5
