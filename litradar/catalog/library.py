@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..plans import interest as interest_plan
 from ..plans.enrich import enrich
 from ..session import cut_lineage, spread_scan
 from ..sources import sinks
-from .base import collapse_sql, entry, rounded, strip_sql, stripped_sql, unescape_sql
+from .base import ORACLE, collapse_sql, entry, rounded, strip_sql, stripped_sql, unescape_sql
 
 _ITEMS = "library_item"
 
@@ -151,6 +153,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return frames["overview"].drop("duration", "library_hash")
 
 
+# frame, its query alone, what is counted, how often
+_FRAMES = (("keywords", "keyword_stats", "tag", "tag_count"), ("authors", "author_stats", "author", "paper_count"),
+           ("quarters", "quarterly_trends", "quarter", "paper_count"), ("years", "year_distribution", "year", "paper_count"))
+
+
+@entry("library_analytics_frames", "P7 A1 A2 A5 A6", " UNION ALL ".join(
+    f"SELECT '{frame}' AS frame, profile_id, CAST({name} AS VARCHAR) AS name, CAST({amount} AS BIGINT) AS amount FROM ({ORACLE[alone]})" for frame, alone, name, amount in _FRAMES))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics that share their inputs, out of one call, in long form."""
+    frames = stats.library_analytics(_items(spark, sf), _tags(spark, sf), _authors(spark, sf), LIBRARY_AS_OF)
+    parts = [frames[frame].select(F.lit(frame).alias("frame"), "profile_id", F.col(name).cast("string").alias("name"), F.col(amount).cast("long").alias("amount"))
+             for frame, _, name, amount in _FRAMES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- pages ---
 
 _EXTRACTED_SQL = f"""
