@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures.views import AS_OF, LIBRARY_AS_OF, oracle, query, table, view
@@ -201,15 +201,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @entry("state_abstracts", "X3", """
 SELECT doc_id, CASE WHEN length(p) >= 100 THEN p END AS abstract FROM (SELECT doc_id, 'First ' || source || ' ' || lang || repeat(' word', n_chars % 40) || chr(10) || 'Second ' || lang AS p FROM documents)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col
-    first = F.concat(F.lit('{"#name":"simple-para","_":"First '), c("source"), F.lit(" "), c("lang"), F.repeat(F.lit(" word"), (c("n_chars") % 40).cast("int")), F.lit('"},{"#name":"para","_":"Second '), c("lang"), F.lit('"}'))
+    words = F.concat("source", F.lit(" "), "lang", F.repeat(F.lit(" word"), (F.col("n_chars") % 40).cast("int")))
+    return _state_abstracts(table(spark, sf, "documents"), words)
+
+
+def _state_abstracts(documents: DataFrame, words: Column) -> DataFrame:
+    """Abstracts out of pages whose embedded state holds ``words`` as first paragraph."""
+    first = F.concat(F.lit('{"#name":"simple-para","_":"First '), words, F.lit('"},{"#name":"para","_":"Second '), "lang", F.lit('"}'))
     block = F.concat(F.lit('{"$$":['), first, F.lit('],"$":{"view":"all","class":"author"},"#name":"abstract"}'))
     other = F.lit('{"$$":[{"#name":"para","_":"A highlight"}],"$":{"view":"all","class":"author-highlights"},"#name":"abstract"},')
     page = F.concat(F.lit('<script>window.__PRELOADED_STATE__ = {"abstracts":{"content":['), other, block, F.lit("]}};</script>"))
-    pages = table(spark, sf, "documents").select("doc_id", F.lit("https://www.sciencedirect.com/x").alias("url"), page.alias("html"))
+    pages = documents.select("doc_id", F.lit("https://www.sciencedirect.com/x").alias("url"), page.alias("html"))
     return extraction.extract_abstracts(pages).select("doc_id", "abstract")
 
 
+# a whole text as it may stand in the state: quotes, brackets and markup are blanks
+_STATE_TEXT = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9.,]', ' '{0}), ' +', ' '{0}))"
+
+
+@entry("state_texts", "X3", f"""
+SELECT doc_id, CASE WHEN length(p) >= 100 THEN p END AS abstract FROM (SELECT doc_id, 'First ' || {_STATE_TEXT.format(", 'g'")} || chr(10) || 'Second ' || lang AS p FROM documents)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``state_abstracts`` with whole texts as paragraphs."""
+    return _state_abstracts(table(spark, sf, "documents"), F.expr(_STATE_TEXT.format("")))
+
+
 @entry("page_requests", "X6 X7", f"SELECT page_id, sha256({stripped_sql('html')}) AS content, FALSE AS is_cut FROM pages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     extracted = extraction.extract_abstracts(spread_scan(table(spark, sf, "pages")))
