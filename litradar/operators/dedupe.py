@@ -17,7 +17,8 @@ from ..session import cut_lineage
 from .graph import components
 from .skew import HOT_ROWS, never_null, skew_join
 
-TITLE_BLOCK = 4096
+# titles, and their letters, in a block of the pairs by edit distance
+TITLE_BLOCK, BLOCK_LETTERS = 32_768, 4_000_000
 # batch dedupe: rounds before connected parts are looked for, and the entries of a part that one task may settle
 ROUNDS, COMPONENT_ENTRIES = 4, 500_000
 
@@ -41,18 +42,90 @@ def title_keys(titles: DataFrame, column: str = "title") -> DataFrame:
     return titles.select(token_key(normalize_title(F.col(column))).alias("tkey")).where("tkey <> ''").distinct()
 
 
-def _rare_prefix(tokens: DataFrame, allowed: float) -> DataFrame:
-    """The rarest tokens ``(tkey, df, token)`` of each key whose length is more than may be missing from a match."""
-    ranked = tokens.groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
-    bound = F.length("tkey") * F.lit(allowed) + F.lit(1e-9)
+# token lengths from each of these on are a class of their own: its 64 marks, one per token by hash, cost at least that length and a blank each
+_MARKS = (1, 3, 5, 8)
+
+
+def _marks(token: Column, length: Column) -> list[Column]:
+    """One number per class of token lengths with the token's bit, 0 in the other classes."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(token, F.lit(64)).cast("int"))
+    ends = (*_MARKS[1:], None)
+    return [F.when((length >= lo) & (F.lit(True) if hi is None else length < hi), bit).otherwise(F.lit(0).cast("long")) for lo, hi in zip(_MARKS, ends, strict=True)]
+
+
+def _numbered(keys: DataFrame) -> DataFrame:
+    """Distinct keys with a number, their length and their marks, so that tokens and pairs need not carry the titles."""
+    zero = F.lit(0).cast("long")
+    tokens = F.transform(F.split("tkey", " "), lambda t: F.struct(F.xxhash64(t).alias("token"), F.length(t).alias("size")))
+
+    def held(i: int) -> Column:
+        return F.aggregate("_tokens", zero, lambda acc, t: acc.bitwiseOR(_marks(t["token"], t["size"])[i])).alias(f"m{i}")
+
+    rows = keys.select("tkey").distinct().select("tkey", F.monotonically_increasing_id().alias("id"), F.length("tkey").alias("length"), tokens.alias("_tokens"))
+    return cut_lineage(rows.select("id", "tkey", "length", *[held(i) for i in range(len(_MARKS))]))
+
+
+def _token_rows(numbered: DataFrame) -> DataFrame:
+    """``id, token, size``: the token is a hash, equal hashes of different tokens only add candidates."""
+    rows = numbered.select("id", F.explode(F.split("tkey", " ")).alias("_token"))
+    return rows.select("id", F.xxhash64("_token").alias("token"), F.length("_token").alias("size"))
+
+
+def _rare_prefix(titles: DataFrame, allowed: float) -> DataFrame:
+    """The rarest tokens ``token, df`` of each numbered title whose length is more than may be missing from a match; ``by_df`` has all, in order."""
+    bound = F.col("length") * F.lit(allowed) + F.lit(1e-9)
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
-        longer = acc["used"] + F.length(x["token"]) + 1
+        longer = acc["used"] + x["size"] + 1
         return F.struct(longer.alias("used"), (acc["taken"] + (acc["used"] <= bound).cast("int")).alias("taken"))
 
     taken = F.aggregate("by_df", start, step, lambda acc: acc["taken"])
-    return ranked.select("tkey", F.explode(F.slice("by_df", F.lit(1), taken)).alias("x")).select("tkey", "x.token", "x.df")
+    own = ["id", "length", *[f"m{i}" for i in range(len(_MARKS))]]
+    return titles.select(*own, F.explode(F.slice("by_df", F.lit(1), taken)).alias("x")).select(*own, "x.token", "x.df")
+
+
+def _overlap_candidates(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """``left_id, right_id`` of numbered titles that may overlap; see ``overlapping_titles``."""
+    r = 1.0 - threshold
+    allowed = 2 * r / (1 + r)
+    every = _token_rows(left) if right is None else _token_rows(left).union(_token_rows(right))
+    frequency = cut_lineage(every.groupBy("token").agg(F.count("*").alias("df")))
+    hot = cut_lineage(frequency.where(F.col("df") > HOT_ROWS).select("token", F.ceil(F.col("df") / HOT_ROWS).cast("long").alias("_parts")))
+    # a token of many titles is cut into parts: its index rows are spread, its few probes are copied
+    parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
+    zero = F.lit(0).cast("long")
+
+    def index(big: DataFrame) -> DataFrame:
+        held = [F.col(f"m{i}").alias(f"n{i}") for i in range(len(_MARKS))]
+        rows = big.select(F.col("id").alias("other"), F.col("length").alias("reach"), *held, F.explode(F.split("tkey", " ")).alias("_token"))
+        rows = rows.withColumn("token", F.xxhash64("_token")).drop("_token").join(F.broadcast(hot), "token", "left")
+        return rows.withColumn("part", F.pmod(F.xxhash64("other"), parts)).drop("_parts")
+
+    def probe(small: DataFrame, big: DataFrame, a: str, b: str) -> DataFrame:
+        counted = skew_join(_token_rows(small), frequency, ["token"], "inner", ["id"], hot=hot)
+        counted = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token", "size"))).alias("by_df")).join(small.drop("tkey"), "id")
+        copies = F.ceil(F.col("df") / HOT_ROWS).cast("long")
+        prefix = _rare_prefix(counted, allowed).withColumn("part", F.explode(F.sequence(zero, copies - 1))).drop("df")
+        # the match holds the rest of the title, so it cannot be much shorter, and it has the marks of all but what may be missing
+        long_enough = F.col("reach") + 1 >= F.col("length") * F.lit(1 - allowed - 1e-9)
+        missing = sum(
+            (F.bit_count(F.col(f"m{i}").bitwiseAND(F.bitwise_not(F.col(f"n{i}")))) * F.lit(lo + 1) for i, lo in enumerate(_MARKS)), F.lit(0)
+        )
+        few_missing = missing <= F.col("length") * F.lit(allowed) + F.lit(1e-9)
+        return prefix.join(index(big), ["token", "part"]).where(long_enough & few_missing).select(F.col("id").alias(a), F.col("other").alias(b))
+
+    if right is None:
+        return probe(left, left, "left_id", "right_id")
+    return probe(left, right, "left_id", "right_id").unionByName(probe(right, left, "right_id", "left_id"))
+
+
+def _with_titles(pairs: DataFrame, lefts: DataFrame, rights: DataFrame) -> DataFrame:
+    """Add ``left_key`` and ``right_key``. ``pairs`` is stored: it is counted first, as a title may have very many matches."""
+    for side, other, titles in (("left", "right", lefts), ("right", "left", rights)):
+        named = titles.select(F.col("id").alias(f"{side}_id"), F.col("tkey").alias(f"{side}_key"))
+        pairs = skew_join(pairs, named, [f"{side}_id"], "inner", [f"{other}_id"])
+    return pairs
 
 
 def overlapping_titles(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.9) -> DataFrame:
@@ -62,46 +135,27 @@ def overlapping_titles(left: DataFrame, right: DataFrame | None = None, threshol
 
     If the common part alone reaches the threshold against a title, at most 2r/(1+r) of that
     title (r = 1 - threshold) is missing from the other one. So any run of its tokens longer
-    than that shares a token with the match; the rarest tokens are taken.
+    than that shares a token with the match; the rarest tokens are taken. Titles meet as numbers with
+    their length and a few marks of their tokens, and are read again for the pairs that may match.
     """
-    r = 1.0 - threshold
-    allowed = 2 * r / (1 + r)
-    def tokens(keys: DataFrame) -> DataFrame:
-        return keys.select("tkey", F.explode(F.split("tkey", " ")).alias("token"))
-
-    every = left if right is None else left.unionByName(right)
-    frequency = cut_lineage(tokens(every).groupBy("token").agg(F.count("*").alias("df")))
-    hot = frequency.where(F.col("df") > HOT_ROWS).select("token", F.ceil(F.col("df") / HOT_ROWS).cast("long").alias("_parts"))
-
-    def counted(keys: DataFrame) -> DataFrame:
-        return cut_lineage(skew_join(tokens(keys), frequency, ["token"], "inner", ["tkey"], hot=hot))
-
-    # a token of many titles is cut into parts: its index rows are spread, its few probes are copied
-    parts = F.ceil(F.col("df") / HOT_ROWS).cast("long")
+    lefts = _numbered(left)
+    rights = lefts if right is None else _numbered(right)
+    pairs = cut_lineage(_overlap_candidates(lefts, None if right is None else rights, threshold).distinct())
+    named = _with_titles(pairs, lefts, rights)
+    return named.where(overlap_ratio(F.col("left_key"), F.col("right_key")) >= threshold).select("left_key", "right_key")
 
-    def probe(small: DataFrame, big: DataFrame, a: str, b: str) -> DataFrame:
-        prefix = _rare_prefix(small, allowed).select(
-            "token", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("tkey").alias(a)
-        )
-        index = big.select("token", F.pmod(F.xxhash64("tkey"), parts).alias("part"), F.col("tkey").alias(b))
-        # the match holds the rest of the title, so it cannot be much shorter
-        long_enough = F.length(b) + 1 >= F.length(a) * F.lit(1 - allowed - 1e-9)
-        return prefix.join(index, ["token", "part"]).where(long_enough).select("left_key", "right_key")
 
-    lefts = counted(left)
-    if right is None:
-        pairs = probe(lefts, lefts, "left_key", "right_key")
-    else:
-        rights = counted(right)
-        pairs = probe(lefts, rights, "left_key", "right_key").union(probe(rights, lefts, "right_key", "left_key"))
-    # few pairs pass, so the copies found through several tokens are dropped after the test
-    return pairs.where(overlap_ratio(F.col("left_key"), F.col("right_key")) >= threshold).distinct()
+_COUNT_ROWS, _TILE = 1024, (64, 2048)  # titles whose letters are counted at once; titles compared at once
 
 
-def _letter_counts(titles: list[str], width: int) -> np.ndarray:
-    codes = np.frombuffer("".join(titles).encode("utf-32-le"), dtype=np.uint32) % width
-    rows = np.repeat(np.arange(len(titles)), [len(t) for t in titles])
-    return np.bincount(rows * width + codes, minlength=len(titles) * width).reshape(len(titles), width).astype(np.int32)
+def _letter_counts(titles: list[str], width: int, dtype: type) -> np.ndarray:
+    out = np.empty((len(titles), width), dtype=dtype)
+    for at in range(0, len(titles), _COUNT_ROWS):
+        some = titles[at : at + _COUNT_ROWS]
+        codes = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32) % width
+        rows = np.repeat(np.arange(len(some)), [len(t) for t in some])
+        out[at : at + len(some)] = np.bincount(rows * width + codes, minlength=len(some) * width).reshape(len(some), width)
+    return out
 
 
 def _block_similar(threshold: float, ordered: bool):
@@ -109,78 +163,107 @@ def _block_similar(threshold: float, ordered: bool):
     r = 1.0 - threshold + 1e-9
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: tuple[list[str], list[str]] = ([], [])
+        found: tuple[list[int], list[int]] = ([], [])
         if left.num_rows and right.num_rows:
             a, b = left["left_key"].to_pylist(), right["right_key"].to_pylist()
+            id_a, id_b = left["left_id"].to_pylist(), right["right_id"].to_pylist()
             len_a, len_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-            fine_a, fine_b = _letter_counts(a, 128), _letter_counts(b, 128)
-            coarse_a = fine_a.reshape(len(a), 8, 16).sum(axis=1)
-            coarse_b = fine_b.reshape(len(b), 8, 16).sum(axis=1)
-            for at in range(0, len(a), 512):
-                limit = r * (len_a[at : at + 512, None] + len_b[None, :])
-                spread = np.zeros(limit.shape, dtype=np.int32)
-                for d in range(16):
-                    spread += np.abs(coarse_a[at : at + 512, d, None] - coarse_b[None, :, d])
-                rows, cols = np.nonzero(spread <= limit)
-                for cut in range(0, len(rows), 100_000):
-                    i, j = rows[cut : cut + 100_000] + at, cols[cut : cut + 100_000]
-                    close = np.abs(fine_a[i] - fine_b[j]).sum(axis=1) <= r * (len_a[i] + len_b[j])
-                    for x, y in zip(i[close], j[close], strict=True):
+            # sums of two counts stay within the type
+            kind = np.int16 if max(len_a.max(), len_b.max()) < 8000 else np.int32
+            fine_a, fine_b = _letter_counts(a, 128, kind), _letter_counts(b, 128, kind)
+            coarse_a = np.ascontiguousarray(fine_a.reshape(len(a), 8, 16).sum(axis=1, dtype=kind).T)
+            coarse_b = np.ascontiguousarray(fine_b.reshape(len(b), 8, 16).sum(axis=1, dtype=kind).T)
+            high, wide = _TILE
+            for at in range(0, len(a), high):
+                for to in range(0, len(b), wide):
+                    limit = np.floor(r * (len_a[at : at + high, None] + len_b[None, to : to + wide])).astype(kind)
+                    spread = np.zeros(limit.shape, dtype=kind)
+                    for d in range(16):
+                        gap = coarse_a[d, at : at + high, None] - coarse_b[d, None, to : to + wide]
+                        spread += np.abs(gap, out=gap)
+                    rows, cols = np.nonzero(spread <= limit)
+                    if not len(rows):
+                        continue
+                    i, j = rows + at, cols + to
+                    close = np.abs(fine_a[i] - fine_b[j]).sum(axis=1, dtype=np.int64) <= r * (len_a[i] + len_b[j])
+                    for x, y in zip(i[close].tolist(), j[close].tolist(), strict=True):
                         if ordered and a[x] >= b[y]:
                             continue
                         if token_set_ratio(a[x], b[y]) / 100.0 >= threshold:
-                            found[0].append(a[x])
-                            found[1].append(b[y])
-        return pa.table({"left_key": pa.array(found[0], pa.string()), "right_key": pa.array(found[1], pa.string())})
+                            found[0].append(id_a[x])
+                            found[1].append(id_b[y])
+        return pa.table({"left_id": pa.array(found[0], pa.int64()), "right_id": pa.array(found[1], pa.int64())})
 
     return fn
 
 
 def near_equal_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9, self_join: bool = False,
                       block_rows: int = TITLE_BLOCK) -> DataFrame:
-    """Pairs whose sorted strings are close in edit distance.
+    """Pairs ``(left_key, right_key)`` whose sorted strings are close in edit distance. With ``self_join`` each pair comes once."""
+    lefts = _numbered(left)
+    rights = lefts if self_join else _numbered(right)
+    pairs = cut_lineage(_near_equal_pairs(lefts, rights, threshold, self_join, block_rows))
+    return _with_titles(pairs, lefts, rights).select("left_key", "right_key")
+
+
+def _near_equal_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join: bool, block_rows: int = TITLE_BLOCK) -> DataFrame:
+    """``left_id, right_id`` of numbered titles whose sorted strings are close in edit distance.
 
     Such titles differ in length by at most (1+r)/(1-r), so only the same or the next
     length band can match. Bands are cut into blocks of bounded size and block pairs are
-    compared inside tasks; only matches leave them. With ``self_join`` each pair comes once.
+    compared inside tasks; only matches leave them.
     """
     r = 1.0 - threshold
     step = math.log((1 + r) / (1 - r)) * (1 + 1e-9)
 
-    def banded(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        rows = keys.select(F.col("tkey").alias(name), F.floor(F.log(F.length("tkey").cast("double")) / F.lit(step)).cast("int").alias("band"))
+    def banded(titles: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        band = F.floor(F.log(F.length("tkey").cast("double")) / F.lit(step)).cast("int").alias("band")
+        rows = titles.select(F.col("id").alias(f"{side}_id"), F.col("tkey").alias(f"{side}_key"), band)
         # bands grow with the logarithm of the title length: a few dozen rows
-        return rows, rows.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("subs"))
+        blocks = F.greatest(F.count("*") / block_rows, F.sum(F.length(f"{side}_key")) / BLOCK_LETTERS)
+        return rows, rows.groupBy("band").agg(F.ceil(blocks).cast("int").alias("subs"))
 
-    rows_l, subs_l = banded(left, "left_key")
-    rows_r, subs_r = banded(right, "right_key")
+    rows_l, subs_l = banded(left, "left")
+    rows_r, subs_r = banded(right, "right")
 
-    def spread(rows: DataFrame, own: DataFrame, other: DataFrame, name: str, tag: str) -> DataFrame:
+    def spread(rows: DataFrame, own: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        names = [f"{side}_id", f"{side}_key"]
         other = other.select(F.col("band").alias("other_band"), F.col("subs").alias("other_subs"))
         reach = rows.join(own, "band").select(
-            name, "band", F.pmod(F.xxhash64(name), F.col("subs")).cast("int").alias("sub"),
+            *names, "band", F.pmod(F.xxhash64(names[1]), F.col("subs")).cast("int").alias("sub"),
             F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other_band"),
         ).join(other, "other_band")
-        mine, theirs = ("l", "r") if tag == "l" else ("r", "l")
+        mine, theirs = ("l", "r") if side == "left" else ("r", "l")
         return reach.select(
-            F.col(name), F.col("band").alias(f"{mine}_band"), F.col("sub").alias(f"{mine}_sub"),
+            *names, F.col("band").alias(f"{mine}_band"), F.col("sub").alias(f"{mine}_sub"),
             F.col("other_band").alias(f"{theirs}_band"),
             F.explode(F.sequence(F.lit(0), F.col("other_subs") - 1)).alias(f"{theirs}_sub"),
-        ).select("l_band", "l_sub", "r_band", "r_sub", name)
+        ).select("l_band", "l_sub", "r_band", "r_sub", *names)
 
     key = ["l_band", "l_sub", "r_band", "r_sub"]
-    spread_l = spread(rows_l, subs_l, subs_r, "left_key", "l")
-    spread_r = spread(rows_r, subs_r, subs_l, "right_key", "r").toDF("lb", "ls", "rb", "rs", "right_key")
+    spread_l = spread(rows_l, subs_l, subs_r, "left")
+    spread_r = spread(rows_r, subs_r, subs_l, "right").toDF("lb", "ls", "rb", "rs", "right_id", "right_key")
     return spread_l.groupBy(*key).cogroup(spread_r.groupBy("lb", "ls", "rb", "rs")).applyInArrow(
-        _block_similar(threshold, self_join), "left_key string, right_key string"
+        _block_similar(threshold, self_join), "left_id long, right_id long"
     )
 
 
+def _similar_pairs(lefts: DataFrame, rights: DataFrame | None, threshold: float) -> DataFrame:
+    """``left_id, right_id`` of numbered titles whose token-set ratio reaches the threshold; without ``rights`` in one order or both."""
+    others = lefts if rights is None else rights
+    maybe = _overlap_candidates(lefts, rights, threshold).withColumn("near", F.lit(False))
+    near = _near_equal_pairs(lefts, others, threshold, rights is None).withColumn("near", F.lit(True))
+    # few pairs pass, so a pair found through several tokens is tested once
+    pairs = cut_lineage(maybe.unionByName(near).groupBy("left_id", "right_id").agg(F.max("near").alias("near")))
+    overlap = overlap_ratio(F.col("left_key"), F.col("right_key")) >= threshold
+    tested = _with_titles(pairs.where("NOT near"), lefts, others).where(overlap).select("left_id", "right_id")
+    return cut_lineage(pairs.where("near").select("left_id", "right_id").union(tested))
+
+
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.9) -> DataFrame:
     """All pairs of token keys whose token-set ratio reaches the threshold."""
-    # each side is read many times below
-    left, right = cut_lineage(left), cut_lineage(right)
-    return overlapping_titles(left, right, threshold).union(near_equal_titles(left, right, threshold)).distinct()
+    lefts, rights = _numbered(left), _numbered(right)
+    return _with_titles(_similar_pairs(lefts, rights, threshold), lefts, rights).select("left_key", "right_key")
 
 
 def without_known_titles(candidates: DataFrame, library: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -190,19 +273,19 @@ def without_known_titles(candidates: DataFrame, library: DataFrame, threshold: f
     keyed = cut_lineage(candidates.withColumn("_tkey", never_null(empty_to_null(key), "profile_id", "ordinal")))
     owned = cut_lineage(library.select("profile_id", key.alias("tkey")).where("tkey <> ''").distinct())
     offered = keyed.select(F.col("_tkey").alias("tkey")).where(~F.col("tkey").startswith("\0")).distinct()
-    pairs = similar_titles(offered, owned.select("tkey").distinct(), threshold)
+    lefts, rights = _numbered(offered), _numbered(owned.select("tkey"))
+    pairs = _similar_pairs(lefts, rights, threshold)
+    owners = owned.join(rights.select(F.col("id").alias("right_id"), "tkey"), "tkey").select("profile_id", "right_id")
     # a title that many offered titles contain is cut into parts
-    known = skew_join(pairs, owned.withColumnRenamed("tkey", "right_key"), ["right_key"], "inner", ["left_key"])
-    known = known.select("profile_id", F.col("left_key").alias("_tkey")).distinct()
+    known = skew_join(pairs, owners, ["right_id"], "inner", ["left_id"]).select("profile_id", "left_id").distinct()
+    known = known.join(lefts.select(F.col("id").alias("left_id"), F.col("tkey").alias("_tkey")), "left_id").drop("left_id")
     return keyed.join(known, ["profile_id", "_tkey"], "left_anti").drop("_tkey")
 
 
-def _title_links(keys: DataFrame, threshold: float) -> DataFrame:
-    """Links between distinct title keys, both directions."""
-    keys = cut_lineage(keys)
-    overlap = overlapping_titles(keys, threshold=threshold).where("left_key <> right_key")
-    close = near_equal_titles(keys, keys, threshold, self_join=True)
-    once = overlap.select(F.least("left_key", "right_key").alias("a"), F.greatest("left_key", "right_key").alias("b")).union(close).distinct()
+def _title_links(titles: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between numbered titles, both directions."""
+    pairs = _similar_pairs(titles, None, threshold).where("left_id <> right_id")
+    once = cut_lineage(pairs.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).distinct())
     return once.union(once.select("b", "a"))
 
 
@@ -269,15 +352,21 @@ def first_of_batch(candidates: DataFrame, threshold: float = 0.9, fuzzy_titles:
     )
     rows = cut_lineage(rows)
     row, group = ["profile_id", "ordinal"], ["profile_id", "grp"]
+    if fuzzy_titles:
+        titles = _numbered(rows.where("_tkey <> ''").select(F.col("_tkey").alias("tkey")))
+        # from here on a title is its number; untitled rows get a key of their own each
+        keyed = rows.withColumn("_tkey", never_null(empty_to_null(F.col("_tkey")), *row))
+        numbers = titles.select(F.col("tkey").alias("_tkey"), "id")
+        rows = cut_lineage(skew_join(keyed, numbers, ["_tkey"], "left", row).withColumn("_tkey", F.col("id").cast("string")).drop("id"))
     own = F.array_distinct(F.array_compact(F.array(
         F.concat(F.lit("k:"), F.col("_id")), F.concat(F.lit("k:"), F.col("_doi")),
         F.when(F.col("_tkey") != "", F.concat(F.lit("t:"), F.col("_tkey"))),
     )))
     watch = rows.select(*row, F.explode(own).alias("grp"), F.lit(True).alias("own"))
     if fuzzy_titles:
-        links = _title_links(rows.where("_tkey <> ''").select(F.col("_tkey").alias("tkey")).distinct(), threshold)
-        titled = rows.where("_tkey <> ''").select(*row, F.col("_tkey").alias("a"))
-        near = skew_join(titled, links, ["a"], "inner", row).select(*row, F.concat(F.lit("t:"), F.col("b")).alias("grp"), F.lit(False).alias("own"))
+        links = _title_links(titles, threshold)
+        titled = rows.where("_tkey IS NOT NULL").select(*row, F.col("_tkey").cast("long").alias("a"))
+        near = skew_join(titled, links, ["a"], "inner", row).select(*row, F.concat(F.lit("t:"), F.col("b").cast("string")).alias("grp"), F.lit(False).alias("own"))
         watch = watch.unionByName(near)
     watch = cut_lineage(watch)
     # a group that only one row watches decides nothing; rows without any other group stay at once

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from litradar.functions.titles import common_length, token_set_ratio
+from litradar.operators import dedupe
 from litradar.operators.dedupe import near_equal_titles, overlapping_titles, similar_titles
 
 
@@ -95,3 +96,28 @@ def test_containment_is_found_through_rare_tokens(spark):
     small = frame(spark, ["deep learning"])
     big = frame(spark, [" ".join(sorted(["deep", "learning", f"topic{i}"])) for i in range(50)] + ["deep sea"])
     assert overlapping_titles(small, big).count() == 50
+
+
+def test_a_long_title_is_written_once_not_once_per_token(spark, monkeypatch):
+    """Token rows carry numbers, so what is shuffled and stored follows the tokens and not their square."""
+    stored = []
+
+    def watched(df):
+        stored.append(sum(len(v) for row in df.collect() for v in row if isinstance(v, str)))
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    monkeypatch.setattr(dedupe, "cut_lineage", watched)
+    long = " ".join(f"w{i:04d}" for i in range(300))
+    found = {tuple(r) for r in overlapping_titles(frame(spark, [long]), frame(spark, [long, "w0007"])).collect()}
+    assert found == {(long, long), (long, "w0007")}
+    assert sum(stored) <= 2 * (len(long) + 5)
+
+
+def test_marks_lose_no_overlap(spark):
+    """Titles that miss tokens of every length class, up to what the threshold allows."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (1, 2, 3, 4, 5, 7, 8, 9, 12, 15, 20, 24)]
+    a = [" ".join(sorted(set(base)))]
+    b = sorted({" ".join(sorted(set(rng.sample(base, rng.randint(6, 12)) + ["zz" * rng.randint(1, 9)]))) for _ in range(200)})
+    want = {(x, y) for x in a for y in b if token_set_ratio(x, y) / 100 >= 0.9}
+    assert {tuple(r) for r in similar_titles(frame(spark, a), frame(spark, b)).collect()} == want and want
