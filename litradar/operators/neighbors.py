@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .skew import skew_join, with_slices
 
 BLOCK_ROWS = 20_000
-_SCORE_ROWS = 1024  # candidate rows per matrix product inside a block
+_SCORE_ROWS, _SCORE_COLUMNS = 256, 4096  # candidate rows and library rows per matrix product inside a block
 _DIGITS = 9  # equal up to here is a tie: the last bits depend on how rows fall into blocks
 
 
@@ -50,6 +50,35 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
 
 
+def _merge(best: np.ndarray, at: np.ndarray, sims: np.ndarray, first: int, k: int) -> None:
+    """Take the scores of columns ``first``… into the k best so far (``best`` similarities, ``at`` columns), in place."""
+    worst = np.round(best[:, -1], _DIGITS)
+    # a tie with the worst one is lost, as its column is later; half a digit more is needed to come before it
+    rows, cols = np.nonzero(sims > (np.where(np.isnan(worst), -np.inf, worst) + 0.25 * 10.0**-_DIGITS)[:, None])
+    if not len(rows):
+        return
+    touched, where = np.unique(rows, return_inverse=True)
+    row = np.concatenate([np.repeat(np.arange(len(touched)), k), where])
+    sim = np.concatenate([best[touched].ravel(), sims[rows, cols]])
+    col = np.concatenate([at[touched].ravel(), cols + first])
+    order = np.lexsort((col, -np.round(sim, _DIGITS), row))
+    starts = np.searchsorted(row[order], np.arange(len(touched)))
+    picked = order[starts[:, None] + np.arange(k)]
+    best[touched], at[touched] = sim[picked], col[picked]
+
+
+def _top_of(left: np.ndarray, right: np.ndarray, lo: int, hi: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and similarities of the k best of the library rows ``lo`` to ``hi``; the scores of one tile are held at a time."""
+    k, end = min(k, hi - lo), min(hi, lo + max(_SCORE_COLUMNS, k))
+    sims = left @ right[:, lo:end]
+    at = _top(np.round(sims, _DIGITS), k)
+    best = np.take_along_axis(sims, at, axis=1)
+    at = at + lo
+    for first in range(end, hi, _SCORE_COLUMNS):
+        _merge(best, at, left @ right[:, first : min(hi, first + _SCORE_COLUMNS)], first, k)
+    return at, best
+
+
 def _block_top_k(k: int, eps: float):
     def fn(candidates: pa.Table, library: pa.Table) -> pa.Table:
         out = {name: [] for name in ("profile_id", "ordinal", "key", "weight", "sim")}
@@ -62,16 +91,15 @@ def _block_top_k(k: int, eps: float):
             left = _matrix(candidates["embedding"], eps)
             ordinals = candidates["ordinal"].to_numpy()
             for at in range(0, len(left), _SCORE_ROWS):
-                sims = left[at : at + _SCORE_ROWS] @ right
                 for lo, hi in _segments(owner):
-                    best = _top(np.round(sims[:, lo:hi], _DIGITS), min(k, hi - lo)) + lo
+                    best, sims = _top_of(left[at : at + _SCORE_ROWS], right, lo, hi, k)
                     rows, width = best.shape
                     flat = best.ravel()
                     out["profile_id"].append(np.full(rows * width, owner[lo]))
                     out["ordinal"].append(np.repeat(ordinals[at : at + rows], width))
                     out["key"].append(keys[flat])
                     out["weight"].append(weights[flat])
-                    out["sim"].append(np.take_along_axis(sims, best, axis=1).ravel())
+                    out["sim"].append(sims.ravel())
         types = {"profile_id": pa.int64(), "ordinal": pa.int64(), "key": pa.string(), "weight": pa.float64(), "sim": pa.float64()}
         return pa.table(
             {n: pa.array(np.concatenate(v) if v else [], type=types[n]) for n, v in out.items()}
@@ -164,9 +192,8 @@ def _block_clusters(keep: int, eps: float):
             left = _matrix(candidates["embedding"], eps)
             ordinals = candidates["ordinal"].to_numpy()
             for at in range(0, len(left), _SCORE_ROWS):
-                sims = left[at : at + _SCORE_ROWS] @ right
                 for lo, hi in _segments(owner):
-                    part = sims[:, lo:hi]
+                    part = left[at : at + _SCORE_ROWS] @ right[:, lo:hi]
                     raw = part * logs[lo:hi]
                     winner = np.argmax(np.round(raw, _DIGITS), axis=1)
                     order = np.argsort(-np.round(part, _DIGITS), axis=1, kind="stable")[:, :keep]

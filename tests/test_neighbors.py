@@ -1,8 +1,11 @@
 """Block joins and k-means against NumPy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
+from litradar.operators import neighbors
 from litradar.operators.clusters import centroids, cluster_links, silhouettes
 from litradar.operators.kmeans import choose_cluster_counts, fit_assign, search_k
 from litradar.operators.neighbors import cluster_scores, knn_join, macro_scores, micro_scores, similar_clusters
@@ -49,6 +52,31 @@ def test_knn_equals_all_pairs(spark, block_rows):
             assert [found[k + 1][1] for k in range(len(order))] == pytest.approx([sims[i, j] for j in order], abs=1e-9)
 
 
+@pytest.mark.parametrize("copies", [0, 30])
+def test_tiles_hold_few_scores_and_change_nothing(monkeypatch, copies):
+    """A wide library is scored tile by tile: no array of all scores, the same winners and ties."""
+    monkeypatch.setattr(neighbors, "_SCORE_COLUMNS", 16)
+    left, right = np.round(rng.normal(size=(50, 4)), 1), np.round(rng.normal(size=(400, 4)), 1)
+    right[100 : 100 + copies] = right[7]
+    right[333] = np.nan
+    at, sims = neighbors._top_of(left, right.T, 5, 395, 5)
+    scores = left @ right.T
+    for i in range(len(left)):
+        want = sorted((j for j in range(5, 395) if j != 333), key=lambda j: (-round(scores[i, j], 9), j))[:5]
+        assert at[i].tolist() == want
+        assert sims[i] == pytest.approx(scores[i, want], abs=1e-12)
+
+
+def test_scores_of_a_wide_block_stay_small():
+    """Peak memory follows the tile, not the width of the block."""
+    left, right = unit(rng.normal(size=(256, 8))), unit(rng.normal(size=(60_000, 8)))
+    tracemalloc.start()
+    neighbors._top_of(left, right.T, 0, len(right), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.7 * 256 * len(right) * 8
+
+
 def test_micro_score(spark):
     rows = [(1, 0, 0.9, 1.0), (1, 0, 0.5, 0.5), (1, 1, 0.2, 0.05)]
     frame = spark.createDataFrame(rows, "profile_id long, ordinal long, sim double, weight double")
