@@ -36,6 +36,12 @@ def _landed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(folder)
 
 
+def _dated_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of a profile, written once: the view's join shuffles whole texts."""
+    items = view(spark, sf, "document_item").select("profile_id", "key", "source", "title", "abstract")
+    return cut_lineage(items).withColumn("date_added", F.lit("2001-08-01 00:00:00").cast("timestamp"))
+
+
 def _at(day: int):
     return F.lit(f"2024-02-{day:02d} 00:00:00").cast("timestamp")
 
@@ -186,7 +192,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 , u AS (SELECT * FROM document_item WHERE trim(coalesce(abstract, '')) <> '')
 SELECT profile_id, count(*) AS total_papers, count(*) AS papers_in_valid_clusters, (SELECT count(DISTINCT coalesce(title, '') || chr(0) || abstract) FROM u) AS new_embeddings FROM u GROUP BY 1"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    items = view(spark, sf, "document_item").withColumn("date_added", F.lit("2001-08-01 00:00:00").cast("timestamp"))
+    items = _dated_items(spark, sf)
     tags = items.select("key", F.col("source").alias("tag"))
     out = build_profile(items, tags, spark.createDataFrame([], stores.EMBEDDING), HashingEmbedder(), LIBRARY_AS_OF)
     encoded = F.lit(out["new_embeddings"].count()).cast("long")
@@ -211,7 +217,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 SELECT profile_id, count(*) AS total_papers, 0::BIGINT AS missing, (SELECT count(DISTINCT t) FROM u WHERE length(abstract) % 2 = 0) AS encoded_again FROM u GROUP BY 1"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """A full build with a store of all texts, some of them stored for candidates: only the profile's own vectors are encoded again."""
-    items = view(spark, sf, "document_item").withColumn("date_added", F.lit("2001-08-01 00:00:00").cast("timestamp"))
+    items = _dated_items(spark, sf)
     usable = with_library_abstract(items)
     _, rows = embed_items(usable, spark.createDataFrame([], stores.EMBEDDING), HashingEmbedder(), LIBRARY_AS_OF, "profile", None)
     odd = texts_to_encode(usable).where(F.length("abstract") % 2 == 1).select("content_hash", F.lit("candidate").alias("_kind")).distinct()

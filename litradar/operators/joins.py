@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import journal_score
 from ..params import JournalScores
+from ..session import cut_lineage
 from .filters import abstract_route, unexpired
 from .skew import never_null, skew_join
 
@@ -37,9 +38,17 @@ def embedding_hits(texts: DataFrame, store: DataFrame, model: str, as_of) -> Dat
 
 
 def embedding_misses(texts: DataFrame, store: DataFrame, model: str, as_of) -> DataFrame:
-    """Distinct texts that have to be encoded."""
+    """Distinct texts that have to be encoded.
+
+    The hashes are compared with the store first, without their texts; the whole texts are shuffled only if many of them are missing.
+    """
     live = store.where((F.col("model") == model) & unexpired(as_of)).select("content_hash")
-    return texts.join(live, "content_hash", "left_anti").groupBy("content_hash").agg(F.min("text").alias("text"))
+    hashes = texts.select("content_hash").distinct().join(live, "content_hash", "left_anti")
+    # a missing hash is a key, too
+    keyed = [F.coalesce("content_hash", F.lit("")).alias("_h"), F.col("content_hash").isNull().alias("_null")]
+    wanted = cut_lineage(hashes.select(*keyed))
+    missing = texts.select("content_hash", "text", *keyed).join(wanted, ["_h", "_null"], "left_semi")
+    return missing.groupBy("_h", "_null").agg(F.min("content_hash").alias("content_hash"), F.min("text").alias("text")).drop("_h", "_null")
 
 
 def fill_abstracts(works: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:

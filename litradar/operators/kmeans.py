@@ -2,13 +2,14 @@
 
 A fit is made for (profile, k) pairs and runs over all items. Every round assigns each item to its nearest centroid
 and moves each centroid to the mean direction of its members, until no coordinate moves by more than 1e-13. A profile
-that fits in one group makes its rounds there; the items of a larger one sit in (profile, slice) groups of bounded size,
-each round sends only the centroids, and the groups return partial sums. Start, update and stop are the same. All k of a
+that fits in one group makes its rounds there; the items of a larger one sit in (profile, slice) groups of bounded size
+in a table bucketed by them, so each round shuffles only the centroids, and the groups return partial sums. Start, update and stop are the same. All k of a
 profile are tried on the one copy of its vectors.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import l2_normalize
 from ..params import Clustering
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .clusters import choose_k, cluster_bounds
 from .neighbors import BLOCK_ROWS, _matrix
 from .skew import hot_keys, with_slices
@@ -133,11 +134,16 @@ def _part(result: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 class _Sliced:
-    """The rounds of profiles whose items are cut into slices."""
+    """The rounds of profiles whose items are cut into slices. The items are shuffled once, into a table bucketed by slice."""
 
     def __init__(self, library: DataFrame, tries: DataFrame, seed: int, block_rows: int):
         rows = with_slices(library, ["profile_id"], "key", block_rows).withColumn("place", F.xxhash64(F.lit(seed), F.col("key")))
-        self.items = cut_lineage(rows.repartition("profile_id", "slice"))
+        spark = library.sparkSession
+        parts = hot_keys(library.select("profile_id"), ["profile_id"], block_rows).agg(F.sum("_parts")).first()[0] or 1
+        buckets = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.table, path = f"litradar_slices_{uuid.uuid4().hex}", f"{ensure_checkpoint_dir(spark)}/slices-{uuid.uuid4().hex}"
+        rows.repartition(buckets, "profile_id", "slice").write.bucketBy(buckets, "profile_id", "slice").option("path", path).saveAsTable(self.table)
+        self.items = spark.table(self.table)
         self.slices = cut_lineage(self.items.select(F.col("profile_id").alias("p"), F.col("slice").alias("s")).distinct())
         # the limit prunes before the shuffle
         most = tries.agg(F.max("k")).first()[0] or 0
@@ -177,7 +183,12 @@ class _Sliced:
         values = self._parts(state, "silhouettes", "profile_id long, k long, value double, n long")
         found = totals.groupBy("profile_id", "k").agg(F.count("*").alias("clusters"))
         mean = values.groupBy("profile_id", "k").agg((F.sum("value") / F.sum("n")).alias("silhouette"), F.sum("n").alias("rows"))
-        return mean.join(found, ["profile_id", "k"]).where((F.col("clusters") >= 2) & (F.col("clusters") < F.col("rows"))).select("profile_id", "k", "silhouette")
+        kept = mean.join(found, ["profile_id", "k"]).where((F.col("clusters") >= 2) & (F.col("clusters") < F.col("rows")))
+        return cut_lineage(kept.select("profile_id", "k", "silhouette"))
+
+    def close(self) -> None:
+        """Forget the table; its files stay in the shared folder."""
+        self.items.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def _fit(library: DataFrame, tries: DataFrame, iterations: int, seed: int, block_rows: int, scores: bool) -> DataFrame:
@@ -191,8 +202,11 @@ def _fit(library: DataFrame, tries: DataFrame, iterations: int, seed: int, block
     if large.isEmpty():
         return out
     sliced = _Sliced(narrow.join(large, "profile_id", "left_semi"), wanted.join(large, "profile_id", "left_semi"), seed, block_rows)
-    sliced.run(iterations)
-    return out.unionByName(sliced.silhouettes() if scores else sliced.owners())
+    try:
+        sliced.run(iterations)
+        return out.unionByName(sliced.silhouettes() if scores else sliced.owners())
+    finally:
+        sliced.close()
 
 
 def fit_assign(library: DataFrame, ks: DataFrame, p: Clustering = Clustering(), block_rows: int = BLOCK_ROWS) -> DataFrame:
