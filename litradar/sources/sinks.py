@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.clock import in_zone, moment, rfc822
 from ..functions.feed import content, description, escape_xml, publication_date, score_text
 
-def feed_items(works: DataFrame, as_of) -> DataFrame:
-    """One row per feed item."""
+def _item_fields(as_of) -> list[Column]:
     col = F.col
-    return works.select(
-        "profile_id", "rank", "title", F.when(col("url") != "", col("url")).alias("link"), col("identifier").alias("guid"),
+    return [
+        col("title"), F.when(col("url") != "", col("url")).alias("link"), col("identifier").alias("guid"),
         publication_date(col("published"), as_of).alias("pubDate"), col("authors").alias("creators"),
         F.when(col("source") == "arxiv", "preprint").alias("type"), F.when(col("venue") != "", col("venue")).alias("publicationName"),
         F.when(col("doi") != "", col("doi")).alias("doi"),
         description(col("abstract"), col("published"), col("venue"), col("score"), col("label")).alias("description"),
         content(col("authors"), col("venue"), col("doi"), col("score"), col("label"), col("abstract")).alias("content"),
-    )
+    ]
+
+
+def feed_items(works: DataFrame, as_of) -> DataFrame:
+    """One row per feed item."""
+    return works.select("profile_id", "rank", *_item_fields(as_of))
 
 
 # Element names of a feed item, in order.
@@ -36,15 +40,19 @@ def _element(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), escape_xml(value), F.lit(f"</{name}>"))
 
 
-def feed_xml(items: DataFrame) -> DataFrame:
-    """The XML text of each item; absent parts are left out, each author has an element."""
+def _item_xml() -> Column:
     def part(name: str, column: str) -> Column:
         if column == "creators":
             return F.array_join(F.transform(column, lambda author: _element(name, author)), "")
         return _element(name, F.col(column))
 
     parts = [part(name, column) for name, column in FEED_ELEMENTS]
-    return items.select("profile_id", "rank", F.concat(F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>")).alias("item_xml"))
+    return F.concat(F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>"))
+
+
+def feed_xml(items: DataFrame) -> DataFrame:
+    """The XML text of each item; absent parts are left out, each author has an element."""
+    return items.select("profile_id", "rank", _item_xml().alias("item_xml"))
 
 
 def _feed_head(as_of, title: str, link: str, about: str) -> Column:
@@ -66,14 +74,23 @@ def feed_documents(works: DataFrame, as_of, most_items: int, title: str = "Liter
     )
 
 
+def feed_lines(works: DataFrame, as_of, title: str, link: str, about: str) -> DataFrame:
+    """The lines ``profile_id, value`` of all feeds, each feed in one task and in order.
+
+    Works are sorted as they are; their XML, which holds an abstract twice, is made line by line afterwards.
+    """
+    fields = ("title", "url", "identifier", "published", "authors", "source", "venue", "doi", "abstract", "score", "label")
+    rows = works.select("profile_id", F.lit(1).alias("part"), "rank", *fields)
+    edges = works.select("profile_id").distinct().select("profile_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("part"))
+    ordered = rows.unionByName(edges, allowMissingColumns=True).repartition("profile_id").sortWithinPartitions("profile_id", "part", "rank")
+    item = F.regexp_replace(_item_xml(), "\n", "&#10;")
+    value = F.when(F.col("part") == 0, _feed_head(as_of, title, link, about)).when(F.col("part") == 2, F.lit("</channel></rss>")).otherwise(item)
+    return ordered.select("profile_id", "part", *_item_fields(as_of)).select("profile_id", value.alias("value"))
+
+
 def write_feeds(works: DataFrame, path: str, as_of, title: str = "Literature feed", link: str = "https://example.com", about: str = "Recommended papers") -> None:
     """One folder with an XML file per profile, a line per item: a feed of any length is sorted and written, never held."""
-    items = feed_xml(feed_items(works, as_of)).select("profile_id", F.lit(1).alias("part"), "rank", F.regexp_replace("item_xml", "\n", "&#10;").alias("value"))
-    profiles = items.select("profile_id").distinct()
-    edge = lambda part, value: profiles.select("profile_id", F.lit(part).alias("part"), F.lit(0).cast("long").alias("rank"), value.alias("value"))
-    lines = items.union(edge(0, _feed_head(as_of, title, link, about))).union(edge(2, F.lit("</channel></rss>")))
-    ordered = lines.repartition("profile_id").sortWithinPartitions("profile_id", "part", "rank")
-    ordered.select("profile_id", "value").write.mode("overwrite").partitionBy("profile_id").text(path)
+    feed_lines(works, as_of, title, link, about).write.mode("overwrite").partitionBy("profile_id").text(path)
 
 
 def note_payload(works: DataFrame, collection: str, tag: str = "recommendation", note: Column | None = None) -> DataFrame:
