@@ -292,18 +292,24 @@ def _cut(text: Column, most: int | None) -> Column:
 
 def abstract_section(page: Column, most: int | None = None) -> Column:
     """The part of a page that looks like an abstract, with a lead-in for the model; null if none."""
-    og = strip(F.coalesce(empty_to_null(F.regexp_extract(page, OG_DESCRIPTION, 1)), empty_to_null(F.regexp_extract(page, OG_DESCRIPTION, 2))))
-    described = strip(empty_to_null(F.regexp_extract(page, DESCRIPTION, 1)))
+    def found(pattern: str, group: int) -> Column:
+        return bind(F.regexp_extract(page, pattern, group), empty_to_null)
+
     lead, section_lead = F.lit(LEAD_DESCRIPTION), F.lit(LEAD_SECTION)
+    # none of the patterns can match a page without its word
+    og = F.when(page.rlike("(?i)og:description"), strip(F.coalesce(found(OG_DESCRIPTION, 1), found(OG_DESCRIPTION, 2))))
+    described = F.when(page.rlike("(?i)description"), strip(found(DESCRIPTION, 1)))
     tries = [
-        F.when((F.length(og) > 200) & ~og.startswith("IEEE"), F.concat(lead, og)),
-        F.when(F.length(described) > 200, F.concat(lead, described)),
+        bind(og, lambda text: F.when((F.length(text) > 200) & ~text.startswith("IEEE"), F.concat(lead, text))),
+        bind(described, lambda text: F.when(F.length(text) > 200, F.concat(lead, text))),
     ]
-    for pattern in SECTIONS:
-        text = collapse_spaces(strip_tags(F.regexp_extract(page, "(?is)" + pattern, 1)))
+
+    def section(text: Column) -> Column:
         usable = (F.length(text) > 100) & ~F.lower(text).contains("show more")
-        tries.append(F.when(usable, F.concat(section_lead, _cut(text, most))))
-    return F.coalesce(*tries)
+        return F.when(usable, F.concat(section_lead, _cut(text, most)))
+
+    sections = [bind(collapse_spaces(strip_tags(F.regexp_extract(page, "(?is)" + pattern, 1))), section) for pattern in SECTIONS]
+    return F.coalesce(*tries, F.when(page.rlike("(?i)abstract"), F.coalesce(*sections)))
 
 
 def stripped_page(page: Column, most: int | None = None) -> Column:

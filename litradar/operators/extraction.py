@@ -26,9 +26,18 @@ def extract_abstracts(pages: DataFrame, url: str = "url", page: str = "html") ->
     return found.withColumn("abstract", F.coalesce(joined_paragraphs(F.col("_state")), first)).drop("_finds", "_paragraphs", "_texts", "_state")
 
 
+def _by_abstract(extracted: DataFrame, condition: str) -> DataFrame:
+    """Rows whose ``abstract`` meets the condition, which is tested on the finished abstract.
+
+    A filter would be moved below the projection that makes the abstract, and all patterns would run again for each place
+    that names one of their finds; it stays above a projection with a row number.
+    """
+    return extracted.withColumn("_no", F.monotonically_increasing_id()).where(f"{condition} AND _no >= 0").drop("_no")
+
+
 def model_requests(extracted: DataFrame, page: str = "html", most_page: int | None = None, most_section: int | None = None) -> DataFrame:
     """Pages the rules missed, shrunk for the text model; ``is_cut`` where the model's limits cut something off."""
-    asked = extracted.where("abstract IS NULL").withColumn("content", shrink_page(F.col(page)))
+    asked = _by_abstract(extracted, "abstract IS NULL").withColumn("content", shrink_page(F.col(page)))
     if most_page is None and most_section is None:
         return asked.withColumn("is_cut", F.lit(False))
     asked = asked.withColumn("_short", shrink_page(F.col(page), most_page, most_section))
@@ -51,7 +60,7 @@ def with_answers(extracted: DataFrame, answers: DataFrame, key: str = "doi") ->
 def as_store_rows(extracted: DataFrame, as_of, ttl_days: int = 30, source: str = "pages") -> DataFrame:
     """Extraction results in the shape of the abstract store."""
     now = moment(as_of)
-    return extracted.where("abstract IS NOT NULL").select(
+    return _by_abstract(extracted, "abstract IS NOT NULL").select(
         F.lower("doi").alias("doi"), "abstract", "title", F.lit(source).alias("source"), now.alias("created_at"),
         (now + F.make_dt_interval(days=F.lit(ttl_days))).alias("expires_at"),
     )
