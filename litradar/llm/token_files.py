@@ -20,7 +20,7 @@ import re
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,8 +40,10 @@ BLOCK_IDS = 1 << 20
 # at most so many pairs are replaced in a round, and rounds end when no pair occurs so often
 ROUND_PAIRS, ROUNDS, LEAST = 512, 8, 16
 SYMBOLS = 1 << 16
-# words and pieces whose ids a Python worker keeps; longer words are not kept
-KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 200_000, 800_000, 64
+# words and pieces whose ids a Python worker keeps as strings; longer words are not kept
+KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 100_000, 100_000, 64
+# pieces of plain texts it keeps by their hashes, about 20 bytes each, and the ids of all of them
+KEPT_HASHES, KEPT_IDS = 1_500_000, 8_000_000
 _SLOTS = 20
 
 BLOCKS = ("part int, block int, doc_ids array<bigint>, text_hashes array<bigint>, sizes array<bigint>, left array<int>, right array<int>, "
@@ -91,6 +93,7 @@ class Encoder:
             self.last[i] = bool(suffix) and token.endswith(suffix)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self._forget()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -133,6 +136,30 @@ class Encoder:
         self.pieces.update((p, i) for p, i in fresh.items() if len(p) <= KEPT_LENGTH)
         return [self.pieces.get(p) or fresh[p] for p in pieces]
 
+    def _forget(self) -> None:
+        """Hashes of pieces in ascending order, and where the ids of each begin and how many there are."""
+        self.hashes, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype="<u2")
+        self.begin, self.many = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int16)
+
+    def _places(self, hashes: np.ndarray, piece: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Where each of the distinct ascending hashes is kept; ``piece`` gives the texts of those not yet known."""
+        if len(self.hashes) > KEPT_HASHES or len(self.ids) > KEPT_IDS:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        if known.all():
+            return at
+        new = np.flatnonzero(~known)
+        fresh = self._piece_ids(piece(new))
+        many = np.array([len(i) // 2 for i in fresh], dtype=np.int16)
+        begin = (len(self.ids) + np.cumsum(many, dtype=np.int64) - many).astype(np.int32)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(fresh), dtype="<u2")])
+        self.begin, self.many = np.insert(self.begin, at[new], begin), np.insert(self.many, at[new], many)
+        self.hashes = np.insert(self.hashes, at[new], hashes[new])
+        return np.searchsorted(self.hashes, hashes)
+
     def _encode_simple(self, texts: list[str]) -> list[bytes]:
         """All pieces of all texts as places in one array; each distinct one is looked up once."""
         whole = " ".join(texts).lower() + " "
@@ -147,12 +174,9 @@ class Encoder:
         for i in range(int(size.max(initial=0))):
             todo = todo[size[todo] > i]
             keys[todo] = keys[todo] * _STEP + _UNIT[units[start[todo] + i]]
-        _, first, which = np.unique(mix64(keys), return_index=True, return_inverse=True)
-        known = self._remembered([whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        flat = np.frombuffer(b"".join(known), dtype="<u2")
-        many = np.array([len(k) // 2 for k in known], dtype=np.int64)
-        begin = (np.cumsum(many) - many)[which]
-        n = many[which]
+        hashes, first, which = np.unique(mix64(keys), return_index=True, return_inverse=True)
+        place = self._places(hashes, lambda new: [whole[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        flat, begin, n = self.ids, self.begin[place].astype(np.int64)[which], self.many[place].astype(np.int64)[which]
         after = np.cumsum(n)
         ids = flat[np.repeat(begin - (after - n), n) + np.arange(int(after[-1]) if len(after) else 0)].astype("<u2")
         bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
@@ -341,7 +365,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(at, 1).to_pylist()[0] for at in range(batch.num_rows)):
             left, right = np.array(row["left"], dtype=np.int64), np.array(row["right"], dtype=np.int64)
             ids = expand(np.frombuffer(row["symbols"], dtype="<u2"), left, right, row["base"])
             sizes = np.array(row["sizes"], dtype=np.int64)

@@ -68,3 +68,19 @@ def test_rules_run_once_for_a_page(spark, ask):
     filters = [line for line in plan_of(asked).split("\n") if re.search(r"\bFilter \(", line)]
     assert filters and not any("pythonUDF" in line or "regexp" in line or "<" in line for line in filters)
     assert asked.count() in (0, 2)
+
+
+def test_kept_pieces_are_numbers(monkeypatch):
+    """op2_repair_tokens: pieces of plain texts are kept by their hashes, not as one string and one bytes object each."""
+    import numpy as np
+
+    from litradar.llm import token_files
+    from litradar.llm.catalog import tokenizer_path
+
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{a}" for i in range(3000)) for a in "xyx"] + ["", " \n", "AÉb, 12"]
+    encoder = token_files.Encoder(tokenizer_path())
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [encoder.encode([t])[0] for t in texts] == want and encoder.encode(texts) == want
+    assert not encoder.pieces and not encoder.words and len(encoder.hashes) >= 6000
+    monkeypatch.setattr(token_files, "KEPT_HASHES", 5)
+    assert encoder.encode(texts) == want and encoder.encode(texts[1:]) == want[1:]
