@@ -102,18 +102,20 @@ class Encoder:
             out += [np.array(e.ids, dtype="<u2").tobytes() for e in found]
         return out
 
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Many pieces in one text; the last id of each is one that ends a word."""
-        out = []
-        for at in range(0, len(pieces), 1_000):
-            some = pieces[at : at + 1_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                out += self._ids(some)
-            else:
-                out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        return out
+    def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has. Many pieces are one text; the last id of each is one that ends a word."""
+        ids, many = [np.zeros(0, dtype="<u2")], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(pieces), 10_000):
+            parts = [pieces[i : i + 200] for i in range(at, min(at + 10_000, len(pieces)), 200)]
+            for some, text in zip(parts, self._ids([" ".join(p) for p in parts]), strict=True):
+                found = np.frombuffer(text, dtype="<u2")
+                ends = np.flatnonzero(self.last[found]) + 1
+                if len(ends) != len(some) or ends[-1] != len(found):
+                    single = self._ids(some)
+                    found, ends = np.frombuffer(b"".join(single), dtype="<u2"), np.cumsum([len(i) // 2 for i in single])
+                ids.append(found)
+                many.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(many)
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         plain, other = {}, []
@@ -132,7 +134,9 @@ class Encoder:
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         unknown = [p for p in pieces if p not in self.pieces]
-        fresh = dict(zip(unknown, self._piece_ids(unknown), strict=True))
+        ids, many = self._piece_ids(unknown)
+        ends = np.cumsum(many)
+        fresh = {p: ids[a:b].tobytes() for p, a, b in zip(unknown, (ends - many).tolist(), ends.tolist(), strict=True)}
         self.pieces.update((p, i) for p, i in fresh.items() if len(p) <= KEPT_LENGTH)
         return [self.pieces.get(p) or fresh[p] for p in pieces]
 
@@ -152,10 +156,9 @@ class Encoder:
         if known.all():
             return at
         new = np.flatnonzero(~known)
-        fresh = self._piece_ids(piece(new))
-        many = np.array([len(i) // 2 for i in fresh], dtype=np.int16)
-        begin = (len(self.ids) + np.cumsum(many, dtype=np.int64) - many).astype(np.int32)
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(fresh), dtype="<u2")])
+        fresh, many = self._piece_ids(piece(new))
+        begin = (len(self.ids) + np.cumsum(many) - many).astype(np.int32)
+        self.ids = np.concatenate([self.ids, fresh])
         self.begin, self.many = np.insert(self.begin, at[new], begin), np.insert(self.many, at[new], many)
         self.hashes = np.insert(self.hashes, at[new], hashes[new])
         return np.searchsorted(self.hashes, hashes)
@@ -240,26 +243,32 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
     # symbols that end with the end of a text; none of them begins a pair
     closed = np.zeros(SYMBOLS, dtype=bool)
     closed[end_id] = True
+    begins = (~closed).astype(np.uint32)
     for _ in range(ROUNDS):
         room = min(ROUND_PAIRS, SYMBOLS - base - rules)
         if len(symbols) < 2 or room <= 0:
             break
         a, b = symbols[:-1], symbols[1:]
-        slot = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOTS)
-        slot[closed[a]] = 0
+        mixed = a * np.uint32(0x9E3779B1)
+        mixed ^= b * np.uint32(0x85EBCA6B)
+        mixed >>= np.uint32(32 - _SLOTS)
+        mixed *= begins[a]
+        slot = mixed.astype(np.intp)
         full = np.bincount(slot, minlength=1 << _SLOTS)
         full[0] = 0
-        # so many slots are at least as full as the limit, if any is
-        at_least = np.cumsum(np.bincount(np.minimum(full, 1 << 16), minlength=(1 << 16) + 1)[::-1])[::-1]
-        limit = max(LEAST, int(np.searchsorted(-at_least, -2 * room)))
-        chosen = np.flatnonzero(full >= limit)
+        chosen = np.flatnonzero(full >= LEAST)
         if not len(chosen):
             break
-        place = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        # at most so many slots, all that are as full as the least full one of them
+        if len(chosen) > 2 * room:
+            chosen = chosen[full[chosen] > np.partition(full[chosen], -2 * room - 1)[-2 * room - 1]]
+            if not len(chosen):
+                break
+        place = np.full(1 << _SLOTS, -1, dtype=np.int16)
         place[chosen] = np.arange(len(chosen))
         at = place[slot]
         spots = np.flatnonzero(at >= 0)
-        at = at[spots]
+        at = at[spots].astype(np.intp)
         pair = np.zeros((len(chosen), 2), dtype=np.uint32)
         pair[at[::-1], 0], pair[at[::-1], 1] = a[spots[::-1]], b[spots[::-1]]  # the first one of a slot stays
         same = ~closed[a[spots]] & (a[spots] == pair[at, 0]) & (b[spots] == pair[at, 1])
@@ -276,6 +285,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         single = _alternate(spots)
         spots, at = spots[single], at[single]
         closed[base + rules : base + rules + len(best)] = closed[pair[best, 1]]
+        begins = (~closed).astype(np.uint32)
         left.append(pair[best, 0].astype(np.int32))
         right.append(pair[best, 1].astype(np.int32))
         rules += len(best)
@@ -296,16 +306,24 @@ def rule_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """All ids: every pass opens all rules one step."""
+    """All ids: each different symbol is opened once, all its rules one step in a pass; then the symbols take their ids."""
     symbols = symbols.astype(np.int64)
-    while len(symbols) and symbols.max() >= base:
-        is_rule = symbols >= base
-        out = np.repeat(symbols, 1 + is_rule)
+    present = np.bincount(symbols, minlength=1) > 0
+    ids = np.flatnonzero(present)
+    owner = np.arange(len(ids))
+    while len(ids) and ids.max() >= base:
+        is_rule = ids >= base
+        out, owner = np.repeat(ids, 1 + is_rule), np.repeat(owner, 1 + is_rule)
         at = np.flatnonzero(is_rule) + np.arange(is_rule.sum())
-        rules = symbols[is_rule] - base
+        rules = ids[is_rule] - base
         out[at], out[at + 1] = left[rules], right[rules]
-        symbols = out
-    return symbols.astype("<u4")
+        ids = out
+    many = np.bincount(owner)
+    begin = np.cumsum(many) - many
+    which = (np.cumsum(present) - 1)[symbols]
+    size = many[which]
+    after = np.cumsum(size)
+    return ids.astype("<u4")[np.repeat(begin[which] - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)]
 
 
 def decode_range(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, base: int, start: int, n: int) -> np.ndarray:

@@ -84,3 +84,22 @@ def test_kept_pieces_are_numbers(monkeypatch):
     assert not encoder.pieces and not encoder.words and len(encoder.hashes) >= 6000
     monkeypatch.setattr(token_files, "KEPT_HASHES", 5)
     assert encoder.encode(texts) == want and encoder.encode(texts[1:]) == want[1:]
+
+
+def test_pieces_are_encoded_as_arrays():
+    """op2_repair_tokens: new pieces come as one array of ids, and each different symbol of a block is opened once."""
+    import numpy as np
+
+    from litradar.llm import token_files
+    from litradar.llm.catalog import tokenizer_path
+
+    encoder = token_files.Encoder(tokenizer_path())
+    pieces = [f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(450)] + ["'s", "a b", "q"]  # two words are not one piece
+    ids, many = encoder._piece_ids(pieces)
+    want = [e.ids for e in encoder.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    assert ids.tolist() == sum(want, []) and many.tolist() == [len(w) for w in want]
+    assert [len(x) for x in encoder._piece_ids([])] == [0, 0]
+    block = np.array([5, 6, 7, 8, 1] * 400 + [9, 5, 6, 1], dtype="<u2")
+    symbols, left, right = token_files.compress(block, 20)
+    assert len(symbols) < 500 and token_files.expand(symbols, left, right, 20).tolist() == block.tolist()
+    assert token_files.expand(symbols[:0], left, right, 20).tolist() == []
