@@ -4,13 +4,16 @@ A profile has pivots, and each vector belongs to its nearest one. The vectors of
 distance to it, so a cell is a ring with an inner and an outer radius. By the triangle inequality nothing in a cell is
 nearer to a candidate than the gap between the ring and the candidate's distance to the pivot, which bounds the similarity.
 
-The cells are one row each in a table bucketed by cell: a search shuffles the candidates to the buckets and never the
-library. The table stays in place for later runs. What is gained depends on the data: on random directions rings
-overlap and all cells are searched, and a candidate is copied to each of them; ``visited_share`` tells.
+The cells are one row each in a table bucketed by cell, which stays in place for later runs and is never shuffled. A search
+sends each candidate to the cell with the best bound of each profile, for a sure similarity. Candidates of the same best cell
+are then a group, and groups meet the cells whose bound reaches them where the cells are read: a candidate is copied once
+for a profile, not once for a cell, and only the best of all cells read together leave a task. What is gained depends on the
+data: on random directions rings overlap and all cells are searched, which is quadratic in time; ``visited_share`` tells.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -20,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .neighbors import _DIGITS, _matrix, _top
+from .neighbors import _DIGITS, _SCORE_ROWS, _matrix, _top
 from .skew import with_slices
 
 CELL_ROWS = 4096
 MOST_PIVOTS = 64  # of a profile; more vectors make more rings, not more pivots
 RINGS = 128  # steps of the distance, which is at most 2
 GROUP_ROWS = 1024  # candidates that meet a cell at once
+SIDE_VALUES = 1 << 23  # components of the cells that a task of the search reads
+_BOUND_ROWS = 4096  # candidates whose bounds are found at once
 _SLACK = 1e-7  # rounding of distances and of scores
 
 
@@ -88,17 +93,18 @@ def build_index(library: DataFrame, cell_rows: int = CELL_ROWS, eps: float = 1e-
     path, table = f"{ensure_checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}", f"litradar_cells_{uuid.uuid4().hex}"
     packed = named.repartition(n, "cell").groupBy("cell", "profile_id", "pivot").agg(
         F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.count("*").alias("n"),
-        F.collect_list(F.struct("key", "weight", "embedding")).alias("items"))
+        F.sort_array(F.collect_list(F.struct("key", "weight", "embedding"))).alias("items"))
     packed.write.bucketBy(n, "cell").sortBy("cell").option("path", path).saveAsTable(table)
     rings = spark.table(table).groupBy("profile_id", "pivot").agg(F.collect_list(F.struct("cell", "inner", "outer", "n")).alias("cells"))
     return VectorIndex(cut_lineage(pivots.join(rings, ["profile_id", "pivot"])), table)
 
 
-def _bounds(k: int, eps: float):
-    """Cells of each candidate with the best similarity they may hold; ``first`` are the best that hold k vectors."""
+def _bounds(k: int, eps: float, only_first: bool):
+    """Cells of each candidate with the best similarity they may hold; ``first`` are the best that hold k vectors, ``place`` 0 the best."""
+    types = {"profile_id": pa.int64(), "ordinal": pa.int64(), "cell": pa.string(), "bound": pa.float64(), "first": pa.bool_(), "place": pa.int32()}
 
     def fn(candidates: pa.Table, pivots: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("profile_id", "ordinal", "cell", "bound", "first")}
+        out = {name: [] for name in types}
         if candidates.num_rows and pivots.num_rows:
             left, ordinals = _matrix(candidates["embedding"], eps), candidates["ordinal"].to_numpy()
             owner = pivots["profile_id"].to_numpy()
@@ -110,24 +116,30 @@ def _bounds(k: int, eps: float):
                 cells = [c for x in lists for c in x]
                 names = np.array([c["cell"] for c in cells], dtype=object)
                 low, high, size = (np.array([c[f] for c in cells]) for f in ("inner", "outer", "n"))
-                square = (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2 * (left @ right.T)
-                distance = np.sqrt(np.maximum(square, 0))[:, at]
-                gap = np.maximum(np.maximum(distance - high, low - distance) - _SLACK, 0)
-                bound = 1 - gap**2 / 2
-                order = np.argsort(-bound, axis=1, kind="stable")
-                before = np.cumsum(size[order], axis=1) - size[order]
-                rows = len(left)
-                out["profile_id"].append(np.full(rows * len(cells), profile))
-                out["ordinal"].append(np.repeat(ordinals, len(cells)))
-                out["cell"].append(names[order].ravel())
-                out["bound"].append(np.take_along_axis(bound, order, axis=1).ravel())
-                out["first"].append((before < k).ravel())
-        types = {"profile_id": pa.int64(), "ordinal": pa.int64(), "cell": pa.string(), "bound": pa.float64(), "first": pa.bool_()}
+                for begin in range(0, len(left), _BOUND_ROWS):
+                    some = left[begin : begin + _BOUND_ROWS]
+                    square = (some**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2 * (some @ right.T)
+                    bound = _bound(np.sqrt(np.maximum(square, 0))[:, at], low, high)
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    first = np.cumsum(size[order], axis=1) - size[order] < k
+                    row, place = np.nonzero(first if only_first else np.ones_like(first))
+                    out["profile_id"].append(np.full(len(row), profile))
+                    out["ordinal"].append(ordinals[begin + row])
+                    out["cell"].append(names[order[row, place]])
+                    out["bound"].append(bound[row, order[row, place]])
+                    out["first"].append(first[row, place])
+                    out["place"].append(place)
         return pa.table({x: pa.array(np.concatenate(v) if v else [], type=types[x]) for x, v in out.items()})
 
     return fn
 
 
+def _bound(distance: np.ndarray, inner: np.ndarray | float, outer: np.ndarray | float) -> np.ndarray:
+    """The best similarity that a ring may hold for a candidate at this distance from its pivot."""
+    gap = np.maximum(np.maximum(distance - outer, inner - distance) - _SLACK, 0)
+    return 1 - gap**2 / 2
+
+
 def _best_of_cell(k: int, eps: float):
     names = ("profile_id", "ordinal", "key", "weight", "sim")
     types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
@@ -137,7 +149,6 @@ def _best_of_cell(k: int, eps: float):
             for i in range(batch.num_rows):
                 asked, items = (pa.table(batch.column(c).slice(i, 1).flatten().flatten(), names=list(f)) for c, f in
                                 (("asked", ("ordinal", "embedding")), ("items", ("key", "weight", "embedding"))))
-                items = items.sort_by("key")
                 sims = _matrix(asked["embedding"], eps) @ _matrix(items["embedding"], eps).T
                 best = _top(np.round(sims, _DIGITS), min(k, items.num_rows))
                 rows, width = best.shape
@@ -164,8 +175,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cell_visits(candidates: DataFrame, index: VectorIndex, k: int, eps: float = 1e-12, wanted: DataFrame | None = None) -> DataFrame:
-    """All cells of each candidate's profiles in narrow rows: ``profile_id, ordinal, cell, bound, first``. No vector of a cell is read."""
+def _visits(candidates: DataFrame, index: VectorIndex, k: int, eps: float, wanted: DataFrame | None, only_first: bool) -> DataFrame:
     spark = candidates.sparkSession
     blocks = max(1, spark.sparkContext.defaultParallelism)
     left = candidates.select("ordinal", "embedding", F.pmod(F.xxhash64("ordinal"), F.lit(blocks)).alias("lb_c"))
@@ -181,28 +191,166 @@ def cell_visits(candidates: DataFrame, index: VectorIndex, k: int, eps: float =
     left = left.select(F.col("lb_c").cast("long").alias("lb_c"), F.col("rb_c").cast("long").alias("rb_c"), "ordinal", "embedding")
     right = right.select(F.col("lb").cast("long").alias("lb"), F.col("rb").cast("long").alias("rb"), "profile_id", "pivot", "embedding", "cells")
     visits = left.groupBy("lb_c", "rb_c").cogroup(right.groupBy("lb", "rb")).applyInArrow(
-        _bounds(k, eps), "profile_id long, ordinal long, cell string, bound double, first boolean")
+        _bounds(k, eps, only_first), "profile_id long, ordinal long, cell string, bound double, first boolean, place int")
     if wanted is not None:
         pair = wanted.select(F.col("profile_id").cast("long").alias("profile_id"), F.col("ordinal").cast("long").alias("ordinal"))
         visits = visits.join(pair, ["profile_id", "ordinal"], "left_semi")
-    return cut_lineage(visits)
+    return visits
+
+
+def cell_visits(candidates: DataFrame, index: VectorIndex, k: int, eps: float = 1e-12, wanted: DataFrame | None = None) -> DataFrame:
+    """All cells of each candidate's profiles in narrow rows: ``profile_id, ordinal, cell, bound, first``. No vector of a cell is read.
+
+    As many rows as candidates times cells; they are not stored.
+    """
+    return _visits(candidates, index, k, eps, wanted, only_first=False).drop("place")
+
+
+def _ranges(eps: float):
+    """Of each group the least and the greatest distance to each pivot of its profile, and the least sure similarity."""
+
+    def fn(batches):
+        for batch in batches:
+            low, high, least = [], [], []
+            for i in range(batch.num_rows):
+                asked, pivots = (pa.table(batch.column(c).slice(i, 1).flatten().flatten(), names=list(f)) for c, f in
+                                 (("asked", ("ordinal", "embedding", "sure")), ("pivots", ("pivot", "embedding"))))
+                left, right, number = _matrix(asked["embedding"], eps), _matrix(pivots["embedding"], eps), pivots["pivot"].to_numpy()
+                distance = np.stack([np.linalg.norm(left - p, axis=1) for p in right], axis=1)
+                near, far = np.zeros(number.max()), np.full(number.max(), 4.0)
+                # a distance that is no number reaches everything
+                near[number - 1], far[number - 1] = np.nan_to_num(distance, nan=0.0).min(axis=0), np.nan_to_num(distance, nan=4.0).max(axis=0)
+                sure = asked["sure"].to_numpy()
+                low.append(near)
+                high.append(far)
+                least.append(np.nan_to_num(sure.astype(np.float64), nan=-2.0).min())
+            doubles = pa.list_(pa.float64())
+            columns = [*batch.columns, pa.array(low, doubles), pa.array(high, doubles), pa.array(least, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "low", "high", "least"])
+
+    return fn
+
+
+class _Group:
+    """The best of some cells for a group of candidates. What cannot be among the k best of a candidate any more is not kept."""
+
+    def __init__(self, name: str, profile: int, asked: pa.Table, pivots: pa.Table, k: int, eps: float):
+        self.name, self.profile, self.k, self.eps = name, profile, k, eps
+        self.ordinals, self.left = asked["ordinal"].to_numpy(), _matrix(asked["embedding"], eps)
+        self.pivots = dict(zip(pivots["pivot"].to_pylist(), _matrix(pivots["embedding"], eps), strict=True))
+        sure = asked["sure"].to_numpy().astype(np.float64)
+        self.floor = np.where(np.isnan(sure), -np.inf, sure)
+        self.best = np.full((len(self.left), k), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+
+    def meet(self, pivot: int, inner: float, outer: float, items: pa.Table) -> None:
+        bound = _bound(np.linalg.norm(self.left - self.pivots[pivot], axis=1), inner, outer)
+        reached = np.flatnonzero(~(bound + _SLACK < self.floor))
+        right = _matrix(items["embedding"], self.eps).T if len(reached) else None
+        for at in range(0, len(reached), _SCORE_ROWS):
+            rows = reached[at : at + _SCORE_ROWS]
+            sims = self.left[rows] @ right
+            # no number counts as the greatest one, as in an order of Spark
+            where, cols = np.nonzero(~(sims < (self.floor[rows] - 2 * 10.0**-_DIGITS)[:, None]))
+            if len(where) > 16 * self.k * len(rows):
+                cols = _top(np.round(np.where(np.isnan(sims), np.inf, sims), _DIGITS), self.k)
+                where, cols = np.repeat(np.arange(len(rows)), cols.shape[1]), cols.ravel()
+            if not len(where):
+                continue
+            found = sims[where, cols]
+            value = np.where(np.isnan(found), np.inf, found)
+            order = np.lexsort((cols, -np.round(value, _DIGITS), where))
+            where, cols, found, value = where[order], cols[order], found[order], value[order]
+            nth = np.arange(len(where)) - np.searchsorted(where, where)
+            kept = nth < self.k
+            where, cols, found, value, nth = where[kept], cols[kept], found[kept], value[kept], nth[kept]
+            new = np.full((len(rows), self.k), -np.inf)
+            new[where, nth] = value
+            best = np.concatenate([self.best[rows], new], axis=1)
+            self.best[rows] = np.partition(best, self.k, axis=1)[:, self.k :]
+            self.floor[rows] = np.maximum(self.floor[rows], self.best[rows].min(axis=1))
+            some = pa.array(cols)
+            self.found.append((rows[where], found, *(items[c].combine_chunks().take(some) for c in ("key", "weight"))))
+
+    def rows(self) -> pa.RecordBatch | None:
+        if not self.found:
+            return None
+        at, sims = (np.concatenate([f[i] for f in self.found]) for i in (0, 1))
+        keys, weights = (pa.concat_arrays([f[i] for f in self.found]) for i in (2, 3))
+        kept = np.flatnonzero(~(sims < self.floor[at] - 2 * 10.0**-_DIGITS))
+        columns = [pa.array(np.full(len(kept), self.profile)), pa.array(self.ordinals[at[kept]]), keys.take(pa.array(kept)), weights.take(pa.array(kept)), pa.array(sims[kept])]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=["profile_id", "ordinal", "key", "weight", "sim"])
+
+
+def _best_of_cells(k: int, eps: float):
+    """The cells that a group meets in a task come one after the other."""
+
+    def part(batch, column, i, names):
+        return pa.table(batch.column(column).slice(i, 1).flatten().flatten(), names=names)
+
+    def fn(batches):
+        group = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = batch.column("group")[i].as_py()
+                if group is None or group.name != name:
+                    if group is not None and (rows := group.rows()) is not None:
+                        yield rows
+                    group = _Group(name, batch.column("profile_id")[i].as_py(), part(batch, "asked", i, ["ordinal", "embedding", "sure"]),
+                                   part(batch, "pivots", i, ["pivot", "embedding"]), k, eps)
+                group.meet(*(batch.column(c)[i].as_py() for c in ("pivot", "inner", "outer")), part(batch, "items", i, ["key", "weight", "embedding"]))
+        if group is not None and (rows := group.rows()) is not None:
+            yield rows
+
+    return fn
+
+
+def _groups(asked: DataFrame, home: DataFrame, sure: DataFrame, index: VectorIndex, eps: float) -> DataFrame:
+    """Candidates with the same best cell, at most about ``GROUP_ROWS`` in a row, with their ranges of distances."""
+    parts = home.groupBy("cell").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("_parts"))
+    rows = home.join(sure, ["profile_id", "ordinal"], "left").join(parts, "cell").withColumn("_part", F.pmod(F.xxhash64("ordinal"), F.col("_parts")))
+    rows = rows.join(asked, "ordinal").groupBy("profile_id", "cell", "_part").agg(F.collect_list(F.struct("ordinal", "embedding", F.col("_sure").alias("sure"))).alias("asked"))
+    pivots = index.pivots.groupBy("profile_id").agg(F.collect_list(F.struct("pivot", "embedding")).alias("pivots"))
+    rows = rows.withColumn("group", F.concat_ws("/", "cell", "_part")).join(pivots, "profile_id").select("profile_id", "group", "asked", "pivots")
+    kind = asked.schema["embedding"].dataType.simpleString()
+    lib = index.pivots.schema["embedding"].dataType.simpleString()
+    return cut_lineage(rows.mapInArrow(_ranges(eps), f"profile_id long, group string, asked array<struct<ordinal:bigint,embedding:{kind},sure:double>>, "
+                                       f"pivots array<struct<pivot:int,embedding:{lib}>>, low array<double>, high array<double>, least double"))
+
+
+def _met(groups: DataFrame, index: VectorIndex) -> DataFrame:
+    """Each group with the cells whose bound reaches it. Both sides are read for each pair of their parts, and nothing is shuffled."""
+    held = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    # one number comes to the driver
+    values = index.pivots.agg(F.sum(held * F.size("embedding"))).first()[0] or 0
+    cells = index.cells.coalesce(max(1, math.ceil(values / SIDE_VALUES)))
+    g, c = groups.alias("g"), cells.alias("c")
+    number = F.col("c.pivot") - 1
+    gap = F.greatest(F.get("g.low", number) - F.col("c.outer"), F.col("c.inner") - F.get("g.high", number), F.lit(0.0))
+    gap = F.greatest(gap - 2 * _SLACK, F.lit(0.0))
+    reaches = 1 - gap * gap / 2 + 2 * _SLACK >= F.col("g.least")
+    met = g.join(c.hint("shuffle_replicate_nl"), (F.col("g.profile_id") == F.col("c.profile_id")) & reaches)
+    return met.select("g.profile_id", "g.group", "g.asked", "g.pivots", "c.pivot", "c.inner", "c.outer", "c.items")
 
 
 def indexed_knn(candidates: DataFrame, index: VectorIndex, k: int = 5, eps: float = 1e-12, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of ``knn_join`` from a stored index, and the visits ``profile_id, ordinal, cell, bound, first, visited``.
 
-    The cells with the best bounds that hold k vectors are searched first; their k-th similarity is sure, and of the
-    others only those are searched whose bound reaches it. Candidates without a vector are left out.
+    The cells with the best bounds that hold k vectors are searched first; their k-th similarity is sure, and only cells
+    whose bound reaches it are searched for the result. The visits are found when they are asked for; a cell of theirs
+    is skipped, too, when better ones were found before it. Candidates without a vector are left out.
     """
     asked = cut_lineage(candidates.where("embedding IS NOT NULL").select(F.col("ordinal").cast("long").alias("ordinal"), "embedding"))
-    visits = cell_visits(asked, index, k, eps, wanted)
-    first = cut_lineage(_ranked(_search(asked, visits.where("first"), index, k, eps), k))
+    first = cut_lineage(_visits(asked, index, k, eps, wanted, only_first=True).select("profile_id", "ordinal", "cell", "place"))
     pair = ["profile_id", "ordinal"]
-    sure = first.groupBy(*pair).agg(F.when(F.count("*") >= k, F.min("sim")).alias("_sure"))
+    best = _ranked(_search(asked, first, index, k, eps), k)
+    sure = cut_lineage(best.groupBy(*pair).agg(F.when(F.count("*") >= k, F.min("sim")).alias("_sure")))
+    groups = _groups(asked, first.where("place = 0").drop("place"), sure, index, eps)
+    found = _met(groups, index).mapInArrow(_best_of_cells(k, eps), "profile_id long, ordinal long, key string, weight double, sim double")
     reaches = F.col("_sure").isNull() | (F.col("bound") + _SLACK >= F.col("_sure"))
-    told = cut_lineage(visits.join(sure, pair, "left").withColumn("visited", F.col("first") | reaches).drop("_sure"))
-    later = _search(asked, told.where("visited AND NOT first"), index, k, eps)
-    return _ranked(first.drop("rank").unionByName(later), k), told
+    told = cell_visits(asked, index, k, eps, wanted).join(sure, pair, "left").withColumn("visited", F.col("first") | reaches).drop("_sure")
+    return _ranked(found, k), told
 
 
 def visited_share(visits: DataFrame) -> DataFrame:
