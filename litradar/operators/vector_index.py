@@ -4,10 +4,10 @@ A profile has pivots, and each vector belongs to its nearest one. The vectors of
 distance to it, so a cell is a ring with an inner and an outer radius. By the triangle inequality nothing in a cell is
 nearer to a candidate than the gap between the ring and the candidate's distance to the pivot, which bounds the similarity.
 
-The cells are one row each in a table bucketed by cell, which stays in place for later runs and is never shuffled. A search
+The cells are one row each in a table bucketed by cell, which stays in place for later runs. A search
 sends each candidate to the cell with the best bound of each profile, for a sure similarity. Candidates of the same best cell
-are then a group, and groups meet the cells whose bound reaches them where the cells are read: a candidate is copied once
-for a profile, not once for a cell, and only the best of all cells read together leave a task. What is gained depends on the
+are then a group, and groups meet the cells whose bound reaches them in one lane a core: a cell is copied once for a lane and
+not a candidate once for a cell, and only the best of all cells read together leave a task. What is gained depends on the
 data: on random directions rings overlap and all cells are searched, which is quadratic in time; ``visited_share`` tells.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .neighbors import _DIGITS, _SCORE_ROWS, _matrix, _top
+from .neighbors import _DIGITS, _SCORE_ROWS, _each, _matrix, _top
 from .skew import with_slices
 
 CELL_ROWS = 4096
@@ -320,17 +320,19 @@ def _groups(asked: DataFrame, home: DataFrame, sure: DataFrame, index: VectorInd
 
 
 def _met(groups: DataFrame, index: VectorIndex) -> DataFrame:
-    """Each group with the cells whose bound reaches it. Both sides are read for each pair of their parts, and nothing is shuffled."""
+    """Each group with the cells whose bound reaches it. Cells are copied once for a lane of groups (one a core), groups once for ``SIDE_VALUES`` of cells."""
     held = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"])
     # one number comes to the driver
     values = index.pivots.agg(F.sum(held * F.size("embedding"))).first()[0] or 0
-    cells = index.cells.coalesce(max(1, math.ceil(values / SIDE_VALUES)))
-    g, c = groups.alias("g"), cells.alias("c")
+    lanes, parts = max(1, index.pivots.sparkSession.sparkContext.defaultParallelism), max(1, math.ceil(values / SIDE_VALUES))
+    g = groups.select("*", F.pmod(F.xxhash64("group"), F.lit(lanes)).alias("lane"), _each(parts).alias("side")).alias("g")
+    c = index.cells.select("*", _each(lanes).alias("lane"), F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("side")).alias("c")
     number = F.col("c.pivot") - 1
     gap = F.greatest(F.get("g.low", number) - F.col("c.outer"), F.col("c.inner") - F.get("g.high", number), F.lit(0.0))
     gap = F.greatest(gap - 2 * _SLACK, F.lit(0.0))
     reaches = 1 - gap * gap / 2 + 2 * _SLACK >= F.col("g.least")
-    met = g.join(c.hint("shuffle_replicate_nl"), (F.col("g.profile_id") == F.col("c.profile_id")) & reaches)
+    same = [F.col(f"g.{x}") == F.col(f"c.{x}") for x in ("profile_id", "lane", "side")]
+    met = g.join(c, [*same, reaches])
     return met.select("g.profile_id", "g.group", "g.asked", "g.pivots", "c.pivot", "c.inner", "c.outer", "c.items")
 
 
