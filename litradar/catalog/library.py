@@ -310,7 +310,7 @@ SELECT profile_id, ordinal, rank, round(score, 6)::DOUBLE AS rerank_score FROM r
 def _(spark: SparkSession, sf: str) -> DataFrame:
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("profile_id"), F.col("text").alias("query"))
     documents = table(spark, sf, "conversations").select((F.col("conv_id") % 40).alias("profile_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("ordinal"), F.col("text").alias("document"))
-    return rerank(documents.join(queries, "profile_id"), OverlapReranker(), 5).withColumn("rerank_score", rounded("rerank_score"))
+    return rerank(documents.join(queries, "profile_id"), OverlapReranker(), 5, split=True).withColumn("rerank_score", rounded("rerank_score"))
 
 
 _RECALL = """

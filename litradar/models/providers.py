@@ -6,6 +6,7 @@ many tasks as their input has, or from ``concurrency`` tasks where a service all
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -14,11 +15,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import encodable_text
-from ..operators.skew import skew_join
+from ..operators.skew import MOST_HOT_KEYS, hot_keys, skew_join
 
 
 class Embedder(Protocol):
@@ -156,11 +158,11 @@ def complete_prompts(requests: DataFrame, completer: Completer, keys: Sequence[s
     return _spread(requests.select(*[f.name for f in fields], "prompt"), concurrency).mapInPandas(run, schema)
 
 
-def rerank(documents: DataFrame, reranker: Reranker, top_k: int) -> DataFrame:
-    """``(profile_id, ordinal, query, document)`` to the best ``(profile_id, ordinal, rerank_score, rank)``.
+_SCORED = "profile_id long, ordinal long, rerank_score double"
 
-    One request per profile, so a profile may bring at most ``max_documents``; more is an error.
-    """
+
+def _scored_at_once(documents: DataFrame, reranker: Reranker) -> DataFrame:
+    """One request per profile; too many documents for one are an error."""
     limit = reranker.max_documents
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,6 +176,40 @@ def rerank(documents: DataFrame, reranker: Reranker, top_k: int) -> DataFrame:
     counts = documents.groupBy("profile_id").agg(F.count("*").alias("_rows"), F.min("ordinal").alias("_first"))
     counted = skew_join(documents, counts, ["profile_id"], "inner", ["ordinal"])
     bounded = counted.where((F.col("_rows") <= limit) | (F.col("ordinal") == F.col("_first"))).drop("_first")
-    scored = bounded.groupBy("profile_id").applyInPandas(run, "profile_id long, ordinal long, rerank_score double")
-    best = Window.partitionBy("profile_id").orderBy(F.desc("rerank_score"), "ordinal")
+    return bounded.groupBy("profile_id").applyInPandas(run, _SCORED)
+
+
+def _scored_in_requests(documents: DataFrame, reranker: Reranker) -> DataFrame:
+    """As many requests per profile as its documents need. A task holds one batch of rows and the documents of one request."""
+    limit = reranker.max_documents
+    names = ["profile_id", "query", "ordinal", "document"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True))
+        for (profile, query), own in itertools.groupby(rows, key=lambda row: row[:2]):
+            while asked := list(itertools.islice(own, limit)):
+                scores = np.asarray(reranker.rerank(query, [row[3] for row in asked]), dtype=float)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([profile] * len(asked), pa.int64()), pa.array([row[2] for row in asked], pa.int64()), pa.array(scores, pa.float64(), from_pandas=True),
+                ], ["profile_id", "ordinal", "rerank_score"])
+
+    known = documents.select(*names).where("profile_id IS NOT NULL")
+    # the parts of a large profile go to different tasks; one beyond the limit stays whole and is only slower
+    hot = hot_keys(known.select("profile_id"), ["profile_id"], limit).orderBy(F.desc("_parts"), "profile_id").limit(MOST_HOT_KEYS)
+    part = F.pmod(F.xxhash64("ordinal", "document"), F.coalesce(F.col("_parts"), F.lit(1).cast("long")))
+    placed = known.join(F.broadcast(hot), "profile_id", "left").withColumn("_part", part)
+    dealt = placed.repartition("profile_id", "_part").sortWithinPartitions("profile_id", "query", "ordinal")
+    return dealt.select(*names).mapInArrow(run, _SCORED)
+
+
+def rerank(documents: DataFrame, reranker: Reranker, top_k: int, split: bool = False) -> DataFrame:
+    """``(profile_id, ordinal, query, document)`` to the best ``(profile_id, ordinal, rerank_score, rank)``.
+
+    One request per profile, so a profile may bring at most ``max_documents``; more is an error. With ``split`` a profile
+    has as many requests as it needs: for rerankers that score a document by itself, not against the others of its request.
+    Their scores are ties when equal up to 9 digits.
+    """
+    scored = _scored_in_requests(documents, reranker) if split else _scored_at_once(documents, reranker)
+    score = F.round("rerank_score", 9) if split else F.col("rerank_score")
+    best = Window.partitionBy("profile_id").orderBy(score.desc(), "ordinal")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top_k)
